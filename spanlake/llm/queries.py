@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, tokens
+from . import decontaminate, fingerprint, mixing, quotes, tokens
 from .common import read_table
 
 
@@ -16,5 +16,17 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op3_mix_sources)}
-SQL = {"op3_mix_sources": mixing.OP3_SQL}
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_likeness(read_table(spark, sf_dir, "documents"))
+
+
+def op10_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_conversations(read_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_file, op3_mix_sources, op4_decontaminate, op6_fingerprints, op10_quotation_links)}
+SQL = {"op3_mix_sources": mixing.OP3_SQL, "op4_decontaminate": decontaminate.OP4_SQL}
