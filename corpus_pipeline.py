@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanlake.llm import mixing, tokens
+from spanlake.llm import decontaminate, mixing, near, quality, tokens
 from spanlake.llm.common import materialize, read_table
 
 STAGES = [
+    ("quality classifier", lambda spark, docs, sf_dir: quality.keep_quality(docs, read_table(spark, sf_dir, "labels"))),
+    ("near duplicates", lambda spark, docs, sf_dir: near.drop_near_duplicates(docs)),
+    ("decontamination", lambda spark, docs, sf_dir: decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))),
     ("mix sources", lambda spark, docs, sf_dir: mixing.mixed_documents(docs)),
     ("token file", lambda spark, docs, sf_dir: tokens.token_file(docs)),
 ]

@@ -102,3 +102,33 @@ def connected_components(edges: DataFrame, label: str, max_rounds: int = 60) ->
         raise RuntimeError(f"{label}: components did not settle in {max_rounds} rounds")
     roots = cur.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("r"))
     return nodes.join(roots, "node", "left").select("node", F.coalesce("r", "node").alias("component"))
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Groups of a stream that is sorted by its first ``keys`` columns (longs without nulls), each as one batch."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(keys)])
+        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+        if held and tuple(k[:, 0]) != last:
+            yield _joined(held)
+            held = []
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            part = b.slice(s, e - s)
+            if e < b.num_rows:
+                yield _joined([*held, part])
+                held = []
+            else:
+                held.append(part)
+        last = tuple(k[:, -1])
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    if len(parts) == 1:
+        return parts[0]
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]

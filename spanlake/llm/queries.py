@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, mixing, quotes, tokens
+from . import decontaminate, fingerprint, mixing, near, quality, quotes, tokens, toxicity
 from .common import read_table
 
 
@@ -12,6 +12,10 @@ def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_file(read_table(spark, sf_dir, "documents"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents"))
 
@@ -20,13 +24,21 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_likeness(read_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_conversations(read_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op3_mix_sources, op4_decontaminate, op6_fingerprints, op10_quotation_links)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_near_duplicates, op3_mix_sources, op4_decontaminate, op5_quality, op6_fingerprints, op7_toxicity, op10_quotation_links)}
 SQL = {"op3_mix_sources": mixing.OP3_SQL, "op4_decontaminate": decontaminate.OP4_SQL}
