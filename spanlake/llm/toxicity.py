@@ -92,7 +92,7 @@ def feature_ratios(docs: DataFrame, labels: DataFrame, name: str = "toxic") -> t
     if not n0 or not n1:
         return np.zeros(size), n0, n1
     n = n0 + n1
-    a = SMOOTH * n1 + 0.5
+    a = SMOOTH * n1 + 5
     p = (c[1, :size] + a * n1 / n) / (n1 + a)
     q = (c[0, :size] + a * n0 / n) / (n0 + a)
     r = np.log(p / q)
