@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, mixing, near, quality, quotes, repeats, tokens, toxicity
+from . import decontaminate, fingerprint, lm, mixing, near, quality, quotes, repeats, tokens, toxicity
 from .common import read_table
 
 
@@ -40,9 +40,13 @@ def op8_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(read_table(spark, sf_dir, "documents"))
+
+
 def op10_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_conversations(read_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op2_near_duplicates, op3_mix_sources, op4_decontaminate, op5_quality, op6_fingerprints, op7_toxicity, op8_remove_repeats, op10_quotation_links)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_near_duplicates, op3_mix_sources, op4_decontaminate, op5_quality, op6_fingerprints, op7_toxicity, op8_remove_repeats, op9_lm_scores, op10_quotation_links)}
 SQL = {"op3_mix_sources": mixing.OP3_SQL, "op4_decontaminate": decontaminate.OP4_SQL, "op8_remove_repeats": repeats.OP8_SQL}
