@@ -2,6 +2,858 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import formats
+from ..operators import cpu, locks, logs, memory, profile, scopes, select, series
+from ..sources import clock, sinks, strings, trace_io
+from . import fixtures as fx
+from .fixtures import sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 FLAGSHIP = "p6_flat_profile"
+T0, T1 = 10**14, 10**15
+BUCKET = 10**13
+_SCOPE_COLS = "stream_id, thread_id, scope_id, level, name, start_ns, end_ns, duration_ns, is_open, end_name, mismatch"
+
+
+def _query(name: str, text: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if text:
+            SQL[name] = text
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _scopes(s: SparkSession, d: str) -> DataFrame:
+    return scopes.scopes_with_paths(fx.trace(s, d))
+
+
+# ---------------------------------------------------------------- sources
+
+
+@_query("s1_read_trace", sql("trace", f" select stream_id, kind, count(*) n from trace where date_ns between {T0} and {T1} group by all"))
+def _(s, d):
+    return fx.trace(s, d).where(F.col("date_ns").between(T0, T1)).groupBy("stream_id", "kind").agg(F.count("*").alias("n"))
+
+
+@_query("s2_import_streams", "select stream_id, count(*) n, min(event_id) lo from (select 0::bigint stream_id, event_id from events union all select 1, event_id from events where event_id % 3 = 0) group by 1")
+def _(s, d):
+    e = _table(s, d, "events")
+    a, b = e.withColumn("stream_id", F.lit(0).cast("long")), e.where("event_id % 3 = 0").withColumn("stream_id", F.lit(1).cast("long"))
+    return a.unionByName(b).groupBy("stream_id").agg(F.count("*").alias("n"), F.min("event_id").alias("lo"))
+
+
+@_query("s3_merge_streams", sql("trace", """,
+f as (select name, min(stream_id * 1000000000 + seq) p from trace group by 1), i as (select name, row_number() over (order by p) - 1 as string_id from f),
+t as (select stream_id, thread_id, dense_rank() over (order by stream_id, thread_id) - 1 as global_thread from (select distinct stream_id, thread_id from trace))
+select string_id, name as string, count(*) n, count(distinct global_thread) threads, sum(global_thread)::bigint check_sum from trace join i using (name) join t using (stream_id, thread_id) group by all"""))
+def _(s, d):
+    t = fx.trace(s, d).withColumnRenamed("name", "value")
+    words = t.groupBy("stream_id", "value").agg(F.min("seq").alias("string_idx")).withColumn("hash", F.xxhash64("value"))
+    df = t.join(words.select("stream_id", "value", "string_idx"), ["stream_id", "value"])
+    m = trace_io.merge_streams(df, words.select("stream_id", "string_idx", "hash", "value"))
+    return m.groupBy("string_id", "string").agg(F.count("*").alias("n"), F.count_distinct("global_thread").alias("threads"), F.sum("global_thread").alias("check_sum"))
+
+
+@_query("s4_unique_lock_names", sql("locks", """, f as (select name, arg_min(stream_id, seq) s from locks group by 1)
+select case when stream_id = s then name else name || '#' || stream_id end lock, count(*) n from locks join f using (name) group by 1"""))
+def _(s, d):
+    return trace_io.unique_lock_names(fx.locks(s, d)).groupBy("lock").agg(F.count("*").alias("n"))
+
+
+@_query("s5_name_threads", sql("trace", """,
+dec as (select stream_id, thread_id, arg_min(r.r_name || '/' || n.n_name, seq) nm from trace join nation n on n.n_nationkey = thread_id % 25 join region r on r.r_regionkey = n.n_regionkey where thread_id % 3 <> 0 group by all),
+a as (select t.stream_id, t.thread_id, coalesce(nm, 'Thread ' || t.thread_id) nm from (select distinct stream_id, thread_id from trace) t left join dec using (stream_id, thread_id)),
+u as (select *, row_number() over (partition by nm order by stream_id, thread_id) k from a),
+w as (select stream_id, thread_id, case when k > 1 then nm || '#' || thread_id else nm end f from u)
+select stream_id, thread_id, case when instr(f, '/') > 0 then split_part(f, '/', 1) else '' end group_name, case when instr(f, '/') > 0 then substr(f, instr(f, '/') + 1) else f end as name from w"""))
+def _(s, d):
+    t = fx.trace(s, d)
+    n = _table(s, d, "nation").join(_table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("nk"), F.concat_ws("/", "r_name", "n_name").alias("declared"))
+    dec = t.where("thread_id % 3 <> 0").withColumn("nk", F.col("thread_id") % 25).join(n, "nk").select("stream_id", "thread_id", "seq", F.col("declared").alias("name"))
+    return trace_io.name_threads(t, dec)
+
+
+@_query("s6_split_units", """select p_partkey, trim(p_name) base_name, case when p_size % 3 = 0 then '' when p_size % 3 = 1 then 'ns' else '' end unit, p_size % 3 = 2 is_hexa, 1 n_lines from part""")
+def _(s, d):
+    unit = F.when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 3 == 1, "## ns ").otherwise("##hexa")
+    p = _table(s, d, "part").select("p_partkey", F.concat("p_name", unit).alias("value"))
+    return trace_io.split_units(p).select("p_partkey", "base_name", "unit", "is_hexa", "n_lines")
+
+
+def _part_dictionary(s, d):
+    return _table(s, d, "part").where("p_partkey % 5 <> 0").select(F.lpad(F.hex("p_partkey"), 16, "0").alias("hash"), F.col("p_name").alias("value"))
+
+
+@_query("s7_resolve_strings", """select l_orderkey, l_linenumber, case when p_name is null then '@@' || lpad(to_hex(l_partkey), 16, '0') || '@@' else p_name end as text
+from lineitem left join part on p_partkey = l_partkey and p_partkey % 5 <> 0""")
+def _(s, d):
+    li = _table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.lpad(F.hex("l_partkey"), 16, "0").alias("hash"))
+    return strings.resolve_strings(li, _part_dictionary(s, d)).drop("hash")
+
+
+@_query("s8_decode_text", """select o_orderkey, 'part ' || coalesce(a.p_name, lpad(to_hex(o_custkey), 16, '0')) || ' and ' || coalesce(b.p_name, lpad(to_hex(o_orderkey), 16, '0')) || ' end' decoded
+from orders left join part a on a.p_partkey = o_custkey and a.p_partkey % 5 <> 0 left join part b on b.p_partkey = o_orderkey and b.p_partkey % 5 <> 0""")
+def _(s, d):
+    tok = lambda c: F.concat(F.lit("@@"), F.lpad(F.hex(c), 16, "0"), F.lit("@@"))
+    o = _table(s, d, "orders").select("o_orderkey", F.concat(F.lit("part "), tok("o_custkey"), F.lit(" and "), tok("o_orderkey"), F.lit(" end")).alias("line"))
+    return strings.decode_text(o, "line", _part_dictionary(s, d), "o_orderkey")
+
+
+@_query("s9_build_dictionary", None)
+def _(s, d):
+    return strings.build_dictionary(_table(s, d, "part"), "p_name")[0]
+
+
+@_query("s9_hash_collisions", None)
+def _(s, d):
+    return strings.build_dictionary(_table(s, d, "documents"), "text", bits=32)[1].select("hash", F.size("values").alias("n"))
+
+
+@_query("s10_unwrap_counter", sql("trace", " select stream_id, thread_id, seq, date_ns // 1000000 as full_ticks from trace"))
+def _(s, d):
+    # the fixture's gaps are too wide for 32 bits of ns: milliseconds, unwrapped over the whole stream
+    t = fx.trace(s, d).withColumn("full", F.floor(F.col("date_ns") / 1_000_000)).withColumn("tick", F.pmod("full", F.lit(1 << 32)))
+    return clock.unwrap_counter(t, "tick", 32, ["stream_id"]).select("stream_id", "thread_id", "seq", F.col("tick_full").alias("full_ticks"))
+
+
+_JITTER = "date_ns + ((seq * 7919) % 1000) * 1000000000"
+
+
+@_query("s11_monotonic_dates", sql("trace", f""", j as (select stream_id, thread_id, seq, {_JITTER} as t, row_number() over (partition by stream_id, thread_id order by seq) i from trace)
+select stream_id, thread_id, seq, i + greatest(0, max(t - i) over (partition by stream_id, thread_id order by seq)) as fixed_ns from j"""))
+def _(s, d):
+    t = fx.trace(s, d).withColumn("date_ns", F.expr(_JITTER))
+    return clock.monotonic_dates(t).select("stream_id", "thread_id", "seq", "fixed_ns")
+
+
+@_query("s12_clamp_dates", sql("trace", f" select stream_id, seq, max({_JITTER}) over (partition by stream_id order by seq) as fixed_ns from trace"))
+def _(s, d):
+    return clock.clamp_dates(fx.trace(s, d).withColumn("date_ns", F.expr(_JITTER))).select("stream_id", "seq", "fixed_ns")
+
+
+@_query("s13_ticks_to_ns", sql("trace", " select seq, case when date_ns < 1000000000000 then 0 else floor((date_ns - 1000000000000) * (0.25 + stream_id * 0.5)) end::bigint date_ns from trace"))
+def _(s, d):
+    t = fx.trace(s, d).withColumnRenamed("date_ns", "tick")
+    cal = t.select("stream_id").distinct().select("stream_id", F.lit(10**12).alias("origin"), (F.lit(0.25) + F.col("stream_id") * 0.5).alias("ns_per_tick"))
+    return clock.ticks_to_ns(t, cal).select("seq", "date_ns")
+
+
+@_query("s14_split_corrupt", sql("trace", " select stream_id, stream_id = 2 as corrupt, count(*) n from trace group by all"))
+def _(s, d):
+    t = fx.trace(s, d).withColumn("string_idx", F.when(F.col("stream_id") == 2, F.lit(99)).otherwise(F.col("seq") % 3).cast("long"))
+    words = t.select("stream_id").distinct().crossJoin(s.range(3).select(F.col("id").alias("string_idx")))  # three strings a stream
+    good, bad = trace_io.split_corrupt(t, words)
+    return good.select("stream_id", F.lit(False).alias("corrupt")).unionByName(bad.select("stream_id", F.lit(True).alias("corrupt"))).groupBy("stream_id", "corrupt").agg(F.count("*").alias("n"))
+
+
+@_query("s15_catalog_threads", sql("trace", " select stream_id, thread_id, count(*) events, min(date_ns) first_ns, max(date_ns) last_ns from trace group by all"))
+def _(s, d):
+    return trace_io.catalog_threads(fx.trace(s, d))
+
+
+@_query("s15_catalog_series", sql("scopes", " select distinct stream_id, thread_id, 'scope_begin' as kind, path from paths"))
+def _(s, d):
+    return trace_io.catalog_series(scopes.with_paths(fx.trace(s, d)).where("kind = 'scope_begin'"))
+
+
+# ---------------------------------------------------------------- scope tree
+
+
+@_query("h1_pair_scopes", sql("scopes", f" select {_SCOPE_COLS} from sc"))
+def _(s, d):
+    return scopes.pair_scopes(fx.trace(s, d)).drop("end_seq")
+
+
+@_query("h2_orphan_ends", sql("scopes", " select stream_id, thread_id, seq, date_ns, name from s3 where orphan"))
+def _(s, d):
+    return scopes.orphan_ends(fx.trace(s, d))
+
+
+@_query("h3_name_mismatch", sql("scopes", " select stream_id, thread_id, scope_id, name, end_name from sc where mismatch"))
+def _(s, d):
+    return scopes.pair_scopes(fx.trace(s, d)).where("mismatch").select("stream_id", "thread_id", "scope_id", "name", "end_name")
+
+
+@_query("h4_depth_limit", sql("scopes", " select stream_id, thread_id, scope_id, level from sc where level < 4"))
+def _(s, d):
+    return scopes.pair_scopes(fx.trace(s, d), max_level=4).select("stream_id", "thread_id", "scope_id", "level")
+
+
+@_query("h5_open_scopes", sql("scopes", " select stream_id, thread_id, scope_id, end_ns, duration_ns from sc where is_open"))
+def _(s, d):
+    return scopes.pair_scopes(fx.trace(s, d)).where("is_open").select("stream_id", "thread_id", "scope_id", "end_ns", "duration_ns")
+
+
+@_query("h6_parent_link", sql("scopes", " select stream_id, thread_id, scope_id, parent_id from par"))
+def _(s, d):
+    return _scopes(s, d).select("stream_id", "thread_id", "scope_id", "parent_id")
+
+
+@_query("h7_call_path", sql("scopes", " select stream_id, thread_id, scope_id, path from paths"))
+def _(s, d):
+    return _scopes(s, d).select("stream_id", "thread_id", "scope_id", F.array_join("path", "/").alias("path"))
+
+
+@_query("h8_flat_events", sql("scopes", " select stream_id, thread_id, seq, name from s3 where kind = 'data' and depth = 0"))
+def _(s, d):
+    return scopes.flat_events(fx.trace(s, d))
+
+
+@_query("h9_attach_data", sql("attached", " select a.stream_id, a.thread_id, seq, a.name, v_double, a.parent_id, p.start_ns as time_ns from att a left join sc p on p.stream_id = a.stream_id and p.thread_id = a.thread_id and p.scope_id = a.parent_id"))
+def _(s, d):
+    return scopes.attach_data(fx.trace(s, d)).select("stream_id", "thread_id", "seq", "name", "v_double", "parent_id", "time_ns")
+
+
+_CHILDREN = """ select stream_id, thread_id, parent_id, scope_id as child_seq, true is_scope, name from par where parent_id is not null
+union all select stream_id, thread_id, parent_id, seq, false, name from att where parent_id is not null"""
+
+
+@_query("h10_children", sql("attached", _CHILDREN))
+def _(s, d):
+    t = fx.trace(s, d)
+    return scopes.children(scopes.scopes_with_paths(t), scopes.attach_data(t))
+
+
+@_query("h11_ancestors", sql("scopes", """, a as (with recursive r as (select stream_id, thread_id, scope_id, parent_id as ancestor_id, 1 as distance from par where parent_id is not null
+union all select r.stream_id, r.thread_id, r.scope_id, p.parent_id, distance + 1 from r join par p on p.stream_id = r.stream_id and p.thread_id = r.thread_id and p.scope_id = r.ancestor_id where p.parent_id is not null) select * from r)
+select a.stream_id, a.thread_id, a.scope_id, ancestor_id, distance, duration_ns ancestor_duration_ns from a join sc on sc.stream_id = a.stream_id and sc.thread_id = a.thread_id and sc.scope_id = ancestor_id"""))
+def _(s, d):
+    return scopes.ancestors(_scopes(s, d))
+
+
+@_query("h12_text_order", sql("trace", " select stream_id, thread_id, seq, kind, name from trace order by stream_id, thread_id, date_ns, seq limit 500"))
+def _(s, d):
+    return scopes.text_order(fx.trace(s, d), n=500).select("stream_id", "thread_id", "seq", "kind", "name")
+
+
+@_query("h13_previous", sql("trace", " select seq, kind, name from trace where seq < 700 order by date_ns desc, seq desc limit 50"))
+def _(s, d):
+    return scopes.previous(fx.trace(s, d), 700, 50).select("seq", "kind", "name")
+
+
+@_query("h14_locate", sql("scopes", f""", q as (select distinct stream_id, thread_id, date_ns as at_ns from trace where kind = 'data')
+select q.stream_id, q.thread_id, at_ns, arg_max(scope_id, level * 1000000000 + scope_id) scope_id from q join sc on sc.stream_id = q.stream_id and sc.thread_id = q.thread_id
+and start_ns <= at_ns and at_ns <= end_ns group by all"""))
+def _(s, d):
+    t = fx.trace(s, d)
+    q = t.where("kind = 'data'").select("stream_id", "thread_id", F.col("date_ns").alias("at_ns"))
+    return scopes.locate(scopes.pair_scopes(t), q, BUCKET).where("contained").drop("contained")
+
+
+@_query("h15_overlapping", sql("scopes", f" select stream_id, thread_id, scope_id, level from sc where start_ns <= {T1} and end_ns >= {T0} and level = 1"))
+def _(s, d):
+    return scopes.overlapping(scopes.pair_scopes(fx.trace(s, d)), (T0, T1), 1).select("stream_id", "thread_id", "scope_id", "level")
+
+
+@_query("h16_scope_summary", sql("attached", """, bn as (select stream_id, thread_id, parent_id, name, count(*) n, sum(duration_ns) t from par where parent_id is not null group by all),
+k as (select stream_id, thread_id, parent_id, sum(n) n, sum(t) t, first(name order by t desc, name) top_child from bn group by all),
+a as (select stream_id, thread_id, parent_id, count(*) n from att where parent_id is not null group by all)
+select sc.stream_id, sc.thread_id, scope_id, sc.name, duration_ns, coalesce(k.n, 0)::bigint n_children, coalesce(k.t, 0)::bigint children_ns, top_child, coalesce(a.n, 0)::bigint n_data,
+case when duration_ns > 0 then round(100.0::double * coalesce(k.t, 0)::double / duration_ns, 6) end children_pct
+from sc left join k on k.stream_id = sc.stream_id and k.thread_id = sc.thread_id and k.parent_id = scope_id left join a on a.stream_id = sc.stream_id and a.thread_id = sc.thread_id and a.parent_id = scope_id"""))
+def _(s, d):
+    t = fx.trace(s, d)
+    return scopes.summarize_scopes(scopes.scopes_with_paths(t), scopes.attach_data(t))
+
+
+@_query("h17_instrumentation_errors", sql("scopes", """, e as (select 'orphan_end' as type, stream_id, thread_id, name from s3 where orphan union all select 'flat_event', stream_id, thread_id, name from s3 where kind = 'data' and depth = 0
+union all select 'name_mismatch', stream_id, thread_id, name from sc where mismatch union all select 'max_level', stream_id, thread_id, name from sc where level >= 8) select type, stream_id, thread_id, name, count(*) n from e group by all"""))
+def _(s, d):
+    return scopes.instrumentation_errors(fx.trace(s, d), max_level=8)
+
+
+# ---------------------------------------------------------------- profiles
+
+_NODE = """node as (select stream_id, thread_id, path, level as depth, count(*) calls, sum(duration_ns)::bigint as "value", min(scope_id) first_id, arg_min(start_ns, scope_id) first_ns from paths group by all),
+kid as (select stream_id, thread_id, left(path, length(path) - strpos(reverse(path), '/')) path, sum("value")::bigint children from node where depth > 0 group by all),
+prof as (select node.*, coalesce(children, 0)::bigint children, "value" - coalesce(children, 0)::bigint as self from node left join kid using (stream_id, thread_id, path))"""
+
+
+def _profile(s, d):
+    return profile.profile(_scopes(s, d))
+
+
+@_query("p1_profile", sql("scopes", f",\n{_NODE} select stream_id, thread_id, path, depth, calls, \"value\", children, self, first_id, first_ns from prof"))
+def _(s, d):
+    return _profile(s, d).withColumn("path", F.array_join("path", "/"))
+
+
+_RANGED = f"""rs as (select * from paths where start_ns >= {T0} and end_ns <= {T1}), rt as (select stream_id, thread_id, min(level) r from rs group by all),
+rp as (select rs.* replace (array_to_string(string_split(path, '/')[r + 1:], '/') as path), r from rs join rt using (stream_id, thread_id))"""
+
+
+@_query("p2_profile_range", sql("scopes", f""",\n{_RANGED} select stream_id, thread_id, path, count(*) calls, sum(duration_ns)::bigint as "value" from rp group by all"""))
+def _(s, d):
+    p = profile.profile(_scopes(s, d), rng=(T0, T1))
+    return p.select("stream_id", "thread_id", F.array_join("path", "/").alias("path"), "calls", "value")
+
+
+@_query("p3_profile_scope", sql("scopes", """, root as (select * from paths order by (end_seq is null or not is_open) desc, duration_ns desc, scope_id limit 1),
+below as (with recursive r as (select p.* from paths p join root using (stream_id, thread_id, scope_id) union all select c.* from paths c join r on c.stream_id = r.stream_id and c.thread_id = r.thread_id and c.parent_id = r.scope_id) select * from r)
+select array_to_string(string_split(b.path, '/')[root.level + 1:], '/') path, count(*) calls, sum(b.duration_ns)::bigint as "value" from below b, root group by 1"""))
+def _(s, d):
+    sc = _scopes(s, d)
+    root = sc.where("not is_open").orderBy(F.desc("duration_ns"), "scope_id").select("scope_id").first()
+    return profile.profile(sc, scope_id=root[0]).select(F.array_join("path", "/").alias("path"), "calls", "value")
+
+
+_ALLOC = """al as (select *, lead(kind) over w as nk, lead(seq) over w as nseq, lead(thread_id) over w as nthread, lead(date_ns) over w as ndate from memory window w as (partition by stream_id, ptr order by seq)),
+allocs as (select stream_id, ptr, seq as alloc_seq, thread_id, size, date_ns as start_ns, case when nk = 'dealloc' then nseq end free_seq, case when nk = 'dealloc' then nthread end free_thread,
+case when nk = 'dealloc' then ndate end end_ns from al where kind = 'alloc'),
+step as (select stream_id, thread_id, alloc_seq as seq, start_ns as date_ns, size as step, 1 as is_alloc from allocs union all select stream_id, thread_id, free_seq, end_ns, -size, 0 from allocs where free_seq is not null)"""
+_SMEM = """smem as (select sc.stream_id, sc.thread_id, scope_id, coalesce(sum(is_alloc), 0)::bigint allocs, coalesce(sum(case when is_alloc = 1 then step end), 0)::bigint bytes, coalesce(sum(1 - is_alloc), 0)::bigint frees,
+coalesce(sum(case when is_alloc = 0 then -step end), 0)::bigint freed_bytes from sc left join step on step.stream_id = sc.stream_id and step.thread_id = sc.thread_id and step.seq >= scope_id and step.seq < end_seq group by all)"""
+
+
+def _memory_scopes(s, d):
+    sc = _scopes(s, d)
+    return sc.join(memory.scope_memory(sc, memory.allocations(fx.memory(s, d))), ["stream_id", "thread_id", "scope_id"])
+
+
+def _mem_profile(col: str) -> str:
+    return sql("scopes memory", f""",\n{_ALLOC},\n{_SMEM} select paths.stream_id, paths.thread_id, path, count(*) calls, sum({col})::bigint as "value" from paths join smem using (stream_id, thread_id, scope_id) group by all""")
+
+
+@_query("p4_memory_profile", _mem_profile("bytes"))
+def _(s, d):
+    p = profile.profile(_memory_scopes(s, d), kind="bytes")
+    return p.select("stream_id", "thread_id", F.array_join("path", "/").alias("path"), "calls", "value")
+
+
+@_query("p5_allocation_profile", _mem_profile("allocs"))
+def _(s, d):
+    p = profile.profile(_memory_scopes(s, d), kind="calls")
+    return p.select("stream_id", "thread_id", F.array_join("path", "/").alias("path"), "calls", "value")
+
+
+@_query("p6_flat_profile", sql("scopes", f""",\n{_NODE},
+o as (select *, string_split(path, '/')[-1] as name, not list_contains(string_split(path, '/')[:-2], string_split(path, '/')[-1]) as outermost from prof),
+f as (select name, sum(calls)::bigint calls, sum(self)::bigint self, sum(case when outermost then "value" else 0 end)::bigint incl from o group by 1)
+select name, calls, self, incl, round(100.0::double * self::double / (select sum(self)::double from f), 6) self_pct, round(100.0::double * incl::double / (select sum(self)::double from f), 6) incl_pct from f"""))
+def _(s, d):
+    return profile.flat_profile(_profile(s, d))
+
+
+_FLAME = f"""{_NODE},
+pl as (select *, left(path, length(path) - strpos(reverse(path), '/')) as pp0, string_split(path, '/')[-1] as leaf from prof),
+p2 as (select *, case when depth = 0 then '' else pp0 end as parent from pl),
+p3 as (select *, coalesce(sum("value") over (partition by stream_id, thread_id, parent order by lower(leaf), leaf rows between unbounded preceding and 1 preceding), 0)::bigint as inn from p2),
+fl as (with recursive r as (select stream_id, thread_id, path, depth, "value", inn as x, 100.0::double as parent_pct, leaf from p3 where depth = 0
+union all select c.stream_id, c.thread_id, c.path, c.depth, c."value", r.x + c.inn, case when r."value" > 0 then round(100.0::double * c."value" / r."value", 6) end, c.leaf from p3 c join r on c.stream_id = r.stream_id and c.thread_id = r.thread_id and c.parent = r.path and c.depth = r.depth + 1) select * from r)"""
+
+
+@_query("p7_flame_layout", sql("scopes", f""",\n{_FLAME} select stream_id, thread_id, path, depth, x, "value", parent_pct from fl"""))
+def _(s, d):
+    return profile.flame_layout(_profile(s, d)).select("stream_id", "thread_id", F.array_join("path", "/").alias("path"), "depth", "x", "value", "parent_pct")
+
+
+@_query("p8_find_in_profile", sql("scopes", f",\n{_FLAME} select stream_id, thread_id, path, x from fl where leaf = 'op1'"))
+def _(s, d):
+    p = profile.find_in_profile(profile.flame_layout(_profile(s, d)), "op1")
+    return p.select("stream_id", "thread_id", F.array_join("path", "/").alias("path"), "x")
+
+
+# ---------------------------------------------------------------- locks
+
+_STATE = """st as (select * from (select *, lag(kind, 1, 'lock_released') over (partition by stream_id, name order by date_ns, seq) was from locks where kind in ('lock_acquired', 'lock_released')) where kind <> was)"""
+_USES = f"""{_STATE},
+uses as (select stream_id, name, thread_id, seq, date_ns as start_ns, ndate as end_ns, ndate - date_ns as held_ns from (select *, lead(date_ns) over (partition by stream_id, name order by date_ns, seq) ndate from st) where kind = 'lock_acquired')"""
+_WAITS = """we as (select * from (select *, lag(kind) over w wk, lag(date_ns) over w since, lag(name) over w wlock, lag(seq) over w wseq from locks
+where kind in ('lock_wait_begin', 'lock_wait_end', 'lock_acquired', 'lock_released') window w as (partition by stream_id, thread_id order by date_ns, seq)) where kind <> 'lock_wait_begin' and wk = 'lock_wait_begin'),
+waits as (select stream_id, wlock as name, thread_id, wseq as seq, since as start_ns, date_ns as end_ns, date_ns - since as wait_ns from we)"""
+
+
+@_query("l1_lock_state", sql("locks", f", {_STATE} select stream_id, name, thread_id, seq, kind from st"))
+def _(s, d):
+    return locks.dedupe_lock_state(fx.locks(s, d)).select("stream_id", "name", "thread_id", "seq", "kind")
+
+
+@_query("l2_lock_uses", sql("locks", f", {_USES} select * from uses"))
+def _(s, d):
+    return locks.lock_uses(fx.locks(s, d))
+
+
+@_query("l3_wait_ends", sql("locks", f", {_WAITS} select stream_id, thread_id, wseq as wait_seq, seq as end_seq, kind from we"))
+def _(s, d):
+    return locks.wait_ends(fx.locks(s, d)).select("stream_id", "thread_id", F.col("_seq").alias("wait_seq"), F.col("seq").alias("end_seq"), "kind")
+
+
+@_query("l4_lock_waits", sql("locks", f", {_WAITS} select * from waits"))
+def _(s, d):
+    return locks.lock_waits(fx.locks(s, d))
+
+
+@_query("l5_notifications", sql("locks", " select stream_id, name, thread_id, count(*) n, min(date_ns) first_ns, max(date_ns) last_ns from locks where kind = 'lock_notified' group by all"))
+def _(s, d):
+    return locks.lock_notifications(fx.locks(s, d))
+
+
+@_query("l6_waiters", sql("locks", " select stream_id, name, count(distinct thread_id) n_waiters, array_to_string(list_sort(list(distinct thread_id)), ',') waiters from locks where kind = 'lock_wait_begin' group by all"))
+def _(s, d):
+    return locks.lock_waiters(fx.locks(s, d))
+
+
+@_query("l7_contention", sql("locks", f""", {_USES}, {_WAITS} select w.stream_id, w.name, w.thread_id waiter, w.seq wait_seq, u.thread_id as owner, u.seq use_seq, least(w.end_ns, u.end_ns) - greatest(w.start_ns, u.start_ns) overlap_ns
+from waits w join uses u on u.stream_id = w.stream_id and u.name = w.name and u.start_ns < w.end_ns and u.end_ns > w.start_ns and u.thread_id <> w.thread_id where wait_ns >= 5000"""))
+def _(s, d):
+    f = fx.locks(s, d)
+    return locks.contention(locks.lock_waits(f), locks.lock_uses(f), bucket_ns=BUCKET)
+
+
+_WAKE = f"""{_WAITS}, wl as (select w.*, (select max(n.date_ns) from locks n where n.kind = 'lock_notified' and n.stream_id = w.stream_id and n.name = w.name and n.date_ns <= w.end_ns) as notified_ns from waits w)"""
+
+
+@_query("l8_wakeup_latency", sql("locks", f", {_WAKE} select stream_id, name, thread_id, seq, notified_ns, end_ns - notified_ns latency_ns, notified_ns >= start_ns in_order from wl"))
+def _(s, d):
+    return locks.wakeup_latency(fx.locks(s, d))
+
+
+@_query("l8_median_latency", sql("locks", f", {_WAKE} select stream_id, name, count(*) n, quantile_cont((end_ns - notified_ns)::double, 0.5) median_ns from wl where notified_ns is not null group by all"))
+def _(s, d):
+    return locks.median_latency(locks.wakeup_latency(fx.locks(s, d)))
+
+
+@_query("l9_lock_stats", sql("locks", f""", {_USES}, {_WAITS}, u as (select stream_id, name, count(*) uses, min(held_ns) min_held, max(held_ns) max_held, sum(held_ns)::bigint total_held from uses group by all),
+w as (select stream_id, name, count(*) waits, min(wait_ns) min_wait, max(wait_ns) max_wait, sum(wait_ns)::bigint total_wait from waits group by all)
+select stream_id, name, coalesce(uses, 0) uses, min_held, max_held, total_held, coalesce(waits, 0) waits, min_wait, max_wait, total_wait from u full join w using (stream_id, name)"""))
+def _(s, d):
+    f = fx.locks(s, d)
+    return locks.lock_stats(locks.lock_uses(f), locks.lock_waits(f))
+
+
+# ---------------------------------------------------------------- CPU
+
+_CORE = """lt as (select stream_id, core, date_ns, arg_max(runner, seq) runner from cswitch group by all),
+ch as (select * from (select *, lag(runner) over (partition by stream_id, core order by date_ns) was from lt) where was is null or was <> runner),
+ci as (select stream_id, core, runner, date_ns as start_ns, lead(date_ns) over (partition by stream_id, core order by date_ns) as end_ns from ch)"""
+
+
+@_query("c1_core_intervals", sql("cswitch", f", {_CORE} select *, end_ns - start_ns as duration_ns from ci"))
+def _(s, d):
+    return cpu.core_intervals(fx.cswitch(s, d))
+
+
+@_query("c2_cpu_curve", sql("cswitch", f""", {_CORE}, us as (select *, case when runner >= 0 then 1 else 0 end u from lt), de as (select *, u - coalesce(lag(u) over (partition by stream_id, core order by date_ns), 0) dd from us),
+sd as (select stream_id, date_ns, sum(dd) dd from de group by all having sum(dd) <> 0), nc as (select stream_id, count(distinct core) n from cswitch group by 1)
+select stream_id, date_ns, (sum(dd) over (partition by stream_id order by date_ns))::bigint cores_used, round((sum(dd) over (partition by stream_id order by date_ns))::double / n, 6) ratio from sd join nc using (stream_id)"""))
+def _(s, d):
+    return cpu.cpu_curve(fx.cswitch(s, d))
+
+
+@_query("c3_thread_runs", sql("cswitch", f", {_CORE} select stream_id, runner as thread_id, core, start_ns, end_ns, lead(start_ns) over (partition by stream_id, runner order by start_ns, core) - end_ns as off_ns from ci where runner >= 0"))
+def _(s, d):
+    return cpu.thread_run_intervals(fx.cswitch(s, d))
+
+
+_IRQ = "replace(replace(kind, 'lock_acquired', 'softirq_begin'), 'lock_released', 'softirq_end')"
+
+
+@_query("c4_softirq", sql("locks", f""", q as (select *, {_IRQ} k from locks), ql as (select stream_id, max(date_ns) l from q group by 1),
+qn as (select *, lead(k) over w nk, lead(date_ns) over w nd from q where k in ('softirq_begin', 'softirq_end') window w as (partition by stream_id, thread_id order by date_ns, seq))
+select stream_id, thread_id, name, date_ns as start_ns, coalesce(nd, l) as end_ns, nk is null is_open from qn join ql using (stream_id) where k = 'softirq_begin'"""))
+def _(s, d):
+    return cpu.softirq_intervals(fx.locks(s, d).withColumn("kind", F.expr(_IRQ)))
+
+
+@_query("c5_core_utilisation", sql("cswitch", f", {_CORE} select stream_id, core, runner, coalesce(sum(end_ns - start_ns), 0)::bigint busy_ns, count(*) runs from ci group by all"))
+def _(s, d):
+    return cpu.core_utilisation(cpu.core_intervals(fx.cswitch(s, d)))
+
+
+# ---------------------------------------------------------------- memory
+
+
+def _allocs(s, d):
+    return memory.allocations(fx.memory(s, d))
+
+
+@_query("m1_allocations", sql("memory", f", {_ALLOC} select * from allocs"))
+def _(s, d):
+    return _allocs(s, d)
+
+
+@_query("m2_leaks", sql("memory", f", {_ALLOC} select stream_id, ptr, alloc_seq, size from allocs where end_ns is null"))
+def _(s, d):
+    return memory.leaks(_allocs(s, d)).select("stream_id", "ptr", "alloc_seq", "size")
+
+
+_CURVE = """cv as (select stream_id, thread_id, seq, date_ns, (sum(step) over w)::bigint bytes, (sum(is_alloc) over w)::bigint allocs, (sum(1 - is_alloc) over w)::bigint frees from step window w as (partition by stream_id, thread_id order by seq))"""
+
+
+@_query("m3_memory_curve", sql("memory", f", {_ALLOC}, {_CURVE} select stream_id, thread_id, seq, date_ns, bytes from cv"))
+def _(s, d):
+    return memory.memory_curve(_allocs(s, d), chunk=1000).select("stream_id", "thread_id", "seq", "date_ns", "bytes")
+
+
+@_query("m4_alloc_counts", sql("memory", f", {_ALLOC}, {_CURVE} select stream_id, thread_id, seq, allocs, frees from cv"))
+def _(s, d):
+    return memory.alloc_counts(_allocs(s, d))
+
+
+@_query("m5_scope_memory", sql("scopes memory", f", {_ALLOC}, {_SMEM} select * from smem"))
+def _(s, d):
+    return memory.scope_memory(scopes.pair_scopes(fx.trace(s, d)), _allocs(s, d))
+
+
+@_query("m6_live_at", sql("memory", f", {_ALLOC}, q as (select distinct stream_id, date_ns as at_ns from memory where seq % 500 = 0) select q.stream_id, at_ns, ptr, alloc_seq, thread_id, size from q join allocs a on a.stream_id = q.stream_id and start_ns <= at_ns and (end_ns is null or end_ns > at_ns)"))
+def _(s, d):
+    m = fx.memory(s, d)
+    q = m.where("seq % 500 = 0").select("stream_id", F.col("date_ns").alias("at_ns"))  # the dates asked for
+    return memory.live_at(memory.allocations(m), q, 10**14)
+
+
+@_query("m7_allocs_in_range", sql("memory", f", {_ALLOC} select stream_id, alloc_seq, start_ns >= {T0} and coalesce(end_ns <= {T1}, false) inside from allocs where start_ns <= {T1} and (end_ns is null or end_ns >= {T0})"))
+def _(s, d):
+    a = _allocs(s, d)
+    inside = memory.allocs_in_range(a, (T0, T1), True).select("stream_id", "alloc_seq", F.lit(True).alias("inside"))
+    return memory.allocs_in_range(a, (T0, T1)).join(inside, ["stream_id", "alloc_seq"], "left").select("stream_id", "alloc_seq", F.coalesce("inside", F.lit(False)).alias("inside"))
+
+
+@_query("m8_alloc_table", sql("memory", f", {_ALLOC} select stream_id, thread_id, ptr, alloc_seq, size, start_ns, free_thread, end_ns - start_ns as duration_ns, end_ns is null leaked from allocs order by size desc, alloc_seq limit 100"))
+def _(s, d):
+    return memory.alloc_table(_allocs(s, d), n=100)
+
+
+@_query("m9_alloc_rate", sql("memory", f", {_ALLOC} select date_ns // {BUCKET} as bin, sum(is_alloc)::bigint allocs, sum(1 - is_alloc)::bigint frees from step group by 1"))
+def _(s, d):
+    return memory.alloc_rate(_allocs(s, d), BUCKET)
+
+
+@_query("m10_memory_peak", sql("memory", f", {_ALLOC}, {_CURVE} select stream_id, thread_id, max(bytes) peak_bytes, first(date_ns order by bytes desc, seq) peak_ns from cv group by all"))
+def _(s, d):
+    return memory.memory_peak(memory.memory_curve(_allocs(s, d)))
+
+
+# ---------------------------------------------------------------- logs
+
+
+@_query("g1_assemble_logs", sql("logs", " select stream_id, thread_id, seq * 3 as seq, category, log_level, p0::bigint p0, p1 from logs where seq % 7 <> 0"))
+def _(s, d):
+    lg = fx.logs(s, d)
+    cols = ["stream_id", "thread_id", "date_ns"]
+    none = lambda t: F.lit(None).cast(t)
+    head = lg.select(*cols, (F.col("seq") * 3).alias("seq"), F.lit("log").alias("kind"), "category", "log_level", "format", none("string").alias("value_type"), none("long").alias("v_long"), none("double").alias("v_double"), none("string").alias("v_string"), F.lit(False).alias("is_last"))
+    par = lambda k, t, i, x, last: lg.select(*cols, (F.col("seq") * 3 + k).alias("seq"), F.lit("log_param").alias("kind"), none("string").alias("category"), none("int").alias("log_level"), none("string").alias("format"), F.lit(t).alias("value_type"), i.alias("v_long"), x.alias("v_double"), none("string").alias("v_string"), last.alias("is_last"))
+    rows = head.unionByName(par(1, "s32", F.col("p0").cast("long"), none("double"), F.lit(False))).unionByName(par(2, "double", none("long"), F.col("p1"), F.col("seq") % 7 != 0))
+    return logs.assemble_logs(rows).select("stream_id", "thread_id", "seq", "category", "log_level", F.get("params", 0)["i"].alias("p0"), F.get("params", 1)["d"].alias("p1"))
+
+
+def _formatted(s, d):
+    fmt = F.element_at(F.create_map(*[F.lit(x) for kv in fx.FORMATS.items() for x in kv]), F.col("format"))
+    return logs.format_logs(fx.logs(s, d).withColumn("format", fmt))
+
+
+@_query("g2_format_logs", sql("logs", r""" select seq, case format when 'f0' then printf('n=%d', p0) when 'f1' then printf('n=%03d v=%.2f', p0, p1) when 'f2' then printf('%-6d|%g', p0, p1) else printf('hex %X', p0) end as message from logs"""))
+def _(s, d):
+    return _formatted(s, d).select("seq", "message")
+
+
+@_query("g3_filter_logs", sql("logs", f" select seq, category, log_level from logs where log_level >= 2 and category in ('view', 'click') and date_ns between {T0} and {T1}"))
+def _(s, d):
+    return logs.filter_logs(fx.logs(s, d), 2, ["view", "click"], rng=(T0, T1)).select("seq", "category", "log_level")
+
+
+@_query("g4_log_page", sql("logs", f" select seq, date_ns, category from logs where date_ns >= {T0} order by date_ns, seq limit 100"))
+def _(s, d):
+    return logs.log_page(fx.logs(s, d), T0, 100).select("seq", "date_ns", "category")
+
+
+@_query("g5_log_page_back", sql("logs", f" select seq, date_ns from logs where date_ns < {T1} order by date_ns desc, seq desc limit 100"))
+def _(s, d):
+    return logs.log_page_back(fx.logs(s, d), T1, 100).select("seq", "date_ns")
+
+
+@_query("g6_log_param_series", sql("logs", " select stream_id, thread_id, date_ns time_ns, seq, p1 as \"value\" from logs where format = 'f1'"))
+def _(s, d):
+    return logs.log_param_series(fx.logs(s, d), "f1", "p1")
+
+
+@_query("g7_log_counts", sql("logs", " select category, log_level, count(*) n, count(distinct thread_id) threads from logs group by cube (category, log_level)"))
+def _(s, d):
+    return logs.log_counts(fx.logs(s, d))
+
+
+# ---------------------------------------------------------------- series
+
+
+def _series(s, d):
+    t = fx.trace(s, d)
+    return series.series(scopes.scopes_with_paths(t), scopes.attach_data(t), locks.lock_uses(fx.locks(s, d)), fx.locks(s, d))
+
+
+_SER = f"""{_USES}, ser as (select stream_id, thread_id, 'scope' as kind, path, start_ns as time_ns, scope_id as seq, duration_ns::double as "value" from paths
+union all select a.stream_id, a.thread_id, 'data', a.name, p.start_ns, a.seq, v_double from att a join sc p on p.stream_id = a.stream_id and p.thread_id = a.thread_id and p.scope_id = a.parent_id
+union all select stream_id, thread_id, 'lock_use', name, start_ns, seq, held_ns::double from uses where held_ns is not null
+union all select stream_id, thread_id, 'notify', name, date_ns, seq, thread_id::double from locks where kind = 'lock_notified')"""
+
+
+def _ser(body: str) -> str:
+    return sql("attached locks", f", {_SER} {body}")
+
+
+@_query("t1_series", _ser("select * from ser"))
+def _(s, d):
+    return _series(s, d)
+
+
+@_query("t2_select_series", _ser("select stream_id, thread_id, time_ns, \"value\" from ser where path = 'op1'"))
+def _(s, d):
+    return series.select_series(_series(s, d), "op1").select("stream_id", "thread_id", "time_ns", "value")
+
+
+@_query("t3_series_stats", _ser("select stream_id, kind, path, count(*) n, min(\"value\") lo, max(\"value\") hi, count(distinct thread_id) threads from ser group by all"))
+def _(s, d):
+    return series.series_stats(_series(s, d))
+
+
+@_query("t4_read_range", _ser(f"""select stream_id, thread_id, kind, path, time_ns, seq, "value" from ser where time_ns between {T0} and {T1} union all
+select stream_id, thread_id, kind, path, time_ns, seq, "value" from (select *, row_number() over (partition by stream_id, thread_id, kind, path order by time_ns, seq) k from ser where time_ns > {T1}) where k = 1"""))
+def _(s, d):
+    return series.read_range(_series(s, d), (T0, T1))
+
+
+def _prices(s, d):
+    """lineitem as one series for each line number: time by ship date, ties by order key."""
+    li = _table(s, d, "lineitem")
+    day = F.unix_micros(F.col("l_shipdate").cast("timestamp")) * 1000
+    return li.select(F.lit(0).cast("long").alias("stream_id"), F.col("l_linenumber").cast("long").alias("thread_id"), F.lit("data").alias("kind"), F.lit("price").alias("path"), day.alias("time_ns"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), F.col("l_extendedprice").alias("value"))
+
+
+_PRICE = """with pr as (select l_linenumber::bigint thread_id, epoch_us(l_shipdate) * 1000 as time_ns, l_orderkey * 8 + l_linenumber as seq, l_extendedprice as v from lineitem)"""
+_WEEK = 7 * 86400 * 10**9
+
+
+@_query("t5_downsample_m4", f"""{_PRICE}, b as (select *, time_ns // {_WEEK} bk from pr), r as (select *, row_number() over (partition by thread_id, bk order by time_ns, seq, v) a, row_number() over (partition by thread_id, bk order by time_ns desc, seq desc, v desc) z,
+row_number() over (partition by thread_id, bk order by v, time_ns, seq) lo, row_number() over (partition by thread_id, bk order by v desc, time_ns, seq) hi from b)
+select distinct thread_id, time_ns, seq, v as "value" from r where a = 1 or z = 1 or lo = 1 or hi = 1""")
+def _(s, d):
+    return series.downsample(_prices(s, d), _WEEK).select("thread_id", "time_ns", "seq", "value")
+
+
+@_query("t5_downsample_exact", None)
+def _(s, d):
+    return series.downsample(_series(s, d), 10**13, mode="exact")
+
+
+@_query("t6_merge_scopes", sql("scopes", """, g as (select *, case when start_ns - max(end_ns) over (partition by stream_id, thread_id, level order by start_ns, scope_id rows between unbounded preceding and 1 preceding) >= 50000000000000 then 1 else 0 end nw from sc),
+i as (select *, sum(nw) over (partition by stream_id, thread_id, level order by start_ns, scope_id) isl from g) select stream_id, thread_id, level, min(start_ns) start_ns, max(end_ns) end_ns, count(*) n from i group by stream_id, thread_id, level, isl"""))
+def _(s, d):
+    return series.merge_scopes(scopes.pair_scopes(fx.trace(s, d)), 5 * 10**13)
+
+
+@_query("t7_rollups", f"""{_PRICE}, l as (select *, unnest([0, 1, 2]) as level from pr), b as (select *, time_ns // (86400000000000 * (4 ** level)::bigint) as bucket from l)
+select thread_id, level, bucket, count(*) n, min(v) lo, max(v) hi, first(v order by time_ns, seq, v) as first, last(v order by time_ns, seq, v) as last from b group by all""")
+def _(s, d):
+    return series.build_rollups(_prices(s, d), 86400 * 10**9, 4, 3).select("thread_id", "level", "bucket", "n", "lo", "hi", "first", "last")
+
+
+_HIST = f"""{_PRICE}, bd as (select min(v) lo, max(v) hi from pr),
+hh as (select least(floor((v - lo) * 20000 / (hi - lo) + 0.5), 19999)::bigint bin, pr.*, lo, hi from pr, bd),
+hist as (select bin, lo, hi, count(*) n, max(v) peak, first(time_ns order by v desc, time_ns, seq) peak_ns, first(thread_id order by v desc, time_ns, seq) peak_thread from hh group by all)"""
+
+
+def _hist(s, d):
+    return series.histogram(_prices(s, d))
+
+
+@_query("t8_histogram", f"{_HIST} select * from hist")
+def _(s, d):
+    return _hist(s, d).drop("kind", "path")
+
+
+@_query("t9_histogram_range", f"{_HIST} select bin, count(*) n from hh where time_ns between 757382400000000000 and 820454400000000000 group by 1")
+def _(s, d):
+    return series.histogram(_prices(s, d), rng=(757382400 * 10**9, 820454400 * 10**9)).select("bin", "n")
+
+
+@_query("t10_discrete_histogram", "select o_orderstatus as \"value\", count(*) n from orders group by 1")
+def _(s, d):
+    return series.discrete_histogram(_table(s, d, "orders"), "o_orderstatus")
+
+
+@_query("t11_log_param_histogram", sql("logs", """, v as (select p1 from logs where format = 'f1'), bd as (select min(p1) lo, max(p1) hi from v)
+select least(floor((p1 - lo) * 20000 / (hi - lo) + 0.5), 19999)::bigint bin, count(*) n from v, bd group by 1"""))
+def _(s, d):
+    v = logs.log_param_series(fx.logs(s, d), "f1", "p1").withColumn("kind", F.lit("log")).withColumn("path", F.lit("f1"))
+    return series.histogram(v).select("bin", "n")
+
+
+@_query("t12_rebin", f"{_HIST} select bin // 400 as bar, sum(n)::bigint n, max(peak) peak from hist group by 1")
+def _(s, d):
+    return series.rebin(_hist(s, d)).drop("kind", "path")
+
+
+@_query("t12_cumulative", f"{_HIST} select bin, n, (sum(n) over (order by bin))::bigint upto, round(100.0::double * (sum(n) over (order by bin))::double / sum(n) over (), 6) upto_pct from hist")
+def _(s, d):
+    return series.cumulative(_hist(s, d)).drop("kind", "path")
+
+
+@_query("t13_binned_stats", f"""{_HIST}, c as (select *, sum(n) over (order by bin) u, sum(n) over () t from hist)
+select t::bigint n, round(sum((lo + bin * (hi - lo) / 20000) * n) / sum(n), 4) mean, min(case when 2 * u >= t then bin end) median_bin from c group by t""")
+def _(s, d):
+    return series.binned_stats(_hist(s, d)).select("n", F.round("mean", 4).alias("mean"), "median_bin")
+
+
+@_query("t14_formats", sql("trace", r""" select seq, case when date_ns < 1000 then date_ns || ' ns' when date_ns < 1000000 then printf('%d.%02d', (date_ns * 100 + 1000 // 2) // 1000 // 100, (date_ns * 100 + 1000 // 2) // 1000 % 100) || ' us' when date_ns < 1000000000 then printf('%d.%02d', (date_ns * 100 + 1000000 // 2) // 1000000 // 100, (date_ns * 100 + 1000000 // 2) // 1000000 % 100) || ' ms' else printf('%d.%02d', (date_ns * 100 + 1000000000 // 2) // 1000000000 // 100, (date_ns * 100 + 1000000000 // 2) // 1000000000 % 100) || ' s' end dur,
+printf('%02d:%02d:%02d.%03d_%03d_%03d', date_ns // 3600000000000, date_ns // 60000000000 % 60, date_ns // 1000000000 % 60, date_ns // 1000000 % 1000, date_ns // 1000 % 1000, date_ns % 1000) clock, '0x' || upper(to_hex(seq)) hexa from trace"""))
+def _(s, d):
+    return fx.trace(s, d).select("seq", formats.fmt_duration(F.col("date_ns")).alias("dur"), formats.fmt_time(F.col("date_ns")).alias("clock"), formats.fmt_value(F.col("seq"), F.lit("hexa")).alias("hexa"))
+
+
+@_query("t14_bytes_grouped", """select o_orderkey, case when v < 1000 then v || ' B' when v < 1000000 then printf('%d.%02d', (v * 100 + 1000 // 2) // 1000 // 100, (v * 100 + 1000 // 2) // 1000 % 100) || ' KB' else printf('%d.%02d', (v * 100 + 1000000 // 2) // 1000000 // 100, (v * 100 + 1000000 // 2) // 1000000 % 100) || ' MB' end size,
+ltrim(regexp_replace(reverse(regexp_replace(reverse(v::varchar), '(\\d{3})', '\\1 ', 'g')), '^ ', '')) grp from (select o_orderkey, floor(o_totalprice * 10)::bigint v from orders)""".replace("\\\\", "\\"))
+def _(s, d):
+    v = F.floor(F.col("o_totalprice") * 10).cast("long")
+    return _table(s, d, "orders").select("o_orderkey", formats.fmt_bytes(v).alias("size"), formats.fmt_grouped(v).alias("grp"))
+
+
+@_query("t15_plottable", sql("attached", """, r as (select parent_id p from att where parent_id is not null group by 1 order by count(*) desc, p limit 1)
+select distinct 'scope' as kind, name from sc, r where scope_id = p union select distinct 'data', name from att, r where parent_id = p"""))
+def _(s, d):
+    t = fx.trace(s, d)
+    data = scopes.attach_data(t)
+    top = data.where("parent_id is not null").groupBy("parent_id").count().orderBy(F.desc("count"), "parent_id").first()
+    return series.plottable(scopes.pair_scopes(t), data, top[0])
+
+
+# ---------------------------------------------------------------- selection
+
+_SPECS = [select.EventSpec(("op0/op1",)), select.EventSpec((".op2",)), select.EventSpec(("op1/*/op0", "op2/**/op1"))]
+
+
+def _paths(s, d):
+    return scopes.with_paths(fx.trace(s, d))
+
+
+_MATCH = """m as (select 0 as spec_id, * from paths where regexp_matches(path, '(^|/)op0/op1$') union all select 1, * from paths where path = 'op2'
+union all select 2, * from paths where regexp_matches(path, '(^|/)op1/[^/]*/op0$') or regexp_matches(path, '(^|/)op2/([^/]*/)*op1$'))"""
+
+
+@_query("e1_select_events", sql("scopes", " select stream_id, thread_id, scope_id as seq, path from paths where regexp_matches(path, '(^|/)op0/op1$')"))
+def _(s, d):
+    return select.select_events(_paths(s, d).where("kind = 'scope_begin'"), _SPECS[:1]).select("stream_id", "thread_id", "seq", F.array_join("path", "/").alias("path"))
+
+
+@_query("e2_several_specs", sql("scopes", f", {_MATCH} select spec_id, stream_id, thread_id, scope_id as seq from m"))
+def _(s, d):
+    return select.select_events(_paths(s, d).where("kind = 'scope_begin'"), _SPECS).select("spec_id", "stream_id", "thread_id", "seq")
+
+
+_PARENT = select.EventSpec(("m0", "m1"), parent="op1")
+_GROUP = """, anc as (with recursive r as (select a.stream_id, a.thread_id, a.seq, a.name, a.parent_id as anc_id from att a where parent_id is not null
+union all select r.stream_id, r.thread_id, r.seq, r.name, p.parent_id from r join par p on p.stream_id = r.stream_id and p.thread_id = r.thread_id and p.scope_id = r.anc_id where p.parent_id is not null) select * from r),
+hit as (select anc.stream_id, anc.thread_id, anc.seq, anc.name, min(anc_id) as parent_match from anc join sc on sc.stream_id = anc.stream_id and sc.thread_id = anc.thread_id and sc.scope_id = anc_id where sc.name = 'op1' group by all)"""
+
+
+@_query("e3_group_under_parent", sql("attached", _GROUP + """ select h.stream_id, h.thread_id, parent_match as scope_id, count(*) n, string_agg(h.name, ',' order by h.seq) children, any_value(sc.name) as name, any_value(duration_ns) duration_ns
+from hit h join sc on sc.stream_id = h.stream_id and sc.thread_id = h.thread_id and sc.scope_id = parent_match group by all"""))
+def _(s, d):
+    t = fx.trace(s, d)
+    sel = select.select_events(scopes.with_paths(t).where("kind = 'data'"), [_PARENT])
+    g = select.group_under_parent(sel, scopes.pair_scopes(t))
+    return g.select("stream_id", "thread_id", "scope_id", "n", F.array_join(F.col("children")["name"], ",").alias("children"), "name", "duration_ns")
+
+
+@_query("e4_parent_consistency", sql("attached", _GROUP + " select stream_id, thread_id, seq, parent_match from hit"))
+def _(s, d):
+    return select.select_events(_paths(s, d).where("kind = 'data'"), [_PARENT]).select("stream_id", "thread_id", "seq", "parent_match")
+
+
+@_query("e5_explain_unresolved", "select * from (values (0, 'op0/op1', 3, 'resolved'), (0, 'none', 0, 'unknown event name'), (1, 'zz/op1', 1, 'event path not found'), (2, 'm0', 2, 'parent not found')) v(spec_id, event, stage, reason)")
+def _(s, d):
+    specs = [select.EventSpec(("op0/op1", "none")), select.EventSpec(("zz/op1",)), select.EventSpec(("m0",), parent="nowhere")]
+    return select.explain_unresolved(_paths(s, d), specs)
+
+
+@_query("e6_open_parents", sql("attached", _GROUP + """ select h.stream_id, h.thread_id, parent_match as scope_id, count(*) n, any_value(duration_ns) duration_ns from hit h join sc on sc.stream_id = h.stream_id and sc.thread_id = h.thread_id and sc.scope_id = parent_match
+where is_open group by all"""))
+def _(s, d):
+    t = fx.trace(s, d)
+    sel = select.select_events(scopes.with_paths(t).where("kind = 'data'"), [_PARENT])
+    return select.group_under_parent(sel, scopes.pair_scopes(t).where("is_open")).select("stream_id", "thread_id", "scope_id", "n", "duration_ns")
+
+
+@_query("e7_collect_until", sql("scopes", f", {_MATCH}, z as (select max(f) at_seq from (select spec_id, min(scope_id) f from m where spec_id in (0, 1, 2) group by 1)) select spec_id, scope_id as seq from m, z where scope_id <= at_seq order by seq, spec_id limit 1000"))
+def _(s, d):
+    sel = select.select_events(_paths(s, d).where("kind = 'scope_begin'"), _SPECS)
+    return select.collect_until(sel, wanted=[0, 1, 2], max_events=1000).select("spec_id", "seq")
+
+
+@_query("e8_complete", sql("trace", " select distinct name from trace where lower(name) like '%p%' order by name limit 30"))
+def _(s, d):
+    return select.complete(fx.trace(s, d), "P")
+
+
+@_query("e9_search", sql("trace", f" select stream_id, thread_id, seq, date_ns, kind, name from trace where name = 'op2' and date_ns >= {T0} order by date_ns, seq limit 200"))
+def _(s, d):
+    return select.search(fx.trace(s, d), "op2", from_ns=T0, n=200)
+
+
+# ---------------------------------------------------------------- sinks and summaries
+
+
+@_query("x1_ctf_lines", sql("scopes", """ select seq, case kind when 'scope_begin' then 'B' else 'E' end ph, name, date_ns / 1000 as ts from s3 where kind <> 'data' and not orphan"""))
+def _(s, d):
+    out = sinks.ctf_lines(fx.trace(s, d))
+    j = F.from_json("line", "name string, cat string, ph string, ts double, pid long, tid long")
+    return out.select("seq", j.alias("j")).select("seq", F.col("j.ph").alias("ph"), F.col("j.name").alias("name"), F.col("j.ts").alias("ts"))
+
+
+_CLOCK = "printf('%02d:%02d:%02d.%03d_%03d_%03d', date_ns // 3600000000000, date_ns // 60000000000 % 60, date_ns // 1000000000 % 60, date_ns // 1000000 % 1000, date_ns // 1000 % 1000, date_ns % 1000)"
+
+
+@_query("x2_text_lines", sql("scopes", f" select stream_id, thread_id, date_ns, seq, {_CLOCK} || ' ' || repeat('  ', lvl::bigint) || name || coalesce(' = ' || v_double::varchar, '') line from s3 where not orphan and kind <> 'scope_end'"))
+def _(s, d):
+    return sinks.text_lines(fx.trace(s, d))
+
+
+@_query("x3_log_lines", sql("logs", f""", m as (select *, 'Thread ' || thread_id as t, case format when 'f0' then printf('n=%d', p0) when 'f1' then printf('n=%03d v=%.2f', p0, p1) when 'f2' then printf('%-6d|%g', p0, p1) else printf('hex %X', p0) end as message from logs),
+w as (select max(length(t)) wt, max(length(category)) wc from m) select date_ns, seq, {_CLOCK} || ' [' || ['debug', 'info ', 'warn ', 'error'][log_level + 1] || '] ' || rpad(t, wt::int, ' ') || ' ' || rpad(category, wc::int, ' ') || ' ' || message line from m, w"""))
+def _(s, d):
+    return sinks.log_lines(_formatted(s, d))
+
+
+@_query("x4_series_lines", _ser("""select kind, path, time_ns, seq, time_ns || ',' || case kind when 'notify' then thread_id::varchar when 'lock_use' then thread_id || ',' || "value"::bigint end line from ser where kind in ('notify', 'lock_use')"""))
+def _(s, d):
+    return sinks.series_lines(_series(s, d).where("kind in ('notify', 'lock_use')"))
+
+
+@_query("x5_trace_layout", sql("trace", " select stream_id, date_ns // 86400000000000 as day, count(*) n, min(date_ns) lo, max(date_ns) hi from trace group by all"))
+def _(s, d):
+    t = fx.trace(s, d).withColumn("day", F.floor(F.col("date_ns") / (86_400 * 10**9)))
+    return t.groupBy("stream_id", "day").agg(F.count("*").alias("n"), F.min("date_ns").alias("lo"), F.max("date_ns").alias("hi"))
+
+
+@_query("x6_trace_summary", sql("trace", """, f as (select case when kind like 'scope%' then 'scope' else kind end as family, thread_id, date_ns from trace)
+select family, thread_id, grouping_id(family, thread_id) as level, count(*) n, round(100.0::double * count(*) / (select count(*) from f), 6) pct, max(date_ns) - min(date_ns) span_ns from f group by rollup (family, thread_id)"""))
+def _(s, d):
+    return sinks.trace_summary(fx.trace(s, d))
+
+
+def _runs(s, d):
+    return _table(s, d, "orders").select(F.col("o_orderpriority").alias("app"), F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("date"), F.floor("o_totalprice").cast("long").alias("size"), F.when(F.col("o_orderstatus") == "P", F.lit("kept")).alias("nickname"))
+
+
+_RUNS = "with runs as (select o_orderpriority app, o_orderkey run_id, o_orderdate as date, floor(o_totalprice)::bigint size, case when o_orderstatus = 'P' then 'kept' end nickname from orders)"
+
+
+@_query("x7_run_catalog", f"{_RUNS} select app, run_id, row_number() over (partition by app order by date desc, run_id desc) as rank, sum(size) over (partition by app)::bigint app_size, count(*) over (partition by app) app_runs from runs")
+def _(s, d):
+    return sinks.run_catalog(_runs(s, d)).select("app", "run_id", "rank", "app_size", "app_runs")
+
+
+@_query("x8_retention", f"{_RUNS} select app, run_id from (select *, row_number() over (partition by app order by date desc, run_id desc) k from runs where nickname is null) where k > 5")
+def _(s, d):
+    return sinks.retention(_runs(s, d), 5).select("app", "run_id")
