@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import on_workers
-from .common import map_arrow, text_or_empty
+from .common import map_arrow, materialize, text_or_empty
 
 MIN_LEN = 50
 GRAM = 24
@@ -290,6 +290,7 @@ def repeated_strings(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     shared = grams.repartition("g").sortWithinPartitions("g").mapInArrow(_shared_grams, "th long, g long")
     wanted = shared.groupBy("th").agg(F.collect_set("g").alias("gs"))
     wanted = wanted.join(first.groupBy("th").agg(F.min("first").alias("k")), "th").select("k", "th", "gs")
+    wanted = materialize(wanted, "shared-grams")
     full = base.join(wanted, ["k", "th"]).select("k", "th", "text", "gs")
     ctx = map_arrow(full, _contexts(min_len, gram), _CONTEXT)
     home = F.when(F.col("settled"), F.xxhash64("k", "pos")).otherwise(F.col("g"))
