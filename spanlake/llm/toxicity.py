@@ -61,7 +61,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, name: str, share: float = 1.0)
     if share < 1:
         picked = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string")), F.lit(1_000_000)) < int(share * 1_000_000)
         lab, d = lab.where(picked), d.where(picked)
-    return d.join(lab, "doc_id")
+    return d.join(lab.hint("merge"), "doc_id")  # labels grow with the documents: never broadcast
 
 
 def feature_ratios(docs: DataFrame, labels: DataFrame, name: str = "toxic") -> tuple[np.ndarray, float, float]:
