@@ -43,8 +43,7 @@ def flat_profile(prof: DataFrame, order_by: str | None = None, keys: list[str] |
     outer = ~F.array_contains(F.slice("path", F.lit(1), F.size("path") - 1), name)
     p = prof.withColumn("name", name).withColumn("_outer", F.when(outer, F.col("value")).otherwise(0))
     t = p.groupBy(*keys, "name").agg(F.sum("calls").alias("calls"), F.sum("self").alias("self"), F.sum("_outer").alias("incl"))
-    total = t.groupBy(*keys).agg(F.sum("self").alias("_total"))
-    t = t.join(total, keys) if keys else t.join(F.broadcast(total))  # one row
+    t = t.withColumn("_total", F.sum("self").over(Window.partitionBy(*keys)))  # a row a name
     share = lambda c: F.when(F.col("_total") > 0, F.round(100.0 * F.col(c) / F.col("_total"), 6))
     t = t.withColumn("self_pct", share("self")).withColumn("incl_pct", share("incl")).drop("_total")
     return t.orderBy(F.desc(order_by), "name") if order_by else t

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import materialize
+
 KEYS = ["stream_id", "thread_id"]
 ORDER = ["date_ns", "seq"]
 CHUNK = 1 << 20
@@ -55,7 +57,11 @@ def _paired(d: DataFrame, keys: list[str]) -> DataFrame:
 
 def pair_scopes(df: DataFrame, keys: list[str] = KEYS, max_level: int | None = None, close_open: bool = True) -> DataFrame:
     """One row a scope: its id is the ``seq`` of its begin. Open scopes end at their stream's last date."""
-    p = _paired(depths(df, keys), keys)
+    return _scopes(depths(df, keys), df, keys, max_level, close_open)
+
+
+def _scopes(d: DataFrame, df: DataFrame, keys: list[str], max_level: int | None = None, close_open: bool = True) -> DataFrame:
+    p = _paired(d, keys)
     if max_level is not None:
         p = p.where(F.col("level") < max_level)
     if close_open:
@@ -83,13 +89,22 @@ def _ancestors_by_level(d: DataFrame, keys: list[str], value: Column, deepest: i
     return [F.last(F.when(begin & (F.col("level") == k), value), ignorenulls=True).over(w) for k in range(deepest + 1)]
 
 
+def _levelled(df: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+    d = materialize(depths(df, keys).where("not orphan"), "levels")
+    return d, d.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0]
+
+
 def with_paths(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Begin and data rows with ``level``, ``parent_id``, ``path`` (names from the root) and ``scope_path`` (their ids).
 
-    One aggregate finds the deepest level; all ancestors then come out of one window sort.
+    The depths are written to a table once; one aggregate over it finds the deepest level, and all ancestors then
+    come out of one window sort.
     """
-    d = depths(df, keys).where("not orphan")
-    deepest = d.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0]
+    return _paths(*_levelled(df, keys), keys)
+
+
+def _paths(d: DataFrame, deepest: int, keys: list[str]) -> DataFrame:
+    d = d.where("kind <> 'scope_end'")
     who = F.struct(F.col("name").alias("name"), F.col("seq").alias("id"))
     d = d.withColumn("_up", F.array(*_ancestors_by_level(d, keys, who, deepest)))
     d = d.where(F.col("kind").isin("scope_begin", "data"))
@@ -102,16 +117,15 @@ def with_paths(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 def scopes_with_paths(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """``pair_scopes`` with ``parent_id``, ``path`` and ``scope_path``."""
-    p = with_paths(df, keys).where("kind = 'scope_begin'").select(*keys, F.col("seq").alias("scope_id"), "parent_id", "path", "scope_path")
-    return pair_scopes(df, keys).join(p, [*keys, "scope_id"])
+    d, deepest = _levelled(df, keys)
+    p = _paths(d, deepest, keys).where("kind = 'scope_begin'").select(*keys, F.col("seq").alias("scope_id"), "parent_id", "path", "scope_path")
+    return _scopes(d, df, keys).join(p, [*keys, "scope_id"])
 
 
 def attach_data(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Data events with their enclosing scope and its start; flat events (outside any scope) have none."""
-    d = depths(df, keys).where("not orphan")
-    w = Window.partitionBy(*keys).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    d, deepest = _levelled(df, keys)
     # the enclosing scope is the last begin at the row's level - 1: the latest begin that is not closed
-    deepest = d.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0]
     up = F.array(*_ancestors_by_level(d, keys, F.struct(F.col("seq").alias("id"), F.col("date_ns").alias("start")), deepest))
     d = d.withColumn("_up", up).where("kind = 'data'")
     p = F.when(F.col("level") > 0, F.get("_up", (F.col("level") - 1).cast("int")))
