@@ -14,8 +14,8 @@ text; repeated items count once per id; an empty benchmark leaves all documents
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 from itertools import repeat
 
 import numpy as np
@@ -145,15 +145,16 @@ class ItemAutomaton:
         return spans, items
 
 
-_built: dict[tuple[int, int], ItemAutomaton] = {}
+_built: dict[tuple[str, int], ItemAutomaton] = {}
 
 
 def _automaton(shared, window: int) -> ItemAutomaton:
-    key = (shared.id if hasattr(shared, "id") else id(shared), window)
-    if key not in _built:
+    """The automaton of a broadcast block of items, built once a worker."""
+    name, items = shared.value
+    if (name, window) not in _built:
         _built.clear()
-        _built[key] = ItemAutomaton([(i, words_of(t)) for i, t in shared.value], window)
-    return _built[key]
+        _built[name, window] = ItemAutomaton([(i, words_of(t)) for i, t in items], window)
+    return _built[name, window]
 
 
 def _merge(spans: list[int], more: list[int]) -> list[int]:
@@ -181,7 +182,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
     n_cols = len(docs.columns)
     for k in range(blocks):
         rows = [(r.item, r.text) for r in items.where(F.col("block") == k).select("item", "text").collect()]
-        shared = spark.sparkContext.broadcast(rows)
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, rows))
 
         def run(b: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
             auto = _automaton(shared, window)
