@@ -336,11 +336,11 @@ def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
 
 
 OP8_SQL = """
-with d as (select doc_id, hex(encode(coalesce(text, ''))) h, strlen(coalesce(text, ''))::bigint n from documents),
-w as (select doc_id, p, substr(h, 2 * p + 1, 100) s from (select doc_id, h, unnest(range(0, n - 49)) p from d)),
+with d as (select doc_id, encode(coalesce(text, '')) h, strlen(coalesce(text, ''))::bigint n from documents),
+w as (select doc_id, p, array_slice(h, p + 1, p + 50) s from (select doc_id, h, unnest(range(0, n - 49)) p from d)),
 f as (select s, min(doc_id) m from w group by s having min(doc_id) < max(doc_id)),
 hit as (select w.doc_id, w.p from w join f on w.s = f.s where w.doc_id > f.m),
-b as (select doc_id, p, substr(h, 2 * p + 1, 2) c from (select doc_id, h, unnest(range(0, n)) p from d)),
+b as (select doc_id, p, hex(array_slice(h, p + 1, p + 1)) c from (select doc_id, h, unnest(range(0, n)) p from d)),
 l as (select b.doc_id, b.p, b.c, max(hit.p) over (partition by b.doc_id order by b.p) lh
       from b left join hit on b.doc_id = hit.doc_id and b.p = hit.p),
 v as (select doc_id, p, c, coalesce(p - lh < 50, false) gone from l),
