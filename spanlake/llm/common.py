@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -58,20 +59,51 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+_releases: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str, release: Callable[[], None]) -> None:
+    """Say that this worker now keeps a cache of operator ``name``; caches of other operators are released.
+
+    A worker serves many stages one after another; what an earlier one kept must not stay beside the next one's.
+    """
+    if name not in _releases:
+        for other in list(_releases):
+            _releases.pop(other)()
+        _releases[name] = release
+
+
 def crc_mod(name: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``mapInArrow`` for a function of one batch; empty batches are passed over."""
+SLICE_ROWS = 1000
 
+
+def release_memory() -> None:
+    """Give freed memory of this worker back to the system, where the allocators can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, whole: bool = False) -> DataFrame:
+    """``mapInArrow`` for a function of one batch; empty batches are passed over.
+
+    The function gets slices of ``SLICE_ROWS`` rows, which bounds its Python objects, or ``whole`` batches.
+    """
     on_workers(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows and (out := fn(b)) is not None:
-                yield out
+            step = max(1, b.num_rows) if whole else SLICE_ROWS
+            for s in range(0, b.num_rows, step):
+                if (out := fn(b.slice(s, step))) is not None:
+                    yield out
+            del b
+            release_memory()
 
     return df.mapInArrow(run, schema)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_arrow, materialize, sorted_groups, text_or_empty
+from .common import connected_components, hold, map_arrow, materialize, sorted_groups, text_or_empty
 
 N_WORDS = 5
 THRESHOLD = 0.8
@@ -55,7 +55,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
 def _word_hashes(words: list[str]) -> np.ndarray:
     import xxhash
 
-    if len(_words) > 500_000:
+    hold("near", _words.clear)
+    if len(_words) > 100_000:
         _words.clear()
     for w in set(words).difference(_words):
         _words[w] = xxhash.xxh64_intdigest(w.encode())

@@ -292,7 +292,7 @@ def repeated_strings(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     wanted = wanted.join(first.groupBy("th").agg(F.min("first").alias("k")), "th").select("k", "th", "gs")
     wanted = materialize(wanted, "shared-grams")
     full = base.join(wanted, ["k", "th"]).select("k", "th", "text", "gs")
-    ctx = map_arrow(full, _contexts(min_len, gram), _CONTEXT)
+    ctx = map_arrow(full, _contexts(min_len, gram), _CONTEXT, whole=True)
     home = F.when(F.col("settled"), F.xxhash64("k", "pos")).otherwise(F.col("g"))
     hits = (
         ctx.withColumn("home", home)

@@ -7,12 +7,14 @@ between batches. Any other tokenizer, and any text that could hold a special tok
 
 from __future__ import annotations
 
-import json
 import re
 
 import numpy as np
 
-KEEP_WORDS = 400_000
+from .common import hold
+
+KEEP_WORDS = 150_000
+CHUNK_TEXTS = 500
 _DOT = re.compile(r"\.(?<=[a-z\xdf-\xf6\xf8-\xff]\.)(?=[ \n])")
 _COMMA = re.compile(r",(?<=[a-z\xdf-\xf6\xf8-\xff],)(?=[ \n])")
 _encoders: dict[str, WordEncoder] = {}
@@ -22,23 +24,17 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.vocab_size <= 1 << 16 else np.dtype("<u4")
-        norm = json.dumps(spec.get("normalizer") or {})
+        norm, pre = repr(self.tokenizer.normalizer), repr(self.tokenizer.pre_tokenizer)
         self.by_word = (
-            spec["model"].get("end_of_word_suffix") == "</w>"
-            and "Lowercase" in norm
-            and "Removed" in json.dumps(spec.get("pre_tokenizer") or {})
-            and "ByteLevel" in json.dumps(spec.get("pre_tokenizer") or {})
+            getattr(self.tokenizer.model, "end_of_word_suffix", None) == "</w>" and "Lowercase" in norm and "Removed" in pre and "ByteLevel" in pre
         )
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kept: dict[str, bytes] = {}
         if self.by_word:
-            self.plain = Tokenizer.from_file(path)
-            self.plain.normalizer = None
+            self.plain = Tokenizer(self.tokenizer.model)  # the same merges, without normalisation
             self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
             vocab = self.tokenizer.get_vocab(with_added_tokens=False)
             self.ends = np.zeros(self.vocab_size, dtype=bool)
@@ -51,6 +47,7 @@ class WordEncoder:
     @staticmethod
     def of(path: str) -> WordEncoder:
         """One encoder a process and file."""
+        hold("wordbpe", _encoders.clear)
         if path not in _encoders:
             _encoders[path] = WordEncoder(path)
         return _encoders[path]
@@ -92,6 +89,9 @@ class WordEncoder:
         """The ids of each text as little-endian integers of ``dtype``."""
         if not self.by_word:
             return self.whole(texts)
+        return [x for s in range(0, len(texts), CHUNK_TEXTS) for x in self._encode(texts[s : s + CHUNK_TEXTS])]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         apart = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
         split = [[] if i in apart else self._split(t) for i, t in enumerate(texts)]
         seen: set[str] = set()
