@@ -165,7 +165,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID) -
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs.select("doc_id", text_or_empty().alias("text")), run, f"doc_id {kind}, n long, ids binary")
+    return map_arrow(docs.select("doc_id", text_or_empty().alias("text")), run, f"doc_id {kind}, n long, ids binary", whole=True)
 
 
 def _token_counts(coded: DataFrame, dtype: str, vocab: int) -> np.ndarray:

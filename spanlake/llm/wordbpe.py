@@ -13,8 +13,8 @@ import numpy as np
 
 from .common import hold
 
-KEEP_WORDS = 150_000
-CHUNK_TEXTS = 500
+KEEP_WORDS = 400_000
+CHUNK_TEXTS = 5000
 _DOT = re.compile(r"\.(?<=[a-z\xdf-\xf6\xf8-\xff]\.)(?=[ \n])")
 _COMMA = re.compile(r",(?<=[a-z\xdf-\xf6\xf8-\xff],)(?=[ \n])")
 _encoders: dict[str, WordEncoder] = {}
