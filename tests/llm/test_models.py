@@ -191,3 +191,32 @@ def test_pipeline_stages(spark):
     assert [f.name for f in docs.schema][:4] == ["doc_id", "start", "n_tokens", "ids_crc32"]
     p = docs.orderBy("start").toPandas()
     assert (p.start == pd.Series([0, *p.n_tokens.cumsum()[:-1]])).all()
+
+
+def test_network_learns_from_every_training_document(spark, monkeypatch):
+    tokenizer = lm.word_bpe_path()
+    rows = [(i, " ".join(f"word{(i * 7 + j) % 50}" for j in range(20 + i % 9))) for i in range(60)]
+    df = spark.createDataFrame([*rows, rows[0], (None, None), (None, "")], "doc_id long, text string")
+    words = lm.word_counts(df)
+    n = words.agg(F.sum("c")).first()[0]
+    total = int(lm.id_counts(words, tokenizer)[0].sum())
+    monkeypatch.setattr(lm, "SHARD_IDS", total // 6)
+    seen = []
+    shards = lm.shard_texts
+    monkeypatch.setattr(lm, "shard_texts", lambda *a: seen.append(shards(*a)) or seen[-1])
+    model, losses = lm.train_model(df, words, n, tokenizer)
+    told = seen[0].collect()
+    assert len(told) > 3
+    assert sum(r.ids for r in told) == sum(len(r.body) for r in told) == total
+    assert sum(len(r.lens) // 4 for r in told) == len(rows) + 3
+    assert len(losses) == lm.EPOCHS and losses[-1] < losses[0]
+    assert lm.OWN_CLASSES == 222 and model.of.max() < 256
+
+
+def test_one_shard_is_plain_training(spark):
+    body, lens = np.tile([1, 2, 3, 4, 0], 400), np.full(100, 20)
+    taught = spark.createDataFrame([(s, 2000, bytes(body.astype(np.uint8)), lens.astype(np.int32).tobytes()) for s in range(3)], "shard long, ids long, body binary, lens binary")
+    net = lm.Attention(np.log(np.full(5, 0.2)))
+    losses = lm.train_shards(net, taught, 0, 10)
+    alone = lm.Attention(np.log(np.full(5, 0.2))).train(*lm.windows(body.copy(), lens, 0), epochs=10)
+    assert abs(losses[0] - alone[0]) < 0.1 and losses[-1] < losses[0]
