@@ -12,6 +12,9 @@ that its bytes alone decide, and equal strings are cut alike wherever they stand
    ``min_len`` bytes as the corpus suffix array would, and number equal ones. Equal strings of a larger doc_id are
    removed. Bytes are compared, not hashes.
 
+Grams of more than ``GROUP_ROWS`` triggers are never gathered: their strings of ``min_len`` bytes are written out,
+and the least doc_id of each is found by an aggregate over the strings and joined back.
+
 Strings that repeat inside one batch are settled before the shuffle, so a passage of a third of all documents
 leaves a row a batch. Rows of one text beyond its first doc_id are removed whole (128-bit hash of the text).
 
@@ -26,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +39,8 @@ from .common import map_arrow, materialize, text_or_empty
 MIN_LEN = 50
 GRAM = 24
 CHUNK_ROWS = 100_000
+GROUP_ROWS = 20_000
+SALTS = 16
 _LEAST = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: list[np.ndarray] = []
@@ -89,20 +95,21 @@ def _raw(text: pa.StringScalar) -> np.ndarray:
 
 def _grams(min_len: int, gram: int):
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        found = [np.unique(triggers(_raw(t), min_len, gram)[1]) for t in b.column(1)]
-        th = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(x) for x in found])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(th)], ["g", "th"])
+        found = [np.unique(triggers(_raw(t), min_len, gram)[1], return_counts=True) for t in b.column(1)]
+        th = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(x) for x, _ in found])
+        g, n = (np.concatenate([x[i] for x in found]) for i in range(2))
+        return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(th), pa.array(n.astype(np.int32))], ["g", "th", "n"])
 
     return run
 
 
 def _shared_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows ``(g, th)`` sorted by g, those whose g stands in several texts. Holds one row over from a batch."""
-    last_g, last_th, last_shared = None, None, False
+    """Of rows ``(g, th, n)`` sorted by g, those whose g stands in several texts. Holds one row over from a batch."""
+    last_g, last_th, last_n, last_shared = None, None, None, False
     for b in batches:
         if not b.num_rows:
             continue
-        g, th = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        g, th, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         extra = np.empty(0, np.int64)
         starts = np.concatenate(([0], np.flatnonzero(np.diff(g)) + 1))
         lo, hi = np.minimum.reduceat(th, starts), np.maximum.reduceat(th, starts)
@@ -114,18 +121,18 @@ def _shared_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 shared[0] = True
                 extra = np.array([last_th])
         keep = np.repeat(shared, np.diff(np.concatenate((starts, [len(g)]))))
-        out_g, out_th = g[keep], th[keep]
+        out_g, out_th, out_n = g[keep], th[keep], n[keep]
         if len(extra):
-            out_g, out_th = np.concatenate((out_g, [last_g])), np.concatenate((out_th, extra))
-        last_g, last_th, last_shared = g[-1], th[-1], bool(shared[-1])
+            out_g, out_th, out_n = np.concatenate((out_g, [last_g])), np.concatenate((out_th, extra)), np.concatenate((out_n, np.array([last_n], out_n.dtype)))
+        last_g, last_th, last_n, last_shared = g[-1], th[-1], n[-1], bool(shared[-1])
         if len(out_g):
-            yield pa.RecordBatch.from_arrays([pa.array(out_th), pa.array(out_g)], ["th", "g"])
+            yield pa.RecordBatch.from_arrays([pa.array(out_th), pa.array(out_g), pa.array(out_n)], ["th", "g", "n"])
 
 
 _CONTEXT = "g long, before binary, after binary, la int, ra int, k long, th long, pos int, dmin int, dmax int, settled boolean"
 
 
-def _contexts(min_len: int, gram: int):
+def _contexts(min_len: int, gram: int, heavy: Broadcast):
     reach = min_len - gram
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -133,7 +140,7 @@ def _contexts(min_len: int, gram: int):
         for k, th, text, gs in zip(b.column(0), b.column(1), b.column(2), b.column(3), strict=True):
             raw = _raw(text)
             pos, h, dmin, dmax = triggers(raw, min_len, gram)
-            keep = np.isin(h.view(np.int64), gs.values.to_numpy(zero_copy_only=False))
+            keep = np.isin(h.view(np.int64), gs.values.to_numpy(zero_copy_only=False)) & ~np.isin(h.view(np.int64), heavy.value)
             pos, h, dmin, dmax = pos[keep], h[keep], dmin[keep], dmax[keep]
             if not len(pos):
                 continue
@@ -165,6 +172,47 @@ def _contexts(min_len: int, gram: int):
     return run
 
 
+def _strings(min_len: int, gram: int, heavy: Broadcast):
+    """The strings of heavy grams: once a slice with the places of its least k; and, with no string, hits of larger k."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        parts = []
+        for i, (k, th, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True)):
+            raw = _raw(text)
+            pos, h, dmin, dmax = triggers(raw, min_len, gram)
+            keep = np.isin(h.view(np.int64), heavy.value)
+            pos, dmin, dmax = pos[keep], dmin[keep], dmax[keep]
+            sizes = dmax - dmin + 1
+            at = np.repeat(pos, sizes)
+            d = np.repeat(dmin, sizes) + np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            body = raw[(at - d)[:, None] + np.arange(min_len)] if len(at) else np.empty((0, min_len), np.uint8)
+            parts.append((body, np.full(len(at), k), np.full(len(at), th), at, d))
+        body, k, th, at, d = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if not len(k):
+            return None
+        key = np.ascontiguousarray(body).view(f"V{min_len}").ravel()
+        of = np.unique(key, return_inverse=True)[1].ravel()
+        least = np.full(of.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, of, k)
+        settled = k > least[of]
+        s = pa.array([None if x else y.tobytes() for x, y in zip(settled.tolist(), body, strict=True)], pa.binary())
+        mask = np.int64(1) << d.astype(np.int64)
+        return pa.RecordBatch.from_arrays([s, pa.array(k), pa.array(th), pa.array(at.astype(np.int32)), pa.array(mask)], ["s", "k", "th", "pos", "mask"])
+
+    return run
+
+
+def heavy_hits(full: DataFrame, heavy: Broadcast, min_len: int, gram: int) -> DataFrame:
+    """``(k, th, pos, mask)`` of all strings of heavy grams that repeat; no task holds a gram or a string's rows."""
+    rows = materialize(map_arrow(full, _strings(min_len, gram, heavy), "s binary, k long, th long, pos int, mask long"), "heavy-strings")
+    live = rows.where("s is not null")
+    least = live.groupBy("s").agg(F.min("k").alias("least"), F.max("k").alias("most")).where("least < most").drop("most")
+    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = live.withColumn("salt", F.pmod(F.xxhash64("k", "pos"), F.lit(SALTS)).cast("int")).join(salted, ["s", "salt"]).where("k > least")
+    hits = found.select("k", "th", "pos", "mask").unionByName(rows.where("s is null").drop("s"))
+    return hits.groupBy("k", "th", "pos").agg(F.bit_or("mask").alias("mask"))
+
+
 def _ranks(g: np.ndarray, body: np.ndarray) -> np.ndarray:
     """``r[d, i]``: a number for the first d bytes of row i within its g, equal iff g and those bytes are equal."""
     n, width = body.shape
@@ -276,6 +324,12 @@ def _covered(size: int, pos: np.ndarray, mask: np.ndarray, min_len: int) -> np.n
     return np.cumsum(mark)[:size] > 0
 
 
+def heavy_grams(wanted: DataFrame) -> DataFrame:
+    """``(g)`` of more than ``GROUP_ROWS`` triggers: at most one for as many triggers of the corpus."""
+    each = wanted.select(F.explode("gs").alias("x")).groupBy("x.g").agg(F.sum("x.n").alias("n"))
+    return materialize(each.where(F.col("n") > GROUP_ROWS).select("g"), "heavy-grams")
+
+
 def repeated_strings(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     """``docs(doc_id, text)`` with ``k`` (the id, null least), ``copy`` (an earlier row has the whole text) and
     ``hits`` (repeated strings, as trigger positions with bits of distances)."""
@@ -286,13 +340,15 @@ def repeated_strings(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     )
     sizes = base.select("k", "th", F.xxhash64(F.lit("wide"), "text").alias("th2"))
     first = sizes.groupBy("th", "th2").agg(F.min("k").alias("first"))
-    grams = map_arrow(base.select("th", "text"), _grams(min_len, gram), "g long, th long")
-    shared = grams.repartition("g").sortWithinPartitions("g").mapInArrow(_shared_grams, "th long, g long")
-    wanted = shared.groupBy("th").agg(F.collect_set("g").alias("gs"))
+    grams = map_arrow(base.select("th", "text"), _grams(min_len, gram), "g long, th long, n int")
+    shared = grams.repartition("g").sortWithinPartitions("g").mapInArrow(_shared_grams, "th long, g long, n int")
+    wanted = shared.groupBy("th").agg(F.collect_set(F.struct("g", "n")).alias("gs"))
     wanted = wanted.join(first.groupBy("th").agg(F.min("first").alias("k")), "th").select("k", "th", "gs")
     wanted = materialize(wanted, "shared-grams")
-    full = base.join(wanted, ["k", "th"]).select("k", "th", "text", "gs")
-    ctx = map_arrow(full, _contexts(min_len, gram), _CONTEXT, whole=True)
+    many = heavy_grams(wanted)
+    heavy = docs.sparkSession.sparkContext.broadcast(np.array([r.g for r in many.collect()], np.int64))
+    full = base.join(wanted, ["k", "th"]).select("k", "th", "text", F.col("gs.g").alias("gs"))
+    ctx = map_arrow(full, _contexts(min_len, gram, heavy), _CONTEXT, whole=True)
     home = F.when(F.col("settled"), F.xxhash64("k", "pos")).otherwise(F.col("g"))
     hits = (
         ctx.withColumn("home", home)
@@ -301,6 +357,9 @@ def repeated_strings(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
         .drop("home")
         .mapInArrow(lambda it: _repeated(it, min_len - gram), "k long, th long, pos int, mask long")
     )
+    if len(heavy.value):
+        some = wanted.select("k", "th", F.explode("gs.g").alias("g")).join(F.broadcast(many), "g").select("k", "th").distinct()
+        hits = hits.unionByName(heavy_hits(base.join(some, ["k", "th"]), heavy, min_len, gram))
     hits = hits.groupBy("k", "th").agg(F.collect_list(F.struct("pos", "mask")).alias("hits"))
     copies = sizes.join(first, ["th", "th2"]).where("k > first").select("k", "th").distinct().withColumn("copy", F.lit(True))
     told = copies.join(hits, ["k", "th"], "full")

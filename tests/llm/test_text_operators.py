@@ -214,3 +214,20 @@ def test_triggers_cover_every_string():
         pos, _, dmin, dmax = repeats.triggers(raw)
         starts = sorted(int(p - d) for p, a, b in zip(pos, dmin, dmax, strict=True) for d in range(a, b + 1))
         assert starts == list(range(len(raw) - 49))
+
+
+def test_repeats_of_heavy_grams(spark, monkeypatch):
+    rnd = random.Random(6)
+    word = lambda: rnd.choice(["the", "of", "th\u00e9", "ab", "zebra", "\x00"])
+    phrase = "a frequent phrase of some forty bytes here"
+    rows = [(i, " ".join(word() for _ in range(9)) + phrase + " ".join(word() for _ in range(rnd.randrange(9)))) for i in range(60)]
+    rows += [(60, phrase * 6), (61, phrase * 5 + "z"), (62, "a" * 300), (63, "b" + "a" * 200), (64, rows[0][1]), (5, "x" + phrase + " of the of")]
+    rnd.shuffle(rows)
+    found = []
+    heavy = repeats.heavy_hits
+    monkeypatch.setattr(repeats, "heavy_hits", lambda *a: found.append(heavy(*a)) or found[-1])
+    for bound, min_len in ((0, 50), (8, 50), (8, 12)):
+        monkeypatch.setattr(repeats, "GROUP_ROWS", bound)
+        got = repeats.remove_repeats(docs(spark, rows), min_len=min_len).collect()
+        assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in got) == sorted(removed(rows, min_len))
+    assert len(found) == 3 and all(f.count() for f in found)
