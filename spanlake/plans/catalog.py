@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import formats
@@ -238,6 +238,12 @@ def _(s, d):
     return scopes.text_order(fx.trace(s, d), n=500).select("stream_id", "thread_id", "seq", "kind", "name")
 
 
+@_query("h12_text_order_all", sql("trace", " select stream_id, thread_id, row_number() over (partition by stream_id, thread_id order by date_ns, seq) as position, seq, kind, name from trace"))
+def _(s, d):
+    w = Window.partitionBy("stream_id", "thread_id").orderBy("date_ns", "seq")
+    return scopes.text_order(fx.trace(s, d)).select("stream_id", "thread_id", F.row_number().over(w).alias("position"), "seq", "kind", "name")
+
+
 @_query("h13_previous", sql("trace", " select seq, kind, name from trace where seq < 700 order by date_ns desc, seq desc limit 50"))
 def _(s, d):
     return scopes.previous(fx.trace(s, d), 700, 50).select("seq", "kind", "name")
@@ -514,6 +520,13 @@ def _(s, d):
     return memory.live_at(memory.allocations(m), q, 10**14)
 
 
+@_query("m6_live_at_grid", sql("memory", f", {_ALLOC}, g as (select unnest(range(min(date_ns), max(date_ns) + 1, {BUCKET})) as at_ns from memory), q as (select stream_id, at_ns from (select distinct stream_id from memory), g) select q.stream_id, at_ns, ptr, alloc_seq, thread_id, size from q join allocs a on a.stream_id = q.stream_id and start_ns <= at_ns and (end_ns is null or end_ns > at_ns)"))
+def _(s, d):
+    m = fx.memory(s, d)
+    grid = m.agg(F.explode(F.sequence(F.min("date_ns"), F.max("date_ns"), F.lit(BUCKET))).alias("at_ns"))
+    return memory.live_at(memory.allocations(m), m.select("stream_id").distinct().crossJoin(F.broadcast(grid)), 10**14)
+
+
 @_query("m7_allocs_in_range", sql("memory", f", {_ALLOC} select stream_id, alloc_seq, start_ns >= {T0} and coalesce(end_ns <= {T1}, false) inside from allocs where start_ns <= {T1} and (end_ns is null or end_ns >= {T0})"))
 def _(s, d):
     a = _allocs(s, d)
