@@ -139,10 +139,17 @@ def complete(df: DataFrame, text: str, case_sensitive: bool = False, threads: li
     return d.where(name.contains(text if case_sensitive else text.lower())).select("name").distinct().orderBy("name").limit(n)
 
 
-def search(df: DataFrame, name: str, threads: list[int] | None = None, from_ns: int = 0, n: int | None = None) -> DataFrame:
-    """Occurrences of a name in time order."""
-    d = df.where((F.col("name") == name) & (F.col("date_ns") >= from_ns))
+def search(df: DataFrame, name: str, threads: list[int] | None = None, from_ns: int = 0, n: int | None = None, logs: DataFrame | None = None) -> DataFrame:
+    """Occurrences of a name in time order: names of events, string values (of kind ``string``) where ``df`` has a
+    ``v_string``, and logs of that category or message (of kind ``log``)."""
+    found = df.select(*KEYS, "seq", "date_ns", "kind", "name").where(F.col("name") == name)
+    if "v_string" in df.columns:
+        found = found.unionByName(df.select(*KEYS, "seq", "date_ns", F.lit("string").alias("kind"), F.col("v_string").alias("name")).where(F.col("name") == name))
+    if logs is not None:
+        hit = (F.col("category") == name) | (F.col("message") == name)
+        found = found.unionByName(logs.where(hit).select(*KEYS, "seq", "date_ns", F.lit("log").alias("kind"), F.lit(name).alias("name")))
+    d = found.where(F.col("date_ns") >= from_ns)
     d = d if threads is None else d.where(F.col("thread_id").isin(threads))
-    d = d.select(*KEYS, "seq", "date_ns", "kind", "name").orderBy("date_ns", "seq")
+    d = d.orderBy("date_ns", "seq")
     return d if n is None else d.limit(n)
 

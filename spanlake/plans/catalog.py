@@ -814,6 +814,18 @@ def _(s, d):
     return select.search(fx.trace(s, d), "op2", from_ns=T0, n=200)
 
 
+_MESSAGES = """msg as (select *, case format when 'f0' then printf('n=%d', p0) when 'f1' then printf('n=%03d v=%.2f', p0, p1) when 'f2' then printf('%-6d|%g', p0, p1) else printf('hex %X', p0) end as message from logs)"""
+
+
+@_query("e9_search_all", sql("trace logs", f""", {_MESSAGES}, u as (select stream_id, thread_id, seq, date_ns, kind, name from trace
+union all select stream_id, thread_id, seq, date_ns, 'string', 'op' || seq % 5 from trace where kind = 'data'
+union all select stream_id, thread_id, seq, date_ns, 'log', 'op2' from msg where 'op' || p0 % 3 = 'op2' or message = 'op2') select * from u where name = 'op2'"""))
+def _(s, d):
+    t = fx.trace(s, d).withColumn("v_string", F.when(F.col("kind") == "data", F.concat(F.lit("op"), (F.col("seq") % 5).cast("string"))))
+    named = _formatted(s, d).withColumn("category", F.concat(F.lit("op"), (F.col("p0") % 3).cast("string")))
+    return select.search(t, "op2", logs=named)
+
+
 # ---------------------------------------------------------------- sinks and summaries
 
 
@@ -824,6 +836,20 @@ def _(s, d):
     return out.select("seq", j.alias("j")).select("seq", F.col("j.ph").alias("ph"), F.col("j.name").alias("name"), F.col("j.ts").alias("ts"))
 
 
+@_query("x1_ctf_lines_all", sql("scopes locks logs", f""", {_WAITS}, {_MESSAGES}
+select seq, case kind when 'scope_begin' then 'B' else 'E' end ph, 'Scope' cat, name, date_ns / 1000 as ts, stream_id pid, thread_id tid, null thread from s3 where kind <> 'data' and not orphan
+union all select seq, 'B', 'Lock wait', name, start_ns / 1000, stream_id, thread_id, null from waits
+union all select seq, 'E', 'Lock wait', name, end_ns / 1000, stream_id, thread_id, null from waits
+union all select seq, 'i', category, message, date_ns / 1000, stream_id, thread_id, null from msg
+union all select 0, 'M', null, 'thread_name', null, stream_id, thread_id, 'thread ' || thread_id from (select distinct stream_id, thread_id from trace)"""))
+def _(s, d):
+    t = fx.trace(s, d)
+    named = t.select("stream_id", "thread_id").distinct().withColumn("name", F.concat(F.lit("thread "), F.col("thread_id").cast("string")))
+    out = sinks.ctf_lines(t, _formatted(s, d), named, locks.lock_waits(fx.locks(s, d)))
+    j = F.from_json("line", "name string, cat string, ph string, ts double, pid long, tid long, args struct<name: string>")
+    return out.select("seq", j.alias("j")).select("seq", "j.ph", "j.cat", "j.name", "j.ts", "j.pid", "j.tid", F.col("j.args.name").alias("thread"))
+
+
 _CLOCK = "printf('%02d:%02d:%02d.%03d_%03d_%03d', date_ns // 3600000000000, date_ns // 60000000000 % 60, date_ns // 1000000000 % 60, date_ns // 1000000 % 1000, date_ns // 1000 % 1000, date_ns % 1000)"
 
 

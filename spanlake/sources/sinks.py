@@ -9,8 +9,9 @@ from ..functions.formats import fmt_time
 from ..operators.scopes import KEYS, depths
 
 
-def ctf_lines(df: DataFrame, logs: DataFrame | None = None, threads: DataFrame | None = None) -> DataFrame:
-    """Chrome trace events as JSON lines ``(ord, line)``: B and E of scopes, instants of logs, names of threads."""
+def ctf_lines(df: DataFrame, logs: DataFrame | None = None, threads: DataFrame | None = None, waits: DataFrame | None = None) -> DataFrame:
+    """Chrome trace events as JSON lines ``(part, date_ns, seq, line)``: B and E of scopes and of lock waits (as
+    ``locks.lock_waits`` gives them), instants of logs, names of threads."""
     d = depths(df).where("kind in ('scope_begin', 'scope_end') and not orphan")
     js = lambda *c: F.to_json(F.struct(*c))
     common = [F.col("stream_id").alias("pid"), F.col("thread_id").alias("tid")]
@@ -19,6 +20,10 @@ def ctf_lines(df: DataFrame, logs: DataFrame | None = None, threads: DataFrame |
     out = d.select(F.lit(1).alias("part"), "date_ns", "seq", js(F.col("name"), F.lit("Scope").alias("cat"), ph, ts, *common).alias("line"))
     if logs is not None:
         out = out.unionByName(logs.select(F.lit(1).alias("part"), "date_ns", "seq", js(F.col("message").alias("name"), F.col("category").alias("cat"), F.lit("i").alias("ph"), ts, *common).alias("line")))
+    if waits is not None:
+        ends = F.explode(F.array(*[F.struct(F.lit(x).alias("ph"), F.col(c).alias("date_ns")) for x, c in (("B", "start_ns"), ("E", "end_ns"))]))
+        w = waits.select(*KEYS, "name", "seq", ends.alias("_at")).select("*", "_at.ph", "_at.date_ns")
+        out = out.unionByName(w.select(F.lit(1).alias("part"), "date_ns", "seq", js(F.col("name"), F.lit("Lock wait").alias("cat"), F.col("ph"), ts, *common).alias("line")))
     if threads is not None:
         meta = js(F.lit("thread_name").alias("name"), F.lit("M").alias("ph"), *common, F.struct("name").alias("args"))
         out = out.unionByName(threads.select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("date_ns"), F.lit(0).cast("long").alias("seq"), meta.alias("line")))
