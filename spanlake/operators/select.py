@@ -58,9 +58,12 @@ def _prefix_matches(regex: str):
 
 def matching_paths(paths: DataFrame, specs: list[EventSpec]) -> DataFrame:
     """``(spec_id, path)`` of the distinct paths that match a spec's event patterns."""
-    p = paths.select("path").distinct().withColumn("_p", _joined())
-    found = F.array(*[F.when(F.array_max(F.array(*[F.col("_p").rlike(pattern_regex(e)) for e in s.events])), F.lit(i)) for i, s in enumerate(specs)])
-    return p.select(F.explode(F.array_compact(found)).alias("spec_id"), "path")
+    return paths.select("path").distinct().select(F.explode(spec_ids(specs)).alias("spec_id"), "path")
+
+
+def spec_ids(specs: list[EventSpec]) -> Column:
+    """The numbers of the specs whose event patterns a row's path matches."""
+    return F.array_compact(F.array(*[F.when(F.array_max(F.array(*[_joined().rlike(pattern_regex(e)) for e in s.events])), F.lit(i)) for i, s in enumerate(specs)]))
 
 
 def select_events(df: DataFrame, specs: list[EventSpec], threads: DataFrame | None = None) -> DataFrame:
@@ -69,7 +72,11 @@ def select_events(df: DataFrame, specs: list[EventSpec], threads: DataFrame | No
     ``parent_match`` is the root-most enclosing scope that matches the spec's parent pattern; with a parent pattern
     only events that have one are kept. ``threads(stream_id, thread_id, name)`` is needed for thread patterns.
     """
-    hit = df.join(matching_paths(df, specs), "path")
+    return keep_matches(df.join(matching_paths(df, specs), "path"), specs, threads)
+
+
+def keep_matches(hit: DataFrame, specs: list[EventSpec], threads: DataFrame | None = None) -> DataFrame:
+    """Of rows with the spec that their path matches, those whose thread and parent match too, with ``parent_match``."""
     if any(s.thread for s in specs):
         rule = F.lit(True)
         for i, s in enumerate(specs):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import on_workers
+from ..operators.select import EventSpec, keep_matches, spec_ids
 
 KEYS = ["stream_id", "thread_id"]
 
@@ -83,9 +84,39 @@ def allocations_stream(sdf: DataFrame) -> DataFrame:
     )
 
 
-def select_events_stream(sdf: DataFrame, names: DataFrame) -> DataFrame:
-    """Live events whose name is in a static table of resolved names ``(spec_id, name)``."""
-    return sdf.join(names, "name")
+def _with_path(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    stack = [tuple(x) for x in zip(*state.get, strict=True)] if state.exists else []
+    out = []
+    for r in pd.concat(list(batches)).sort_values("seq").itertuples():
+        if r.kind == "scope_begin":
+            stack.append((r.seq, r.name))
+        elif r.kind == "scope_end" and stack:
+            stack.pop()
+        if r.kind in ("scope_begin", "data"):
+            path = [x[1] for x in stack] + ([r.name] if r.kind == "data" else [])
+            out.append((*key, r.seq, r.date_ns, r.kind, r.name, path, [x[0] for x in stack]))
+    state.update(tuple(list(x) for x in zip(*stack, strict=True)) if stack else ([], []))
+    yield pd.DataFrame(out, columns=[*KEYS, "seq", "date_ns", "kind", "name", "path", "scope_path"])
+
+
+def with_paths_stream(sdf: DataFrame) -> DataFrame:
+    """Live begin and data events with ``path`` and ``scope_path``; the state of a thread is its stack of open scopes."""
+    on_workers(sdf.sparkSession)
+    d = sdf.select(*KEYS, "seq", "date_ns", "kind", "name")
+    return d.groupBy(*KEYS).applyInPandasWithState(
+        _with_path, "stream_id long, thread_id long, seq long, date_ns long, kind string, name string, path array<string>, scope_path array<long>",
+        "seq array<long>, name array<string>", "append", GroupStateTimeout.NoTimeout,
+    )
+
+
+def select_events_stream(sdf: DataFrame, specs: list[EventSpec] | DataFrame, threads: DataFrame | None = None) -> DataFrame:
+    """``select.select_events`` on a live trace, with ``spec_id`` and ``parent_match``; ``threads`` is a static table.
+
+    Instead of specs, a static table of names ``(spec_id, name)`` selects events by their bare name.
+    """
+    if isinstance(specs, DataFrame):
+        return sdf.join(specs, "name")
+    return keep_matches(with_paths_stream(sdf).withColumn("spec_id", F.explode(spec_ids(specs))), specs, threads)
 
 
 def live_counts(sdf: DataFrame, window: str = "1 hour", watermark: str = "10 minutes", time: str = "ts") -> DataFrame:
