@@ -2,8 +2,8 @@
 
 Lines that begin with ``>`` marks are quoted, as deep as they have marks. Quoted lines are normalised (lower case,
 white space folded) and hashed; so are the lines that messages write themselves. A quoted line is linked to the
-message that wrote it first: in its own conversation if it is there, else in the whole table. Each key keeps one
-author, so a line that a third of all messages hold stays one row. The message with most linked lines of the
+message that wrote it first: at an earlier turn of its own conversation, else in any other. A line that nobody wrote
+is linked by its passage (lines of one level up to a blank one), whose line breaks do not count. The message with most linked lines of the
 lowest level is the parent (ties: the latest). Conversations tied by a quotation make one thread, and a thread's
 messages are ordered by reply depth (an answer follows what it quotes), then by conversation and turn.
 
@@ -21,6 +21,7 @@ from .common import connected_components, materialize, text_or_empty
 
 _MARKS = r"^(?:[ \t]{0,3}>)+"
 MAX_DEPTH_ROUNDS = 64
+SALTS = 64
 
 
 def _level(line: Column) -> Column:
@@ -32,32 +33,51 @@ def _normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.regexp_replace(line, _MARKS, "")), r"\s+", " "))
 
 
-def message_lines(messages: DataFrame) -> DataFrame:
-    """``(conv_id, turn, line, level, content, h1, h2)`` of every line that is not blank; level 0 is own text."""
-    lines = messages.select("conv_id", "turn", F.posexplode(F.split(text_or_empty(), "\r?\n")).alias("line", "raw"))
-    lines = lines.select("conv_id", "turn", "line", _level(F.col("raw")).alias("level"), _normal(F.col("raw")).alias("content"))
-    return lines.where("content <> ''").select("*", F.xxhash64("content").alias("h1"), F.xxhash64(F.lit("wide"), "content").alias("h2"))
+def message_passages(messages: DataFrame) -> DataFrame:
+    """``(conv_id, turn, level, lines, p1, p2)``: passages are runs of lines of one level that are not blank, hashed as
+    one line, so that their line breaks do not matter; ``lines`` has their normalised lines."""
+    each = F.transform(F.split(text_or_empty(), "\r?\n"), lambda x: F.struct(_level(x).alias("level"), F.replace(_normal(x), F.lit("\0"), F.lit(" ")).alias("content")))
+    m = messages.select("conv_id", "turn", each.alias("ls"))
+    m = m.select("conv_id", "turn", "ls", F.explode(F.array_distinct(F.col("ls.level"))).alias("level"))
+    run = F.array_join(F.transform("ls", lambda x: F.when((x["level"] == F.col("level")) & (x["content"] != ""), x["content"]).otherwise(F.lit("\0"))), "\n")
+    m = m.select("conv_id", "turn", "level", F.explode(F.split(run, "\0")).alias("run"))
+    m = m.select("conv_id", "turn", "level", F.filter(F.split("run", "\n"), lambda x: x != "").alias("lines")).where(F.size("lines") > 0)
+    whole = F.array_join("lines", " ")
+    return m.select("*", F.xxhash64(whole).alias("p1"), F.xxhash64(F.lit("wide"), whole).alias("p2"))
+
+
+def _with_author(quoted: DataFrame, own: DataFrame, keys: list[str], to: str) -> DataFrame:
+    """``quoted`` with the first author ``to(conv_id, turn)`` of the keys: an earlier turn at home, else the least
+    message of another conversation. No task holds all conversations of a key."""
+    salt = F.pmod(F.xxhash64("conv_id"), F.lit(SALTS))
+    here = own.groupBy("conv_id", *keys).agg(F.min("turn").alias("here_turn"))
+    who = F.struct("conv_id", F.col("here_turn").alias("turn"))
+    least = here.groupBy(*keys, salt.alias("salt")).agg(F.min(who).alias("w"))
+    first = least.groupBy(*keys).agg(F.min("w").alias("first"))
+    found = quoted.join(here, ["conv_id", *keys], "left").join(first, keys, "left")
+    at_home = F.coalesce(F.col("here_turn") < F.col("turn"), F.lit(False))
+    ask = found.where(~at_home & (F.col("first.conv_id") == F.col("conv_id"))).select(*keys, F.col("conv_id").alias("asks"), salt.alias("near")).distinct()
+    far = least.join(ask, keys).where("salt <> near").select("asks", *keys, "w")
+    near = here.withColumn("near", salt).join(ask, [*keys, "near"]).where("conv_id <> asks").select("asks", *keys, who.alias("w"))
+    other = far.unionByName(near).groupBy(F.col("asks").alias("conv_id"), *keys).agg(F.min("w").alias("other"))
+    found = found.join(other, ["conv_id", *keys], "left")
+    at = F.when(at_home, who).when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).otherwise(F.col("other"))
+    return found.select(*quoted.columns, at.alias(to))
 
 
 def quotation_links(messages: DataFrame) -> DataFrame:
-    """``(conv_id, turn, level, parent_conv, parent_turn, lines)``: linked lines by message, level and author."""
-    lines = message_lines(messages.where("conv_id is not null and turn is not null"))
-    quoted = lines.where("level > 0").groupBy("conv_id", "turn", "level", "h1", "h2").agg(F.count("*").alias("n"))
-    own = lines.where("level = 0")
-    here = own.groupBy("conv_id", "h1", "h2").agg(F.min("turn").alias("here_turn"))
-    first = own.groupBy("h1", "h2").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-    found = quoted.join(here, ["conv_id", "h1", "h2"], "left").join(first, ["h1", "h2"], "left")
-    at_home = F.col("here_turn") < F.col("turn")
-    elsewhere = F.col("first.conv_id") != F.col("conv_id")
-    found = found.select(
-        "conv_id",
-        "turn",
-        "level",
-        "n",
-        F.when(at_home, F.col("conv_id")).when(elsewhere, F.col("first.conv_id")).alias("parent_conv"),
-        F.when(at_home, F.col("here_turn")).when(elsewhere, F.col("first.turn")).alias("parent_turn"),
-    ).where("parent_conv is not null")
-    return found.groupBy("conv_id", "turn", "level", "parent_conv", "parent_turn").agg(F.sum("n").alias("lines"))
+    """``(conv_id, turn, level, parent_conv, parent_turn, lines)``: linked lines by message, level and author.
+
+    A line that no message wrote goes with its passage, where a message wrote that with other line breaks.
+    """
+    passages = message_passages(messages.where("conv_id is not null and turn is not null"))
+    lines = passages.select("conv_id", "turn", "level", "p1", "p2", F.explode("lines").alias("content"))
+    lines = lines.select("*", F.xxhash64("content").alias("h1"), F.xxhash64(F.lit("wide"), "content").alias("h2"))
+    quoted = lines.where("level > 0").groupBy("conv_id", "turn", "level", "h1", "h2", "p1", "p2").agg(F.count("*").alias("n"))
+    found = _with_author(quoted, lines.where("level = 0"), ["h1", "h2"], "to_line")
+    found = _with_author(found, passages.where("level = 0"), ["p1", "p2"], "to_passage")
+    found = found.withColumn("to", F.coalesce("to_line", "to_passage")).where("to is not null")
+    return found.groupBy("conv_id", "turn", "level", F.col("to.conv_id").alias("parent_conv"), F.col("to.turn").alias("parent_turn")).agg(F.sum("n").alias("lines"))
 
 
 def reply_parents(links: DataFrame) -> DataFrame:

@@ -220,3 +220,12 @@ def test_one_shard_is_plain_training(spark):
     losses = lm.train_shards(net, taught, 0, 10)
     alone = lm.Attention(np.log(np.full(5, 0.2))).train(*lm.windows(body.copy(), lens, 0), epochs=10)
     assert abs(losses[0] - alone[0]) < 0.1 and losses[-1] < losses[0]
+
+
+def test_quotations_wrapped_anew_and_foreign_authors(spark):
+    para = "The first words of a long\nparagraph that somebody\nwrote by hand"
+    rows = [(1, 0, "u", "before\n\n" + para + "\n\nafter"), (2, 0, "u", "> the first words of\n> a long paragraph that\n> somebody wrote by hand\nyes")]
+    rows += [(3, 0, "u", "> shared line\nno"), (3, 1, "u", "shared line")] + [(c, 5, "u", "Shared  line") for c in range(4, 200)]
+    rows += [(300, 0, "u", "> words of a long\nsome other text")]
+    got = {(r.conv_id, r.turn): (r.parent_conv, r.parent_turn) for r in quotes.link_conversations(spark.createDataFrame(rows, MSG)).collect() if r.parent_conv is not None}
+    assert got == {(2, 0): (1, 0), (3, 0): (4, 5)}
