@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import on_workers
+from ..tables import materialize, new_path  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,39 +22,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spanlake-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, so that no later stage recomputes it.
-
-    Nothing reads the shuffle files of such a write again; Spark is told to drop them at its end.
-    """
-    spark = df.sparkSession
-    on_workers(spark)
-    path = new_path(spark, label)
-    was = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if was is None else spark.conf.set(_CLEANUP, was)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -79,6 +46,7 @@ def crc_mod(name: str, modulus: int) -> Column:
 
 
 SLICE_ROWS = 1000
+SLICE_BYTES = 1 << 22
 
 
 def release_memory() -> None:
@@ -89,21 +57,37 @@ def release_memory() -> None:
         trim(0)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, whole: bool = False) -> DataFrame:
-    """``mapInArrow`` for a function of one batch; empty batches are passed over.
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of at most so many rows and bytes of text (or of one row), which bound what a worker makes of them.
 
-    The function gets slices of ``SLICE_ROWS`` rows, which bounds its Python objects, or ``whole`` batches.
+    Memory goes back to the system after each batch; empty batches are passed over.
     """
+    for b in batches:
+        if not b.num_rows:
+            continue
+        bytes_of = np.zeros(b.num_rows, dtype=np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+                bytes_of += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        upto = np.cumsum(bytes_of)
+        s = 0
+        while s < b.num_rows:
+            fits = int(np.searchsorted(upto, size + (upto[s - 1] if s else 0), side="right"))
+            e = min(b.num_rows, s + rows, max(s + 1, fits))
+            yield b.slice(s, e - s)
+            s = e
+        del b
+        release_memory()
+
+
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> DataFrame:
+    """``mapInArrow`` for a function of one slice of at most ``rows`` rows and ``size`` bytes of text."""
     on_workers(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            step = max(1, b.num_rows) if whole else SLICE_ROWS
-            for s in range(0, b.num_rows, step):
-                if (out := fn(b.slice(s, step))) is not None:
-                    yield out
-            del b
-            release_memory()
+        for b in slices(batches, rows, size):
+            if (out := fn(b)) is not None:
+                yield out
 
     return df.mapInArrow(run, schema)
 

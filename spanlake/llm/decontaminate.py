@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, text_or_empty
+from .common import hold, map_arrow, materialize, text_or_empty
 
 WINDOW = 10
 MAX_COVERAGE = 0.5
@@ -150,6 +150,7 @@ _built: dict[tuple[str, int], ItemAutomaton] = {}
 
 def _automaton(shared, window: int) -> ItemAutomaton:
     """The automaton of a broadcast block of items, built once a worker."""
+    hold("decontaminate", _built.clear)
     name, items = shared.value
     if (name, window) not in _built:
         _built.clear()

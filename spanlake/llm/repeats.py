@@ -34,19 +34,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import on_workers
-from .common import map_arrow, materialize, text_or_empty
+from .common import hold, map_arrow, materialize, text_or_empty
 
 MIN_LEN = 50
 GRAM = 24
 CHUNK_ROWS = 100_000
 GROUP_ROWS = 20_000
 SALTS = 16
+CONTEXT_ROWS, CONTEXT_BYTES = 10_000, 32 << 20
 _LEAST = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: list[np.ndarray] = []
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    hold("repeats", _powers.clear)
     if not _powers or len(_powers[0]) < n:
         size = max(1 << 16, 1 << (n - 1).bit_length())
         _powers.clear()
@@ -348,7 +350,7 @@ def repeated_strings(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     many = heavy_grams(wanted)
     heavy = docs.sparkSession.sparkContext.broadcast(np.array([r.g for r in many.collect()], np.int64))
     full = base.join(wanted, ["k", "th"]).select("k", "th", "text", F.col("gs.g").alias("gs"))
-    ctx = map_arrow(full, _contexts(min_len, gram, heavy), _CONTEXT, whole=True)
+    ctx = map_arrow(full, _contexts(min_len, gram, heavy), _CONTEXT, CONTEXT_ROWS, CONTEXT_BYTES)
     home = F.when(F.col("settled"), F.xxhash64("k", "pos")).otherwise(F.col("g"))
     hits = (
         ctx.withColumn("home", home)

@@ -30,6 +30,7 @@ LANES = 1024
 BLOCK_IDS = 1 << 18
 CHECKPOINT = 128
 LOW = 1 << 31
+ENCODE_ROWS, ENCODE_BYTES = 4000, 8 << 20
 _HEAD = struct.Struct("<4sIIIQQIII")
 
 
@@ -155,17 +156,14 @@ def n_parts(block: bytes) -> int:
 
 
 def encode_texts(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID) -> DataFrame:
-    """``(doc_id, n, ids)`` of every whole text; ids are little-endian, 16 bits where the vocabulary allows."""
+    """``(doc_id, ids)`` of every whole text; ids are little-endian, 16 bits where the vocabulary allows."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        enc = WordEncoder.of(tokenizer)
-        end = b"" if end_id is None else np.array([end_id], dtype=enc.dtype).tobytes()
-        ids = [x + end for x in enc.encode(b.column(1).to_pylist())]
-        n = np.array([len(x) // enc.dtype.itemsize for x in ids], dtype=np.int64)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
+        ids = WordEncoder.of(tokenizer).encode(b.column(1), end_id)
+        return pa.RecordBatch.from_arrays([b.column(0), ids], ["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs.select("doc_id", text_or_empty().alias("text")), run, f"doc_id {kind}, n long, ids binary", whole=True)
+    return map_arrow(docs.select("doc_id", text_or_empty().alias("text")), run, f"doc_id {kind}, ids binary", ENCODE_ROWS, ENCODE_BYTES)
 
 
 def _token_counts(coded: DataFrame, dtype: str, vocab: int) -> np.ndarray:
@@ -174,10 +172,10 @@ def _token_counts(coded: DataFrame, dtype: str, vocab: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = np.zeros(vocab, dtype=np.int64)
         for b in batches:
-            for x in b.column(0):
-                c += np.bincount(np.frombuffer(x.as_buffer(), dtype), minlength=vocab) if len(x.as_buffer()) > vocab // 8 else 0
-                if len(x.as_buffer()) <= vocab // 8:
-                    np.add.at(c, np.frombuffer(x.as_buffer(), dtype), 1)
+            x = b.column(0)
+            if len(x):
+                offsets = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1]
+                c += np.bincount(np.frombuffer(x.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(dtype), minlength=vocab)
         i = np.flatnonzero(c)
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(c[i])], ["id", "n"])
 
