@@ -1,17 +1,15 @@
-"""Classifiers, the language model, quotation linking and the pipeline."""
+"""Classifiers, quotation linking and the pipeline."""
 
-import math
 import random
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from spanlake.llm import lm, quality, quotes, toxicity
+from spanlake.llm import quality, quotes, toxicity
 
 DIR = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string"
@@ -53,68 +51,6 @@ def test_labels_of_held_out_rows_never_teach(spark):
     assert np.allclose(a, b)
 
 
-def test_lm_base_scores_and_windows(spark):
-    rnd = random.Random(1)
-    words = ["the", "The", "of", "zebra", "don't", "été,", "x y", "end."]
-    rows = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randrange(0, 60)))) for i in range(120)] + [(200, None), (201, ""), (None, "the of"), (3, "the the"), (202, "unseenword " * 3)]
-    df = spark.createDataFrame(rows, SCHEMA).withColumns({"word": F.lit(1), "rid": F.lit(2), "c": F.lit(3)})
-    got = lm.score_texts(df).toPandas()
-    fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
-    split = lambda t: [*re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or "")), None]
-    c = Counter(w for i, t in rows if not fold(i) for w in split(t))
-    n, v = sum(c.values()), len(c)
-    want = sorted((fold(i), len(split(t)), sum(c[w] > 0 for w in split(t)), round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in split(t)), 6)) for i, t in rows)
-    assert sorted(zip(got.held_out, got.n_tokens, got.n_known, got.base_score.round(6), strict=True)) == want
-    assert (got.train_tokens == n).all() and (got.score <= 1e-9).all() and got.score.notna().all()
-
-
-def test_attention_blocks_equal_whole_attention():
-    """Scores by blocks are those of plain masked attention over each block and the block before."""
-    rng = np.random.default_rng(3)
-    net = lm.Attention(np.log(np.full(9, 1 / 9)))
-    for k in ("bias", "q", "k"):
-        net.p[k] = rng.standard_normal(net.p[k].shape).astype(np.float32)
-    net.freeze()
-    lens = np.array([1, 5, 16, 17, 50])
-    body = rng.integers(1, 9, lens.sum())
-    body[np.cumsum(lens) - 1] = 0
-    x, ctx, first, goal, live = lm.windows(body.copy(), lens, 0)
-    got = net.log_probs(x, ctx, first, goal, step=2)[live]
-    want, at = [], 0
-    for n in lens:
-        seq = body[at : at + n]
-        inp = np.concatenate(([0], seq[:-1]))
-        for i in range(n):
-            lo = max(0, (i // lm.BLOCK - 1) * lm.BLOCK)
-            keys = inp[lo : i + 1]
-            s = net.p["k"][keys] @ net.p["q"][inp[i]] / np.sqrt(lm.DIM) + net.p["bias"][i - np.arange(lo, i + 1)]
-            a = np.exp(s - s.max())
-            h = np.tanh((a / a.sum()) @ net.p["v"][keys] + net.p["r"][inp[i]])
-            z = h @ net.p["out"] + net.p["free"]
-            want.append(z[seq[i]] - np.log(np.exp(z).sum()))
-        at += n
-    assert np.allclose(got, want, atol=1e-4)
-
-
-def test_word_probabilities_sum_to_one():
-    """Over all words that begin with a class, counts and the network share exactly that class's probability."""
-    net = lm.Attention(np.log(np.full(3, 1 / 3)))
-    m = lm.Model.__new__(lm.Model)
-    m.net, m.discount, m.begin, m.kinds = net, 0.6, np.array([0.0, 10.0, 0.0]), np.array([0.0, 3.0, 0.0])
-    counts, q = np.array([5.0, 4.0, 1.0, 0.0, 0.0]), np.array([0.2, 0.1, 0.3, 0.15, 0.25])
-    head = np.log(np.full(5, 0.4))
-    logs, _ = m.log10(counts, np.full(5, 1), head, head + np.log(q))
-    assert abs((10**logs).sum() - 0.4) < 1e-9
-
-
-def test_training_lowers_the_loss():
-    body = np.tile([1, 2, 3, 4, 0], 400)
-    lens = np.full(100, 20)
-    net = lm.Attention(np.log(np.full(5, 0.2)))
-    losses = net.train(*lm.windows(body.copy(), lens, 0), epochs=10, batch=8)
-    assert losses[-1] < 0.6 * losses[0]
-
-
 MSG = "conv_id long, turn long, role string, text string"
 
 
@@ -193,35 +129,6 @@ def test_pipeline_stages(spark):
     assert (p.start == pd.Series([0, *p.n_tokens.cumsum()[:-1]])).all()
 
 
-def test_network_learns_from_every_training_document(spark, monkeypatch):
-    tokenizer = lm.word_bpe_path()
-    rows = [(i, " ".join(f"word{(i * 7 + j) % 50}" for j in range(20 + i % 9))) for i in range(60)]
-    df = spark.createDataFrame([*rows, rows[0], (None, None), (None, "")], "doc_id long, text string")
-    words = lm.word_counts(df)
-    n = words.agg(F.sum("c")).first()[0]
-    total = int(lm.id_counts(words, tokenizer)[0].sum())
-    monkeypatch.setattr(lm, "SHARD_IDS", total // 6)
-    seen = []
-    shards = lm.shard_texts
-    monkeypatch.setattr(lm, "shard_texts", lambda *a: seen.append(shards(*a)) or seen[-1])
-    model, losses = lm.train_model(df, words, n, tokenizer)
-    told = seen[0].collect()
-    assert len(told) > 3
-    assert sum(r.ids for r in told) == sum(len(r.body) for r in told) == total
-    assert sum(len(r.lens) // 4 for r in told) == len(rows) + 3
-    assert len(losses) == lm.EPOCHS and losses[-1] < losses[0]
-    assert lm.OWN_CLASSES == 222 and model.of.max() < 256
-
-
-def test_one_shard_is_plain_training(spark):
-    body, lens = np.tile([1, 2, 3, 4, 0], 400), np.full(100, 20)
-    taught = spark.createDataFrame([(s, 2000, bytes(body.astype(np.uint8)), lens.astype(np.int32).tobytes()) for s in range(3)], "shard long, ids long, body binary, lens binary")
-    net = lm.Attention(np.log(np.full(5, 0.2)))
-    losses = lm.train_shards(net, taught, 0, 10)
-    alone = lm.Attention(np.log(np.full(5, 0.2))).train(*lm.windows(body.copy(), lens, 0), epochs=10)
-    assert abs(losses[0] - alone[0]) < 0.1 and losses[-1] < losses[0]
-
-
 def test_quotations_wrapped_anew_and_foreign_authors(spark):
     para = "The first words of a long\nparagraph that somebody\nwrote by hand"
     rows = [(1, 0, "u", "before\n\n" + para + "\n\nafter"), (2, 0, "u", "> the first words of\n> a long paragraph that\n> somebody wrote by hand\nyes")]
