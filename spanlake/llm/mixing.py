@@ -6,9 +6,13 @@ in shuffled order (wrapping round for another pass). Positions on a source's lin
 two-level prefix sums (bucket totals first, then inside a bucket), so a source with a third of all rows never
 meets in one task.
 
+The slots order the mix: every prefix of it keeps the weights. ``mix_sources`` counts what the scheduled blocks take of
+each document and tells its first slot; ``mixed_documents`` delivers the documents in slot order.
+
 Defined results: a null text has size 0; a null source is a source of its own, last; sources without words get
-target 0; documents of size 0 are never taken; repeated rows are separate documents; an empty table gives an
-empty result; extra columns are ignored.
+target 0; documents of size 0 are never taken; a null doc_id is ordered as an empty one; repeated rows are separate
+documents, and ties in the shuffled order go by id, text and row; a text of any length spans as many blocks as it needs;
+an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, free_names, materialize
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -32,8 +36,10 @@ def word_count(name: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(name), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, rid: Column | None = None) -> DataFrame:
+    """Key, size and order of every row, and ``rid`` that tells rows apart; to be written before it is used twice."""
     return docs.select(
+        (F.monotonically_increasing_id() if rid is None else rid).alias("rid"),
         "doc_id",
         "source",
         F.coalesce(F.col("source"), F.lit("")).alias("src"),
@@ -85,7 +91,7 @@ def _line(keyed: DataFrame, targets: DataFrame) -> DataFrame:
     sums = d.groupBy(*_KEY, "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy(*_KEY).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words").join(targets, _KEY)
-    inside = Window.partitionBy(*_KEY, "bucket").orderBy("ord", "doc_id", "th").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*_KEY, "bucket").orderBy("ord", "doc_id", "th", "rid").rowsBetween(Window.unboundedPreceding, 0)
     return (
         d.withColumn("upto", F.sum("size").over(inside))
         .join(sums, [*_KEY, "bucket"])
@@ -155,62 +161,68 @@ def mix_schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFram
     )
 
 
-def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, taken)``, one row for each row of ``docs(doc_id, text, source)``.
-
-    ``taken`` counts the document's words in all scheduled blocks, repeats included. The taken words of a source
-    add up to its target, rounded to a word; a document is taken 3 times at most.
-    """
-    keyed = materialize(_keyed(docs), "mix-docs")
-    targets = materialize(source_targets(keyed.groupBy(*_KEY).agg(F.sum("size").alias("source_size"))), "mix-sources")
+def mix_copies(keyed: DataFrame, targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``(rid, pass, slot, words)``: every pass of the mix through a row of ``keyed``, with the slot of the first block
+    that takes words of it and how many are taken in the pass."""
     line = _line(keyed, targets.select(*_KEY, "source_size", "target"))
-    takes = (
-        mix_schedule(targets, block_words)
-        .groupBy(*_KEY, "block", "words")
-        .agg(F.count("*").alias("times"))
-    )
     b = F.lit(block_words)
     parts = line.where("size > 0").select(
-        "*", F.explode(F.sequence(F.floor(F.col("at") / b), F.floor((F.col("at") + F.col("size") - 1) / b))).alias("block")
+        "rid", *_KEY, "at", "size", F.explode(F.sequence(F.floor(F.col("at") / b), F.floor((F.col("at") + F.col("size") - 1) / b))).alias("block")
     )
     lo = F.greatest(F.col("at") - F.col("block") * b, F.lit(0))
     hi = F.least(F.col("at") + F.col("size") - F.col("block") * b, F.col("words"))
-    own = ["doc_id", "source", "size", "source_size", "target", *_KEY, "at"]
-    some = (
-        parts.join(takes, [*_KEY, "block"], "left")
-        .withColumn("got", F.coalesce(F.greatest(hi - lo, F.lit(0)) * F.col("times"), F.lit(0)))
-        .groupBy(*own)
-        .agg(F.sum("got").alias("taken"))
-    )
-    none = line.where("size = 0").select(*own, F.lit(0).cast("long").alias("taken"))
-    return some.unionByName(none).select("doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
-
-
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: a document taken n times comes n times, and the one document of
-    a source where its target ends comes with as many of its first words (joined by spaces) as are taken."""
-    key = ["doc_id", "src_source", "src_size"]
-    taken = mix_sources(docs).groupBy(
-        F.col("doc_id"), F.col("source").alias("src_source"), F.col("size").alias("src_size")
-    ).agg(F.sum("taken").alias("_taken"), F.count("*").alias("_rows"))
-    taken = taken.select(F.struct(*key).alias("_key"), "_taken", "_rows")
-    keyed = docs.withColumn("_key", F.struct(F.col("doc_id"), F.col("source").alias("src_source"), word_count().alias("src_size")))
-    j = keyed.join(taken, keyed["_key"].eqNullSafe(taken["_key"])).drop(taken["_key"])
-    size, share = F.col("_key.src_size"), F.floor(F.col("_taken") / F.col("_rows"))
-    j = j.withColumn("_full", F.when(size > 0, F.floor(share / size)).otherwise(0)).withColumn("_part", share - F.col("_full") * size)
-    j = j.withColumn("_piece", F.explode(F.concat(
-        F.array_repeat(F.lit(-1).cast("long"), F.col("_full").cast("int")),
-        F.when(F.col("_part") > 0, F.array(F.col("_part").cast("long"))).otherwise(F.array().cast("array<bigint>")),
-    )))
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})")), F.lit(1), F.col("_piece").cast("int")), " ")
-    text = F.when(F.col("_piece") >= 0, cut).otherwise(F.col("text"))
-    out = j.withColumn("text", text)
+    slots = mix_schedule(targets, block_words).select("slot", *_KEY, "pass", "block", "words")
+    some = parts.join(slots, [*_KEY, "block"]).withColumn("got", hi - lo).where("got > 0")
+    return some.groupBy("rid", "pass").agg(F.min("slot").alias("slot"), F.sum("got").cast("long").alias("words"))
+
+
+def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``(doc_id, source, size, source_size, target, taken, first_slot)``, one row for each row of
+    ``docs(doc_id, text, source)``.
+
+    ``taken`` counts the document's words in all scheduled blocks, repeats included, and ``first_slot`` is the first
+    slot of the mix that has some (-1: none). The taken words of a source add up to its target, rounded to a word; a
+    document is taken 3 times at most.
+    """
+    keyed = materialize(_keyed(docs), "mix-docs")
+    targets = _targets(keyed)
+    taken = mix_copies(keyed, targets, block_words).groupBy("rid").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
+    out = keyed.join(targets.select(*_KEY, "source_size", "target"), _KEY).join(taken, "rid", "left")
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("first_slot", F.lit(-1)).cast("long").alias("first_slot"))
+
+
+def _targets(keyed: DataFrame) -> DataFrame:
+    return materialize(source_targets(keyed.groupBy(*_KEY).agg(F.sum("size").alias("source_size"))), "mix-sources")
+
+
+def _first_words(text: Column, n: Column) -> Column:
+    """The text up to its n-th word, with its own white space."""
+    words, between = F.regexp_extract_all(text, F.lit(f"({WORD})")), F.split(text, WORD, -1)
+    return F.array_join(F.zip_with(F.slice(between, F.lit(1), n), F.slice(words, F.lit(1), n), lambda s, w: F.concat(s, w)), "")
+
+
+def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The mix itself, with the columns of ``docs``, in the order of its slots.
+
+    Each pass through a document is a row, at the slot of its first block; a pass that the target cuts short (at most
+    one a source) has the first words of the text, its white space as it was. ``n_chars``, where there is one, follows
+    the text. Documents of size 0 are not in the mix; repeated rows are mixed one by one; an empty table gives an empty
+    mix; columns of any name come through as they are.
+    """
+    rid, slot, words, size = free_names(docs, "rid", "slot", "words", "size")
+    numbered = materialize(docs.withColumn(rid, F.monotonically_increasing_id()), "mix-texts")
+    keyed = materialize(_keyed(numbered, F.col(rid)), "mix-docs")
+    copies = mix_copies(keyed, _targets(keyed), block_words).join(keyed.select("rid", "size"), "rid")
+    copies = copies.select(F.col("rid").alias(rid), F.col("slot").alias(slot), F.col("words").cast("int").alias(words), F.col("size").alias(size))
+    j = numbered.join(copies, rid)
+    cut = F.col(words) < F.col(size)
+    out = j.withColumn("text", F.when(cut, _first_words(F.col("text"), F.col(words))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_piece") >= 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(cut, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.repartitionByRange(F.col(slot)).sortWithinPartitions(slot, rid).select(*docs.columns)
 
 
-OP3_SQL = r"""
+OP3_SQL = rf"""
 with d as (select doc_id, coalesce(source, '') src, source is null src_null,
                   coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint size,
                   md5(cast(doc_id as varchar)) ord from documents),
@@ -221,12 +233,28 @@ c as (select *, sum(source_size) over () - coalesce(sum(cap) over o, 0) as lft,
              sum(weight) over () - coalesce(sum(weight) over o, 0) as rest
       from w window o as (order by cap / weight, rnk rows between unbounded preceding and 1 preceding)),
 l as (select min_by(lft::double / rest::double, cap / weight) as lvl from c where lft * weight <= cap * rest),
-t as (select src, src_null, source_size, case when cap <= lvl * weight then cap::double else lvl * weight end as target from w, l),
-p as (select d.*, t.source_size, t.target, cast(floor(t.target + 0.5) as bigint) as need,
-             coalesce(sum(size) over (partition by d.src, d.src_null order by ord, doc_id rows between unbounded preceding and 1 preceding), 0) as pos
-      from d join t on d.src = t.src and d.src_null = t.src_null)
+t as (select src, src_null, rnk, source_size, case when cap <= lvl * weight then cap::double else lvl * weight end as target from w, l),
+n as (select *, cast(floor(target + 0.5) as bigint) as need, (source_size + {BLOCK_WORDS - 1}) // {BLOCK_WORDS} as blocks from t),
+k as (select *, case when source_size > 0 then need // source_size else 0 end as n_full from n),
+q as (select *, need - n_full * source_size as rest, n_full * blocks + (need - n_full * source_size + {BLOCK_WORDS - 1}) // {BLOCK_WORDS} as slots from k),
+h as (select *, (sum(slots) over (order by rnk))::double / (sum(slots) over ())::double as hi from q where target > 0),
+v as (select *, coalesce(lag(hi) over (order by rnk), 0.0::double) as lo, (sum(slots) over ())::bigint as total from h),
+p as (select i, x - floor(x) as u from (
+        select i, (i // {_CHUNK})::double * {_PHI_CHUNK!r}::double + (i % {_CHUNK} + 1)::double * {_PHI!r}::double as x
+        from (select unnest(range(0, (select max(total) from v))) as i))),
+dealt as (select i as slot, src, src_null, row_number() over (partition by src, src_null order by i) - 1 as source_rank from p join v on u >= lo and u < hi),
+got as (select src, src_null, count(*) as g from dealt group by all),
+tail as (select total + unnest(range(coalesce(g, 0), slots)) as slot, src, src_null, unnest(range(coalesce(g, 0), slots)) as source_rank
+         from v left join got using (src, src_null)),
+sl as (select a.slot, a.src, a.src_null, a.source_rank // blocks as pass, a.source_rank % blocks as block, source_size, n_full, rest
+       from (from dealt union all from tail) a join v using (src, src_null) where a.source_rank < slots),
+sw as (select *, least({BLOCK_WORDS}, case when pass < n_full then source_size else rest end - block * {BLOCK_WORDS}) as words from sl),
+line as (select d.*, coalesce(sum(size) over (partition by src, src_null order by ord, doc_id rows between unbounded preceding and 1 preceding), 0) as pos from d),
+part as (select doc_id, src, src_null, pos, size, unnest(range((pos // {BLOCK_WORDS})::bigint, ((pos + size - 1) // {BLOCK_WORDS})::bigint + 1)) as block from line where size > 0),
+took as (select doc_id, slot, least(pos + size - block * {BLOCK_WORDS}, words) - greatest(pos - block * {BLOCK_WORDS}, 0) as got
+         from part join sw using (src, src_null, block)),
+f as (select doc_id, sum(got)::bigint as taken, min(slot)::bigint as first_slot from took where got > 0 group by doc_id)
 select doc_id, nullif(src, case when src_null then '' end) as source, size, source_size, target,
-       case when source_size = 0 then 0 else
-         (need // source_size) * size + greatest(0, least(pos + size, need % source_size) - least(pos, need % source_size)) end::bigint as taken
-from p
+       coalesce(taken, 0)::bigint as taken, coalesce(first_slot, -1)::bigint as first_slot
+from d join t using (src, src_null) left join f using (doc_id)
 """

@@ -75,6 +75,42 @@ def test_mixed_documents_follow_the_mix(spark):
     assert words == {r.doc_id: r.taken for r in mixing.mix_sources(d).collect() if r.taken}
 
 
+def test_words_delivered_are_words_taken_with_repeated_rows(spark):
+    """Rows of one id, of one text, and wholly repeated rows; white space stays, and clashing columns keep their values."""
+    rnd = random.Random(9)
+    rows = [(i % 25, "\n ".join(f"w{i}" for _ in range(rnd.randrange(0, 700))) + " \t", "abc"[i % 3]) for i in range(80)]
+    rows += rows[:20] + [(3, None, "a"), (None, "x  y\tz", None), (None, "x  y\tz", None), (7, "long " * 30_000, "b")]
+    d = docs(spark, rows).withColumns({"slot": F.lit("s"), "rid": F.lit("r"), "words": F.lit(5), "_key": F.lit(6), "_taken": F.lit(7), "pass": F.lit(8)})
+    taken = mixing.mix_sources(d).groupBy("doc_id").agg(F.sum("taken").alias("n")).where("n > 0").collect()
+    out = mixing.mixed_documents(d).collect()
+    got = {}
+    texts = {t for _, t, _ in rows}
+    whole = 0
+    for r in out:
+        got[r.doc_id] = got.get(r.doc_id, 0) + len(r.text.split())
+        assert (r.slot, r.rid, r.words, r._key, r._taken, r["pass"]) == ("s", "r", 5, 6, 7, 8) and r.n_chars == len(r.text)
+        whole += r.text in texts
+        assert r.text in texts or any(t and t.startswith(r.text) for t in texts)
+    assert got == {r.doc_id: r.n for r in taken}
+    assert len(out) - whole <= 4  # a cut pass a source
+
+
+def test_prefixes_of_the_mix_keep_the_weights(spark):
+    d = docs(spark, [(i, "w " * (20 + i % 17), "abcd"[(i * i) % 4]) for i in range(3000)])
+    out = mixing.mixed_documents(d, block_words=32).select("source", mixing.word_count().alias("n")).collect()
+    total = {}
+    for r in out:
+        total[r.source] = total.get(r.source, 0) + r.n
+    whole = sum(total.values())
+    so_far, seen = dict.fromkeys(total, 0), 0
+    for r in out:
+        so_far[r.source] += r.n
+        seen += r.n
+        if seen > 0.1 * whole:
+            for s, t in total.items():
+                assert abs(so_far[s] / seen - t / whole) < 0.03
+
+
 def test_empty_tables(spark):
     d = docs(spark, []) if False else spark.createDataFrame([], DOCS)
     assert mixing.mix_sources(d).count() == 0
