@@ -9,7 +9,9 @@ The items are the query set: they are cut into blocks of at most ``BLOCK_BYTES``
 and every document is read against every block. A block alone is ever held by the driver or a worker.
 
 Defined results: a null text has no words; items without words are ignored; a null item_id reads as the empty
-text; repeated items count once per id; an empty benchmark leaves all documents clean; repeated rows are separate.
+text; repeated items count once per id, and items of equal texts each; an empty benchmark leaves all documents clean;
+repeated rows are separate; a null doc_id is kept as it is; a text of any length is read whole; an empty table gives an
+empty result; extra columns are ignored or handed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold, map_arrow, materialize, text_or_empty
+from .common import free_names, hold, map_arrow, materialize, text_or_empty
 
 WINDOW = 10
 MAX_COVERAGE = 0.5
@@ -168,17 +170,17 @@ def _merge(spans: list[int], more: list[int]) -> list[int]:
     return out
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with ``_words`` (count), ``_spans`` (hit word ranges, flat) and ``_items`` (item ids) added."""
+def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, list[str]]:
+    """``docs`` with three columns more, and their free names: the count of words, the hit word ranges (flat) and the
+    item ids."""
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), text_or_empty().alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size * 5 // (block_bytes * 4)))
     items = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = docs.withColumns({
-        "_words": F.lit(0).cast("long"), "_spans": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")
-    })
+    names = free_names(docs, "words", "spans", "items")
+    out = docs.withColumns(dict(zip(names, (F.lit(0).cast("long"), F.array().cast("array<int>"), F.array().cast("array<string>")), strict=True)))
     at = docs.columns.index("text")
     n_cols = len(docs.columns)
     for k in range(blocks):
@@ -195,26 +197,26 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
                 spans.append(_merge(s0.as_py(), s) if len(s0) else s)
                 found.append(sorted({*i0.as_py(), *i}) if i or len(i0) else [])
             cols = [*b.columns[:n_cols], pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))]
-            return pa.RecordBatch.from_arrays(cols, [*b.schema.names[:n_cols], "_words", "_spans", "_items"])
+            return pa.RecordBatch.from_arrays(cols, [*b.schema.names[:n_cols], *names])
 
-        out = map_arrow(out, run, f"{fields}, _words long, _spans array<int>, _items array<string>")
+        out = map_arrow(out, run, f"{fields}, {names[0]} long, {names[1]} array<int>, {names[2]} array<string>")
         if k % 2 and k + 1 < blocks:
             out = materialize(out, "hits")
-    return out
+    return out, names
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)``, one row for each row of ``docs``."""
-    h = with_hits(docs.select("doc_id", "text"), benchmark, window)
-    pairs = F.transform(F.sequence(F.lit(0), (F.size("_spans") / 2).cast("int") - 1), lambda i: F.get("_spans", 2 * i + 1) - F.get("_spans", 2 * i))
-    n_hit = F.when(F.size("_spans") > 0, F.aggregate(pairs, F.lit(0).cast("long"), lambda a, x: a + x)).otherwise(F.lit(0).cast("long"))
+    h, (words, spans, items) = with_hits(docs.select("doc_id", "text"), benchmark, window)
+    pairs = F.transform(F.sequence(F.lit(0), (F.size(spans) / 2).cast("int") - 1), lambda i: F.get(spans, 2 * i + 1) - F.get(spans, 2 * i))
+    n_hit = F.when(F.size(spans) > 0, F.aggregate(pairs, F.lit(0).cast("long"), lambda a, x: a + x)).otherwise(F.lit(0).cast("long"))
     return h.select(
         "doc_id",
-        F.col("_words").alias("n_words"),
+        F.col(words).alias("n_words"),
         n_hit.alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "_items"), 256).alias("items_sha256"),
-        (F.size("_spans") > 0).alias("contaminated"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"),
+        (F.size(spans) > 0).alias("contaminated"),
     )
 
 
@@ -222,9 +224,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     """``docs`` without the hit spans; documents covered beyond ``max_coverage`` of their words go altogether.
 
     A span is cut from the first letter of its first word to the last letter of its last word. Documents without
-    hits come back untouched; ``n_chars``, where there is one, follows the text.
+    hits come back untouched; ``n_chars``, where there is one, follows the text. Columns of any name come through with
+    their values; an empty table gives an empty one.
     """
-    h = with_hits(docs, benchmark, window)
+    h, _ = with_hits(docs, benchmark, window)
     n_cols = len(docs.columns)
     at = docs.columns.index("text")
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1

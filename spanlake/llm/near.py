@@ -10,19 +10,22 @@ over a few hundred texts are dealt in blocks against blocks, so that no task hol
 
 Words are split at white space, in lower case. Defined results: a text of fewer words than n has one n-gram, all
 of them; texts without words (null, empty, blank) are never linked; repeated rows are copies of one text; a null
-doc_id is the least; extra columns are ignored; an empty table gives an empty result.
+doc_id is the least; where a class's least doc_id stands on several rows, the text of the least hash represents it; a
+text of any length is read whole; extra columns are ignored, whatever their names (``drop_near_duplicates`` hands them
+on); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, hold, map_arrow, materialize, sorted_groups, text_or_empty
+from .common import connected_components, free_names, hold, map_arrow, materialize, sorted_groups, text_or_empty
 
 N_WORDS = 5
 THRESHOLD = 0.8
@@ -82,14 +85,21 @@ def set_id(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
 
 
-def signature(grams: np.ndarray, hashes: int) -> np.ndarray:
-    """MinHash values of a set, 32 bits each."""
+@lru_cache(maxsize=4)
+def _coefficients(hashes: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240229)
     a = rng.integers(1, 1 << 63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    c = rng.integers(0, 1 << 63, hashes, dtype=np.uint64)
+    return a, rng.integers(0, 1 << 63, hashes, dtype=np.uint64)
+
+
+def signature(grams: np.ndarray, hashes: int) -> np.ndarray:
+    """MinHash values of a set, 32 bits each."""
+    a, c = _coefficients(hashes)
     out = np.full(hashes, 0xFFFFFFFF, dtype=np.uint64)
-    for s in range(0, len(grams), 2048):
-        v = (grams[s : s + 2048, None] * a + c) >> np.uint64(32)
+    for s in range(0, len(grams), 512):  # a slab stays in the cache of a core
+        v = grams[s : s + 512, None] * a
+        v += c
+        v >>= np.uint64(32)
         np.minimum(out, v.min(axis=0), out=out)
     return out.astype(np.uint32)
 
@@ -266,16 +276,22 @@ def near_duplicates(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESH
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> DataFrame:
-    """``docs`` with one document of each class, the one of the least id; texts without words all stay."""
+    """``docs`` with one document of each class, the one of the least id; texts without words all stay.
+
+    Columns of any name come through with their values; an empty table gives an empty one.
+    """
     c = _classes(docs, n, threshold, recall).where("sid is not null")
     kept = c.where(F.col("doc_id").eqNullSafe(F.col("class_doc")) & (F.col("th") == F.col("class_th")))
     drop = c.select("doc_id", "th").distinct().join(
         kept.select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th")).distinct(), F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("th") == F.col("k_th")), "left_anti"
     )
     drop = materialize(drop.select(F.col("doc_id").alias("d_id"), F.col("th").alias("d_th")), "dropped")
-    d = docs.withColumn("_th", F.xxhash64("text"))
-    left = d.join(drop, d["doc_id"].eqNullSafe(drop["d_id"]) & (d["_th"] == drop["d_th"]), "left_anti")
+    th, once = free_names(docs, "th", "once")
+    d_id, d_th = free_names(docs, "d_id", "d_th")
+    d = docs.withColumn(th, F.xxhash64("text"))
+    drop = drop.select(F.col("d_id").alias(d_id), F.col("d_th").alias(d_th))
+    left = d.join(drop, d["doc_id"].eqNullSafe(drop[d_id]) & (d[th] == drop[d_th]), "left_anti")
     blank = F.trim(F.regexp_replace(text_or_empty(), r"\s+", " ")) == ""
     # repeated rows of one document are copies too: one of them stays
-    once = F.when(blank, F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("long"))
-    return left.withColumn("_once", once).dropDuplicates(["doc_id", "_th", "_once"]).select(*docs.columns)
+    left = left.withColumn(once, F.when(blank, F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("long")))
+    return left.dropDuplicates(["doc_id", th, once]).select(*docs.columns)

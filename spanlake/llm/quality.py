@@ -8,8 +8,9 @@ score is the logistic of the difference of Mahalanobis log densities.
 
 Defined results: null and empty texts have the statistics of an empty text and so one common score; labels that
 are null, neither 0 nor 1, or given more than once for an id with different values do not teach (repeats of one
-value teach once); with a class missing every score is the share of label 1 (0.5 without labels); repeated
-documents are scored each; extra columns are ignored.
+value teach once); a row with a null doc_id is scored and does not teach; with a class missing every score is the
+share of label 1 (0.5 without labels); repeated documents are scored each; a text of any length is read whole; an empty
+table gives an empty result; extra columns are ignored, whatever their names (``keep_quality`` hands them on).
 """
 
 from __future__ import annotations

@@ -1,14 +1,17 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features say which hashed byte n-grams (of text in lower case, with words marked at their ends) a document holds.
-Document counts of every feature are summed by Spark over all labelled training rows and give the log-count
-ratios; features with a ratio under ``MIN_RATIO`` carry nothing and are left out. A logistic regression over the
-ratio-scaled features is fitted on a sample of at most about ``SAMPLE_ROWS`` labelled rows, picked by a hash of
-the id. Every whole text is scored.
-
-Defined results: null and empty texts hold no n-gram and get one common score; labels that are null, neither 0
-nor 1, or contradict each other do not teach; with a class missing every score is the share of label 1 (0.5
-without labels); repeated documents are scored each; extra columns are ignored.
+Features say which hashed n-grams of characters (code points of the text in lower case, words marked at their ends) a
+document holds. Document counts of every feature are summed by Spark over all labelled training rows and give the
+log-count ratios; features with a ratio under ``MIN_RATIO`` carry nothing and are left out (on held-out rows keeping
+them all is worse). A logistic regression over the ratio-scaled features is fitted on a sample of about ``SAMPLE_ROWS``
+labelled rows, those with the least hashes of the id; a sampled row sends its features with a ratio only, whatever the
+length of its text. Every whole text is scored.
+
+Defined results: null and empty texts hold no n-gram and get one common score; a text of any length is read whole;
+labels that are null, neither 0 nor 1, or contradict each other do not teach; a row with a null doc_id is scored and
+does not teach; with a class missing every score is the share of label 1 (0.5 without labels); repeated documents are
+scored each (equal texts get equal scores); an empty table gives an empty result; extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, map_arrow, text_or_empty
 from .quality import FOLDS, training_labels
 
-GRAMS = (4, 5, 6)
+GRAMS = (3, 4, 5)
 BITS = 18
 SMOOTH = 0.005  # documents of smoothing for each training document of label 1
 MIN_RATIO = 1.5
@@ -31,14 +34,14 @@ SAMPLE_ROWS = 12_000
 ROUNDS = 150
 PENALTY = 1e-3
 THRESHOLD = 0.5
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c in (9, 10, 11, 12, 13) else c for c in range(256))
 _PRIME = np.uint32(0x01000193)
 _MIX = np.uint32(0x9E3779B1)
 
 
 def gram_buckets(text: str) -> np.ndarray:
-    """The bucket of every n-gram occurrence of a text."""
-    b = np.frombuffer((" " + text + " ").encode("utf-8").translate(_LOWER), np.uint8).astype(np.uint32)
+    """The bucket of every n-gram occurrence of a text; grams are of characters (code points)."""
+    b = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    b[(b >= 9) & (b <= 13)] = 32
     out = []
     for n in GRAMS:
         if len(b) < n:
@@ -46,8 +49,8 @@ def gram_buckets(text: str) -> np.ndarray:
         m = len(b) - n + 1
         h = np.full(m, n, dtype=np.uint32)
         for k in range(n):
-            h *= _PRIME
             h ^= b[k : k + m]
+            h *= _PRIME
         h ^= h >> np.uint32(15)
         h *= _MIX
         out.append(h >> np.uint32(32 - BITS))
@@ -59,7 +62,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, name: str, share: float = 1.0)
     lab = training_labels(labels, name)
     d = docs.where(F.col("doc_id").isNotNull() & (crc_mod("doc_id", FOLDS) != 0)).select("doc_id", text_or_empty().alias("text"))
     if share < 1:
-        picked = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string")), F.lit(1_000_000)) < int(share * 1_000_000)
+        picked = F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string")) < int((share - 0.5) * 2**64)
         lab, d = lab.where(picked), d.where(picked)
     return d.join(lab.hint("merge"), "doc_id")  # labels grow with the documents: never broadcast
 

@@ -82,8 +82,8 @@ def test_decontamination_equals_brute_force(spark):
     d, b = docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")
     named = [("" if i is None else i, t) for i, t in items]
     for block in (1 << 20, 300):
-        h = decontaminate.with_hits(d.select("doc_id", "text"), b, block_bytes=block).collect()
-        for r in h:
+        h, names = decontaminate.with_hits(d.select("doc_id", "text"), b, block_bytes=block)
+        for r in h.withColumnsRenamed(dict(zip(names, ("_words", "_spans", "_items"), strict=True))).collect():
             n, _, found, hit = leaks(r.text, named)
             got = {p for s, e in zip(r._spans[::2], r._spans[1::2], strict=True) for p in range(s, e)}
             assert (r._words, got, set(r._items)) == (n, hit, found)
