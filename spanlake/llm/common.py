@@ -37,7 +37,7 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-_releases: dict[str, Callable[[], None]] = {}
+_held: dict[str, list[Callable[[], None]]] = {}
 
 
 def hold(name: str, release: Callable[[], None]) -> None:
@@ -45,10 +45,12 @@ def hold(name: str, release: Callable[[], None]) -> None:
 
     A worker serves many stages one after another; what an earlier one kept must not stay beside the next one's.
     """
-    if name not in _releases:
-        for other in list(_releases):
-            _releases.pop(other)()
-        _releases[name] = release
+    for other in [x for x in _held if x != name]:
+        for f in _held.pop(other):
+            f()
+    kept = _held.setdefault(name, [])
+    if release not in kept:
+        kept.append(release)
 
 
 def crc_mod(name: str, modulus: int) -> Column:

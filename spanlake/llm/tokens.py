@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize, new_path, text_or_empty
-from .wordbpe import WordEncoder
+from .wordbpe import WordEncoder, id_type, vocabulary
 
 END_ID = 1
 LANES = 1024
@@ -220,10 +220,10 @@ def _blocks(it: Iterator[pa.RecordBatch], coder: Coder, dtype: str, block_ids: i
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = END_ID, block_ids: int = BLOCK_IDS) -> None:
     """Encode all texts of ``docs(doc_id, text)`` and write the file set to ``path``, in ascending doc_id order."""
     spark = docs.sparkSession
-    enc = WordEncoder(tokenizer)
-    dtype = enc.dtype.str
+    vocab = vocabulary(tokenizer)
+    dtype = id_type(vocab).str
     coded = materialize(encode_texts(docs, tokenizer, end_id), "token-ids")
-    counts = _token_counts(coded, dtype, enc.vocab_size)
+    counts = _token_counts(coded, dtype, vocab)
     freq, bits = shared_frequencies(counts)
     used = np.flatnonzero(freq)
     rows = pa.table({"id": pa.array(used.astype(np.int32)), "freq": pa.array(freq[used]), "n": pa.array(counts[used])})

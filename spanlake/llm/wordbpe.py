@@ -30,6 +30,17 @@ _MARK[list(_TAIL.encode())] = np.arange(len(_TAIL))
 _encoders: dict[str, WordEncoder] = {}
 
 
+def vocabulary(path: str) -> int:
+    """How many ids a tokenizer has."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size()
+
+
+def id_type(vocab: int) -> np.dtype:
+    return np.dtype("<u2") if vocab <= 1 << 16 else np.dtype("<u4")
+
+
 def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Words between ASCII white space: ``(codes, words, ends)``. ``words[codes]`` are the words of all texts one after
     another, those of text i from ``ends[i]`` to ``ends[i + 1]``; white space at an end of a text makes an empty word."""
@@ -45,7 +56,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab_size = self.tokenizer.get_vocab_size()
-        self.dtype = np.dtype("<u2") if self.vocab_size <= 1 << 16 else np.dtype("<u4")
+        self.dtype = id_type(self.vocab_size)
         norm, pre = repr(self.tokenizer.normalizer), repr(self.tokenizer.pre_tokenizer)
         self.by_word = (
             getattr(self.tokenizer.model, "end_of_word_suffix", None) == "</w>" and "Lowercase" in norm and "Removed" in pre and "ByteLevel" in pre
@@ -66,9 +77,9 @@ class WordEncoder:
             self.alphabet = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
     @staticmethod
-    def of(path: str) -> WordEncoder:
-        """One encoder a process and file."""
-        hold("wordbpe", _encoders.clear)
+    def of(path: str, holder: str = "wordbpe") -> WordEncoder:
+        """One encoder a process and file, kept for the operator ``holder``."""
+        hold(holder, _encoders.clear)
         if path not in _encoders:
             _encoders[path] = WordEncoder(path)
         return _encoders[path]
