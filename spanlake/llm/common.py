@@ -73,7 +73,7 @@ def release_memory() -> None:
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of at most so many rows and bytes of text (or of one row), which bound what a worker makes of them.
 
-    Memory goes back to the system after each batch; empty batches are passed over.
+    Memory goes back to the system after each slice; empty batches are passed over.
     """
     for b in batches:
         if not b.num_rows:
@@ -89,8 +89,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int
             e = min(b.num_rows, s + rows, max(s + 1, fits))
             yield b.slice(s, e - s)
             s = e
-        del b
-        release_memory()
+            release_memory()
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> DataFrame:
