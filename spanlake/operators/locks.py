@@ -1,6 +1,7 @@
 """Locks: uses, waits, notifications, contention and wake-up latency.
 
-Rows are ``(name, stream_id, thread_id, seq, date_ns, kind)``; a lock is known by its stream and name.
+Rows are ``(name, stream_id, thread_id, seq, date_ns, kind)``; a lock is known by its stream and name. ``seq`` is the
+order of arrival in a stream. States of locks and threads are two-level scans.
 """
 
 from __future__ import annotations
@@ -8,33 +9,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import CHUNK, running
+
 LOCK = ["stream_id", "name"]
 KEYS = ["stream_id", "thread_id"]
 ORDER = ["date_ns", "seq"]
 MIN_WAIT_NS = 5_000
 
 
-def dedupe_lock_state(df: DataFrame) -> DataFrame:
+def dedupe_lock_state(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Acquire and release rows that change the lock's state; a lock begins free."""
-    w = Window.partitionBy(*LOCK).orderBy(*ORDER)
     use = df.where(F.col("kind").isin("lock_acquired", "lock_released"))
-    return use.withColumn("_was", F.lag("kind", 1, "lock_released").over(w)).where("kind <> _was").drop("_was")
+    d = running(use, LOCK, {"_was": ("last", F.col("kind"))}, before=True, chunk=chunk)
+    return d.where(F.col("kind") != F.coalesce("_was", F.lit("lock_released"))).drop("_was")
 
 
-def lock_uses(df: DataFrame) -> DataFrame:
+def lock_uses(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``(stream_id, name, thread_id, seq, start_ns, end_ns, held_ns)``; the owner is the acquiring thread, a lock
     never released is held to null."""
-    w = Window.partitionBy(*LOCK).orderBy(*ORDER)
-    d = dedupe_lock_state(df).withColumn("end_ns", F.lead("date_ns").over(w)).where("kind = 'lock_acquired'")
+    d = running(dedupe_lock_state(df, chunk), LOCK, {"end_ns": ("last", F.col("date_ns"))}, before=True, backwards=True, chunk=chunk)
+    d = d.where("kind = 'lock_acquired'")
     return d.select(*LOCK, "thread_id", "seq", F.col("date_ns").alias("start_ns"), "end_ns", (F.col("end_ns") - F.col("date_ns")).alias("held_ns"))
 
 
-def wait_ends(df: DataFrame) -> DataFrame:
+def wait_ends(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Waiting is a state of the thread: an acquire or release right after its wait began ends that wait."""
-    w = Window.partitionBy(*KEYS).orderBy(*ORDER)
     d = df.where(F.col("kind").isin("lock_wait_begin", "lock_wait_end", "lock_acquired", "lock_released"))
-    d = d.select("*", F.lag("kind").over(w).alias("_was"), F.lag("date_ns").over(w).alias("_since"), F.lag("name").over(w).alias("_lock"), F.lag("seq").over(w).alias("_seq"))
-    return d.where("kind <> 'lock_wait_begin' and _was = 'lock_wait_begin'")
+    d = running(d, KEYS, {"_p": ("last", F.struct("kind", "date_ns", "name", "seq"))}, before=True, chunk=chunk)
+    d = d.where("kind <> 'lock_wait_begin' and _p.kind = 'lock_wait_begin'")
+    return d.select("*", F.col("_p.date_ns").alias("_since"), F.col("_p.name").alias("_lock"), F.col("_p.seq").alias("_seq")).drop("_p")
 
 
 def lock_waits(df: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ def profile(scopes: DataFrame, kind: str = "time", rng: tuple[int, int] | None =
     """Nodes of the call tree: siblings of one name merge. ``(keys, path, depth, calls, value, children, self, first_id, first_ns)``.
 
     ``kind``: time (durations), bytes or calls (columns ``bytes`` and ``allocs`` of ``scopes``). With ``rng`` the roots
-    are the scopes wholly inside, at each thread's first level that has any; with ``scope_id`` the root is one scope.
+    are the scopes wholly inside, at each thread's first level that has any, under a node of the whole range (empty path,
+    depth -1, its value the range's length); with ``scope_id`` the root is one scope.
     """
     s = scopes.withColumn("_v", F.col({"time": "duration_ns", "bytes": "bytes", "calls": "allocs"}[kind]))
     if scope_id is not None:
@@ -30,7 +31,16 @@ def profile(scopes: DataFrame, kind: str = "time", rng: tuple[int, int] | None =
     kids = node.where("depth > 0").groupBy(*keys, F.slice("path", F.lit(1), F.size("path") - 1).alias("path")).agg(F.sum("value").alias("children"))
     out = node.join(kids, [*keys, "path"], "left").fillna(0, ["children"]).withColumn("self", F.col("value") - F.col("children"))
     out = out.where("value <> 0") if drop_zero else out
-    return out.select(*keys, "path", "depth", "calls", "value", "children", "self", "first_id", "first_ns")
+    out = out.select(*keys, "path", "depth", "calls", "value", "children", "self", "first_id", "first_ns")
+    if rng is None:
+        return out
+    top = out.where("depth = 0").groupBy(*keys).agg(F.sum("value").alias("children"), F.min("first_id").alias("first_id"))
+    length = F.lit(rng[1] - rng[0]).cast("long") if kind == "time" else F.col("children")
+    whole = top.select(
+        *keys, F.array().cast("array<string>").alias("path"), F.lit(-1).alias("depth"), F.lit(1).cast("long").alias("calls"), length.alias("value"), "children",
+        (length - F.col("children")).alias("self"), "first_id", F.lit(rng[0]).cast("long").alias("first_ns"),
+    )
+    return out.unionByName(whole)
 
 
 def flat_profile(prof: DataFrame, order_by: str | None = None, keys: list[str] | None = None) -> DataFrame:

@@ -18,6 +18,7 @@ from ..tables import materialize
 KEYS = ["stream_id", "thread_id"]
 ORDER = ["date_ns", "seq"]
 CHUNK = 1 << 20
+MAX_WINDOWS = 48
 
 
 def depths(df: DataFrame, keys: list[str] = KEYS, chunk: int = CHUNK) -> DataFrame:
@@ -61,7 +62,10 @@ def pair_scopes(df: DataFrame, keys: list[str] = KEYS, max_level: int | None = N
 
 
 def _scopes(d: DataFrame, df: DataFrame, keys: list[str], max_level: int | None = None, close_open: bool = True) -> DataFrame:
-    p = _paired(d, keys)
+    return _scope_rows(_paired(d, keys), df, keys, max_level, close_open)
+
+
+def _scope_rows(p: DataFrame, df: DataFrame, keys: list[str], max_level: int | None = None, close_open: bool = True, more: tuple[str, ...] = ()) -> DataFrame:
     if max_level is not None:
         p = p.where(F.col("level") < max_level)
     if close_open:
@@ -80,6 +84,7 @@ def _scopes(d: DataFrame, df: DataFrame, keys: list[str], max_level: int | None
         "end_name",
         F.coalesce((F.col("end_name") != "") & (F.col("end_name") != F.col("name")), F.lit(False)).alias("mismatch"),
         "end_seq",
+        *more,
     )
 
 
@@ -100,31 +105,72 @@ def with_paths(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     The depths are written to a table once; one aggregate over it finds the deepest level, and all ancestors then
     come out of one window sort.
     """
-    return _paths(*_levelled(df, keys), keys)
+    d, deepest = _levelled(df, keys)
+    return _paths(d, deepest, keys).where(F.col("kind").isin("scope_begin", "data")).drop("_end", "end_seq", "end_name")
 
 
 def _paths(d: DataFrame, deepest: int, keys: list[str]) -> DataFrame:
-    d = d.where("kind <> 'scope_end'")
+    """All rows but ends with their ancestors, parents and paths. Where scopes nest deeper than ``MAX_WINDOWS`` levels, the
+    ancestors are found level by level in tables instead of a window for each level."""
+    if deepest >= MAX_WINDOWS:
+        return _deep_paths(d, keys)
     who = F.struct(F.col("name").alias("name"), F.col("seq").alias("id"))
     d = d.withColumn("_up", F.array(*_ancestors_by_level(d, keys, who, deepest)))
-    d = d.where(F.col("kind").isin("scope_begin", "data"))
     n = F.when(F.col("kind") == "scope_begin", F.col("level") + 1).otherwise(F.col("level")).cast("int")
-    d = d.withColumn("_up", F.slice("_up", F.lit(1), n))
+    return _named(d.withColumn("_up", F.slice("_up", F.lit(1), n)))
+
+
+def _named(d: DataFrame) -> DataFrame:
     own = F.when(F.col("kind") == "data", F.array(F.col("name"))).otherwise(F.array().cast("array<string>"))
     parent = F.when(F.col("level") > 0, F.get(F.col("_up"), (F.col("level") - 1).cast("int"))["id"])
     return d.withColumn("parent_id", parent).withColumn("path", F.concat(F.col("_up")["name"], own)).withColumn("scope_path", F.col("_up")["id"]).drop("_up")
 
 
+def _deep_paths(d: DataFrame, keys: list[str]) -> DataFrame:
+    """As ``_paths`` for any depth: the enclosing scope of a row is the last begin one level up, met by a window over
+    thread and level; stacks then double their reach in each round."""
+    begin = F.col("kind") == "scope_begin"
+    asks = d.where(F.col("kind").isin("scope_begin", "data")).withColumn("_l", F.col("level") - 1).withColumn("_id", F.lit(None).cast("long"))
+    gives = d.where(begin).withColumn("_l", F.col("level")).withColumn("_id", F.col("seq")).withColumn("kind", F.lit("_gives"))
+    w = Window.partitionBy(*keys, "_l").orderBy("seq", F.col("_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = asks.unionByName(gives).withColumn("_parent", F.last("_id", ignorenulls=True).over(w)).where("kind <> '_gives'").drop("_l", "_id")
+    rows = materialize(rows.withColumn("_parent", F.when(F.col("level") > 0, F.col("_parent"))), "parents")
+    # stacks of scopes, root first, as far as each round reaches, and the scope before them
+    cur = materialize(rows.where(begin).select(*keys, "seq", F.array(F.struct("name", F.col("seq").alias("id"))).alias("_s"), F.col("_parent").alias("_next")), "stacks")
+    while cur.where("_next is not null").limit(1).count():
+        up = cur.select(*keys, F.col("seq").alias("_next"), F.col("_s").alias("_s2"), F.col("_next").alias("_n2"))
+        j = cur.join(up, [*keys, "_next"], "left")
+        cur = materialize(j.select(*keys, "seq", F.concat(F.coalesce("_s2", F.array().cast("array<struct<name:string,id:bigint>>")), "_s").alias("_s"), F.col("_n2").alias("_next")), "stacks")
+    at = F.when(begin, F.col("seq")).otherwise(F.col("_parent"))
+    out = rows.withColumn("_at", at).join(cur.select(*keys, F.col("seq").alias("_at"), F.col("_s").alias("_up")), [*keys, "_at"], "left")
+    return _named(out.withColumn("_up", F.coalesce("_up", F.array().cast("array<struct<name:string,id:bigint>>"))).drop("_at", "_parent"))
+
+
 def scopes_with_paths(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """``pair_scopes`` with ``parent_id``, ``path`` and ``scope_path``."""
     d, deepest = _levelled(df, keys)
-    p = _paths(d, deepest, keys).where("kind = 'scope_begin'").select(*keys, F.col("seq").alias("scope_id"), "parent_id", "path", "scope_path")
-    return _scopes(d, df, keys).join(p, [*keys, "scope_id"])
+    return _scopes_with_paths(d, deepest, keys)
+
+
+def _scopes_with_paths(d: DataFrame, deepest: int, keys: list[str]) -> DataFrame:
+    more = ("parent_id", "path", "scope_path")
+    if deepest >= MAX_WINDOWS:
+        p = _paths(d, deepest, keys).where("kind = 'scope_begin'").select(*keys, F.col("seq").alias("scope_id"), *more)
+        return _scopes(d, d, keys).join(p, [*keys, "scope_id"])
+    # rows dealt by thread serve the windows over threads and those over threads and levels
+    return _scope_rows(_paired(_paths(d, deepest, keys), keys), d, keys, more=more)
 
 
 def attach_data(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Data events with their enclosing scope and its start; flat events (outside any scope) have none."""
-    d, deepest = _levelled(df, keys)
+    return _attached(*_levelled(df, keys), keys)
+
+
+def _attached(d: DataFrame, deepest: int, keys: list[str]) -> DataFrame:
+    if deepest >= MAX_WINDOWS:
+        up = d.where("kind = 'scope_begin'").select(*keys, F.col("seq").alias("parent_id"), F.col("date_ns").alias("time_ns"))
+        rows = _paths(d, deepest, keys).where("kind = 'data'").join(up, [*keys, "parent_id"], "left")
+        return rows.select(*keys, "seq", "date_ns", "name", "v_double", "level", "parent_id", "time_ns")
     # the enclosing scope is the last begin at the row's level - 1: the latest begin that is not closed
     up = F.array(*_ancestors_by_level(d, keys, F.struct(F.col("seq").alias("id"), F.col("date_ns").alias("start")), deepest))
     d = d.withColumn("_up", up).where("kind = 'data'")
@@ -132,6 +178,12 @@ def attach_data(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return d.select(*keys, "seq", "date_ns", "name", "v_double", "level", p["id"].alias("parent_id"), p["start"].alias("time_ns"))
 
 
+def scopes_and_data(df: DataFrame, keys: list[str] = KEYS) -> tuple[DataFrame, DataFrame]:
+    """``scopes_with_paths`` and ``attach_data`` of one trace, from one table of depths."""
+    d, deepest = _levelled(df, keys)
+    return _scopes_with_paths(d, deepest, keys), _attached(d, deepest, keys)
+
+
 def flat_events(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return depths(df, keys).where("kind = 'data' and depth = 0").select(*keys, "seq", "name")
 
@@ -184,7 +236,7 @@ def locate(scopes: DataFrame, dates: DataFrame, bucket_ns: int) -> DataFrame:
     inside = hit.groupBy(*KEYS, "at_ns").agg(F.max_by("scope_id", F.struct("level", "scope_id")).alias("inside"))
     edges = s.select(*KEYS, F.explode(F.array("start_ns", "end_ns")).alias("t"), "scope_id")
     marks = edges.select(*KEYS, "t", "scope_id", F.lit(None).cast("long").alias("at_ns")).unionByName(d.select(*KEYS, F.col("at_ns").alias("t"), F.lit(None).cast("long").alias("scope_id"), "at_ns"))
-    w = Window.partitionBy(*KEYS).orderBy("t", F.col("at_ns").asc_nulls_first())
+    w = Window.partitionBy(*KEYS).orderBy("t", F.col("at_ns").asc_nulls_first(), "scope_id")
     edge = F.when(F.col("scope_id").isNotNull(), F.struct("t", "scope_id"))
     marks = marks.withColumn("lo", F.last(edge, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
         "hi", F.first(edge, True).over(w.rowsBetween(0, Window.unboundedFollowing))
@@ -215,21 +267,24 @@ def summarize_scopes(scopes: DataFrame, data: DataFrame, mem: DataFrame | None =
 
 
 def instrumentation_errors(df: DataFrame, max_level: int | None = None, max_threads: int | None = None) -> DataFrame:
-    """``(type, thread_id, name, n)`` of orphan ends, name mismatches, events outside scopes and depths over a limit."""
+    """``(type, stream_id, thread_id, name[, file, line], n)`` of orphan ends, name mismatches, events outside scopes, and
+    depths and threads over a limit; file and line where ``df`` has them."""
     d = depths(df)
-    cols = [*KEYS, "name"]
+    at = [c for c in ("file", "line") if c in df.columns]
+    cols = [*KEYS, "name", *at]
     parts = [
         d.where("orphan").select(F.lit("orphan_end").alias("type"), *cols),
         d.where("kind = 'data' and depth = 0").select(F.lit("flat_event").alias("type"), *cols),
-        pair_scopes(df).where("mismatch").select(F.lit("name_mismatch").alias("type"), *cols),
+        _paired(d, KEYS).where("end_name <> '' and end_name <> name").select(F.lit("name_mismatch").alias("type"), *cols),
     ]
     if max_level is not None:
         parts.append(d.where((F.col("kind") == "scope_begin") & (F.col("level") >= max_level)).select(F.lit("max_level").alias("type"), *cols))
     if max_threads is not None:
-        first = df.groupBy(*KEYS).agg(F.min("seq").alias("first"))
-        w = Window.partitionBy("stream_id").orderBy("first", "thread_id")
-        parts.append(first.withColumn("n", F.row_number().over(w)).where(F.col("n") > max_threads).select(F.lit("max_threads").alias("type"), *KEYS, F.lit("").alias("name")))
+        first = df.groupBy(*KEYS).agg(F.min_by(F.struct("seq", *at), "seq").alias("first"))
+        w = Window.partitionBy("stream_id").orderBy("first.seq", "thread_id")  # a row a thread
+        over = first.withColumn("n", F.row_number().over(w)).where(F.col("n") > max_threads)
+        parts.append(over.select(F.lit("max_threads").alias("type"), *KEYS, F.lit("").alias("name"), *[F.col(f"first.{c}").alias(c) for c in at]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy("type", *KEYS, "name").agg(F.count("*").alias("n"))
+    return out.groupBy("type", *cols).agg(F.count("*").alias("n"))

@@ -1,8 +1,8 @@
 """Selection of events by path patterns, grouping under a parent, and search.
 
 A pattern is names joined by ``/``: ``*`` stands for one level, ``**`` for any number, a leading ``.`` anchors at the
-root; without it a pattern matches the end of a path. Patterns are compiled once to a regular expression and run on
-the distinct paths; events are then met by a join on the path.
+root; without it a pattern matches the end of a path. Patterns are compiled once to a regular expression, which meets
+each event's path where it stands, so that the events are planned once and not shuffled.
 """
 
 from __future__ import annotations
@@ -29,15 +29,15 @@ class EventSpec:
             object.__setattr__(self, "events", (self.events,))
 
 
-def pattern_regex(pattern: str) -> str:
-    """An anchored regular expression over names joined by ``SEP``."""
+def pattern_regex(pattern: str, at_root: bool = True) -> str:
+    """An anchored regular expression over names joined by ``SEP``; a leading ``.`` counts only with ``at_root``."""
     names = [x for x in pattern.strip().split("/") if x]
     anchored = bool(names) and names[0] == "."
     if anchored:
         names = names[1:]
     elif names and names[0].startswith(".") and len(names[0]) > 1:
         anchored, names = True, [names[0][1:], *names[1:]]
-    out = "" if anchored else f"(?:[^{SEP}]*{SEP})*"
+    out = "" if anchored and at_root else f"(?:[^{SEP}]*{SEP})*"
     for i, n in enumerate(names):
         last = i == len(names) - 1
         if n == "**":
@@ -72,7 +72,7 @@ def select_events(df: DataFrame, specs: list[EventSpec], threads: DataFrame | No
     ``parent_match`` is the root-most enclosing scope that matches the spec's parent pattern; with a parent pattern
     only events that have one are kept. ``threads(stream_id, thread_id, name)`` is needed for thread patterns.
     """
-    return keep_matches(df.join(matching_paths(df, specs), "path"), specs, threads)
+    return keep_matches(df.withColumn("spec_id", F.explode(spec_ids(specs))), specs, threads)
 
 
 def keep_matches(hit: DataFrame, specs: list[EventSpec], threads: DataFrame | None = None) -> DataFrame:
@@ -103,22 +103,44 @@ def group_under_parent(selected: DataFrame, scopes: DataFrame) -> DataFrame:
     return kids.join(scopes.select(*KEYS, "scope_id", "name", "duration_ns"), [*KEYS, "scope_id"])
 
 
+STAGES = ("no events", "unknown thread", "unknown event name", "event path not found", "not at the event's root", "unknown parent name", "parent path not found", "not at the parent's root", "parents differ", "resolved")
+_FAILS = {"thread": 1, "name": 2, "path": 3, "root": 4, "pname": 5, "ppath": 6, "proot": 7, "under": 8}
+
+
 def explain_unresolved(df: DataFrame, specs: list[EventSpec], threads: DataFrame | None = None) -> DataFrame:
-    """For each spec and event pattern the furthest stage that any path reaches: no event, name, path, parent, resolved."""
-    p = df.select("path", "scope_path").withColumn("_n", F.size("scope_path")).select("path", "_n").distinct().withColumn("_p", _joined())
-    rows = []
+    """``(spec_id, event, stage, reason)``: for each spec and event pattern how far its resolution comes (``STAGES``).
+
+    A parent is asked for on the spec's threads; "parents differ" says that the parent is there, but no event of the
+    pattern stands below it. ``threads(stream_id, thread_id, name)`` is needed for thread patterns. The flags are
+    aggregated over the distinct threads and paths.
+    """
+    scope = F.size("path") == F.size("scope_path")
+    p = df.select(*KEYS, "path", scope.alias("_scope")).distinct().withColumn("_p", _joined())
+    if any(s.thread for s in specs):
+        p = p.join(threads.select(*KEYS, F.col("name").alias("_thread")), KEYS, "left")
+    flags, rows = [], []
     for i, s in enumerate(specs):
-        for e in s.events:
-            leaf = [x for x in e.split("/") if x][-1].lstrip(".")
-            named = F.lit(True) if leaf in ("*", "**") else F.element_at("path", -1) == leaf
-            full = F.col("_p").rlike(pattern_regex(e))
-            ok = F.lit(True)
+        on = F.coalesce(F.col("_thread").rlike(pattern_regex(s.thread)), F.lit(False)) if s.thread else F.lit(True)
+        for j, e in enumerate(s.events):
+            tests = {"thread": on, "name": on & _leaf(e), "path": on & F.col("_p").rlike(pattern_regex(e, False)), "root": on & F.col("_p").rlike(pattern_regex(e))}
             if s.parent:
-                ok = F.exists(F.sequence(F.lit(1), F.greatest(F.size("path") - 1, F.lit(1))), _prefix_matches(pattern_regex(s.parent)))
-            rows.append(F.struct(F.lit(i).alias("spec_id"), F.lit(e).alias("event"), F.when(full & ok, 3).when(full, 2).when(named, 1).otherwise(0).alias("stage")))
-    stages = p.select(F.explode(F.array(*rows)).alias("r")).groupBy("r.spec_id", "r.event").agg(F.max("r.stage").alias("stage"))
-    names = F.element_at(F.array(*[F.lit(x) for x in ("unknown event name", "event path not found", "parent not found", "resolved")]), F.col("stage") + 1)
-    return stages.select("spec_id", "event", "stage", names.alias("reason"))
+                above = F.filter(F.sequence(F.lit(1), F.greatest(F.size("path") - 1, F.lit(1))), _prefix_matches(pattern_regex(s.parent)))
+                here = on & F.col("_scope")
+                tests |= {"pname": here & _leaf(s.parent), "ppath": here & F.col("_p").rlike(pattern_regex(s.parent, False)), "proot": here & F.col("_p").rlike(pattern_regex(s.parent)), "under": tests["root"] & (F.size(above) > 0)}
+            flags += [F.max(c).alias(f"_{i}_{j}_{k}") for k, c in tests.items()]
+            stage = F.when(F.col("_n") == 0, 0)
+            for k, name in enumerate(tests):
+                stage = stage.when(~F.coalesce(F.col(f"_{i}_{j}_{name}"), F.lit(False)), _FAILS[name])
+            stage = stage.otherwise(len(STAGES) - 1)
+            rows.append(F.struct(F.lit(i).alias("spec_id"), F.lit(e).alias("event"), stage.cast("int").alias("stage")))
+    told = p.agg(F.count("*").alias("_n"), *flags).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return told.withColumn("reason", F.element_at(F.array(*[F.lit(x) for x in STAGES]), F.col("stage") + 1))
+
+
+def _leaf(pattern: str) -> Column:
+    """Whether a path ends with the pattern's last name."""
+    leaf = [x for x in pattern.split("/") if x][-1].lstrip(".")
+    return F.lit(True) if leaf in ("*", "**", "") else F.element_at("path", -1) == leaf
 
 
 def collect_until(selected: DataFrame, wanted: list[int] | None = None, unwanted: list[int] | None = None, max_events: int | None = None) -> DataFrame:

@@ -112,6 +112,21 @@ def pick_level(ns_per_point: int, base_ns: int, factor: int = 16, levels: int =
     return k
 
 
+def read_at(s: DataFrame, rollups: DataFrame, rng: tuple[int, int], ns_per_point: int, base_ns: int, factor: int = 16, levels: int = 4) -> DataFrame:
+    """``(series, time_ns, n, lo, hi, value)`` of a range at a resolution: the buckets of the coarsest rollup that is fine
+    enough (``time_ns`` is a bucket's begin, ``value`` its last), or the points themselves where no rollup is.
+
+    Buckets that touch the range are whole.
+    """
+    if ns_per_point < base_ns:
+        d = s.where(F.col("time_ns").between(*rng))
+        return d.select(*SERIES, "time_ns", F.lit(1).cast("long").alias("n"), F.col("value").alias("lo"), F.col("value").alias("hi"), "value")
+    k = pick_level(ns_per_point, base_ns, factor, levels)
+    width = base_ns * factor**k
+    d = rollups.where((F.col("level") == k) & F.col("bucket").between(rng[0] // width, rng[1] // width))
+    return d.select(*SERIES, (F.col("bucket") * width).alias("time_ns"), "n", "lo", "hi", F.col("last").alias("value"))
+
+
 def histogram(s: DataFrame, bins: int = BINS, rng: tuple[int, int] | None = None, keys: list[str] | None = None) -> DataFrame:
     """``(keys, bin, n, lo, hi, peak, peak_ns, peak_thread)`` of non-empty bins, over the bounds of the full series."""
     keys = keys or ["kind", "path"]

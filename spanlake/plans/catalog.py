@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import formats
 from ..operators import cpu, locks, logs, memory, profile, scopes, select, series
 from ..sources import clock, sinks, strings, trace_io
+from ..tables import new_path
 from . import fixtures as fx
 from .fixtures import sql
 
@@ -42,16 +43,16 @@ def _scopes(s: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- sources
 
 
-@_query("s1_read_trace", sql("trace", f" select stream_id, kind, count(*) n from trace where date_ns between {T0} and {T1} group by all"))
+@_query("s1_read_trace", sql("trace", f" select stream_id, kind, count(*) n from trace where stream_id <> 2 and date_ns between {T0} and {T1} group by all"))
 def _(s, d):
-    return fx.trace(s, d).where(F.col("date_ns").between(T0, T1)).groupBy("stream_id", "kind").agg(F.count("*").alias("n"))
+    trace_io.write_trace(fx.trace(s, d), path := new_path(s, "trace"))
+    return trace_io.read_trace(s, path, [0, 1, 3], (T0, T1)).groupBy("stream_id", "kind").agg(F.count("*").alias("n"))
 
 
-@_query("s2_import_streams", "select stream_id, count(*) n, min(event_id) lo from (select 0::bigint stream_id, event_id from events union all select 1, event_id from events where event_id % 3 = 0) group by 1")
+@_query("s2_import_streams", "select stream_id, count(*) n, min(event_id) lo, max(event_id) hi from (select 0::bigint stream_id, event_id from events union all select 1, event_id from events) group by 1")
 def _(s, d):
-    e = _table(s, d, "events")
-    a, b = e.withColumn("stream_id", F.lit(0).cast("long")), e.where("event_id % 3 = 0").withColumn("stream_id", F.lit(1).cast("long"))
-    return a.unionByName(b).groupBy("stream_id").agg(F.count("*").alias("n"), F.min("event_id").alias("lo"))
+    both = trace_io.import_streams(s, [f"{d}/events.parquet", f"{d}/events.parquet"])
+    return both.groupBy("stream_id").agg(F.count("*").alias("n"), F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
 
 
 @_query("s3_merge_streams", sql("trace", """,
@@ -96,29 +97,42 @@ def _part_dictionary(s, d):
     return _table(s, d, "part").where("p_partkey % 5 <> 0").select(F.lpad(F.hex("p_partkey"), 16, "0").alias("hash"), F.col("p_name").alias("value"))
 
 
-@_query("s7_resolve_strings", """select l_orderkey, l_linenumber, case when p_name is null then '@@' || lpad(to_hex(l_partkey), 16, '0') || '@@' else p_name end as text
+@_query("s7_resolve_strings", """select l_orderkey, l_linenumber, case when l_linenumber = 7 then null when p_name is null then '@@' || lpad(to_hex(l_partkey), 16, '0') || '@@' else p_name end as text
 from lineitem left join part on p_partkey = l_partkey and p_partkey % 5 <> 0""")
 def _(s, d):
-    li = _table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.lpad(F.hex("l_partkey"), 16, "0").alias("hash"))
-    return strings.resolve_strings(li, _part_dictionary(s, d)).drop("hash")
+    # a lookup file: the first line of a hash wins, digits of either case
+    line = lambda h, v: F.concat(F.lit("@@"), h, F.lit("@@"), v)
+    both = F.array(line(F.lower("hash"), F.col("value")), line(F.col("hash"), F.lit(" a later line")), F.lit("no line of a hash"))
+    _part_dictionary(s, d).select(F.explode(both).alias("line")).write.text(path := new_path(s, "lookup"))
+    li = _table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") < 7, F.lpad(F.hex("l_partkey"), 16, "0")).alias("hash"))
+    return strings.resolve_strings(li, strings.read_dictionary(s, path)).drop("hash")
 
 
-@_query("s8_decode_text", """select o_orderkey, 'part ' || coalesce(a.p_name, lpad(to_hex(o_custkey), 16, '0')) || ' and ' || coalesce(b.p_name, lpad(to_hex(o_orderkey), 16, '0')) || ' end' decoded
+@_query("s8_decode_text", """select o_orderkey, case when o_orderstatus <> 'P' then 'part ' || coalesce(a.p_name, lpad(to_hex(o_custkey), 16, '0')) || ' and ' || coalesce(b.p_name, lpad(to_hex(o_orderkey), 16, '0')) || ' end' end decoded
 from orders left join part a on a.p_partkey = o_custkey and a.p_partkey % 5 <> 0 left join part b on b.p_partkey = o_orderkey and b.p_partkey % 5 <> 0""")
 def _(s, d):
     tok = lambda c: F.concat(F.lit("@@"), F.lpad(F.hex(c), 16, "0"), F.lit("@@"))
-    o = _table(s, d, "orders").select("o_orderkey", F.concat(F.lit("part "), tok("o_custkey"), F.lit(" and "), tok("o_orderkey"), F.lit(" end")).alias("line"))
+    o = _table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("part "), tok("o_custkey"), F.lit(" and "), tok("o_orderkey"), F.lit(" end"))).alias("line"))
     return strings.decode_text(o, "line", _part_dictionary(s, d), "o_orderkey")
 
 
-@_query("s9_build_dictionary", None)
+def _fnv_sql(text: str, bits: int) -> str:
+    basis, prime = strings.FNV[bits]
+    fold = f"list_reduce(list_prepend({basis}::hugeint, list_transform(string_split({text}, ''), lambda c: ascii(c)::hugeint)), lambda h, b: (xor(h, b) * {prime}::hugeint) % {1 << bits}::hugeint)"
+    return f"lpad(upper(to_hex(({fold})::ubigint)), 16, '0')"
+
+
+@_query("s9_build_dictionary", f"select p_name as \"value\", {_fnv_sql('p_name', 64)} as hash from (select distinct p_name from part)")
 def _(s, d):
     return strings.build_dictionary(_table(s, d, "part"), "p_name")[0]
 
 
-@_query("s9_hash_collisions", None)
+@_query("s9_hash_collisions", f"""with v as (select distinct l_orderkey || '.' || l_linenumber || '.' || unnest(range(8)) as x from lineitem),
+h as (select x, {_fnv_sql('x', 32)} as hash from v) select hash, count(*)::int n from h group by 1 having count(*) > 1""")
 def _(s, d):
-    return strings.build_dictionary(_table(s, d, "documents"), "text", bits=32)[1].select("hash", F.size("values").alias("n"))
+    # numbered names of lines, many enough that some share a hash of 32 bits
+    li = _table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i")).select(F.concat_ws(".", "l_orderkey", "l_linenumber", "i").alias("x"))
+    return strings.build_dictionary(li, "x", bits=32)[1].select("hash", F.size("values").alias("n"))
 
 
 @_query("s10_unwrap_counter", sql("trace", " select stream_id, thread_id, seq, date_ns // 1000000 as full_ticks from trace"))
@@ -249,13 +263,19 @@ def _(s, d):
     return scopes.previous(fx.trace(s, d), 700, 50).select("seq", "kind", "name")
 
 
-@_query("h14_locate", sql("scopes", f""", q as (select distinct stream_id, thread_id, date_ns as at_ns from trace where kind = 'data')
-select q.stream_id, q.thread_id, at_ns, arg_max(scope_id, level * 1000000000 + scope_id) scope_id from q join sc on sc.stream_id = q.stream_id and sc.thread_id = q.thread_id
-and start_ns <= at_ns and at_ns <= end_ns group by all"""))
+@_query("h14_locate", sql("scopes", f""", q as (select distinct stream_id, thread_id, date_ns as at_ns from trace where kind = 'data'),
+i as (select q.stream_id, q.thread_id, at_ns, arg_max(scope_id, level * 1000000000 + scope_id) inside from q join sc on sc.stream_id = q.stream_id and sc.thread_id = q.thread_id
+and start_ns <= at_ns and at_ns <= end_ns group by all),
+e as (select stream_id, thread_id, start_ns t, scope_id from sc union all select stream_id, thread_id, end_ns, scope_id from sc),
+n as (select q.stream_id, q.thread_id, at_ns, max(t) filter (t <= at_ns) lo_t, min(t) filter (t > at_ns) hi_t from q join e using (stream_id, thread_id) group by all),
+m as (select n.*, (select max(scope_id) from e where e.stream_id = n.stream_id and e.thread_id = n.thread_id and t = lo_t) lo,
+(select min(scope_id) from e where e.stream_id = n.stream_id and e.thread_id = n.thread_id and t = hi_t) hi from n)
+select q.stream_id, q.thread_id, q.at_ns, coalesce(inside, case when hi is null or at_ns - lo_t <= hi_t - at_ns then lo else hi end) scope_id, inside is not null contained
+from q left join m using (stream_id, thread_id, at_ns) left join i using (stream_id, thread_id, at_ns)"""))
 def _(s, d):
     t = fx.trace(s, d)
     q = t.where("kind = 'data'").select("stream_id", "thread_id", F.col("date_ns").alias("at_ns"))
-    return scopes.locate(scopes.pair_scopes(t), q, BUCKET).where("contained").drop("contained")
+    return scopes.locate(scopes.pair_scopes(t), q, BUCKET)
 
 
 @_query("h15_overlapping", sql("scopes", f" select stream_id, thread_id, scope_id, level from sc where start_ns <= {T1} and end_ns >= {T0} and level = 1"))
@@ -271,13 +291,16 @@ case when duration_ns > 0 then round(100.0::double * coalesce(k.t, 0)::double /
 from sc left join k on k.stream_id = sc.stream_id and k.thread_id = sc.thread_id and k.parent_id = scope_id left join a on a.stream_id = sc.stream_id and a.thread_id = sc.thread_id and a.parent_id = scope_id"""))
 def _(s, d):
     t = fx.trace(s, d)
-    return scopes.summarize_scopes(scopes.scopes_with_paths(t), scopes.attach_data(t))
+    return scopes.summarize_scopes(*scopes.scopes_and_data(t))
 
 
-@_query("h17_instrumentation_errors", sql("scopes", """, e as (select 'orphan_end' as type, stream_id, thread_id, name from s3 where orphan union all select 'flat_event', stream_id, thread_id, name from s3 where kind = 'data' and depth = 0
-union all select 'name_mismatch', stream_id, thread_id, name from sc where mismatch union all select 'max_level', stream_id, thread_id, name from sc where level >= 8) select type, stream_id, thread_id, name, count(*) n from e group by all"""))
+@_query("h17_instrumentation_errors", sql("scopes", """, e as (select 'orphan_end' as type, stream_id, thread_id, name, name as nm, seq from s3 where orphan union all select 'flat_event', stream_id, thread_id, name, name, seq from s3 where kind = 'data' and depth = 0
+union all select 'name_mismatch', stream_id, thread_id, name, name, scope_id from sc where mismatch union all select 'max_level', stream_id, thread_id, name, name, scope_id from sc where level >= 8
+union all select 'max_threads', stream_id, thread_id, '', arg_min(name, seq), min(seq) from trace group by all qualify row_number() over (partition by stream_id order by min(seq), thread_id) > 20)
+select type, stream_id, thread_id, name, nm || '.cpp' as file, seq % 50 as line, count(*) n from e group by all"""))
 def _(s, d):
-    return scopes.instrumentation_errors(fx.trace(s, d), max_level=8)
+    t = fx.trace(s, d).withColumn("file", F.concat("name", F.lit(".cpp"))).withColumn("line", F.col("seq") % 50)
+    return scopes.instrumentation_errors(t, max_level=8, max_threads=20)
 
 
 # ---------------------------------------------------------------- profiles
@@ -300,7 +323,8 @@ _RANGED = f"""rs as (select * from paths where start_ns >= {T0} and end_ns <= {T
 rp as (select rs.* replace (array_to_string(string_split(path, '/')[r + 1:], '/') as path), r from rs join rt using (stream_id, thread_id))"""
 
 
-@_query("p2_profile_range", sql("scopes", f""",\n{_RANGED} select stream_id, thread_id, path, count(*) calls, sum(duration_ns)::bigint as "value" from rp group by all"""))
+@_query("p2_profile_range", sql("scopes", f""",\n{_RANGED} select stream_id, thread_id, path, count(*) calls, sum(duration_ns)::bigint as "value" from rp group by all
+union all select distinct stream_id, thread_id, '', 1, {T1 - T0} from rp"""))
 def _(s, d):
     p = profile.profile(_scopes(s, d), rng=(T0, T1))
     return p.select("stream_id", "thread_id", F.array_join("path", "/").alias("path"), "calls", "value")
@@ -603,7 +627,7 @@ def _(s, d):
 
 def _series(s, d):
     t = fx.trace(s, d)
-    return series.series(scopes.scopes_with_paths(t), scopes.attach_data(t), locks.lock_uses(fx.locks(s, d)), fx.locks(s, d))
+    return series.series(*scopes.scopes_and_data(t), locks.lock_uses(fx.locks(s, d)), fx.locks(s, d))
 
 
 _SER = f"""{_USES}, ser as (select stream_id, thread_id, 'scope' as kind, path, start_ns as time_ns, scope_id as seq, duration_ns::double as "value" from paths
@@ -672,6 +696,15 @@ def _(s, d):
     return series.build_rollups(_prices(s, d), 86400 * 10**9, 4, 3).select("thread_id", "level", "bucket", "n", "lo", "hi", "first", "last")
 
 
+@_query("t7_read_at", f"""{_PRICE}, b as (select *, time_ns // (86400000000000 * 4) as bucket from pr)
+select thread_id, bucket * 86400000000000 * 4 as time_ns, count(*) n, min(v) lo, max(v) hi, last(v order by time_ns, seq, v) as "value" from b
+where bucket between 694224000000000000 // (86400000000000 * 4) and 820454400000000000 // (86400000000000 * 4) group by all""")
+def _(s, d):
+    p, day = _prices(s, d), 86400 * 10**9
+    out = series.read_at(p, series.build_rollups(p, day, 4, 3), (694224000 * 10**9, 820454400 * 10**9), 10 * day, day, 4, 3)
+    return out.select("thread_id", "time_ns", "n", "lo", "hi", "value")
+
+
 _HIST = f"""{_PRICE}, bd as (select min(v) lo, max(v) hi from pr),
 hh as (select least(floor((v - lo) * 20000 / (hi - lo) + 0.5), 19999)::bigint bin, pr.*, lo, hi from pr, bd),
 hist as (select bin, lo, hi, count(*) n, max(v) peak, first(time_ns order by v desc, time_ns, seq) peak_ns, first(thread_id order by v desc, time_ns, seq) peak_thread from hh group by all)"""
@@ -784,10 +817,21 @@ def _(s, d):
     return select.select_events(_paths(s, d).where("kind = 'data'"), [_PARENT]).select("stream_id", "thread_id", "seq", "parent_match")
 
 
-@_query("e5_explain_unresolved", "select * from (values (0, 'op0/op1', 3, 'resolved'), (0, 'none', 0, 'unknown event name'), (1, 'zz/op1', 1, 'event path not found'), (2, 'm0', 2, 'parent not found')) v(spec_id, event, stage, reason)")
+@_query("e5_explain_unresolved", sql("scopes", r""", f as (select bool_or(regexp_matches(path, '(^|/)op0/op1$')) a, bool_or(regexp_matches(path, '(^|/)none$')) b,
+  bool_or(regexp_matches(path, '(^|/)zz/op1$')) c, bool_or(regexp_matches(path, '(^|/)op1$')) op1, bool_or(regexp_matches(path, '^op0/op2$')) root, bool_or(regexp_matches(path, '(^|/)op0/op2$')) op02,
+  bool_or(regexp_matches(path, '(^|/)nowhere$')) pn from paths), g as (select bool_or(name = 'm0') m0, count(*) n from trace where kind = 'data'),
+t as (select bool_or(thread_id < 0) nobody from trace),
+r as (select 0 spec_id, 'op0/op1' as event, case when a then 9 when op1 then 3 else 2 end as stage from f union all select 0, 'none', case when b then 9 else 2 end from f
+union all select 1, 'zz/op1', case when c then 9 when op1 then 3 else 2 end from f union all select 2, 'm0', case when not m0 then 2 when not pn then 5 else 9 end from f, g
+union all select 3, 'op1', case when not nobody then 1 when op1 then 9 else 2 end from f, t union all select 4, './op0/op2', case when root then 9 when op02 then 4 else 3 end from f)
+select spec_id, event, stage, (['no events', 'unknown thread', 'unknown event name', 'event path not found', 'not at the event''s root', 'unknown parent name', 'parent path not found', 'not at the parent''s root', 'parents differ', 'resolved'])[stage + 1] as reason from r"""))
 def _(s, d):
-    specs = [select.EventSpec(("op0/op1", "none")), select.EventSpec(("zz/op1",)), select.EventSpec(("m0",), parent="nowhere")]
-    return select.explain_unresolved(_paths(s, d), specs)
+    specs = [
+        select.EventSpec(("op0/op1", "none")), select.EventSpec(("zz/op1",)), select.EventSpec(("m0",), parent="nowhere"), select.EventSpec(("op1",), thread="nobody"), select.EventSpec(("./op0/op2",)),
+    ]
+    t = fx.trace(s, d)
+    names = t.select("stream_id", "thread_id").distinct().withColumn("name", F.concat(F.lit("Thread "), F.col("thread_id").cast("string")))
+    return select.explain_unresolved(scopes.with_paths(t), specs, names)
 
 
 @_query("e6_open_parents", sql("attached", _GROUP + """ select h.stream_id, h.thread_id, parent_match as scope_id, count(*) n, any_value(duration_ns) duration_ns from hit h join sc on sc.stream_id = h.stream_id and sc.thread_id = h.thread_id and sc.scope_id = parent_match
@@ -864,15 +908,16 @@ def _(s, d):
     return sinks.log_lines(_formatted(s, d))
 
 
-@_query("x4_series_lines", _ser("""select kind, path, time_ns, seq, time_ns || ',' || case kind when 'notify' then thread_id::varchar when 'lock_use' then thread_id || ',' || "value"::bigint end line from ser where kind in ('notify', 'lock_use')"""))
+@_query("x4_series_lines", _ser("""select kind, path, time_ns, seq, time_ns || ',' || case kind when 'notify' then thread_id::varchar when 'lock_use' then thread_id || ',' || "value"::bigint else coalesce(case when "value" = floor("value") then "value"::bigint::varchar else "value"::decimal(38, 9)::varchar end, '') end line from ser"""))
 def _(s, d):
-    return sinks.series_lines(_series(s, d).where("kind in ('notify', 'lock_use')"))
+    return sinks.series_lines(_series(s, d))
 
 
 @_query("x5_trace_layout", sql("trace", " select stream_id, date_ns // 86400000000000 as day, count(*) n, min(date_ns) lo, max(date_ns) hi from trace group by all"))
 def _(s, d):
-    t = fx.trace(s, d).withColumn("day", F.floor(F.col("date_ns") / (86_400 * 10**9)))
-    return t.groupBy("stream_id", "day").agg(F.count("*").alias("n"), F.min("date_ns").alias("lo"), F.max("date_ns").alias("hi"))
+    trace_io.write_trace(fx.trace(s, d), path := new_path(s, "trace"))
+    t = trace_io.read_trace(s, path)
+    return t.groupBy("stream_id", F.col("day").cast("long").alias("day")).agg(F.count("*").alias("n"), F.min("date_ns").alias("lo"), F.max("date_ns").alias("hi"))
 
 
 @_query("x6_trace_summary", sql("trace", """, f as (select case when kind like 'scope%' then 'scope' else kind end as family, thread_id, date_ns from trace)

@@ -2,41 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scan import CHUNK, running
+
 KEYS = ["stream_id", "thread_id"]
 
 
-def unwrap_counter(df: DataFrame, column: str, bits: int = 32, keys: list[str] = KEYS) -> DataFrame:
+def unwrap_counter(df: DataFrame, column: str, bits: int = 32, keys: list[str] = KEYS, chunk: int = CHUNK) -> DataFrame:
     """``df`` with ``<column>_full``: a counter of few bits made whole; it wrapped where it falls by over a quarter."""
-    w = Window.partitionBy(*keys).orderBy("seq")
     slack = (1 << (bits - 2)) - 1
-    fell = F.when(F.col(column) < F.lag(column, 1, 0).over(w) - slack, 1).otherwise(0)
-    d = df.withColumn("_fell", fell)
-    return d.withColumn(f"{column}_full", F.col(column) + F.lit(1 << bits) * F.sum("_fell").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_fell")
+    d = running(df, keys, {"_last": ("last", F.col(column))}, before=True, chunk=chunk)
+    fell = F.when(F.col(column) < F.coalesce("_last", F.lit(0)) - slack, 1).otherwise(0)
+    d = running(d, keys, {"_wraps": ("sum", fell)}, chunk=chunk)
+    return d.withColumn(f"{column}_full", F.col(column) + F.lit(1 << bits) * F.col("_wraps")).drop("_last", "_wraps")
 
 
 def resync_counter(df: DataFrame, references: DataFrame, column: str, bits: int = 32) -> DataFrame:
     """Whole dates by the reference of each buffer: ``references(stream_id, buffer_id, tick)`` holds a full tick; the
-    counter is the first value at or after it with these low bits."""
+    counter is the value with these low bits that is nearest to it, from half a period before to half a period after."""
     j = df.join(references, ["stream_id", "buffer_id"])
     base = F.col("tick") - F.pmod(F.col("tick"), F.lit(1 << bits)) + F.col(column)
-    return j.withColumn(f"{column}_full", base + F.when(base < F.col("tick") - (1 << (bits - 1)), F.lit(1 << bits)).otherwise(0))
+    half = 1 << (bits - 1)
+    near = F.when(base < F.col("tick") - half, F.lit(1 << bits)).when(base >= F.col("tick") + half, F.lit(-(1 << bits))).otherwise(0)
+    return j.withColumn(f"{column}_full", base + near)
 
 
-def monotonic_dates(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+def monotonic_dates(df: DataFrame, keys: list[str] = KEYS, chunk: int = CHUNK) -> DataFrame:
     """``df`` with ``fixed_ns``: each date if it is later than the fixed one before it, else that one plus 1."""
-    w = Window.partitionBy(*keys).orderBy("seq")
-    d = df.withColumn("_i", F.row_number().over(w).cast("long"))
-    up = F.max(F.col("date_ns") - F.col("_i")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return d.withColumn("fixed_ns", F.col("_i") + F.greatest(F.lit(0).cast("long"), up)).drop("_i")
+    d = running(df, keys, {"_i": ("sum", F.lit(1).cast("long"))}, chunk=chunk)
+    d = running(d, keys, {"_up": ("max", F.col("date_ns") - F.col("_i"))}, chunk=chunk)
+    return d.withColumn("fixed_ns", F.col("_i") + F.greatest(F.lit(0).cast("long"), F.col("_up"))).drop("_i", "_up")
 
 
-def clamp_dates(df: DataFrame) -> DataFrame:
+def clamp_dates(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``df`` with ``fixed_ns``: dates never go back inside a stream, in arrival order."""
-    w = Window.partitionBy("stream_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("fixed_ns", F.max("date_ns").over(w))
+    return running(df, ["stream_id"], {"fixed_ns": ("max", F.col("date_ns"))}, chunk=chunk)
 
 
 def ticks_to_ns(df: DataFrame, calibration: DataFrame, column: str = "tick") -> DataFrame:

@@ -63,8 +63,11 @@ def export_logs(logs: DataFrame, path: str, rng: tuple[int, int] | None = None)
 
 
 def series_lines(s: DataFrame, rng: tuple[int, int] | None = None) -> DataFrame:
+    """``time,value`` by kind of series: the notifying thread, the thread and held time of a lock, else the value, with nine
+    decimals if it is not whole (empty if null)."""
     d = s if rng is None else s.where(F.col("time_ns").between(*rng))
-    last = F.when(F.col("kind") == "notify", F.col("thread_id").cast("string")).when(F.col("kind") == "lock_use", F.concat_ws(",", F.col("thread_id").cast("string"), F.col("value").cast("long").cast("string"))).otherwise(F.col("value").cast("string"))
+    number = F.when(F.col("value") == F.floor("value"), F.col("value").cast("long").cast("string")).otherwise(F.col("value").cast("decimal(38,9)").cast("string"))
+    last = F.when(F.col("kind") == "notify", F.col("thread_id").cast("string")).when(F.col("kind") == "lock_use", F.concat_ws(",", F.col("thread_id").cast("string"), F.col("value").cast("long").cast("string"))).otherwise(F.coalesce(number, F.lit("")))
     return d.select("kind", "path", "time_ns", "seq", F.concat_ws(",", F.col("time_ns").cast("string"), last).alias("line"))
 
 

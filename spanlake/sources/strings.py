@@ -48,28 +48,38 @@ def build_dictionary(df: DataFrame, column: str, bits: int = 64, salt: int = 0)
     return d, d.groupBy("hash").agg(F.collect_set("value").alias("values")).where(F.size("values") > 1)
 
 
-def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """Lines ``@@16HEX@@text``; the first line of a hash wins."""
-    t = spark.read.text(path).select(F.regexp_extract("value", f"^{TOKEN}", 1).alias("hash"), F.expr("substring(value, 21)").alias("value"))
-    return t.where("hash <> ''").groupBy("hash").agg(F.min("value").alias("value"))
+def read_dictionary(spark: SparkSession, path: str, salt: int = 0) -> DataFrame:
+    """``(hash, value)`` of lines ``@@16HEX@@text``: digits of either case, the first line of a hash wins (files in the
+    order of their names). The empty string is known under its 64- and 32-bit hashes with the salt."""
+    line = F.regexp_extract("value", "^@@([0-9A-Fa-f]{16})@@", 1)
+    t = spark.read.text(path).select(
+        F.upper(line).alias("hash"), F.expr("substring(value, 21)").alias("value"),
+        F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")).alias("at"),
+    )
+    t = t.where("hash <> ''").groupBy("hash").agg(F.min_by("value", "at").alias("value"))
+    known = [f"{(basis + salt) % (1 << bits):016X}" for bits, (basis, _) in FNV.items()]
+    empty = spark.createDataFrame([(h, "") for h in known], "hash string, value string")
+    return t.join(empty.select("hash"), "hash", "left_anti").unionByName(empty)
 
 
 def resolve_strings(df: DataFrame, dictionary: DataFrame, column: str = "hash") -> DataFrame:
-    """``df`` with ``text``; an unknown hash stays ``@@HASH@@``."""
-    d = dictionary.select(F.col("hash").alias(column), F.col("value").alias("_v"))
-    return df.join(d, column, "left").withColumn("text", F.coalesce("_v", F.concat(F.lit("@@"), F.col(column), F.lit("@@")))).drop("_v")
+    """``df`` with ``text``; an unknown hash stays ``@@HASH@@`` and a null one is null. Digits of either case are alike."""
+    d = dictionary.select(F.upper("hash").alias("_h"), F.col("value").alias("_v"))
+    j = df.join(d, F.upper(F.col(column)) == F.col("_h"), "left")
+    return j.withColumn("text", F.coalesce("_v", F.concat(F.lit("@@"), F.col(column), F.lit("@@")))).drop("_v", "_h")
 
 
 def decode_text(df: DataFrame, column: str, dictionary: DataFrame, key: str) -> DataFrame:
-    """``(key, decoded)``: every token of a text replaced by its string, unknown tokens by the bare hex.
+    """``(key, decoded)``: every token of a text replaced by its string, unknown tokens by the bare hex; null stays null.
 
     ``key`` is unique. Texts are cut at their tokens, the tokens are joined to the dictionary and put back in order.
     """
-    parts = df.select(key, F.posexplode(F.split(F.regexp_replace(F.col(column), TOKEN, "\u0001$1\u0002"), "\u0001")).alias("at", "piece"))
-    cut = F.instr("piece", "\u0002")
-    parts = parts.select(key, "at", F.when(cut > 0, F.substring_index("piece", "\u0002", 1)).alias("hash"), F.when(cut > 0, F.expr("substring(piece, 18)")).otherwise(F.col("piece")).alias("rest"))
+    rests, tokens = F.split(F.col(column), TOKEN, -1), F.regexp_extract_all(F.col(column), F.lit(TOKEN), F.lit(1))
+    cut = F.arrays_zip(rests.alias("rest"), F.concat(F.array(F.lit(None).cast("string")), tokens).alias("hash"))
+    parts = df.select(key, F.posexplode_outer(cut).alias("at", "p")).select(key, "at", "p.rest", "p.hash")
     got = parts.join(dictionary.select("hash", F.col("value").alias("_v")), "hash", "left").withColumn("_t", F.concat(F.coalesce("_v", "hash", F.lit("")), F.col("rest")))
-    return got.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "_t"))), lambda x: x["_t"]), "").alias("decoded"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "_t"))), lambda x: x["_t"]), "")
+    return got.groupBy(key).agg(F.when(F.count("rest") > 0, whole).alias("decoded"))
 
 
 def first_seen_ids(df: DataFrame, column: str, order: str) -> DataFrame:

@@ -6,23 +6,31 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 REQUIRED = {"stream_id", "thread_id", "seq", "date_ns", "kind", "name"}
+VERSION = 1
 
 
 def read_trace(spark: SparkSession, path: str, streams: list[int] | None = None, rng: tuple[int, int] | None = None) -> DataFrame:
-    """A stored trace; filters on streams and dates reach the scan."""
-    df = spark.read.parquet(path)
+    """A stored trace; filters on streams and dates reach the scan. A trace of another version is refused."""
+    versions = {r.version for r in spark.read.parquet(f"{path}/meta").collect()}  # a row a trace
+    if versions != {VERSION}:
+        raise ValueError(f"a trace of version {sorted(versions)}; this reads version {VERSION}")
+    df = spark.read.parquet(f"{path}/events")
     missing = REQUIRED - set(df.columns)
     if missing:
         raise ValueError(f"not a trace: columns {sorted(missing)} are missing")
+    df = df.withColumn("stream_id", F.col("stream_id").cast("long"))
     if streams is not None:
         df = df.where(F.col("stream_id").isin(streams))
     return df if rng is None else df.where(F.col("date_ns").between(*rng))
 
 
 def write_trace(df: DataFrame, path: str, day_ns: int = 86_400 * 10**9) -> None:
-    """Partitioned by stream and day, sorted by date inside each file so that row groups can be skipped."""
+    """Partitioned by stream and day, sorted by date inside each file so that row groups can be skipped; a stream and day
+    with most of the rows is spread over several files."""
     out = df.withColumn("day", F.floor(F.col("date_ns") / day_ns))
-    out.repartition("stream_id", "day").sortWithinPartitions("stream_id", "day", "date_ns", "seq").write.partitionBy("stream_id", "day").parquet(path)
+    order = ["stream_id", "day", "date_ns", "seq"]
+    out.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("stream_id", "day").parquet(f"{path}/events")
+    df.sparkSession.range(1).select(F.lit(VERSION).alias("version")).coalesce(1).write.parquet(f"{path}/meta")
 
 
 def import_streams(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -20,42 +20,59 @@ def read_live(spark: SparkSession, path: str, schema, max_files: int = 8) -> Dat
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def _pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    stack = [list(x) for x in zip(*state.get, strict=True)] if state.exists else []
+def _keep(state: GroupState, value: tuple | None) -> None:
+    """Keep a state, or none for a key that has nothing open."""
+    if value is not None:
+        state.update(value)
+    elif state.exists:
+        state.remove()
+
+
+def _pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, with_open: bool) -> Iterator[pd.DataFrame]:
+    stack = [list(x) for x in zip(*state.get[:3], strict=True)] if state.exists else []
+    now = state.get[3] if state.exists else 0
     out = []
-    for r in pd.concat(list(batches)).sort_values(["date_ns", "seq"]).itertuples():
+    for r in pd.concat(list(batches)).sort_values("seq").itertuples():
+        now = max(now, r.date_ns)  # a late date moves forward
         if r.kind == "scope_begin":
-            stack.append([r.seq, r.date_ns, r.name])
+            stack.append([r.seq, now, r.name])
         elif r.kind == "scope_end" and stack:
             seq, start, name = stack.pop()
-            out.append((*key, seq, len(stack), name, start, r.date_ns, r.date_ns - start))
-    state.update(tuple(list(x) for x in zip(*stack, strict=True)) if stack else ([], [], []))
-    yield pd.DataFrame(out, columns=[*KEYS, "scope_id", "level", "name", "start_ns", "end_ns", "duration_ns"])
+            out.append((*key, seq, len(stack), name, start, now, now - start, False))
+    if with_open:
+        out += [(*key, seq, level, name, start, now, now - start, True) for level, (seq, start, name) in enumerate(stack)]
+    _keep(state, (*(list(x) for x in zip(*stack, strict=True)), int(now)) if stack else None)
+    yield pd.DataFrame(out, columns=[*KEYS, "scope_id", "level", "name", "start_ns", "end_ns", "duration_ns", "is_open"])
+
 
+def pair_scopes_stream(sdf: DataFrame, with_open: bool = False) -> DataFrame:
+    """Closed scopes of a live trace; the state of a thread is its stack of open scopes.
 
-def pair_scopes_stream(sdf: DataFrame) -> DataFrame:
-    """Closed scopes of a live trace; the state of a thread is its stack of open scopes."""
+    With ``with_open`` every batch also tells the scopes of its threads that are open after it, until now (the thread's
+    last date). Dates never go back: a late one becomes the latest date before it.
+    """
     on_workers(sdf.sparkSession)
     return sdf.groupBy(*KEYS).applyInPandasWithState(
-        _pair, "stream_id long, thread_id long, scope_id long, level int, name string, start_ns long, end_ns long, duration_ns long",
-        "seq array<long>, start array<long>, name array<string>", "append", GroupStateTimeout.NoTimeout,
+        lambda k, b, s: _pair(k, b, s, with_open), "stream_id long, thread_id long, scope_id long, level int, name string, start_ns long, end_ns long, duration_ns long, is_open boolean",
+        "seq array<long>, start array<long>, name array<string>, now long", "append", GroupStateTimeout.NoTimeout,
     )
 
 
 def _use(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held = state.get if state.exists else (None, None, None)
+    held = state.get if state.exists else None
     out = []
     for r in pd.concat(list(batches)).sort_values(["date_ns", "seq"]).itertuples():
-        if r.kind == "lock_acquired" and held[0] is None:
-            held = (r.seq, r.thread_id, r.date_ns)
-        elif r.kind == "lock_released" and held[0] is not None:
+        if r.kind == "lock_acquired" and held is None:
+            held = (int(r.seq), int(r.thread_id), int(r.date_ns))
+        elif r.kind == "lock_released" and held is not None:
             out.append((*key, held[1], held[0], held[2], r.date_ns, r.date_ns - held[2]))
-            held = (None, None, None)
-    state.update(tuple(None if x is None else int(x) for x in held))
+            held = None
+    _keep(state, held)
     yield pd.DataFrame(out, columns=["stream_id", "name", "thread_id", "seq", "start_ns", "end_ns", "held_ns"])
 
 
 def lock_uses_stream(sdf: DataFrame) -> DataFrame:
+    """Uses of locks of a live trace; the state of a lock is its holder, and none while it is free."""
     on_workers(sdf.sparkSession)
     return sdf.groupBy("stream_id", "name").applyInPandasWithState(
         _use, "stream_id long, name string, thread_id long, seq long, start_ns long, end_ns long, held_ns long", "seq long, thread long, start long", "append", GroupStateTimeout.NoTimeout
@@ -63,20 +80,20 @@ def lock_uses_stream(sdf: DataFrame) -> DataFrame:
 
 
 def _alloc(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    live = state.get if state.exists else (None, None, None, None)
+    live = state.get if state.exists else None
     out = []
     for r in pd.concat(list(batches)).sort_values(["seq"]).itertuples():
         if r.kind == "alloc":
             live = (int(r.seq), int(r.thread_id), int(r.size), int(r.date_ns))
-        elif live[0] is not None:
+        elif live is not None:
             out.append((*key, live[0], live[1], live[2], live[3], r.seq, r.thread_id, r.date_ns))
-            live = (None, None, None, None)
-    state.update(live)
+            live = None
+    _keep(state, live)
     yield pd.DataFrame(out, columns=["stream_id", "ptr", "alloc_seq", "thread_id", "size", "start_ns", "free_seq", "free_thread", "end_ns"])
 
 
 def allocations_stream(sdf: DataFrame) -> DataFrame:
-    """Matched allocations of a live trace; the state of a pointer is its live allocation."""
+    """Matched allocations of a live trace; the state of a pointer is its live allocation, and none once it is freed."""
     on_workers(sdf.sparkSession)
     return sdf.groupBy("stream_id", "ptr").applyInPandasWithState(
         _alloc, "stream_id long, ptr long, alloc_seq long, thread_id long, size long, start_ns long, free_seq long, free_thread long, end_ns long",
@@ -95,7 +112,7 @@ def _with_path(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -
         if r.kind in ("scope_begin", "data"):
             path = [x[1] for x in stack] + ([r.name] if r.kind == "data" else [])
             out.append((*key, r.seq, r.date_ns, r.kind, r.name, path, [x[0] for x in stack]))
-    state.update(tuple(list(x) for x in zip(*stack, strict=True)) if stack else ([], []))
+    _keep(state, tuple(list(x) for x in zip(*stack, strict=True)) if stack else None)
     yield pd.DataFrame(out, columns=[*KEYS, "seq", "date_ns", "kind", "name", "path", "scope_path"])
 
 

@@ -149,14 +149,99 @@ def test_printf():
     assert p("%-6d|%g %% %s", [5, 0.5, "x"]) == "5     |0.5 % x"
     assert p("%X %b %d", [255, 5]) == "FF 101 %d"
     assert p("%q", [1]) == "%q"
+    assert p("%a %A %.2a %8a|", [1.0, 0.5, 3.14159, -2.0]) == "0x1p+0 0X1P-1 0x1.92p+1  -0x1p+1|"
 
 
 def test_fnv_and_decoding(spark):
     assert f"{int(strings.fnv1a(['a'])[0]):016X}" == "AF63DC4C8601EC8C"
     assert int(strings.fnv1a(["foobar"], 32)[0]) == 0xBF9CF968
     d = spark.createDataFrame([("00000000000000AB", "hello")], "hash string, value string")
-    t = spark.createDataFrame([(1, "x @@00000000000000AB@@ y @@00000000000000CD@@"), (2, "none"), (3, "")], "k long, line string")
-    assert {r.k: r.decoded for r in strings.decode_text(t, "line", d, "k").collect()} == {1: "x hello y 00000000000000CD", 2: "none", 3: ""}
+    t = spark.createDataFrame([(1, "x @@00000000000000AB@@ y @@00000000000000CD@@"), (2, "none"), (3, ""), (4, None), (5, "\1 @@00000000000000AB@@\2")], "k long, line string")
+    want = {1: "x hello y 00000000000000CD", 2: "none", 3: "", 4: None, 5: "\1 hello\2"}
+    assert {r.k: r.decoded for r in strings.decode_text(t, "line", d, "k").collect()} == want
+
+
+def test_lookup_file(spark, tmp_path):
+    (tmp_path / "f").write_text("@@00000000000000ab@@zz\n@@00000000000000AB@@aa\nno line\n@@00000000000000CD@@\n@@00000000000000xy@@bad\n")
+    got = {r.hash: r.value for r in strings.read_dictionary(spark, str(tmp_path / "f"), salt=2).collect()}
+    assert got == {"00000000000000AB": "zz", "00000000000000CD": "", f"{14695981039346656037 + 2:016X}": "", f"{2166136261 + 2:016X}": ""}
+    df = spark.createDataFrame([("00000000000000ab",), ("00000000000000AB",), ("00000000000000EF",), (None,)], "hash string")
+    d = spark.createDataFrame(list(got.items()), "hash string, value string")
+    assert sorted(str(r.text) for r in strings.resolve_strings(df, d).collect()) == ["@@00000000000000EF@@", "None", "zz", "zz"]
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 7, 1])
+def test_running_values_equal_a_loop(spark, chunk):
+    rnd = random.Random(chunk)
+    rows = [(rnd.randrange(3), i, rnd.choice([None, *range(-5, 9)])) for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, seq long, v int")
+    from spanlake.operators.scan import running
+
+    how = {"s": ("sum", F.col("v")), "hi": ("max", F.col("v")), "lo": ("min", F.col("v")), "l": ("last", F.col("v"))}
+    for before in (False, True):
+        for back in (False, True):
+            got = {r.seq: (r.s, r.hi, r.lo, r.l) for r in running(df, ["k"], how, before, back, chunk).collect()}
+            for k, i, _ in rows:
+                seen = [x for a, j, x in rows if a == k and x is not None and ((j < i or (j == i and not before)) if not back else (j > i or (j == i and not before)))]
+                last = (seen[0] if back else seen[-1]) if seen else None
+                assert got[i] == ((sum(seen), max(seen), min(seen), last) if seen else (None,) * 4)
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 5])
+def test_clocks_and_locks_of_one_hot_key(spark, chunk):
+    """All rows stand under one key, and chunks spread it."""
+    rnd = random.Random(3)
+    rows = [(0, 0, i, max(0, i * 10 + rnd.randrange(-40, 40)), rnd.choice(["lock_acquired", "lock_released", "lock_wait_begin"]), "L", 0.0) for i in range(150)]
+    df = spark.createDataFrame(rows, COLS)
+    last, clamp, want = 0, 0, {}
+    for _, _, i, t, *_ in rows:
+        last, clamp = t if t > last else last + 1, max(clamp, t)
+        want[i] = (last, clamp)
+    mono = {r.seq: r.fixed_ns for r in clock.monotonic_dates(df, chunk=chunk).collect()}
+    low = {r.seq: r.fixed_ns for r in clock.clamp_dates(df, chunk).collect()}
+    assert {i: (mono[i], low[i]) for i in mono} == want
+    ticks, full = [], 0
+    for i in range(150):
+        full += rnd.randrange(0, 150)
+        ticks.append((0, 0, i, full % 256, full))
+    t = spark.createDataFrame(ticks, "stream_id long, thread_id long, seq long, tick long, full long")
+    assert clock.unwrap_counter(t, "tick", 8, chunk=chunk).where("tick_full <> full").count() == 0
+    held, uses = None, []
+    for _, _, i, t, kind, *_ in rows:
+        if kind == "lock_acquired" and held is None:
+            held = (i, t)
+        elif kind == "lock_released" and held is not None:
+            uses.append((*held, t))
+            held = None
+    uses += [(*held, None)] if held else []
+    assert sorted((r.seq, r.start_ns, r.end_ns) for r in locks.lock_uses(df, chunk).collect()) == uses
+
+
+def test_deep_recursion_equals_windows(spark, monkeypatch):
+    rows = [*random_trace(8, 300), *[(0, 9, 1000 + i, 10_000 + i, "scope_begin", "r", None) for i in range(120)], (0, 9, 1130, 10_130, "data", "d", 1.0), *[(0, 9, 1140 + i, 10_140 + i, "scope_end", "", None) for i in range(60)], (0, 9, 1300, 10_300, "scope_begin", "s", None), (0, 9, 1301, 10_301, "data", "e", 2.0)]
+    df = spark.createDataFrame(rows, COLS)
+    told = lambda x: sorted(str({k: r[k] for k in sorted(r.asDict())}) for r in x.collect())
+    deep = [told(x) for x in (scopes.with_paths(df), *scopes.scopes_and_data(df))]
+    monkeypatch.setattr(scopes, "MAX_WINDOWS", 500)
+    assert deep == [told(x) for x in (scopes.with_paths(df), *scopes.scopes_and_data(df))]
+
+
+def test_unresolved_reasons(spark):
+    rows = [(0, 1, 0, 0, "scope_begin", "a", None), (0, 1, 1, 1, "scope_begin", "b", None), (0, 1, 2, 2, "data", "x", 1.0), (0, 1, 3, 3, "scope_end", "", None), (0, 1, 4, 4, "scope_end", "", None), (0, 2, 5, 5, "scope_begin", "c", None), (0, 2, 6, 6, "data", "y", 1.0)]
+    df = scopes.with_paths(spark.createDataFrame(rows, COLS))
+    threads = spark.createDataFrame([(0, 1, "one"), (0, 2, "two")], "stream_id long, thread_id long, name string")
+    spec = select.EventSpec
+    specs = [spec(("x",), "nobody"), spec(("zz",)), spec(("c/x",)), spec(("./b/x",)), spec(("x",), parent="q"), spec(("x",), parent="q/b"), spec(("x",), parent="./b"), spec(("y",), parent="a"), spec(("b/x",), "one", "a"), spec(("y",), "one")]
+    got = {r.spec_id: r.reason for r in select.explain_unresolved(df, specs, threads).collect()}
+    assert got == dict(enumerate(["unknown thread", "unknown event name", "event path not found", "not at the event's root", "unknown parent name", "parent path not found", "not at the parent's root", "parents differ", "resolved", "unknown event name"]))
+    assert {r.reason for r in select.explain_unresolved(df.limit(0), specs, threads).collect()} == {"no events"}
+
+
+def test_import_of_streams_with_other_columns(spark, tmp_path):
+    spark.createDataFrame([(1, "a")], "seq long, name string").write.parquet(str(tmp_path / "a"))
+    spark.createDataFrame([(2, 3)], "seq long, extra long").write.parquet(str(tmp_path / "b"))
+    got = trace_io.import_streams(spark, [str(tmp_path / "a"), str(tmp_path / "b")]).orderBy("stream_id").collect()
+    assert [(r.stream_id, r.seq, r.name, r.extra) for r in got] == [(0, 1, "a", None), (1, 2, None, 3)]
 
 
 def test_exports(spark, tmp_path):
@@ -169,8 +254,9 @@ def test_exports(spark, tmp_path):
     trace_io.write_trace(df, str(tmp_path / "trace"))
     back = trace_io.read_trace(spark, str(tmp_path / "trace"), streams=[1])
     assert back.count() == df.where("stream_id = 1").count()
+    spark.range(1).selectExpr("99 as version").write.mode("overwrite").parquet(str(tmp_path / "trace" / "meta"))
     with pytest.raises(ValueError):
-        trace_io.read_trace(spark, str(tmp_path / "trace" / "stream_id=1"))
+        trace_io.read_trace(spark, str(tmp_path / "trace"))
 
 
 def test_formats(spark):
