@@ -296,7 +296,8 @@ def _(s, d):
 
 @_query("h17_instrumentation_errors", sql("scopes", """, e as (select 'orphan_end' as type, stream_id, thread_id, name, name as nm, seq from s3 where orphan union all select 'flat_event', stream_id, thread_id, name, name, seq from s3 where kind = 'data' and depth = 0
 union all select 'name_mismatch', stream_id, thread_id, name, name, scope_id from sc where mismatch union all select 'max_level', stream_id, thread_id, name, name, scope_id from sc where level >= 8
-union all select 'max_threads', stream_id, thread_id, '', arg_min(name, seq), min(seq) from trace group by all qualify row_number() over (partition by stream_id order by min(seq), thread_id) > 20)
+union all select 'max_threads', stream_id, thread_id, '', nm, f from (select *, row_number() over (partition by stream_id order by f, thread_id) k
+  from (select stream_id, thread_id, arg_min(name, seq) nm, min(seq) f from trace group by all)) where k > 20)
 select type, stream_id, thread_id, name, nm || '.cpp' as file, seq % 50 as line, count(*) n from e group by all"""))
 def _(s, d):
     t = fx.trace(s, d).withColumn("file", F.concat("name", F.lit(".cpp"))).withColumn("line", F.col("seq") % 50)
