@@ -8,7 +8,9 @@ before its shuffle, so a bucket of a third of all rows costs a row a task), and
 texts has its digests extended by SHA-256 of the text.
 
 Defined results: a null text is empty; a null doc_id stands before all others; where a doc_id comes on several
-rows, the next document of a row is the least text of the next doc_id; an only document is its own next.
+rows, the next document of a row is the least text of the next doc_id; repeated rows are told each; an only document is
+its own next; a text of any length is read whole; an empty table gives an empty result; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations

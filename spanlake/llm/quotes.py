@@ -9,7 +9,8 @@ messages are ordered by reply depth (an answer follows what it quotes), then by
 
 Defined results: a null text has no lines; blank lines are never linked; a message never links to itself or to a
 later one of its conversation; messages without a found quotation have no parent and depth 0; null conv_id or
-turn: the message is kept, alone; repeated rows are kept, and stand at one place in the order.
+turn: the message is kept, alone; repeated rows are kept, and stand at one place in the order; a text of any length is
+read whole; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

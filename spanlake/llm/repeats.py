@@ -18,8 +18,12 @@ and the least doc_id of each is found by an aggregate over the strings and joine
 Strings that repeat inside one batch are settled before the shuffle, so a passage of a third of all documents
 leaves a row a batch. Rows of one text beyond its first doc_id are removed whole (128-bit hash of the text).
 
-Defined results: null and empty texts lose nothing; a null doc_id is the least; rows of one doc_id never remove
-from each other; repeated rows fare alike; texts under ``min_len`` bytes lose nothing; extra columns are ignored.
+This is prefix-free parsing cut to the depth of ``min_len`` bytes and dealt by trigger: no dictionary or parse of the
+whole corpus is written, as none of their suffixes is compared beyond that depth.
+
+Defined results: doc_id is an integer; null and empty texts lose nothing; a null doc_id is the least; rows of one doc_id
+never remove from each other; repeated rows fare alike; texts under ``min_len`` bytes lose nothing; a text of any length
+is read whole; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,8 +6,10 @@ A block is coded by itself: its ids are dealt to interleaved lanes, every lane a
 32-bit words; checkpoints hold all lane states every ``CHECKPOINT`` steps, so that a reader can begin inside a
 block, and checksums guard the words and the decoded ids. Parquet supplies commit, retry and any file system.
 
-Defined results: a null text is empty (only the end id); a null doc_id sorts first; rows with the same doc_id
-follow by their ids; an empty table gives empty files and an empty result; extra columns are ignored.
+Defined results: a null text is empty (only the end id); a null doc_id sorts first; rows with the same doc_id follow
+by a hash of their ids, then by the ids, and repeated rows are written each; a text of any length is encoded whole and
+stands in one block; an empty table gives empty files and an empty result; extra columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -233,7 +235,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     blocks = (
         coded.withColumn("h", F.xxhash64("ids"))
         .repartitionByRange("doc_id", "h")
-        .sortWithinPartitions("doc_id", "ids")
+        .sortWithinPartitions("doc_id", "h", "ids")
         .select("doc_id", "ids")
         .mapInArrow(
             lambda it: _blocks(it, Coder(*shared.value), dtype, block_ids),
