@@ -106,12 +106,13 @@ def with_paths(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     come out of one window sort.
     """
     d, deepest = _levelled(df, keys)
-    return _paths(d, deepest, keys).where(F.col("kind").isin("scope_begin", "data")).drop("_end", "end_seq", "end_name")
+    return _paths(d, deepest, keys)
 
 
 def _paths(d: DataFrame, deepest: int, keys: list[str]) -> DataFrame:
-    """All rows but ends with their ancestors, parents and paths. Where scopes nest deeper than ``MAX_WINDOWS`` levels, the
-    ancestors are found level by level in tables instead of a window for each level."""
+    """Begin and data rows with their ancestors, parents and paths. Where scopes nest deeper than ``MAX_WINDOWS`` levels,
+    the ancestors are found in tables instead of a window for each level."""
+    d = d.where(F.col("kind").isin("scope_begin", "data"))
     if deepest >= MAX_WINDOWS:
         return _deep_paths(d, keys)
     who = F.struct(F.col("name").alias("name"), F.col("seq").alias("id"))
@@ -157,8 +158,8 @@ def _scopes_with_paths(d: DataFrame, deepest: int, keys: list[str]) -> DataFrame
     if deepest >= MAX_WINDOWS:
         p = _paths(d, deepest, keys).where("kind = 'scope_begin'").select(*keys, F.col("seq").alias("scope_id"), *more)
         return _scopes(d, d, keys).join(p, [*keys, "scope_id"])
-    # rows dealt by thread serve the windows over threads and those over threads and levels
-    return _scope_rows(_paired(_paths(d, deepest, keys), keys), d, keys, more=more)
+    # rows dealt by thread serve the windows over threads and levels and, once ends have met begins, those over threads
+    return _scope_rows(_paths(_paired(d.repartition(*keys), keys), deepest, keys), d, keys, more=more)
 
 
 def attach_data(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
