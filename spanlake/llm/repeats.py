@@ -43,7 +43,7 @@ from .common import hold, map_arrow, materialize, text_or_empty
 MIN_LEN = 50
 GRAM = 24
 CHUNK_ROWS = 100_000
-GROUP_ROWS = 20_000
+GROUP_ROWS = CHUNK_ROWS  # what a task holds before it settles
 SALTS = 16
 CONTEXT_ROWS, CONTEXT_BYTES = 10_000, 32 << 20
 _LEAST = -(1 << 63)
