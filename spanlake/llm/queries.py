@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, lm, mixing, near, quality, quotes, repeats, tokens, toxicity
+from . import decontaminate, fingerprint, lines, lm, mixing, near, quality, quotes, repeats, tokens, toxicity
 from .common import read_table
 
 
@@ -48,5 +49,10 @@ def op10_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_conversations(read_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op2_near_duplicates, op3_mix_sources, op4_decontaminate, op5_quality, op6_fingerprints, op7_toxicity, op8_remove_repeats, op9_lm_scores, op10_quotation_links)}
-SQL = {"op3_mix_sources": mixing.OP3_SQL, "op4_decontaminate": decontaminate.OP4_SQL, "op8_remove_repeats": repeats.OP8_SQL}
+def op11_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_near_duplicates, op3_mix_sources, op4_decontaminate, op5_quality, op6_fingerprints, op7_toxicity, op8_remove_repeats, op9_lm_scores, op10_quotation_links, op11_dedup_lines)}
+SQL = {"op3_mix_sources": mixing.OP3_SQL, "op4_decontaminate": decontaminate.OP4_SQL, "op8_remove_repeats": repeats.OP8_SQL, "op11_dedup_lines": lines.OP11_SQL}
