@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codes, decontaminate, fingerprint, lines, lm, mixing, near, quality, quotes, repeats, tokens, toxicity
+from . import codes, decontaminate, fingerprint, lines, lm, mixing, near, quality, quotes, repair, repeats, tokens, toxicity
 from .common import read_table
 
 
@@ -58,5 +58,9 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(read_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op2_near_duplicates, op3_mix_sources, op4_decontaminate, op5_quality, op6_fingerprints, op7_toxicity, op8_remove_repeats, op9_lm_scores, op10_quotation_links, op11_dedup_lines, op12_vector_codes)}
-SQL = {"op3_mix_sources": mixing.OP3_SQL, "op4_decontaminate": decontaminate.OP4_SQL, "op8_remove_repeats": repeats.OP8_SQL, "op11_dedup_lines": lines.OP11_SQL, "op12_vector_codes": codes.OP12_SQL}
+def op13_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(repair.damage(read_table(spark, sf_dir, "conversations")), copies_col="copies")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_near_duplicates, op3_mix_sources, op4_decontaminate, op5_quality, op6_fingerprints, op7_toxicity, op8_remove_repeats, op9_lm_scores, op10_quotation_links, op11_dedup_lines, op12_vector_codes, op13_repair_conversations)}
+SQL = {"op3_mix_sources": mixing.OP3_SQL, "op4_decontaminate": decontaminate.OP4_SQL, "op8_remove_repeats": repeats.OP8_SQL, "op11_dedup_lines": lines.OP11_SQL, "op12_vector_codes": codes.OP12_SQL, "op13_repair_conversations": repair.OP13_SQL}
