@@ -10,7 +10,10 @@ that its bytes alone decide, and equal strings are cut alike wherever they stand
 3. Inside a gram the phrase suffixes are sorted (the dictionary's suffix array) and so are the continuations (the
    parse's). Ranks down to a common prefix length, taken from the two arrays together, order the strings of
    ``min_len`` bytes as the corpus suffix array would, and number equal ones. Equal strings of a larger doc_id are
-   removed. Bytes are compared, not hashes.
+   removed.
+
+The bytes around a gram are compared. The gram itself is known by a 64-bit hash of its bytes under a key that is drawn
+anew for each run, so that no text can be made to meet another one; so are whole texts.
 
 Grams of more than ``GROUP_ROWS`` triggers are never gathered: their strings of ``min_len`` bytes are written out,
 and the least doc_id of each is found by an aggregate over the strings and joined back.
@@ -29,12 +32,12 @@ is read whole; an empty table gives an empty result; extra columns are ignored,
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import on_workers
@@ -99,54 +102,47 @@ def _raw(text: pa.StringScalar) -> np.ndarray:
     return np.frombuffer(buf, np.uint8) if buf is not None else np.empty(0, np.uint8)
 
 
-def _grams(min_len: int, gram: int):
+def gram_hash(raw: np.ndarray, pos: np.ndarray, gram: int, key: int) -> np.ndarray:
+    """A hash of the ``gram`` bytes from each position, which nobody can foresee who does not know the key."""
+    body = np.zeros((len(pos), -(-gram // 8) * 8), np.uint8)
+    body[:, :gram] = raw[pos[:, None] + np.arange(gram)]
+    h = np.full(len(pos), key, dtype=np.uint64)
+    for word in body.view("<u8").T:
+        h ^= word
+        for by, m in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> np.uint64(by))) * np.uint64(m)
+        h = (h ^ (h >> np.uint64(31))) + np.uint64(key | 1)
+    return h.view(np.int64)
+
+
+def keyed_triggers(raw: np.ndarray, min_len: int, gram: int, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``triggers`` with the keyed hash of their grams."""
+    pos, _, dmin, dmax = triggers(raw, min_len, gram)
+    return pos, gram_hash(raw, pos, gram, key), dmin, dmax
+
+
+def _grams(min_len: int, gram: int, key: int):
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        found = [np.unique(triggers(_raw(t), min_len, gram)[1], return_counts=True) for t in b.column(1)]
+        found = [np.unique(keyed_triggers(_raw(t), min_len, gram, key)[1], return_counts=True) for t in b.column(1)]
         th = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(x) for x, _ in found])
         g, n = (np.concatenate([x[i] for x in found]) for i in range(2))
-        return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(th), pa.array(n.astype(np.int32))], ["g", "th", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(g), pa.array(th), pa.array(n.astype(np.int32))], ["g", "th", "n"])
 
     return run
 
 
-def _shared_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows ``(g, th, n)`` sorted by g, those whose g stands in several texts. Holds one row over from a batch."""
-    last_g, last_th, last_n, last_shared = None, None, None, False
-    for b in batches:
-        if not b.num_rows:
-            continue
-        g, th, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        extra = np.empty(0, np.int64)
-        starts = np.concatenate(([0], np.flatnonzero(np.diff(g)) + 1))
-        lo, hi = np.minimum.reduceat(th, starts), np.maximum.reduceat(th, starts)
-        shared = lo != hi
-        if g[0] == last_g:
-            if last_shared:
-                shared[0] = True
-            elif shared[0] or lo[0] != last_th:
-                shared[0] = True
-                extra = np.array([last_th])
-        keep = np.repeat(shared, np.diff(np.concatenate((starts, [len(g)]))))
-        out_g, out_th, out_n = g[keep], th[keep], n[keep]
-        if len(extra):
-            out_g, out_th, out_n = np.concatenate((out_g, [last_g])), np.concatenate((out_th, extra)), np.concatenate((out_n, np.array([last_n], out_n.dtype)))
-        last_g, last_th, last_n, last_shared = g[-1], th[-1], n[-1], bool(shared[-1])
-        if len(out_g):
-            yield pa.RecordBatch.from_arrays([pa.array(out_th), pa.array(out_g), pa.array(out_n)], ["th", "g", "n"])
-
-
 _CONTEXT = "g long, before binary, after binary, la int, ra int, k long, th long, pos int, dmin int, dmax int, settled boolean"
 
 
-def _contexts(min_len: int, gram: int, heavy: Broadcast):
+def _contexts(min_len: int, gram: int, secret: int):
     reach = min_len - gram
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
         cols: list[list[np.ndarray]] = [[] for _ in range(10)]
         for k, th, text, gs in zip(b.column(0), b.column(1), b.column(2), b.column(3), strict=True):
             raw = _raw(text)
-            pos, h, dmin, dmax = triggers(raw, min_len, gram)
-            keep = np.isin(h.view(np.int64), gs.values.to_numpy(zero_copy_only=False)) & ~np.isin(h.view(np.int64), heavy.value)
+            pos, h, dmin, dmax = keyed_triggers(raw, min_len, gram, secret)
+            keep = np.isin(h, gs.values.to_numpy(zero_copy_only=False))
             pos, h, dmin, dmax = pos[keep], h[keep], dmin[keep], dmax[keep]
             if not len(pos):
                 continue
@@ -155,7 +151,7 @@ def _contexts(min_len: int, gram: int, heavy: Broadcast):
             after = wide[pos[:, None] + np.arange(reach + gram, 2 * reach + gram)]
             n = len(pos)
             la, ra = np.minimum(reach, pos), np.minimum(reach, len(raw) - gram - pos)
-            for c, v in zip(cols, (h.view(np.int64), before, after, la, ra, np.full(n, k.as_py()), np.full(n, th.as_py()), pos, dmin, dmax), strict=True):
+            for c, v in zip(cols, (h, before, after, la, ra, np.full(n, k.as_py()), np.full(n, th.as_py()), pos, dmin, dmax), strict=True):
                 c.append(v)
         if not cols[0]:
             return None
@@ -178,15 +174,15 @@ def _contexts(min_len: int, gram: int, heavy: Broadcast):
     return run
 
 
-def _strings(min_len: int, gram: int, heavy: Broadcast):
+def _strings(min_len: int, gram: int, secret: int):
     """The strings of heavy grams: once a slice with the places of its least k; and, with no string, hits of larger k."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
         parts = []
-        for i, (k, th, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True)):
+        for k, th, text, gs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
             raw = _raw(text)
-            pos, h, dmin, dmax = triggers(raw, min_len, gram)
-            keep = np.isin(h.view(np.int64), heavy.value)
+            pos, h, dmin, dmax = keyed_triggers(raw, min_len, gram, secret)
+            keep = np.isin(h, gs.values.to_numpy(zero_copy_only=False))
             pos, dmin, dmax = pos[keep], dmin[keep], dmax[keep]
             sizes = dmax - dmin + 1
             at = np.repeat(pos, sizes)
@@ -208,9 +204,9 @@ def _strings(min_len: int, gram: int, heavy: Broadcast):
     return run
 
 
-def heavy_hits(full: DataFrame, heavy: Broadcast, min_len: int, gram: int) -> DataFrame:
+def heavy_hits(full: DataFrame, min_len: int, gram: int, secret: int) -> DataFrame:
     """``(k, th, pos, mask)`` of all strings of heavy grams that repeat; no task holds a gram or a string's rows."""
-    rows = materialize(map_arrow(full, _strings(min_len, gram, heavy), "s binary, k long, th long, pos int, mask long"), "heavy-strings")
+    rows = materialize(map_arrow(full, _strings(min_len, gram, secret), "s binary, k long, th long, pos int, mask long"), "heavy-strings")
     live = rows.where("s is not null")
     least = live.groupBy("s").agg(F.min("k").alias("least"), F.max("k").alias("most")).where("least < most").drop("most")
     salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -330,31 +326,26 @@ def _covered(size: int, pos: np.ndarray, mask: np.ndarray, min_len: int) -> np.n
     return np.cumsum(mark)[:size] > 0
 
 
-def heavy_grams(wanted: DataFrame) -> DataFrame:
-    """``(g)`` of more than ``GROUP_ROWS`` triggers: at most one for as many triggers of the corpus."""
-    each = wanted.select(F.explode("gs").alias("x")).groupBy("x.g").agg(F.sum("x.n").alias("n"))
-    return materialize(each.where(F.col("n") > GROUP_ROWS).select("g"), "heavy-grams")
-
-
 def repeated_strings(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     """``docs(doc_id, text)`` with ``k`` (the id, null least), ``copy`` (an earlier row has the whole text) and
     ``hits`` (repeated strings, as trigger positions with bits of distances)."""
     gram = min(GRAM, max(1, min_len // 2))
     on_workers(docs.sparkSession)
+    secret = secrets.randbits(63)
     base = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("k"), F.xxhash64(text_or_empty()).alias("th"), text_or_empty().alias("text")
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("k"), F.xxhash64(F.lit(secret), text_or_empty()).alias("th"), text_or_empty().alias("text")
     )
-    sizes = base.select("k", "th", F.xxhash64(F.lit("wide"), "text").alias("th2"))
+    sizes = base.select("k", "th", F.xxhash64(F.lit(secret), F.lit("wide"), "text").alias("th2"))
     first = sizes.groupBy("th", "th2").agg(F.min("k").alias("first"))
-    grams = map_arrow(base.select("th", "text"), _grams(min_len, gram), "g long, th long, n int")
-    shared = grams.repartition("g").sortWithinPartitions("g").mapInArrow(_shared_grams, "th long, g long, n int")
-    wanted = shared.groupBy("th").agg(F.collect_set(F.struct("g", "n")).alias("gs"))
-    wanted = wanted.join(first.groupBy("th").agg(F.min("first").alias("k")), "th").select("k", "th", "gs")
+    grams = map_arrow(base.select("th", "text"), _grams(min_len, gram, secret), "g long, th long, n int")
+    of_gram = Window.partitionBy("g")
+    grams = grams.select("g", "th", (F.min("th").over(of_gram) != F.max("th").over(of_gram)).alias("shared"), (F.sum("n").over(of_gram) > GROUP_ROWS).alias("heavy"))
+    wanted = grams.where("shared").groupBy("th").agg(F.collect_set(F.when(~F.col("heavy"), F.col("g"))).alias("gs"), F.collect_set(F.when(F.col("heavy"), F.col("g"))).alias("many"))
+    wanted = wanted.join(first.groupBy("th").agg(F.min("first").alias("k")), "th").select("k", "th", "gs", "many")
     wanted = materialize(wanted, "shared-grams")
-    many = heavy_grams(wanted)
-    heavy = docs.sparkSession.sparkContext.broadcast(np.array([r.g for r in many.collect()], np.int64))
-    full = base.join(wanted, ["k", "th"]).select("k", "th", "text", F.col("gs.g").alias("gs"))
-    ctx = map_arrow(full, _contexts(min_len, gram, heavy), _CONTEXT, CONTEXT_ROWS, CONTEXT_BYTES)
+    light, heavy = (wanted.where(F.size(c) > 0).select("k", "th", F.col(c).alias("gs")) for c in ("gs", "many"))
+    full = base.join(light, ["k", "th"]).select("k", "th", "text", "gs")
+    ctx = map_arrow(full, _contexts(min_len, gram, secret), _CONTEXT, CONTEXT_ROWS, CONTEXT_BYTES)
     home = F.when(F.col("settled"), F.xxhash64("k", "pos")).otherwise(F.col("g"))
     hits = (
         ctx.withColumn("home", home)
@@ -363,9 +354,8 @@ def repeated_strings(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
         .drop("home")
         .mapInArrow(lambda it: _repeated(it, min_len - gram), "k long, th long, pos int, mask long")
     )
-    if len(heavy.value):
-        some = wanted.select("k", "th", F.explode("gs.g").alias("g")).join(F.broadcast(many), "g").select("k", "th").distinct()
-        hits = hits.unionByName(heavy_hits(base.join(some, ["k", "th"]), heavy, min_len, gram))
+    if heavy.limit(1).count():
+        hits = hits.unionByName(heavy_hits(base.join(heavy, ["k", "th"]).select("k", "th", "text", "gs"), min_len, gram, secret))
     hits = hits.groupBy("k", "th").agg(F.collect_list(F.struct("pos", "mask")).alias("hits"))
     copies = sizes.join(first, ["th", "th2"]).where("k > first").select("k", "th").distinct().withColumn("copy", F.lit(True))
     told = copies.join(hits, ["k", "th"], "full")

@@ -231,3 +231,14 @@ def test_repeats_of_heavy_grams(spark, monkeypatch):
         got = repeats.remove_repeats(docs(spark, rows), min_len=min_len).collect()
         assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in got) == sorted(removed(rows, min_len))
     assert len(found) == 3 and all(f.count() for f in found)
+
+
+def test_repeats_of_grams_that_share_a_rolling_hash(spark):
+    """Texts made so that two of their grams have one polynomial hash: nothing of 50 bytes repeats in them."""
+    a = "bplaalsreegkdajcffjkbmxwdiasoqweuanegzlrvycjzsjbqfqcxyaqzddcxmycrqnqdaquxulx"
+    b = "bplaalsreegkdajcffjkbmxwdicolswetakbhvjpyvejzuncreqcxyaqzddcxmycrqnqdaquxulx"
+    got = repeats.remove_repeats(docs(spark, [(1, a), (2, b)])).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 0}
+    raw = np.frombuffer((a + b).encode(), np.uint8)
+    one, other = repeats.gram_hash(raw, np.array([26]), 24, 5), repeats.gram_hash(raw, np.array([len(a) + 26]), 24, 5)
+    assert one != other and one == repeats.gram_hash(raw, np.array([26]), 24, 5) and one != repeats.gram_hash(raw, np.array([26]), 24, 6)
