@@ -1,24 +1,24 @@
 """Scope trees: pairing of begin and end events, parents, call paths and summaries.
 
-Arrival order inside a thread is ``date_ns, seq``. A stack is replaced by a prefix sum: with +1 for a begin and -1
-for an end, an end is an orphan iff the running sum reaches a new minimum below zero, and the depth is the sum above
-the running minimum. Rows of one thread and level then alternate between begin and end, so ``lead`` pairs them.
+Arrival order inside a thread is ``seq``, whatever the dates are; where dates go back, repair them first
+(``clock.monotonic_dates``). A stack is replaced by a prefix sum: with +1 for a begin and -1 for an end, an end is an
+orphan iff the running sum reaches a new minimum below zero, and the depth is the sum above the running minimum.
 
-The prefix sum is a two-level scan (sum and minimum are associative): totals of chunks of consecutive ``seq`` are
-scanned in a small table and joined back, so that a thread with most of the events is no single task.
+``depths`` is a two-level scan (sum and minimum are associative): totals of chunks of consecutive ``seq`` are scanned in a
+small table and joined back. Pairs, parents and paths come from ``stacks``, where a range of the trace is followed at once
+and ranges know each other through a row a range. Neither holds a thread in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import materialize
+from .stacks import Stacks
 
 KEYS = ["stream_id", "thread_id"]
 ORDER = ["date_ns", "seq"]
 CHUNK = 1 << 20
-MAX_WINDOWS = 48
 
 
 def depths(df: DataFrame, keys: list[str] = KEYS, chunk: int = CHUNK) -> DataFrame:
@@ -48,39 +48,28 @@ def orphan_ends(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return depths(df, keys).where("orphan").select(*keys, "seq", "date_ns", "name")
 
 
-def _paired(d: DataFrame, keys: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys, "level").orderBy(*ORDER)
-    ends = d.where(F.col("kind").isin("scope_begin", "scope_end") & ~F.col("orphan"))
-    return ends.select(
-        "*", F.lead("seq").over(w).alias("end_seq"), F.lead("date_ns").over(w).alias("_end"), F.lead("name").over(w).alias("end_name")
-    ).where("kind = 'scope_begin'")
-
-
 def pair_scopes(df: DataFrame, keys: list[str] = KEYS, max_level: int | None = None, close_open: bool = True) -> DataFrame:
     """One row a scope: its id is the ``seq`` of its begin. Open scopes end at their stream's last date."""
-    return _scopes(depths(df, keys), df, keys, max_level, close_open)
-
-
-def _scopes(d: DataFrame, df: DataFrame, keys: list[str], max_level: int | None = None, close_open: bool = True) -> DataFrame:
-    return _scope_rows(_paired(d, keys), df, keys, max_level, close_open)
+    return _scope_rows(Stacks(df, keys, paths=False).scopes(), df, keys, max_level, close_open)
 
 
 def _scope_rows(p: DataFrame, df: DataFrame, keys: list[str], max_level: int | None = None, close_open: bool = True, more: tuple[str, ...] = ()) -> DataFrame:
     if max_level is not None:
         p = p.where(F.col("level") < max_level)
+    p = p.withColumn("is_open", F.col("end_seq").isNull())
     if close_open:
         last = df.groupBy("stream_id").agg(F.max("date_ns").alias("_last"))
-        p = p.join(last, "stream_id")
-    end = F.coalesce("_end", "_last") if close_open else F.col("_end")
+        ended = p.where("is_open").join(last, "stream_id").withColumn("_end", F.col("_last")).select(*p.columns)
+        p = p.where("not is_open").unionByName(ended)
     return p.select(
         *keys,
         F.col("seq").alias("scope_id"),
         "level",
         "name",
         F.col("date_ns").alias("start_ns"),
-        end.alias("end_ns"),
-        (end - F.col("date_ns")).alias("duration_ns"),
-        F.col("end_seq").isNull().alias("is_open"),
+        F.col("_end").alias("end_ns"),
+        (F.col("_end") - F.col("date_ns")).alias("duration_ns"),
+        "is_open",
         "end_name",
         F.coalesce((F.col("end_name") != "") & (F.col("end_name") != F.col("name")), F.lit(False)).alias("mismatch"),
         "end_seq",
@@ -88,101 +77,37 @@ def _scope_rows(p: DataFrame, df: DataFrame, keys: list[str], max_level: int | N
     )
 
 
-def _ancestors_by_level(d: DataFrame, keys: list[str], value: Column, deepest: int) -> list[Column]:
-    w = Window.partitionBy(*keys).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    begin = (F.col("kind") == "scope_begin") & ~F.col("orphan")
-    return [F.last(F.when(begin & (F.col("level") == k), value), ignorenulls=True).over(w) for k in range(deepest + 1)]
-
-
-def _levelled(df: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
-    d = materialize(depths(df, keys).where("not orphan"), "levels")
-    return d, d.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0]
+_ENDS = ("_end_seq", "_end_ns", "_end_name")
 
 
 def with_paths(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Begin and data rows with ``level``, ``parent_id``, ``path`` (names from the root) and ``scope_path`` (their ids).
-
-    The depths are written to a table once; one aggregate over it finds the deepest level, and all ancestors then
-    come out of one window sort.
-    """
-    d, deepest = _levelled(df, keys)
-    return _paths(d, deepest, keys)
-
-
-def _paths(d: DataFrame, deepest: int, keys: list[str]) -> DataFrame:
-    """Begin and data rows with their ancestors, parents and paths. Where scopes nest deeper than ``MAX_WINDOWS`` levels,
-    the ancestors are found in tables instead of a window for each level."""
-    d = d.where(F.col("kind").isin("scope_begin", "data"))
-    if deepest >= MAX_WINDOWS:
-        return _deep_paths(d, keys)
-    who = F.struct(F.col("name").alias("name"), F.col("seq").alias("id"))
-    d = d.withColumn("_up", F.array(*_ancestors_by_level(d, keys, who, deepest)))
-    n = F.when(F.col("kind") == "scope_begin", F.col("level") + 1).otherwise(F.col("level")).cast("int")
-    return _named(d.withColumn("_up", F.slice("_up", F.lit(1), n)))
-
-
-def _named(d: DataFrame) -> DataFrame:
-    own = F.when(F.col("kind") == "data", F.array(F.col("name"))).otherwise(F.array().cast("array<string>"))
-    parent = F.when(F.col("level") > 0, F.get(F.col("_up"), (F.col("level") - 1).cast("int"))["id"])
-    return d.withColumn("parent_id", parent).withColumn("path", F.concat(F.col("_up")["name"], own)).withColumn("scope_path", F.col("_up")["id"]).drop("_up")
-
-
-def _deep_paths(d: DataFrame, keys: list[str]) -> DataFrame:
-    """As ``_paths`` for any depth: the enclosing scope of a row is the last begin one level up, met by a window over
-    thread and level; stacks then double their reach in each round."""
-    begin = F.col("kind") == "scope_begin"
-    asks = d.where(F.col("kind").isin("scope_begin", "data")).withColumn("_l", F.col("level") - 1).withColumn("_id", F.lit(None).cast("long"))
-    gives = d.where(begin).withColumn("_l", F.col("level")).withColumn("_id", F.col("seq")).withColumn("kind", F.lit("_gives"))
-    w = Window.partitionBy(*keys, "_l").orderBy("seq", F.col("_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    rows = asks.unionByName(gives).withColumn("_parent", F.last("_id", ignorenulls=True).over(w)).where("kind <> '_gives'").drop("_l", "_id")
-    rows = materialize(rows.withColumn("_parent", F.when(F.col("level") > 0, F.col("_parent"))), "parents")
-    # stacks of scopes, root first, as far as each round reaches, and the scope before them
-    cur = materialize(rows.where(begin).select(*keys, "seq", F.array(F.struct("name", F.col("seq").alias("id"))).alias("_s"), F.col("_parent").alias("_next")), "stacks")
-    while cur.where("_next is not null").limit(1).count():
-        up = cur.select(*keys, F.col("seq").alias("_next"), F.col("_s").alias("_s2"), F.col("_next").alias("_n2"))
-        j = cur.join(up, [*keys, "_next"], "left")
-        cur = materialize(j.select(*keys, "seq", F.concat(F.coalesce("_s2", F.array().cast("array<struct<name:string,id:bigint>>")), "_s").alias("_s"), F.col("_n2").alias("_next")), "stacks")
-    at = F.when(begin, F.col("seq")).otherwise(F.col("_parent"))
-    out = rows.withColumn("_at", at).join(cur.select(*keys, F.col("seq").alias("_at"), F.col("_s").alias("_up")), [*keys, "_at"], "left")
-    return _named(out.withColumn("_up", F.coalesce("_up", F.array().cast("array<struct<name:string,id:bigint>>"))).drop("_at", "_parent"))
+    """Begin and data rows with ``level``, ``parent_id``, ``path`` (names from the root) and ``scope_path`` (their ids)."""
+    return Stacks(df, keys).located().drop(*_ENDS)
 
 
 def scopes_with_paths(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """``pair_scopes`` with ``parent_id``, ``path`` and ``scope_path``."""
-    d, deepest = _levelled(df, keys)
-    return _scopes_with_paths(d, deepest, keys)
+    return _scopes_with_paths(Stacks(df, keys), df, keys)
 
 
-def _scopes_with_paths(d: DataFrame, deepest: int, keys: list[str]) -> DataFrame:
-    more = ("parent_id", "path", "scope_path")
-    if deepest >= MAX_WINDOWS:
-        p = _paths(d, deepest, keys).where("kind = 'scope_begin'").select(*keys, F.col("seq").alias("scope_id"), *more)
-        return _scopes(d, d, keys).join(p, [*keys, "scope_id"])
-    # rows dealt by thread serve the windows over threads and levels and, once ends have met begins, those over threads
-    return _scope_rows(_paths(_paired(d.repartition(*keys), keys), deepest, keys), d, keys, more=more)
+def _scopes_with_paths(st: Stacks, df: DataFrame, keys: list[str]) -> DataFrame:
+    return _scope_rows(st.scopes(st.located()), df, keys, more=("parent_id", "path", "scope_path"))
 
 
 def attach_data(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Data events with their enclosing scope and its start; flat events (outside any scope) have none."""
-    return _attached(*_levelled(df, keys), keys)
+    return _attached(Stacks(df, keys), keys)
 
 
-def _attached(d: DataFrame, deepest: int, keys: list[str]) -> DataFrame:
-    if deepest >= MAX_WINDOWS:
-        up = d.where("kind = 'scope_begin'").select(*keys, F.col("seq").alias("parent_id"), F.col("date_ns").alias("time_ns"))
-        rows = _paths(d, deepest, keys).where("kind = 'data'").join(up, [*keys, "parent_id"], "left")
-        return rows.select(*keys, "seq", "date_ns", "name", "v_double", "level", "parent_id", "time_ns")
-    # the enclosing scope is the last begin at the row's level - 1: the latest begin that is not closed
-    up = F.array(*_ancestors_by_level(d, keys, F.struct(F.col("seq").alias("id"), F.col("date_ns").alias("start")), deepest))
-    d = d.withColumn("_up", up).where("kind = 'data'")
-    p = F.when(F.col("level") > 0, F.get("_up", (F.col("level") - 1).cast("int")))
-    return d.select(*keys, "seq", "date_ns", "name", "v_double", "level", p["id"].alias("parent_id"), p["start"].alias("time_ns"))
+def _attached(st: Stacks, keys: list[str]) -> DataFrame:
+    d = st.located(start=True).where("kind = 'data'")
+    return d.select(*keys, "seq", "date_ns", "name", "v_double", "level", "parent_id", F.col("up_ns").alias("time_ns"))
 
 
 def scopes_and_data(df: DataFrame, keys: list[str] = KEYS) -> tuple[DataFrame, DataFrame]:
-    """``scopes_with_paths`` and ``attach_data`` of one trace, from one table of depths."""
-    d, deepest = _levelled(df, keys)
-    return _scopes_with_paths(d, deepest, keys), _attached(d, deepest, keys)
+    """``scopes_with_paths`` and ``attach_data`` of one trace, whose stacks are followed once."""
+    st = Stacks(df, keys)
+    return _scopes_with_paths(st, df, keys), _attached(st, keys)
 
 
 def flat_events(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -270,13 +195,14 @@ def summarize_scopes(scopes: DataFrame, data: DataFrame, mem: DataFrame | None =
 def instrumentation_errors(df: DataFrame, max_level: int | None = None, max_threads: int | None = None) -> DataFrame:
     """``(type, stream_id, thread_id, name[, file, line], n)`` of orphan ends, name mismatches, events outside scopes, and
     depths and threads over a limit; file and line where ``df`` has them."""
-    d = depths(df)
+    st = Stacks(df, KEYS, paths=False)
+    d, ended = st.rows(), st.scopes()
     at = [c for c in ("file", "line") if c in df.columns]
     cols = [*KEYS, "name", *at]
     parts = [
         d.where("orphan").select(F.lit("orphan_end").alias("type"), *cols),
         d.where("kind = 'data' and depth = 0").select(F.lit("flat_event").alias("type"), *cols),
-        _paired(d, KEYS).where("end_name <> '' and end_name <> name").select(F.lit("name_mismatch").alias("type"), *cols),
+        ended.where("end_name <> '' and end_name <> name").select(F.lit("name_mismatch").alias("type"), *cols),
     ]
     if max_level is not None:
         parts.append(d.where((F.col("kind") == "scope_begin") & (F.col("level") >= max_level)).select(F.lit("max_level").alias("type"), *cols))

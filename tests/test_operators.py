@@ -217,15 +217,6 @@ def test_clocks_and_locks_of_one_hot_key(spark, chunk):
     assert sorted((r.seq, r.start_ns, r.end_ns) for r in locks.lock_uses(df, chunk).collect()) == uses
 
 
-def test_deep_recursion_equals_windows(spark, monkeypatch):
-    rows = [*random_trace(8, 300), *[(0, 9, 1000 + i, 10_000 + i, "scope_begin", "r", None) for i in range(120)], (0, 9, 1130, 10_130, "data", "d", 1.0), *[(0, 9, 1140 + i, 10_140 + i, "scope_end", "", None) for i in range(60)], (0, 9, 1300, 10_300, "scope_begin", "s", None), (0, 9, 1301, 10_301, "data", "e", 2.0)]
-    df = spark.createDataFrame(rows, COLS)
-    told = lambda x: sorted(str({k: r[k] for k in sorted(r.asDict())}) for r in x.collect())
-    deep = [told(x) for x in (scopes.with_paths(df), *scopes.scopes_and_data(df))]
-    monkeypatch.setattr(scopes, "MAX_WINDOWS", 500)
-    assert deep == [told(x) for x in (scopes.with_paths(df), *scopes.scopes_and_data(df))]
-
-
 def test_unresolved_reasons(spark):
     rows = [(0, 1, 0, 0, "scope_begin", "a", None), (0, 1, 1, 1, "scope_begin", "b", None), (0, 1, 2, 2, "data", "x", 1.0), (0, 1, 3, 3, "scope_end", "", None), (0, 1, 4, 4, "scope_end", "", None), (0, 2, 5, 5, "scope_begin", "c", None), (0, 2, 6, 6, "data", "y", 1.0)]
     df = scopes.with_paths(spark.createDataFrame(rows, COLS))
