@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import CHUNK, Scan, running
+
 CORE = ["stream_id", "core"]
 
 
@@ -16,37 +18,30 @@ def _latest(df: DataFrame) -> DataFrame:
     return df.groupBy(*CORE, "date_ns").agg(F.max_by("runner", "seq").alias("runner"), F.max("seq").alias("seq"))
 
 
-def core_intervals(df: DataFrame) -> DataFrame:
+def core_intervals(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``(stream_id, core, runner, start_ns, end_ns, duration_ns)``; the last interval of a core is open."""
-    w = Window.partitionBy(*CORE).orderBy("date_ns")
-    d = _latest(df).withColumn("_was", F.lag("runner").over(w)).where("_was is null or _was <> runner")
-    d = d.withColumn("end_ns", F.lead("date_ns").over(w))
+    s = Scan(_latest(df), CORE, ("date_ns",), chunk)
+    d = s.run({"_was": ("last", F.col("runner"), "before")})
+    change = F.when(F.col("_was").isNull() | (F.col("_was") != F.col("runner")), F.col("date_ns"))
+    d = s.done(s.run({"end_ns": ("last", change, "before back")}, d)).where(change.isNotNull())
     return d.select(*CORE, "runner", F.col("date_ns").alias("start_ns"), "end_ns", (F.col("end_ns") - F.col("date_ns")).alias("duration_ns"))
 
 
-def cpu_curve(df: DataFrame, chunk_ns: int = 10**13) -> DataFrame:
-    """``(stream_id, date_ns, cores_used, ratio)`` at every date where the number of cores in use by the program changes.
-
-    A two-level scan over time chunks: totals of chunks first, then the running sum inside each.
-    """
-    w = Window.partitionBy(*CORE).orderBy("date_ns")
+def cpu_curve(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``(stream_id, date_ns, cores_used, ratio)`` at every date where the number of cores in use by the program changes."""
     used = F.when(F.col("runner") >= 0, 1).otherwise(0)
-    d = _latest(df).withColumn("_u", used).withColumn("_d", F.col("_u") - F.coalesce(F.lag("_u").over(w), F.lit(0)))
-    steps = d.groupBy("stream_id", "date_ns").agg(F.sum("_d").alias("_d")).where("_d <> 0")
-    steps = steps.withColumn("_c", F.floor(F.col("date_ns") / chunk_ns))
-    before = Window.partitionBy("stream_id").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    carry = steps.groupBy("stream_id", "_c").agg(F.sum("_d").alias("_t")).withColumn("_carry", F.coalesce(F.sum("_t").over(before), F.lit(0)))
-    inside = Window.partitionBy("stream_id", "_c").orderBy("date_ns").rowsBetween(Window.unboundedPreceding, 0)
+    d = running(_latest(df).withColumn("_u", used), CORE, {"_was": ("last", F.col("_u"), "before")}, chunk, ("date_ns",))
+    steps = d.groupBy("stream_id", "date_ns").agg(F.sum(F.col("_u") - F.coalesce("_was", F.lit(0))).alias("_d")).where("_d <> 0")
     cores = df.groupBy("stream_id").agg(F.count_distinct("core").alias("_cores"))
-    out = steps.join(carry.drop("_t"), ["stream_id", "_c"]).withColumn("cores_used", F.col("_carry") + F.sum("_d").over(inside)).join(cores, "stream_id")
+    out = running(steps, ["stream_id"], {"cores_used": ("sum", F.col("_d"))}, chunk, ("date_ns",)).join(cores, "stream_id")
     return out.select("stream_id", "date_ns", "cores_used", F.round(F.col("cores_used") / F.col("_cores"), 6).alias("ratio"))
 
 
-def thread_run_intervals(df: DataFrame) -> DataFrame:
+def thread_run_intervals(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``(stream_id, thread_id, core, start_ns, end_ns, off_ns)``: each run of a thread, and the time until its next."""
-    runs = core_intervals(df).where("runner >= 0").withColumnRenamed("runner", "thread_id")
-    w = Window.partitionBy("stream_id", "thread_id").orderBy("start_ns", "core")
-    return runs.select("stream_id", "thread_id", "core", "start_ns", "end_ns", (F.lead("start_ns").over(w) - F.col("end_ns")).alias("off_ns"))
+    runs = core_intervals(df, chunk).where("runner >= 0").withColumnRenamed("runner", "thread_id")
+    d = running(runs, ["stream_id", "thread_id"], {"_next": ("last", F.col("start_ns"), "before back")}, chunk, ("start_ns", "core"))
+    return d.select("stream_id", "thread_id", "core", "start_ns", "end_ns", (F.col("_next") - F.col("end_ns")).alias("off_ns"))
 
 
 def softirq_intervals(df: DataFrame) -> DataFrame:

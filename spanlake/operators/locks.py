@@ -1,14 +1,15 @@
 """Locks: uses, waits, notifications, contention and wake-up latency.
 
 Rows are ``(name, stream_id, thread_id, seq, date_ns, kind)``; a lock is known by its stream and name. ``seq`` is the
-order of arrival in a stream. States of locks and threads are two-level scans.
+order of arrival in a stream. States of locks and threads are scans (``scan``), overlaps go by blocks (``intervals``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .intervals import contained
 from .scan import CHUNK, running
 
 LOCK = ["stream_id", "name"]
@@ -20,22 +21,24 @@ MIN_WAIT_NS = 5_000
 def dedupe_lock_state(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Acquire and release rows that change the lock's state; a lock begins free."""
     use = df.where(F.col("kind").isin("lock_acquired", "lock_released"))
-    d = running(use, LOCK, {"_was": ("last", F.col("kind"))}, before=True, chunk=chunk)
+    d = running(use, LOCK, {"_was": ("last", F.col("kind"), "before")}, chunk)
     return d.where(F.col("kind") != F.coalesce("_was", F.lit("lock_released"))).drop("_was")
 
 
 def lock_uses(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``(stream_id, name, thread_id, seq, start_ns, end_ns, held_ns)``; the owner is the acquiring thread, a lock
-    never released is held to null."""
-    d = running(dedupe_lock_state(df, chunk), LOCK, {"end_ns": ("last", F.col("date_ns"))}, before=True, backwards=True, chunk=chunk)
-    d = d.where("kind = 'lock_acquired'")
+    never released is held to null. The first release after an acquire changes the lock's state."""
+    use = df.where(F.col("kind").isin("lock_acquired", "lock_released"))
+    released = F.when(F.col("kind") == "lock_released", F.col("date_ns"))
+    d = running(use, LOCK, {"_was": ("last", F.col("kind"), "before"), "end_ns": ("last", released, "before back")}, chunk)
+    d = d.where("kind = 'lock_acquired' and coalesce(_was, 'lock_released') <> kind")
     return d.select(*LOCK, "thread_id", "seq", F.col("date_ns").alias("start_ns"), "end_ns", (F.col("end_ns") - F.col("date_ns")).alias("held_ns"))
 
 
 def wait_ends(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Waiting is a state of the thread: an acquire or release right after its wait began ends that wait."""
     d = df.where(F.col("kind").isin("lock_wait_begin", "lock_wait_end", "lock_acquired", "lock_released"))
-    d = running(d, KEYS, {"_p": ("last", F.struct("kind", "date_ns", "name", "seq"))}, before=True, chunk=chunk)
+    d = running(d, KEYS, {"_p": ("last", F.struct("kind", "date_ns", "name", "seq"), "before")}, chunk)
     d = d.where("kind <> 'lock_wait_begin' and _p.kind = 'lock_wait_begin'")
     return d.select("*", F.col("_p.date_ns").alias("_since"), F.col("_p.name").alias("_lock"), F.col("_p.seq").alias("_seq")).drop("_p")
 
@@ -61,23 +64,23 @@ def lock_waiters(df: DataFrame) -> DataFrame:
 def contention(waits: DataFrame, uses: DataFrame, min_wait_ns: int = MIN_WAIT_NS, bucket_ns: int = 10**9) -> DataFrame:
     """Waits of at least ``min_wait_ns`` with every use of the same lock by another thread that overlaps them.
 
-    Both sides are dealt to the time buckets they touch; a pair is reported by the first bucket that both touch.
+    Of two intervals that overlap, one holds the start of the other: uses that begin inside a wait, and waits that begin
+    inside a use begun before them.
     """
-    b = F.lit(bucket_ns)
-    span = lambda df, s, e: df.withColumn("_b", F.explode(F.sequence(F.floor(F.col(s) / b), F.floor(F.col(e) / b))))
     w = waits.where(F.col("wait_ns") >= min_wait_ns).select(*LOCK, F.col("thread_id").alias("waiter"), F.col("seq").alias("wait_seq"), F.col("start_ns").alias("w0"), F.col("end_ns").alias("w1"))
     u = uses.where("end_ns is not null").select(*LOCK, F.col("thread_id").alias("owner"), F.col("seq").alias("use_seq"), F.col("start_ns").alias("u0"), F.col("end_ns").alias("u1"))
-    j = span(w, "w0", "w1").join(span(u, "u0", "u1"), [*LOCK, "_b"])
-    j = j.where("u0 < w1 and u1 > w0 and owner <> waiter").where(F.col("_b") == F.floor(F.greatest("w0", "u0") / b))
+    begun = contained(w, u, LOCK, "w0", "w1", "u0", bucket_ns)
+    held = contained(u, w, LOCK, "u0", "u1", "w0", bucket_ns).where("u0 < w0")
+    j = begun.unionByName(held).where("u0 < w1 and u1 > w0 and owner <> waiter")
     return j.select(*LOCK, "waiter", "wait_seq", "owner", "use_seq", (F.least("w1", "u1") - F.greatest("w0", "u0")).alias("overlap_ns"))
 
 
-def wakeup_latency(df: DataFrame) -> DataFrame:
+def wakeup_latency(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """For every wait, the last notification of its lock before its end and the time from there to the end."""
     ends = lock_waits(df).select(*LOCK, F.col("end_ns").alias("date_ns"), "seq", "thread_id", "start_ns", F.lit(1).alias("_end"))
     told = df.where("kind = 'lock_notified'").select(*LOCK, "date_ns", "seq", "thread_id", F.lit(None).cast("long").alias("start_ns"), F.lit(0).alias("_end"))
-    w = Window.partitionBy(*LOCK).orderBy("date_ns", "_end", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    d = ends.unionByName(told).withColumn("notified_ns", F.last(F.when(F.col("_end") == 0, F.col("date_ns")), True).over(w)).where("_end = 1")
+    notified = ("last", F.when(F.col("_end") == 0, F.col("date_ns")))
+    d = running(ends.unionByName(told), LOCK, {"notified_ns": notified}, chunk, ("date_ns", "_end", "seq")).where("_end = 1")
     return d.select(*LOCK, "thread_id", "seq", "notified_ns", (F.col("date_ns") - F.col("notified_ns")).alias("latency_ns"), (F.col("notified_ns") >= F.col("start_ns")).alias("in_order"))
 
 

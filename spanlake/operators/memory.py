@@ -5,9 +5,12 @@ Rows are ``(stream_id, thread_id, seq, date_ns, ptr, kind, size)``; frees book o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .intervals import contained
+from .scan import CHUNK, running
+
 KEYS = ["stream_id", "thread_id"]
 
 
@@ -35,19 +38,11 @@ def _steps(allocs: DataFrame) -> DataFrame:
     return a.unionByName(f)
 
 
-def memory_curve(allocs: DataFrame, chunk: int = 1 << 20) -> DataFrame:
-    """``(stream_id, thread_id, seq, date_ns, bytes, allocs, frees)`` after every event, running by allocating thread.
-
-    A two-level scan over chunks of ``seq``.
-    """
-    d = _steps(allocs).withColumn("_c", F.floor(F.col("seq") / chunk))
-    sums = d.groupBy(*KEYS, "_c").agg(F.sum("step").alias("_b"), F.sum("is_alloc").alias("_a"), F.count("*").alias("_n"))
-    before = Window.partitionBy(*KEYS).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.select(*KEYS, "_c", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("_b", "_a", "_n")])
-    inside = Window.partitionBy(*KEYS, "_c").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.select("*", F.sum("step").over(inside).alias("_b"), F.sum("is_alloc").over(inside).alias("_a"), F.count("*").over(inside).alias("_n")).join(carry, [*KEYS, "_c"])
-    a = F.col("_a0") + F.col("_a")
-    return d.select(*KEYS, "seq", "date_ns", (F.col("_b0") + F.col("_b")).alias("bytes"), a.alias("allocs"), (F.col("_n0") + F.col("_n") - a).alias("frees"))
+def memory_curve(allocs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``(stream_id, thread_id, seq, date_ns, bytes, allocs, frees)`` after every event, running by allocating thread."""
+    one = F.lit(1).cast("long")
+    d = running(_steps(allocs), KEYS, {"bytes": ("sum", F.col("step")), "allocs": ("sum", F.col("is_alloc").cast("long")), "frees": ("sum", one - F.col("is_alloc"))}, chunk)
+    return d.select(*KEYS, "seq", "date_ns", "bytes", "allocs", "frees")
 
 
 def alloc_counts(allocs: DataFrame) -> DataFrame:
@@ -58,7 +53,7 @@ def memory_peak(curve: DataFrame) -> DataFrame:
     return curve.groupBy(*KEYS).agg(F.max("bytes").alias("peak_bytes"), F.min_by("date_ns", F.struct(-F.col("bytes"), "seq")).alias("peak_ns"))
 
 
-def scope_memory(scopes: DataFrame, allocs: DataFrame) -> DataFrame:
+def scope_memory(scopes: DataFrame, allocs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Allocations and frees inside each scope, nested scopes included: running sums at its end less those at its begin.
 
     ``(stream_id, thread_id, scope_id, allocs, bytes, frees, freed_bytes)``; at equal ``seq`` the scope row is first.
@@ -71,19 +66,51 @@ def scope_memory(scopes: DataFrame, allocs: DataFrame) -> DataFrame:
     zero = [none.alias(c) for c in "abfg"]
     begin = scopes.select(*KEYS, F.col("scope_id").alias("seq"), F.lit(0).alias("_o"), *zero, "scope_id", F.lit(-1).alias("_e"))
     end = scopes.select(*KEYS, F.coalesce("end_seq", F.lit((1 << 63) - 1)).alias("seq"), F.lit(0).alias("_o"), *zero, "scope_id", F.lit(1).alias("_e"))
-    w = Window.partitionBy(*KEYS).orderBy("seq", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    d = s.unionByName(begin).unionByName(end).select(*KEYS, "scope_id", "_e", *[F.sum(c).over(w).alias(c) for c in "abfg"]).where("scope_id is not null")
+    marks = begin.withColumn("_u", F.col("scope_id")).unionByName(end.withColumn("_u", F.col("scope_id"))).unionByName(s.withColumn("_u", F.lit(0).cast("long")))
+    d = running(marks, KEYS, {f"_{c}": ("sum", F.col(c)) for c in "abfg"}, chunk, ("seq", "_o", "_u")).where("scope_id is not null")
+    d = d.select(*KEYS, "scope_id", "_e", *[F.col(f"_{c}").alias(c) for c in "abfg"])
     return d.groupBy(*KEYS, "scope_id").agg(*[F.sum(F.col(c) * F.col("_e")).alias(n) for c, n in zip("abfg", ("allocs", "bytes", "frees", "freed_bytes"), strict=True)])
 
 
 def live_at(allocs: DataFrame, dates: DataFrame, bucket_ns: int) -> DataFrame:
-    """Allocations alive at each of ``dates(stream_id, at_ns)``, matched through time buckets."""
-    b = F.lit(bucket_ns)
-    last = dates.groupBy("stream_id").agg(F.max("at_ns").alias("_last"))
-    a = allocs.join(last, "stream_id").where("start_ns <= _last").withColumn("_end", F.least(F.coalesce("end_ns", F.col("_last") + 1), F.col("_last") + 1))
-    a = a.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start_ns") / b), F.floor(F.col("_end") / b))))
-    d = dates.distinct().withColumn("_b", F.floor(F.col("at_ns") / b))
-    return d.join(a, ["stream_id", "_b"]).where("start_ns <= at_ns and (end_ns is null or end_ns > at_ns)").select("stream_id", "at_ns", "ptr", "alloc_seq", "thread_id", "size")
+    """Allocations alive at each of ``dates(stream_id, at_ns)``: begun by then and not freed yet. Leaks live to the last date."""
+    last = F.broadcast(dates.agg(F.max("at_ns").alias("_last")))  # one row
+    lives = allocs.join(last).where("start_ns <= _last").withColumn("_gone", F.coalesce(F.col("end_ns") - 1, F.col("_last"))).drop("_last")
+    d = contained(lives, dates.select("stream_id", "at_ns").distinct(), ["stream_id"], "start_ns", "_gone", "at_ns", bucket_ns)
+    return d.select(*_LIVE)
+
+
+_LIVE = ["stream_id", "at_ns", "ptr", "alloc_seq", "thread_id", "size"]
+
+
+def write_snapshots(allocs: DataFrame, path: str, every_ns: int) -> None:
+    """Snapshots for ``live_in``: ``live``, the allocations alive at the begin of each chunk of ``every_ns`` (and begun before), and
+    ``begun``, those begun in it; both by stream and chunk. A chunk in which no row begins or ends is left out."""
+    chunk = lambda c: F.expr(f"({c} - pmod({c}, {every_ns}L)) div {every_ns}L")
+    a = allocs.select("stream_id", "ptr", "alloc_seq", "thread_id", "size", "start_ns", "end_ns")
+    edges = a.select("stream_id", F.explode(F.array(chunk("start_ns"), chunk("end_ns"))).alias("chunk")).where("chunk is not null").distinct()
+    borders = edges.select("stream_id", "chunk", (F.col("chunk") * every_ns - 1).alias("at_ns"))
+    held = live_at(a, borders.select("stream_id", "at_ns"), every_ns).join(borders, ["stream_id", "at_ns"]).drop("at_ns")
+    held = held.join(a.select("stream_id", "alloc_seq", "start_ns", "end_ns"), ["stream_id", "alloc_seq"])
+    for name, d in (("live", held), ("begun", a.withColumn("chunk", chunk("start_ns")))):
+        d.repartitionByRange("stream_id", "chunk", "alloc_seq").sortWithinPartitions("stream_id", "chunk", "alloc_seq").write.partitionBy("stream_id", "chunk").parquet(f"{path}/{name}")
+    edges.withColumn("every_ns", F.lit(every_ns).cast("long")).repartitionByRange("chunk", "stream_id").write.parquet(f"{path}/chunks")
+
+
+def live_in(spark: SparkSession, path: str, at_ns: int) -> DataFrame:
+    """``live_at`` one date from ``write_snapshots``: for each stream the last snapshot by then and the rows begun in its chunk.
+
+    The last chunk of each stream by then is looked up first, so that the scans read the folders of these chunks alone.
+    """
+    upto = F.col("chunk") <= F.expr(f"({at_ns}L - pmod({at_ns}L, every_ns)) div every_ns")
+    last = spark.read.parquet(f"{path}/chunks").where(upto).groupBy("stream_id").agg(F.max("chunk").alias("chunk")).groupBy("chunk").agg(F.collect_list("stream_id").alias("streams"))
+    wanted = F.lit(False)
+    for r in last.collect():  # a number a stream
+        wanted = wanted | ((F.col("chunk") == r.chunk) & F.col("stream_id").isin(r.streams))
+    rows = [spark.read.parquet(f"{path}/{n}").where(wanted) for n in ("live", "begun")]
+    alive = rows[0].unionByName(rows[1]).where((F.col("start_ns") <= at_ns) & (F.col("end_ns").isNull() | (F.col("end_ns") > at_ns)))
+    cols = {"at_ns": F.lit(at_ns).cast("long"), "stream_id": F.col("stream_id").cast("long")}
+    return alive.select(*[cols[c].alias(c) if c in cols else c for c in _LIVE])
 
 
 def allocs_in_range(allocs: DataFrame, rng: tuple[int, int], only_in_range: bool = False) -> DataFrame:

@@ -1,12 +1,8 @@
 """Scope trees: pairing of begin and end events, parents, call paths and summaries.
 
 Arrival order inside a thread is ``seq``, whatever the dates are; where dates go back, repair them first
-(``clock.monotonic_dates``). A stack is replaced by a prefix sum: with +1 for a begin and -1 for an end, an end is an
-orphan iff the running sum reaches a new minimum below zero, and the depth is the sum above the running minimum.
-
-``depths`` is a two-level scan (sum and minimum are associative): totals of chunks of consecutive ``seq`` are scanned in a
-small table and joined back. Pairs, parents and paths come from ``stacks``, where a range of the trace is followed at once
-and ranges know each other through a row a range. Neither holds a thread in one task.
+(``clock.monotonic_dates``). Depths, pairs, parents and paths come from ``stacks``: a range of the trace is followed at once and
+ranges know each other through a row a range, so that no thread is one task.
 """
 
 from __future__ import annotations
@@ -14,34 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import contained
+from .scan import CHUNK, running
 from .stacks import Stacks
 
 KEYS = ["stream_id", "thread_id"]
 ORDER = ["date_ns", "seq"]
-CHUNK = 1 << 20
-
 
-def depths(df: DataFrame, keys: list[str] = KEYS, chunk: int = CHUNK) -> DataFrame:
-    """``df`` with ``orphan`` (an end without a begin), ``depth`` after the row and ``level`` of the row.
 
-    ``seq`` grows with arrival inside a thread.
-    """
-    step = F.when(F.col("kind") == "scope_begin", 1).when(F.col("kind") == "scope_end", -1).otherwise(0)
-    d = df.withColumn("_d", step).withColumn("_chunk", F.floor(F.col("seq") / chunk))
-    inside = Window.partitionBy(*keys, "_chunk").orderBy("seq")
-    d = d.withColumn("_in", F.sum("_d").over(inside))
-    d = d.withColumn("_low", F.min("_in").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
-    totals = d.groupBy(*keys, "_chunk").agg(F.sum("_d").alias("_t"), F.min("_in").alias("_m"))
-    w = Window.partitionBy(*keys).orderBy("_chunk")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_carry", F.coalesce(F.sum("_t").over(before), F.lit(0)))
-    totals = totals.withColumn("_least", F.least(F.lit(0), F.coalesce(F.min(F.col("_carry") + F.col("_m")).over(before), F.lit(0))))
-    d = d.join(totals.select(*keys, "_chunk", "_carry", "_least"), [*keys, "_chunk"])
-    s = F.col("_carry") + F.col("_in")
-    prev = F.least(F.col("_least"), F.col("_carry") + F.coalesce(F.col("_low"), F.lit(0)), F.lit(0))
-    d = d.withColumn("orphan", s < prev).withColumn("depth", (s - F.least(prev, s)).cast("long"))
-    d = d.withColumn("level", F.when(F.col("kind") == "scope_begin", F.col("depth") - 1).otherwise(F.col("depth")))
-    return d.drop("_d", "_in", "_low", "_carry", "_least", "_chunk")
+def depths(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """``df`` with ``orphan`` (an end without a begin), ``depth`` after the row and ``level`` of the row."""
+    return Stacks(df, keys, paths=False).rows()
 
 
 def orphan_ends(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -148,25 +127,20 @@ def previous(df: DataFrame, seq: int, n: int) -> DataFrame:
     return df.where(F.col("seq") < seq).orderBy(F.desc("date_ns"), F.desc("seq")).limit(n)
 
 
-def locate(scopes: DataFrame, dates: DataFrame, bucket_ns: int) -> DataFrame:
+def locate(scopes: DataFrame, dates: DataFrame, bucket_ns: int, chunk: int = CHUNK) -> DataFrame:
     """The deepest scope of every thread that contains a date, else the scope with the closest begin or end.
 
-    ``dates(stream_id, thread_id, at_ns)``. Scopes are dealt to the time buckets they touch, so containment is an
-    equi-join on thread and bucket; dates without a containing scope are matched to the nearest edge by a window.
+    ``dates(stream_id, thread_id, at_ns)``. Containment goes by blocks of time (``intervals``); dates without a containing
+    scope are matched to the nearest edge by a scan in both directions.
     """
-    b = F.lit(bucket_ns)
     s = scopes.select(*KEYS, "scope_id", "level", "start_ns", "end_ns")
-    dealt = s.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start_ns") / b), F.floor(F.col("end_ns") / b))))
     d = dates.select(*KEYS, "at_ns").distinct()
-    hit = d.withColumn("_b", F.floor(F.col("at_ns") / b)).join(dealt, [*KEYS, "_b"]).where("start_ns <= at_ns and at_ns <= end_ns")
+    hit = contained(s, d, KEYS, "start_ns", "end_ns", "at_ns", bucket_ns)
     inside = hit.groupBy(*KEYS, "at_ns").agg(F.max_by("scope_id", F.struct("level", "scope_id")).alias("inside"))
     edges = s.select(*KEYS, F.explode(F.array("start_ns", "end_ns")).alias("t"), "scope_id")
     marks = edges.select(*KEYS, "t", "scope_id", F.lit(None).cast("long").alias("at_ns")).unionByName(d.select(*KEYS, F.col("at_ns").alias("t"), F.lit(None).cast("long").alias("scope_id"), "at_ns"))
-    w = Window.partitionBy(*KEYS).orderBy("t", F.col("at_ns").asc_nulls_first(), "scope_id")
     edge = F.when(F.col("scope_id").isNotNull(), F.struct("t", "scope_id"))
-    marks = marks.withColumn("lo", F.last(edge, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
-        "hi", F.first(edge, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    )
+    marks = running(marks, KEYS, {"lo": ("last", edge), "hi": ("last", edge, "back")}, chunk, ("t", "at_ns", "scope_id"))
     near = marks.where("at_ns is not null").select(
         *KEYS, "at_ns", F.when(F.col("hi").isNull() | (F.col("t") - F.col("lo.t") <= F.col("hi.t") - F.col("t")), F.col("lo.scope_id")).otherwise(F.col("hi.scope_id")).alias("near")
     )

@@ -5,17 +5,18 @@ Series are long: ``(stream_id, thread_id, kind, path, time_ns, seq, value)``, th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import on_workers
+from ..tables import materialize
+from .scan import CHUNK, Scan, running
 
 SERIES = ["stream_id", "thread_id", "kind", "path"]
 BINS = 20_000
+FOLD = 256
+SALTS = 16
 
 
 def series(scopes: DataFrame, data: DataFrame | None = None, uses: DataFrame | None = None, notes: DataFrame | None = None, log_values: DataFrame | None = None) -> DataFrame:
@@ -49,48 +50,126 @@ def read_range(s: DataFrame, rng: tuple[int, int]) -> DataFrame:
     return inside.unionByName(after.select(*SERIES, "p.time_ns", "p.seq", "p.value"))
 
 
-def downsample(s: DataFrame, ns_per_point: int, mode: str = "m4", block: int = 16) -> DataFrame:
+def downsample(s: DataFrame, ns_per_point: int, mode: str = "m4", block: int = 16, chunk: int = CHUNK, fold: int = FOLD) -> DataFrame:
     """``m4``: first, last, least and greatest point of each time bucket. ``exact``: in blocks of ``block`` points the one
-    farthest from the point kept before, again and again until the spacing is reached."""
+    farthest from the point kept before (the first of equals), again and again until a series has at most ``block`` points or
+    the mean spacing is reached. ``chunk`` and ``fold`` size its steps and change no result."""
     if mode == "m4":
         p = F.struct("time_ns", "seq", "value")
         b = s.groupBy(*SERIES, F.floor(F.col("time_ns") / ns_per_point).alias("bucket")).agg(
             F.array_distinct(F.array(F.min(p), F.max(p), F.min_by(p, F.struct("value", "time_ns", "seq")), F.max_by(p, F.struct("value", -F.col("time_ns"), -F.col("seq"))))).alias("ps")
         )
         return b.select(*SERIES, F.explode("ps").alias("p")).select(*SERIES, "p.time_ns", "p.seq", "p.value")
-    on_workers(s.sparkSession)
+    keep = ["time_ns", "seq", "value"]
+    numbered = running(s.select(*SERIES, *keep), SERIES, {"i": ("sum", F.lit(1).cast("long"))}, chunk, ("time_ns", "seq", "value"))
+    d = materialize(numbered.withColumn("i", F.col("i") - 1), "points")
+    levels, ends = [], []
+    while True:
+        spacing = (F.max("time_ns") - F.min("time_ns")) / F.greatest(F.lit(1), F.count("*") - 1)
+        at = d.groupBy(*SERIES).agg(((F.count("*") <= block) | (spacing >= ns_per_point)).alias("enough")).withColumn("res", F.lit(len(levels)))
+        levels.append(d.withColumn("res", F.lit(len(levels))))
+        ends.append(at.where("enough"))
+        if not at.where("not enough").limit(1).count():
+            break
+        d = materialize(_farthest(d, block, fold), "points")
+    chosen = reduce(DataFrame.unionByName, ends).groupBy(*SERIES).agg(F.min("res").alias("res"))
+    # a series of most of the points is met in as many tasks as there are salts
+    chosen = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    points = reduce(DataFrame.unionByName, levels).withColumn("salt", F.pmod("i", F.lit(SALTS)).cast("int"))
+    return points.join(chosen, [*SERIES, "res", "salt"]).select(*SERIES, *keep)
+
+
+def _farthest(d: DataFrame, block: int, fold: int) -> DataFrame:
+    """One level of the exact downsample over points numbered by ``i``: a point for each block, numbered by its block.
+
+    Which point a block keeps depends on the block before it only through the point kept there, so a block is a map from
+    the few places before it to its own; maps are composed, not followed one after another.
+    """
+    blocks = d.groupBy(*SERIES, F.expr(f"i div {block}").alias("b")).agg(F.array_sort(F.collect_list(F.struct("i", "time_ns", "seq", "value"))).alias("ps"))
+    blocks = materialize(blocks, "blocks")
+    before = blocks.select(*SERIES, (F.col("b") + 1).alias("b"), F.col("ps.value").alias("was"))
+    j = blocks.join(before, [*SERIES, "b"], "left").withColumn("was", F.coalesce("was", F.array(F.get("ps", 0)["value"])))
+
+    def farthest_from(v: Column) -> Column:
+        far = F.transform("ps", lambda p: F.abs(p["value"] - v))
+        return (F.array_position(far, F.array_max(far)) - 1).cast("int")
+
+    at = _followed(j.select(*SERIES, "b", F.transform("was", farthest_from).alias("f")), fold)
+    kept = blocks.join(at, [*SERIES, "b"]).withColumn("p", F.get("ps", F.col("at")))
+    return kept.select(*SERIES, "p.time_ns", "p.seq", "p.value", F.col("b").alias("i"))
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["time_ns", "seq"]).reset_index(drop=True)
-        return pdf.iloc[farthest(pdf["time_ns"].to_numpy(), pdf["value"].to_numpy(), ns_per_point, block)]
+def _followed(maps: DataFrame, fold: int) -> DataFrame:
+    """``(series, b, at)`` of ``(series, b, f)``: ``at`` of a block is its map at the place of the block before, beginning at place 0.
 
-    return s.select(*SERIES, "time_ns", "seq", "value").groupBy(*SERIES).applyInPandas(run, s.select(*SERIES, "time_ns", "seq", "value").schema)
+    ``fold`` maps after one another become one; these are followed in the same way, and give each group its first place.
+    """
+    groups = materialize(maps.groupBy(*SERIES, F.expr(f"b div {fold}").alias("g")).agg(F.array_sort(F.collect_list(F.struct("b", "f"))).alias("fs")), "maps")
+    more = groups.where("g > 0").limit(1).count()
+    if more:
+        composed = F.aggregate(F.slice("fs", F.lit(2), F.size("fs")), F.get("fs", 0)["f"], lambda acc, x: F.transform(acc, lambda i: F.get(x["f"], i)))
+        last = _followed(groups.select(*SERIES, F.col("g").alias("b"), composed.alias("f")), fold)
+        groups = groups.join(last.select(*SERIES, (F.col("b") + 1).alias("g"), F.col("at").alias("first")), [*SERIES, "g"], "left")
+    first = F.coalesce("first", F.lit(0)) if more else F.lit(0)
+    start = F.struct(F.array().cast("array<int>").alias("seen"), first.alias("at"))
 
+    def step(acc: Column, x: Column) -> Column:
+        at = F.get(x["f"], acc["at"])
+        return F.struct(F.concat(acc["seen"], F.array(at)).alias("seen"), at.alias("at"))
 
-def farthest(time: np.ndarray, value: np.ndarray, ns_per_point: int, block: int) -> np.ndarray:
-    """Indices kept by the extremum-keeping pyramid at the first level whose mean spacing reaches ``ns_per_point``."""
-    keep = np.arange(len(time))
-    while len(keep) > block and (time[keep[-1]] - time[keep[0]]) / max(1, len(keep) - 1) < ns_per_point:
-        out, last = [], value[keep[0]]
-        for s in range(0, len(keep), block):
-            part = keep[s : s + block]
-            i = part[np.argmax(np.abs(value[part] - last))]
-            out.append(i)
-            last = value[i]
-        keep = np.array(out)
-    return keep
+    places = F.aggregate("fs", start, step)["seen"]
+    out = groups.select(*SERIES, F.explode(F.arrays_zip(F.col("fs.b").alias("b"), places.alias("at"))).alias("x"))
+    return out.select(*SERIES, "x.b", "x.at")
 
 
-def merge_scopes(scopes: DataFrame, min_gap_ns: int) -> DataFrame:
+def merge_scopes(scopes: DataFrame, min_gap_ns: int, chunk: int = CHUNK) -> DataFrame:
     """Scopes of one thread and level that are closer than ``min_gap_ns`` fuse: ``(..., start_ns, end_ns, n)``."""
     k = ["stream_id", "thread_id", "level"]
-    w = Window.partitionBy(*k).orderBy("start_ns", "scope_id")
-    far = F.col("start_ns") - F.max("end_ns").over(w.rowsBetween(Window.unboundedPreceding, -1)) >= min_gap_ns
-    d = scopes.withColumn("_new", F.when(F.coalesce(far, F.lit(True)), 1).otherwise(0))
-    d = d.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    s = Scan(scopes, k, ("start_ns", "scope_id"), chunk)
+    d = s.run({"_upto": ("max", F.col("end_ns"), "before")})
+    far = F.coalesce(F.col("start_ns") - F.col("_upto") >= min_gap_ns, F.lit(True))
+    d = s.run({"_g": ("sum", F.when(far, 1).otherwise(0))}, d)
     return d.groupBy(*k, "_g").agg(F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"), F.count("*").alias("n")).drop("_g")
 
 
+def scope_pyramid(scopes: DataFrame, leaf: int = 4, factor: int = 8, levels: int = 6, chunk: int = CHUNK) -> DataFrame:
+    """Scopes at several resolutions ``(stream_id, thread_id, level, res, block, start_ns, end_ns, n, scope_id, speck_ns, upper_ns)``.
+
+    At ``res`` -1 stand the scopes themselves, at 0 blocks of ``leaf`` successive scopes of a thread and level, then
+    blocks of ``factor`` blocks. ``speck_ns`` is the longest scope or gap of a block (with the gap before it; 0 for a scope itself): where
+    that cannot be seen the block looks like one scope, the first one of which it names. ``upper_ns`` is the speck of the block above, which is none less.
+    """
+    k = ["stream_id", "thread_id", "level"]
+    one = F.lit(1).cast("long")
+    d = running(scopes.select(*k, "scope_id", "start_ns", "end_ns"), k, {"i": ("sum", one), "_was": ("last", F.col("end_ns"), "before")}, chunk, ("start_ns", "scope_id"))
+    longest = F.greatest(F.col("end_ns") - F.col("start_ns"), F.coalesce(F.col("start_ns") - F.col("_was"), F.lit(0)))
+    d = d.select(*k, "scope_id", "start_ns", "end_ns", F.expr(f"(i - 1) div {leaf}").alias("b"), longest.alias("speck_ns"))
+    d = materialize(d, "scopes")
+    span = F.explode(F.array(*[F.struct(F.lit(r).alias("res"), F.lit(factor**r).cast("long").alias("ratio")) for r in range(levels)])).alias("x")
+    coarse = d.groupBy(*k, "b").agg(F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"), F.count("*").alias("n"), F.min("scope_id").alias("scope_id"), F.max("speck_ns").alias("speck_ns"))
+    coarse = coarse.select("*", span).groupBy(*k, F.col("x.res").alias("res"), F.expr("b div x.ratio").alias("block")).agg(
+        F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"), F.sum("n").alias("n"), F.min("scope_id").alias("scope_id"), F.max("speck_ns").alias("speck_ns")
+    )
+    coarse = materialize(coarse, "pyramid")
+    fine = d.select(*k, F.lit(-1).alias("res"), F.col("scope_id").alias("block"), "start_ns", "end_ns", one.alias("n"), "scope_id", F.lit(0).cast("long").alias("speck_ns"), F.lit(0).alias("up"), F.col("b").alias("up_block"))
+    blocks = coarse.select(*k, "res", "block", "start_ns", "end_ns", "n", "scope_id", "speck_ns", (F.col("res") + 1).alias("up"), F.expr(f"block div {factor}").alias("up_block"))
+    above = coarse.select(*k, F.col("res").alias("up"), F.col("block").alias("up_block"), F.col("speck_ns").alias("upper_ns"))
+    out = fine.unionByName(blocks).join(above, [*k, "up", "up_block"], "left")
+    return out.select(*k, "res", "block", "start_ns", "end_ns", "n", "scope_id", "speck_ns", F.coalesce("upper_ns", F.lit((1 << 63) - 1)).alias("upper_ns"))
+
+
+def write_pyramid(pyramid: DataFrame, path: str) -> None:
+    """By resolution, and sorted so that a reader's bounds skip row groups."""
+    pyramid.repartitionByRange("res", "upper_ns", "start_ns").sortWithinPartitions("res", "upper_ns", "start_ns").write.partitionBy("res").parquet(path)
+
+
+def read_pyramid(pyramid: DataFrame, speck_ns: int, rng: tuple[int, int] | None = None) -> DataFrame:
+    """Every scope once at a resolution: the coarsest blocks whose longest scope and gap are at most ``speck_ns``, and scopes
+    that are in none. Two bounds on a row pick it, so they reach the scan of a written pyramid."""
+    d = pyramid.where((F.col("speck_ns") <= speck_ns) & (F.col("upper_ns") > speck_ns))
+    return d if rng is None else d.where((F.col("start_ns") <= rng[1]) & (F.col("end_ns") >= rng[0]))
+
+
 def build_rollups(s: DataFrame, base_ns: int, factor: int = 16, levels: int = 4) -> DataFrame:
     """Rollups by buckets of ``base_ns * factor**level``: count, sum, least, greatest, first and last value."""
     span = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.lit(factor**k).alias("ratio")) for k in range(levels)]))

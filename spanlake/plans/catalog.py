@@ -538,13 +538,6 @@ def _(s, d):
     return memory.scope_memory(scopes.pair_scopes(fx.trace(s, d)), _allocs(s, d))
 
 
-@_query("m6_live_at", sql("memory", f", {_ALLOC}, q as (select distinct stream_id, date_ns as at_ns from memory where seq % 500 = 0) select q.stream_id, at_ns, ptr, alloc_seq, thread_id, size from q join allocs a on a.stream_id = q.stream_id and start_ns <= at_ns and (end_ns is null or end_ns > at_ns)"))
-def _(s, d):
-    m = fx.memory(s, d)
-    q = m.where("seq % 500 = 0").select("stream_id", F.col("date_ns").alias("at_ns"))  # the dates asked for
-    return memory.live_at(memory.allocations(m), q, 10**14)
-
-
 @_query("m6_live_at_grid", sql("memory", f", {_ALLOC}, g as (select unnest(range(min(date_ns), max(date_ns) + 1, {BUCKET})) as at_ns from memory), q as (select stream_id, at_ns from (select distinct stream_id from memory), g) select q.stream_id, at_ns, ptr, alloc_seq, thread_id, size from q join allocs a on a.stream_id = q.stream_id and start_ns <= at_ns and (end_ns is null or end_ns > at_ns)"))
 def _(s, d):
     m = fx.memory(s, d)
@@ -552,6 +545,16 @@ def _(s, d):
     return memory.live_at(memory.allocations(m), m.select("stream_id").distinct().crossJoin(F.broadcast(grid)), 10**14)
 
 
+_LIVE_DATES = (2 * 10**14, 9 * 10**14 + 1, 10**15)
+
+
+@_query("m6_live_snapshots", sql("memory", f", {_ALLOC}, q as (select unnest([{', '.join(map(str, _LIVE_DATES))}]) as at_ns) select stream_id, at_ns, ptr, alloc_seq, thread_id, size from q join allocs on start_ns <= at_ns and (end_ns is null or end_ns > at_ns)"))
+def _(s, d):
+    memory.write_snapshots(_allocs(s, d), path := new_path(s, "snapshots"), 10**14)
+    out = [memory.live_in(s, path, at) for at in _LIVE_DATES]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @_query("m7_allocs_in_range", sql("memory", f", {_ALLOC} select stream_id, alloc_seq, start_ns >= {T0} and coalesce(end_ns <= {T1}, false) inside from allocs where start_ns <= {T1} and (end_ns is null or end_ns >= {T0})"))
 def _(s, d):
     a = _allocs(s, d)
@@ -680,17 +683,61 @@ def _(s, d):
     return series.downsample(_prices(s, d), _WEEK).select("thread_id", "time_ns", "seq", "value")
 
 
-@_query("t5_downsample_exact", None)
+def _exact_sql(base: str, keys: str, spacing: int, levels: int, block: int = 16) -> str:
+    """Level after level, each by recursion over its blocks; ``base`` ends in a table ``pt(keys, time_ns, seq, value)``."""
+    on = " and ".join(f"l.{k} = r.{k}" for k in keys.split(", "))
+    of = lambda a: ", ".join(f"{a}.{k}" for k in keys.split(", "))
+    parts = [f"{base}, lv0 as materialized (select *, row_number() over (partition by {keys} order by time_ns, seq, \"value\") - 1 as i from pt)"]
+    for n in range(levels):
+        far = "list_transform(l.ps, lambda x: abs(x.v - {}))"
+        pick = lambda v, far=far: f"l.ps[list_position({far.format(v)}, list_max({far.format(v)}))]"
+        parts.append(f"bl{n} as materialized (select {keys}, i // {block} as b, list({{'i': i, 't': time_ns, 's': seq, 'v': \"value\"}} order by i) as ps from lv{n} group by all)")
+        parts.append(
+            f"pk{n} as (with recursive r as (select {of('l')}, l.b, {pick('l.ps[1].v')} as p from bl{n} l where b = 0 union all "
+            f"select {of('l')}, l.b, {pick('r.p.v')} from r join bl{n} l on {on} and l.b = r.b + 1) select * from r)"
+        )
+        parts.append(f"lv{n + 1} as materialized (select {keys}, p.t as time_ns, p.s as seq, p.v as \"value\", b as i from pk{n})")
+    every = " union all ".join(f"select {n} as res, {keys}, time_ns, seq, \"value\" from lv{n}" for n in range(levels + 1))
+    return (
+        ",\n".join(parts) + f", al as ({every}), en as (select {keys}, min(res) as res from (select {keys}, res from al group by all "
+        f"having count(*) <= {block} or (max(time_ns) - min(time_ns))::double / greatest(1, count(*) - 1) >= {spacing}) group by all)\n"
+        f"select {keys}, time_ns, seq, \"value\" from al join en using ({keys}, res)"
+    )
+
+
+@_query("t5_downsample_exact", _exact_sql(_ser(", pt as (select * from ser)"), "stream_id, thread_id, kind, path", 10**13, 4))
 def _(s, d):
     return series.downsample(_series(s, d), 10**13, mode="exact")
 
 
+@_query("t5_downsample_prices", _exact_sql(f'{_PRICE}, pt as (select thread_id, time_ns, seq, v as "value" from pr)', "thread_id", _WEEK // 7, 4))
+def _(s, d):
+    return series.downsample(_prices(s, d), _WEEK // 7, mode="exact").select("thread_id", "time_ns", "seq", "value")
+
+
 @_query("t6_merge_scopes", sql("scopes", """, g as (select *, case when start_ns - max(end_ns) over (partition by stream_id, thread_id, level order by start_ns, scope_id rows between unbounded preceding and 1 preceding) >= 50000000000000 then 1 else 0 end nw from sc),
 i as (select *, sum(nw) over (partition by stream_id, thread_id, level order by start_ns, scope_id) isl from g) select stream_id, thread_id, level, min(start_ns) start_ns, max(end_ns) end_ns, count(*) n from i group by stream_id, thread_id, level, isl"""))
 def _(s, d):
     return series.merge_scopes(scopes.pair_scopes(fx.trace(s, d)), 5 * 10**13)
 
 
+_PYRAMID = """, nu as (select *, row_number() over w - 1 as i, greatest(duration_ns, coalesce(start_ns - lag(end_ns) over w, 0)) as speck from sc window w as (partition by stream_id, thread_id, level order by start_ns, scope_id)),
+lv as (select stream_id, thread_id, level, res, i // (4 * (8 ** res)::bigint) as block, min(start_ns) start_ns, max(end_ns) end_ns, count(*) n, min(scope_id) scope_id, max(speck)::bigint speck from nu, range(6) q(res) group by all),
+py as (select stream_id, thread_id, level, -1 as res, scope_id as block, start_ns, end_ns, 1::bigint as n, scope_id, 0::bigint as speck, 0 as up, i // 4 as up_block from nu
+union all select stream_id, thread_id, level, res, block, start_ns, end_ns, n, scope_id, speck, res + 1, block // 8 from lv),
+pu as (select py.*, coalesce(u.speck, 9223372036854775807) as upper from py left join lv u on u.stream_id = py.stream_id and u.thread_id = py.thread_id and u.level = py.level and u.res = py.up and u.block = py.up_block)"""
+_SPECKS = (10**13, 2 * 10**14, 10**15)
+
+
+@_query("t6_scope_pyramid", sql("scopes", _PYRAMID + " ".join(f"{'union all' if k else ''} select {r} as asked_ns, stream_id, thread_id, level, res, start_ns, end_ns, n, scope_id from pu where speck <= {r} and upper > {r}" for k, r in enumerate(_SPECKS))))
+def _(s, d):
+    series.write_pyramid(series.scope_pyramid(scopes.pair_scopes(fx.trace(s, d))), path := new_path(s, "scope-pyramid"))
+    p = s.read.parquet(path)
+    cols = ["stream_id", "thread_id", "level", "res", "start_ns", "end_ns", "n", "scope_id"]
+    out = [series.read_pyramid(p, r).select(F.lit(r).cast("long").alias("asked_ns"), *cols) for r in _SPECKS]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @_query("t7_rollups", f"""{_PRICE}, l as (select *, unnest([0, 1, 2]) as level from pr), b as (select *, time_ns // (86400000000000 * (4 ** level)::bigint) as bucket from l)
 select thread_id, level, bucket, count(*) n, min(v) lo, max(v) hi, first(v order by time_ns, seq, v) as first, last(v order by time_ns, seq, v) as last from b group by all""")
 def _(s, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.scan import CHUNK, running
+from ..operators.scan import CHUNK, Scan, running
 
 KEYS = ["stream_id", "thread_id"]
 
@@ -13,9 +13,10 @@ KEYS = ["stream_id", "thread_id"]
 def unwrap_counter(df: DataFrame, column: str, bits: int = 32, keys: list[str] = KEYS, chunk: int = CHUNK) -> DataFrame:
     """``df`` with ``<column>_full``: a counter of few bits made whole; it wrapped where it falls by over a quarter."""
     slack = (1 << (bits - 2)) - 1
-    d = running(df, keys, {"_last": ("last", F.col(column))}, before=True, chunk=chunk)
+    s = Scan(df, keys, chunk=chunk)
+    d = s.run({"_last": ("last", F.col(column), "before")})
     fell = F.when(F.col(column) < F.coalesce("_last", F.lit(0)) - slack, 1).otherwise(0)
-    d = running(d, keys, {"_wraps": ("sum", fell)}, chunk=chunk)
+    d = s.done(s.run({"_wraps": ("sum", fell)}, d))
     return d.withColumn(f"{column}_full", F.col(column) + F.lit(1 << bits) * F.col("_wraps")).drop("_last", "_wraps")
 
 
@@ -31,8 +32,9 @@ def resync_counter(df: DataFrame, references: DataFrame, column: str, bits: int
 
 def monotonic_dates(df: DataFrame, keys: list[str] = KEYS, chunk: int = CHUNK) -> DataFrame:
     """``df`` with ``fixed_ns``: each date if it is later than the fixed one before it, else that one plus 1."""
-    d = running(df, keys, {"_i": ("sum", F.lit(1).cast("long"))}, chunk=chunk)
-    d = running(d, keys, {"_up": ("max", F.col("date_ns") - F.col("_i"))}, chunk=chunk)
+    s = Scan(df, keys, chunk=chunk)
+    d = s.run({"_i": ("sum", F.lit(1).cast("long"))})
+    d = s.done(s.run({"_up": ("max", F.col("date_ns") - F.col("_i"))}, d))
     return d.withColumn("fixed_ns", F.col("_i") + F.greatest(F.lit(0).cast("long"), F.col("_up"))).drop("_i", "_up")
 
 
