@@ -27,9 +27,13 @@ def profile(scopes: DataFrame, kind: str = "time", rng: tuple[int, int] | None =
     node = s.groupBy(*keys, "path").agg(
         F.count("*").alias("calls"), F.sum("_v").alias("value"), F.min("scope_id").alias("first_id"), F.min_by("start_ns", "scope_id").alias("first_ns")
     )
-    node = node.withColumn("depth", F.size("path") - 1)
-    kids = node.where("depth > 0").groupBy(*keys, F.slice("path", F.lit(1), F.size("path") - 1).alias("path")).agg(F.sum("value").alias("children"))
-    out = node.join(kids, [*keys, "path"], "left").fillna(0, ["children"]).withColumn("self", F.col("value") - F.col("children"))
+    # each node stands for itself and adds its value to the children of the path above: one pass over the nodes
+    own = F.struct("path", "calls", "value", "first_id", "first_ns", F.lit(0).cast("long").alias("children"))
+    none = [F.lit(None).cast(node.schema[c].dataType).alias(c) for c in ("calls", "value", "first_id", "first_ns")]
+    above = F.struct(F.slice("path", F.lit(1), F.size("path") - 1).alias("path"), *none, F.col("value").alias("children"))
+    both = node.select(*keys, F.explode(F.when(F.size("path") > 1, F.array(own, above)).otherwise(F.array(own))).alias("x")).select(*keys, "x.*")
+    out = both.groupBy(*keys, "path").agg(*[F.max(c).alias(c) for c in ("calls", "value", "first_id", "first_ns")], F.sum("children").alias("children")).where("calls is not null")
+    out = out.withColumn("depth", F.size("path") - 1).withColumn("self", F.col("value") - F.col("children"))
     out = out.where("value <> 0") if drop_zero else out
     out = out.select(*keys, "path", "depth", "calls", "value", "children", "self", "first_id", "first_ns")
     if rng is None:

@@ -29,17 +29,12 @@ def orphan_ends(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 def pair_scopes(df: DataFrame, keys: list[str] = KEYS, max_level: int | None = None, close_open: bool = True) -> DataFrame:
     """One row a scope: its id is the ``seq`` of its begin. Open scopes end at their stream's last date."""
-    return _scope_rows(Stacks(df, keys, paths=False).scopes(), df, keys, max_level, close_open)
+    return _scope_rows(Stacks(df, keys, paths=False).scopes(close_open=close_open), keys, max_level)
 
 
-def _scope_rows(p: DataFrame, df: DataFrame, keys: list[str], max_level: int | None = None, close_open: bool = True, more: tuple[str, ...] = ()) -> DataFrame:
+def _scope_rows(p: DataFrame, keys: list[str], max_level: int | None = None, more: tuple[str, ...] = ()) -> DataFrame:
     if max_level is not None:
         p = p.where(F.col("level") < max_level)
-    p = p.withColumn("is_open", F.col("end_seq").isNull())
-    if close_open:
-        last = df.groupBy("stream_id").agg(F.max("date_ns").alias("_last"))
-        ended = p.where("is_open").join(last, "stream_id").withColumn("_end", F.col("_last")).select(*p.columns)
-        p = p.where("not is_open").unionByName(ended)
     return p.select(
         *keys,
         F.col("seq").alias("scope_id"),
@@ -66,11 +61,11 @@ def with_paths(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 def scopes_with_paths(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """``pair_scopes`` with ``parent_id``, ``path`` and ``scope_path``."""
-    return _scopes_with_paths(Stacks(df, keys), df, keys)
+    return _scopes_with_paths(Stacks(df, keys), keys)
 
 
-def _scopes_with_paths(st: Stacks, df: DataFrame, keys: list[str]) -> DataFrame:
-    return _scope_rows(st.scopes(st.located()), df, keys, more=("parent_id", "path", "scope_path"))
+def _scopes_with_paths(st: Stacks, keys: list[str]) -> DataFrame:
+    return _scope_rows(st.scopes(st.located()), keys, more=("parent_id", "path", "scope_path"))
 
 
 def attach_data(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -86,7 +81,7 @@ def _attached(st: Stacks, keys: list[str]) -> DataFrame:
 def scopes_and_data(df: DataFrame, keys: list[str] = KEYS) -> tuple[DataFrame, DataFrame]:
     """``scopes_with_paths`` and ``attach_data`` of one trace, whose stacks are followed once."""
     st = Stacks(df, keys)
-    return _scopes_with_paths(st, df, keys), _attached(st, keys)
+    return _scopes_with_paths(st, keys), _attached(st, keys)
 
 
 def flat_events(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:

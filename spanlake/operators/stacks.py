@@ -223,20 +223,22 @@ class Stacks:
             "_end_seq", "_end_ns", "_end_name",
         )
 
-    def enclosing(self, what: str = "id") -> Column:
-        return self._under(F.get("_ids", F.col("_local") - 1), what)
+    def scopes(self, begins: DataFrame | None = None, close_open: bool = True) -> DataFrame:
+        """Begins (``begins``, where they were located already) with ``end_seq``, ``_end``, ``end_name`` and ``is_open``.
 
-    def scopes(self, begins: DataFrame | None = None) -> DataFrame:
-        """Begins (``begins``, where they were located already) with ``end_seq``, ``_end`` and ``end_name``, null if never closed.
-
-        Most ends came in the same batch. The others, some for each batch, are joined to the begins that still wait.
+        Most ends came in the same batch. The others, some for each batch, are joined to the begins that still wait; where
+        none comes the scope is open, and ends at its stream's last date if ``close_open``.
         """
         begins = self._rows.where("kind = 'scope_begin'") if begins is None else begins.where("kind = 'scope_begin'")
-        names = {"end_seq": "_end_seq", "_end": "_end_ns", "end_name": "_end_name"}
-        drop = [c for c in begins.columns if c in ("_entry", "_names", "_ids", "_keep", "_under", "_part")]
-        done = begins.where("_end_seq is not null").withColumns({n: F.col(c) for n, c in names.items()}).drop(*names.values(), *drop)
+        ends = ("_end_seq", "_end_ns", "_end_name")
+        kept = [c for c in begins.columns if c not in (*ends, "_entry", "_names", "_ids", "_keep", "_under", "_part")]
+        done = begins.where("_end_seq is not null").select(*kept, F.col("_end_seq").alias("end_seq"), F.col("_end_ns").alias("_end"), F.col("_end_name").alias("end_name"), F.lit(False).alias("is_open"))
         entry = F.get("_entry", F.col("_keep"))["id"]
         late = self._rows.where("kind = 'scope_end' and not orphan and (_late or _below)")
         late = late.select(*self.keys, F.when(F.col("_below"), entry).otherwise(F.col("_closes")).alias("_begin"), F.col("seq").alias("end_seq"), F.col("date_ns").alias("_end"), F.col("name").alias("end_name"))
-        wait = begins.where("_end_seq is null").drop(*names.values(), *drop).withColumn("_begin", F.col("seq"))
-        return done.unionByName(wait.join(late, [*self.keys, "_begin"], "left").drop("_begin"))
+        wait = begins.where("_end_seq is null").select(*kept, F.col("seq").alias("_begin")).join(late, [*self.keys, "_begin"], "left")
+        end = F.col("_end")
+        if close_open:
+            last = self._chunks.where("_effect is null").groupBy("stream_id").agg(F.max("date_ns").alias("_last"))
+            wait, end = wait.join(last, "stream_id", "left"), F.coalesce("_end", F.when(F.col("end_seq").isNull(), F.col("_last")))
+        return done.unionByName(wait.select(*kept, "end_seq", end.alias("_end"), "end_name", F.col("end_seq").isNull().alias("is_open")))
