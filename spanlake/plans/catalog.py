@@ -247,11 +247,6 @@ def _(s, d):
     return scopes.ancestors(_scopes(s, d))
 
 
-@_query("h12_text_order", sql("trace", " select stream_id, thread_id, seq, kind, name from trace order by stream_id, thread_id, date_ns, seq limit 500"))
-def _(s, d):
-    return scopes.text_order(fx.trace(s, d), n=500).select("stream_id", "thread_id", "seq", "kind", "name")
-
-
 @_query("h12_text_order_all", sql("trace", " select stream_id, thread_id, row_number() over (partition by stream_id, thread_id order by date_ns, seq) as position, seq, kind, name from trace"))
 def _(s, d):
     w = Window.partitionBy("stream_id", "thread_id").orderBy("date_ns", "seq")
@@ -901,11 +896,6 @@ def _(s, d):
     return select.complete(fx.trace(s, d), "P")
 
 
-@_query("e9_search", sql("trace", f" select stream_id, thread_id, seq, date_ns, kind, name from trace where name = 'op2' and date_ns >= {T0} order by date_ns, seq limit 200"))
-def _(s, d):
-    return select.search(fx.trace(s, d), "op2", from_ns=T0, n=200)
-
-
 _MESSAGES = """msg as (select *, case format when 'f0' then printf('n=%d', p0) when 'f1' then printf('n=%03d v=%.2f', p0, p1) when 'f2' then printf('%-6d|%g', p0, p1) else printf('hex %X', p0) end as message from logs)"""
 
 
@@ -921,13 +911,6 @@ def _(s, d):
 # ---------------------------------------------------------------- sinks and summaries
 
 
-@_query("x1_ctf_lines", sql("scopes", """ select seq, case kind when 'scope_begin' then 'B' else 'E' end ph, name, date_ns / 1000 as ts from s3 where kind <> 'data' and not orphan"""))
-def _(s, d):
-    out = sinks.ctf_lines(fx.trace(s, d))
-    j = F.from_json("line", "name string, cat string, ph string, ts double, pid long, tid long")
-    return out.select("seq", j.alias("j")).select("seq", F.col("j.ph").alias("ph"), F.col("j.name").alias("name"), F.col("j.ts").alias("ts"))
-
-
 @_query("x1_ctf_lines_all", sql("scopes locks logs", f""", {_WAITS}, {_MESSAGES}
 select seq, case kind when 'scope_begin' then 'B' else 'E' end ph, 'Scope' cat, name, date_ns / 1000 as ts, stream_id pid, thread_id tid, null thread from s3 where kind <> 'data' and not orphan
 union all select seq, 'B', 'Lock wait', name, start_ns / 1000, stream_id, thread_id, null from waits

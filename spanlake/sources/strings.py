@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import on_workers
+from ..operators.numbering import numbered
 
 TOKEN = "@@([0-9A-F]{16})@@"
 # fixed values: offset basis and prime of FNV-1a, 64 and 32 bits
@@ -15,19 +16,25 @@ FNV = {64: (14695981039346656037, 1099511628211), 32: (2166136261, 16777619)}
 
 
 def fnv1a(texts: list[str], bits: int = 64, salt: int = 0) -> np.ndarray:
-    """FNV-1a of many strings at once, byte position by byte position; the salt is mixed into the basis."""
+    """FNV-1a of many strings at once, byte position by byte position from the longest string on; the salt is mixed into
+    the basis. Memory is that of the texts, whatever their lengths."""
     basis, prime = FNV[bits]
     kind = np.uint64 if bits == 64 else np.uint32
     raw = [t.encode("utf-8") for t in texts]
-    n = np.array([len(r) for r in raw])
-    table = np.zeros((len(raw), int(n.max(initial=0))), dtype=np.uint8)
-    for i, r in enumerate(raw):
-        table[i, : len(r)] = np.frombuffer(r, np.uint8)
+    n = np.array([len(r) for r in raw], dtype=np.int64)
+    longest = np.argsort(-n, kind="stable")
+    ends = np.cumsum(n[longest])
+    starts = ends - n[longest]
+    flat = np.frombuffer(b"".join(raw[i] for i in longest), np.uint8)
     h = np.full(len(raw), (basis + salt) % (1 << bits), dtype=kind)
-    for k in range(table.shape[1]):
-        live = n > k
-        h[live] = (h[live] ^ table[live, k].astype(kind)) * kind(prime)
-    return h
+    live = len(raw)
+    for k in range(int(n.max(initial=0))):
+        while n[longest[live - 1]] <= k:
+            live -= 1
+        h[:live] = (h[:live] ^ flat[starts[:live] + k].astype(kind)) * kind(prime)
+    out = np.empty_like(h)
+    out[longest] = h
+    return out
 
 
 def hash_column(df: DataFrame, column: str, bits: int = 64, salt: int = 0):
@@ -83,6 +90,6 @@ def decode_text(df: DataFrame, column: str, dictionary: DataFrame, key: str) ->
 
 
 def first_seen_ids(df: DataFrame, column: str, order: str) -> DataFrame:
-    """``(value, id)``: ids by first appearance; the window runs over the distinct values."""
+    """``(value, id)``: ids by first appearance of the distinct values."""
     first = df.groupBy(F.col(column).alias("value")).agg(F.min(order).alias("_at"))
-    return first.select("value", (F.row_number().over(Window.orderBy("_at", "value")) - 1).alias("id"))
+    return numbered(first, ["_at", "value"], "id").select("value", "id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
+
 REQUIRED = {"stream_id", "thread_id", "seq", "date_ns", "kind", "name"}
 VERSION = 1
 
@@ -46,10 +48,10 @@ def merge_streams(df: DataFrame, strings: DataFrame) -> DataFrame:
     """Events with globally unique ids: ``string_id`` by hash of the string (numbered by first appearance), and
     ``global_thread`` numbered by stream and thread. ``strings(stream_id, string_idx, hash, value)``."""
     ids = strings.groupBy("hash").agg(F.min(F.struct("stream_id", "string_idx")).alias("first"), F.min("value").alias("value"))
-    ids = ids.withColumn("string_id", F.dense_rank().over(Window.orderBy("first")) - 1)  # the dictionary
+    ids = numbered(ids, ["first"], "string_id")
     known = strings.join(ids.select("hash", "string_id", F.col("value").alias("string")), "hash").select("stream_id", "string_idx", "string_id", "string")
     threads = df.select("stream_id", "thread_id").distinct()
-    threads = threads.withColumn("global_thread", F.dense_rank().over(Window.orderBy("stream_id", "thread_id")) - 1)
+    threads = numbered(threads, ["stream_id", "thread_id"], "global_thread")
     return df.join(known, ["stream_id", "string_idx"], "left").join(threads, ["stream_id", "thread_id"])
 
 
