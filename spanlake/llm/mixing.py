@@ -202,7 +202,8 @@ def _first_words(text: Column, n: Column) -> Column:
 
 
 def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The mix itself, with the columns of ``docs``, in the order of its slots.
+    """The mix itself, with the columns of ``docs``, in the order of its slots: by partition and row, and so by file and row
+    once it is written (``tokens.write_tokens`` follows that order with ``file_order``).
 
     Each pass through a document is a row, at the slot of its first block; a pass that the target cuts short (at most
     one a source) has the first words of the text, its white space as it was. ``n_chars``, where there is one, follows

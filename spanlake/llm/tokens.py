@@ -157,15 +157,20 @@ def n_parts(block: bytes) -> int:
 # ---------------------------------------------------------------- tables
 
 
-def encode_texts(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID) -> DataFrame:
-    """``(doc_id, ids)`` of every whole text; ids are little-endian, 16 bits where the vocabulary allows."""
+def encode_texts(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID, file_order: bool = False) -> DataFrame:
+    """``(doc_id, ids)`` of every whole text; ids are little-endian, 16 bits where the vocabulary allows.
+
+    With ``file_order`` also ``part`` and ``row``, where a row stands in the files from which ``docs`` are read.
+    """
+    at = [F.regexp_extract("_metadata.file_name", r"(\d+)", 1).cast("long").alias("part"), F.col("_metadata.row_index").alias("row")] if file_order else []
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         ids = WordEncoder.of(tokenizer).encode(b.column(1), end_id)
-        return pa.RecordBatch.from_arrays([b.column(0), ids], ["doc_id", "ids"])
+        return pa.RecordBatch.from_arrays([b.column(0), ids, *b.columns[2:]], ["doc_id", "ids", *["part", "row"][: b.num_columns - 2]])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs.select("doc_id", text_or_empty().alias("text")), run, f"doc_id {kind}, ids binary", ENCODE_ROWS, ENCODE_BYTES)
+    more = ", part long, row long" if file_order else ""
+    return map_arrow(docs.select("doc_id", text_or_empty().alias("text"), *at), run, f"doc_id {kind}, ids binary{more}", ENCODE_ROWS, ENCODE_BYTES)
 
 
 def _token_counts(coded: DataFrame, dtype: str, vocab: int) -> np.ndarray:
@@ -219,12 +224,17 @@ def _blocks(it: Iterator[pa.RecordBatch], coder: Coder, dtype: str, block_ids: i
         yield row()
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = END_ID, block_ids: int = BLOCK_IDS) -> None:
-    """Encode all texts of ``docs(doc_id, text)`` and write the file set to ``path``, in ascending doc_id order."""
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = END_ID, block_ids: int = BLOCK_IDS, file_order: bool = False) -> None:
+    """Encode all texts of ``docs(doc_id, text)`` and write the file set to ``path``, in ascending doc_id order.
+
+    With ``file_order`` texts come in the order in which the files of ``docs`` hold them, so that a mix stays mixed; ``docs``
+    are then one table as Spark wrote it, which numbers its files.
+    """
     spark = docs.sparkSession
     vocab = vocabulary(tokenizer)
     dtype = id_type(vocab).str
-    coded = materialize(encode_texts(docs, tokenizer, end_id), "token-ids")
+    coded = materialize(encode_texts(docs, tokenizer, end_id, file_order), "token-ids")
+    order = ["part", "row"] if file_order else ["doc_id", "h", "ids"]
     counts = _token_counts(coded, dtype, vocab)
     freq, bits = shared_frequencies(counts)
     used = np.flatnonzero(freq)
@@ -234,8 +244,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     kind = docs.schema["doc_id"].dataType.simpleString()
     blocks = (
         coded.withColumn("h", F.xxhash64("ids"))
-        .repartitionByRange("doc_id", "h")
-        .sortWithinPartitions("doc_id", "h", "ids")
+        .repartitionByRange(*order[:2])
+        .sortWithinPartitions(*order)
         .select("doc_id", "ids")
         .mapInArrow(
             lambda it: _blocks(it, Coder(*shared.value), dtype, block_ids),
@@ -286,9 +296,9 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     return map_arrow(blocks.select("base", "start", "doc_ids", "lengths", "block"), run, out)
 
 
-def token_file(docs: DataFrame, tokenizer: str | None = None, path: str | None = None) -> DataFrame:
+def token_file(docs: DataFrame, tokenizer: str | None = None, path: str | None = None, file_order: bool = False) -> DataFrame:
     """Write the file set of ``docs`` (to the shared folder if no path is given) and return what a reader finds in it."""
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
-    write_tokens(docs, path, tokenizer or word_bpe_path())
+    write_tokens(docs, path, tokenizer or word_bpe_path(), file_order=file_order)
     return read_tokens(spark, path)

@@ -172,4 +172,31 @@ def test_pipeline_equals_plain_programs(spark):
         want.append((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
     got = corpus_pipeline.run(spark, DIR).orderBy("start").collect()
     assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == sorted(want)
-    assert [r.doc_id for r in got] == sorted(r.doc_id for r in got)
+    # the mix stays mixed: repeats are apart, and prefixes of the file keep the weights of the sources
+    ids = [r.doc_id for r in got]
+    assert sum(a == b for a, b in zip(ids, ids[1:], strict=False)) < 0.05 * len(ids)
+    source = dict(zip(docs.doc_id.astype(int), docs.source, strict=True))
+    whole = {s: sum(r.n_tokens for r in got if source[r.doc_id] == s) for s in set(source.values())}
+    total = sum(whole.values())
+    half, seen = {s: 0 for s in whole}, 0
+    for r in got:
+        if seen < total / 2:
+            half[source[r.doc_id]] += r.n_tokens
+            seen += r.n_tokens
+    assert all(abs(half[s] / seen - whole[s] / total) < 0.12 for s in whole)
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    def tables(name, rows, labels=(), items=()):
+        d = str(tmp_path / name)
+        for t, r, s in (("documents", rows, "doc_id long, text string, lang string, source string, n_chars long, own string"), ("labels", labels, "doc_id long, quality int, toxic int"), ("benchmark", items, "item_id string, text string")):
+            spark.createDataFrame(list(r), s).coalesce(1).write.parquet(f"{d}/{t}.parquet")
+        return d
+
+    text = "some plain words of a text that says this and that number {}"
+    rows = [(i, text.format(i) * (i + 1), "en", "ab"[i % 2], 1, "x") for i in range(6)] + [(None, "a text without an id of its own", None, None, None, None), (7, None, None, "a", None, None), (8, "", "en", "b", 0, "x")]
+    assert corpus_pipeline.run(spark, tables("empty", [])).count() == 0
+    got = [r.doc_id for r in corpus_pipeline.run(spark, tables("bare", rows)).collect()]
+    assert {0, 5, None} <= set(got) and not {7, 8} & set(got)
