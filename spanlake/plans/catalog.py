@@ -13,6 +13,7 @@ from ..sources import clock, sinks, strings, trace_io
 from ..tables import new_path
 from . import fixtures as fx
 from .fixtures import sql
+from .live_catalog import LIVE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -972,3 +973,9 @@ def _(s, d):
 @_query("x8_retention", f"{_RUNS} select app, run_id from (select *, row_number() over (partition by app order by date desc, run_id desc) k from runs where nickname is null) where k > 5")
 def _(s, d):
     return sinks.retention(_runs(s, d), 5).select("app", "run_id")
+
+
+# ---------------------------------------------------------------- live traces
+
+for _name, (_run, _text) in LIVE.items():
+    _query(_name, _text)(_run)

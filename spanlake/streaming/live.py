@@ -1,18 +1,30 @@
-"""Structured Streaming: live ingestion, stateful pairing, live selection and counters."""
+"""Structured Streaming: live ingestion, stateful pairing, live selection, counters and runs that end by rule.
+
+Stateful operators keep, for each key, what a batch operator would know of the rows before: a stack of open scopes as a map
+from level to scope, the holder of a lock, the live allocation of a pointer. Only what changed is written back.
+
+With a watermark ``(column, delay)`` rows wait in state until it has passed their time and then go on in the order of
+``seq``, each once: rows that are late, swapped or repeated within the delay give what a batch gives. A row whose ``seq`` is not above
+one that went on already is dropped. Without a watermark each batch is taken in its order as it comes.
+"""
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import on_workers
-from ..operators.select import EventSpec, keep_matches, spec_ids
+from ..operators.select import EventSpec, collect_until, keep_matches, spec_ids
 
 KEYS = ["stream_id", "thread_id"]
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_live(spark: SparkSession, path: str, schema, max_files: int = 8) -> DataFrame:
@@ -20,120 +32,251 @@ def read_live(spark: SparkSession, path: str, schema, max_files: int = 8) -> Dat
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def _keep(state: GroupState, value: tuple | None) -> None:
-    """Keep a state, or none for a key that has nothing open."""
-    if value is not None:
-        state.update(value)
-    elif state.exists:
-        state.remove()
+class _Ordered(StatefulProcessor):
+    """Hands the rows of a key to ``take`` in order; ``close_key`` tells what is left of a key that was silent for ``idle_ms``."""
+
+    columns: dict[str, str] = {}
+    order = ("seq",)
+    out: list[str] = []
+
+    def __init__(self, hold: bool, idle_ms: int | None = None):
+        self.hold, self.idle_ms = hold, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        if self.hold:
+            ddl = ", ".join(f"{c} {k}" for c, k in self.columns.items())
+            self.waiting = handle.getMapState("waiting", "seq long", f"{ddl}, ms long")
+            self.gone = handle.getValueState("gone", "seq long, ms long")
+        self.open_state(handle)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = [r for pdf in rows for r in zip(*[pdf[c].tolist() for c in [*self.columns, *["event_ms"] * self.hold]], strict=True)]
+        if not self.hold:
+            at = [list(self.columns).index(c) for c in self.order]
+            yield from self._frames(key, sorted(new, key=lambda r: [r[i] for i in at]))
+            return
+        gone = self.gone.get()[0] if self.gone.exists() else None
+        seq = list(self.columns).index("seq")
+        for r in new:
+            if gone is None or r[seq] > gone:
+                self.waiting.updateValue((r[seq],), tuple(None if x != x else x for x in r))
+        if new:
+            self.handle.registerTimer(min(r[-1] for r in new) + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        held = sorted((k[0], v) for k, v in self.waiting.iterator())
+        later = min((q for q, v in held if v[-1] > mark), default=None)
+        ready = [(q, v) for q, v in held if later is None or q < later]
+        gone, last = self.gone.get() if self.gone.exists() else (None, mark)
+        if ready:
+            for q, _ in ready:
+                self.waiting.removeKey((q,))
+            gone, last = ready[-1][0], max(v[-1] for _, v in ready)
+            self.gone.update((gone, last))
+            at = [list(self.columns).index(c) for c in self.order]
+            yield from self._frames(key, sorted((v[:-1] for _, v in ready), key=lambda r: [r[i] for i in at]))
+        if len(ready) < len(held):
+            self.handle.registerTimer(max(mark, min(v[-1] for q, v in held[len(ready) :])) + 1)
+        elif self.idle_ms is not None and self.gone.exists():
+            if mark >= last + self.idle_ms:
+                yield from self._frames(key, None)
+                self.gone.clear()
+            else:
+                self.handle.registerTimer(last + self.idle_ms + 1)
+
+    def _frames(self, key: tuple, rows: list[tuple] | None) -> Iterator[pd.DataFrame]:
+        out = self.close_key() if rows is None else self.take(rows)
+        if out:
+            yield pd.DataFrame([(*key, *r) for r in out], columns=self.out)
+
+    def open_state(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
+
+    def take(self, rows: list[tuple]) -> list[tuple]:
+        raise NotImplementedError
+
+    def close_key(self) -> list[tuple]:
+        return []
+
+    def close(self) -> None:
+        pass
+
+
+def _stateful(sdf: DataFrame, keys: list[str], processor: _Ordered, schema: str, watermark: tuple[str, str] | None) -> DataFrame:
+    spark = sdf.sparkSession
+    on_workers(spark)
+    spark.conf.set(_STORE, _ROCKS)  # the store that such state needs
+    processor.out = [f.split()[0] for f in schema.split(", ")]
+    cols = [c for c in processor.columns if c not in keys]
+    if watermark is None:
+        return sdf.select(*keys, *cols).groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "None")
+    at, delay = watermark
+    d = sdf.select(*keys, *cols, F.col(at).alias("event_at"), F.unix_millis(F.col(at)).alias("event_ms")).withWatermark("event_at", delay)
+    return d.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+
+
+class _Stack(_Ordered):
+    """A stack as a map from level to scope; levels are read when they are asked and written when they changed."""
+
+    columns = {"seq": "long", "date_ns": "long", "kind": "string", "name": "string"}
+
+    def open_state(self, handle: StatefulProcessorHandle) -> None:
+        self.levels = handle.getMapState("levels", "level int", "seq long, start long, name string")
+        self.top = handle.getValueState("top", "depth int, now long")
+
+    def begin(self) -> None:
+        self.depth, self.now = self.top.get() if self.top.exists() else (0, 0)
+        self.stored, self.known, self.low = self.depth, {}, self.depth
+
+    def push(self, scope: tuple) -> None:
+        self.known[self.depth] = scope
+        self.depth += 1
+
+    def pop(self) -> tuple:
+        self.depth -= 1
+        self.low = min(self.low, self.depth)
+        return self.known.pop(self.depth, None) or self.levels.getValue((self.depth,))
+
+    def whole(self) -> list[tuple]:
+        for k in range(self.depth):
+            if k not in self.known:
+                self.known[k] = tuple(self.levels.getValue((k,)))
+        return [self.known[k] for k in range(self.depth)]
+
+    def end(self) -> None:
+        for k in range(self.low, self.depth):
+            if k >= self.low and k in self.known:
+                self.levels.updateValue((k,), self.known[k])
+        for k in range(self.depth, self.stored):
+            self.levels.removeKey((k,))
+        self.top.update((self.depth, self.now))
+
+
+class _Pair(_Stack):
+    def __init__(self, hold: bool, idle_ms: int | None, with_open: bool):
+        super().__init__(hold, idle_ms)
+        self.with_open = with_open
+
+    def take(self, rows: list[tuple]) -> list[tuple]:
+        self.begin()
+        out = []
+        for seq, date, kind, name in rows:
+            self.now = max(self.now, int(date))  # a date never goes back
+            if kind == "scope_begin":
+                self.push((int(seq), self.now, name))
+            elif kind == "scope_end" and self.depth:
+                begun, start, scope = self.pop()
+                out.append((begun, self.depth, scope, start, self.now, self.now - start, False))
+        if self.with_open:
+            out += self.still_open()
+        self.end()
+        return out
+
+    def still_open(self) -> list[tuple]:
+        return [(seq, level, name, start, self.now, self.now - start, True) for level, (seq, start, name) in enumerate(self.whole())]
+
+    def close_key(self) -> list[tuple]:
+        self.begin()
+        out = self.still_open()
+        self.levels.clear()
+        self.top.clear()
+        return out
+
+
+def pair_scopes_stream(sdf: DataFrame, with_open: bool = False, watermark: tuple[str, str] | None = None, idle_ms: int | None = None) -> DataFrame:
+    """Closed scopes of a live trace.
 
+    With ``with_open`` every batch also tells the scopes of its threads that are open after it, until now (the thread's
+    last date). With a watermark and ``idle_ms`` a thread that was silent for so long gives off its open scopes and is forgotten.
+    Dates never go back: a late one becomes the latest date before it, in whatever batch that came.
+    """
+    schema = "stream_id long, thread_id long, scope_id long, level int, name string, start_ns long, end_ns long, duration_ns long, is_open boolean"
+    return _stateful(sdf, KEYS, _Pair(watermark is not None, idle_ms, with_open), schema, watermark)
 
-def _pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, with_open: bool) -> Iterator[pd.DataFrame]:
-    stack = [list(x) for x in zip(*state.get[:3], strict=True)] if state.exists else []
-    now = state.get[3] if state.exists else 0
-    out = []
-    for r in pd.concat(list(batches)).sort_values("seq").itertuples():
-        now = max(now, r.date_ns)  # a late date moves forward
-        if r.kind == "scope_begin":
-            stack.append([r.seq, now, r.name])
-        elif r.kind == "scope_end" and stack:
-            seq, start, name = stack.pop()
-            out.append((*key, seq, len(stack), name, start, now, now - start, False))
-    if with_open:
-        out += [(*key, seq, level, name, start, now, now - start, True) for level, (seq, start, name) in enumerate(stack)]
-    _keep(state, (*(list(x) for x in zip(*stack, strict=True)), int(now)) if stack else None)
-    yield pd.DataFrame(out, columns=[*KEYS, "scope_id", "level", "name", "start_ns", "end_ns", "duration_ns", "is_open"])
 
+class _Use(_Ordered):
+    columns = {"seq": "long", "date_ns": "long", "kind": "string", "thread_id": "long"}
+    order = ("date_ns", "seq")
 
-def pair_scopes_stream(sdf: DataFrame, with_open: bool = False) -> DataFrame:
-    """Closed scopes of a live trace; the state of a thread is its stack of open scopes.
+    def open_state(self, handle: StatefulProcessorHandle) -> None:
+        self.holder = handle.getValueState("holder", "seq long, thread long, start long")
 
-    With ``with_open`` every batch also tells the scopes of its threads that are open after it, until now (the thread's
-    last date). Dates never go back: a late one becomes the latest date before it.
-    """
-    on_workers(sdf.sparkSession)
-    return sdf.groupBy(*KEYS).applyInPandasWithState(
-        lambda k, b, s: _pair(k, b, s, with_open), "stream_id long, thread_id long, scope_id long, level int, name string, start_ns long, end_ns long, duration_ns long, is_open boolean",
-        "seq array<long>, start array<long>, name array<string>, now long", "append", GroupStateTimeout.NoTimeout,
-    )
-
-
-def _use(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held = state.get if state.exists else None
-    out = []
-    for r in pd.concat(list(batches)).sort_values(["date_ns", "seq"]).itertuples():
-        if r.kind == "lock_acquired" and held is None:
-            held = (int(r.seq), int(r.thread_id), int(r.date_ns))
-        elif r.kind == "lock_released" and held is not None:
-            out.append((*key, held[1], held[0], held[2], r.date_ns, r.date_ns - held[2]))
-            held = None
-    _keep(state, held)
-    yield pd.DataFrame(out, columns=["stream_id", "name", "thread_id", "seq", "start_ns", "end_ns", "held_ns"])
-
-
-def lock_uses_stream(sdf: DataFrame) -> DataFrame:
+    def take(self, rows: list[tuple]) -> list[tuple]:
+        held = self.holder.get() if self.holder.exists() else None
+        out = []
+        for seq, date, kind, thread in rows:
+            if kind == "lock_acquired" and held is None:
+                held = (int(seq), int(thread), int(date))
+            elif kind == "lock_released" and held is not None:
+                out.append((held[1], held[0], held[2], int(date), int(date) - held[2]))
+                held = None
+        self.holder.update(held) if held is not None else self.holder.clear()
+        return out
+
+
+def lock_uses_stream(sdf: DataFrame, watermark: tuple[str, str] | None = None) -> DataFrame:
     """Uses of locks of a live trace; the state of a lock is its holder, and none while it is free."""
-    on_workers(sdf.sparkSession)
-    return sdf.groupBy("stream_id", "name").applyInPandasWithState(
-        _use, "stream_id long, name string, thread_id long, seq long, start_ns long, end_ns long, held_ns long", "seq long, thread long, start long", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def _alloc(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    live = state.get if state.exists else None
-    out = []
-    for r in pd.concat(list(batches)).sort_values(["seq"]).itertuples():
-        if r.kind == "alloc":
-            live = (int(r.seq), int(r.thread_id), int(r.size), int(r.date_ns))
-        elif live is not None:
-            out.append((*key, live[0], live[1], live[2], live[3], r.seq, r.thread_id, r.date_ns))
-            live = None
-    _keep(state, live)
-    yield pd.DataFrame(out, columns=["stream_id", "ptr", "alloc_seq", "thread_id", "size", "start_ns", "free_seq", "free_thread", "end_ns"])
-
-
-def allocations_stream(sdf: DataFrame) -> DataFrame:
+    schema = "stream_id long, name string, thread_id long, seq long, start_ns long, end_ns long, held_ns long"
+    return _stateful(sdf, ["stream_id", "name"], _Use(watermark is not None), schema, watermark)
+
+
+class _Alloc(_Ordered):
+    columns = {"seq": "long", "date_ns": "long", "kind": "string", "thread_id": "long", "size": "double"}
+
+    def open_state(self, handle: StatefulProcessorHandle) -> None:
+        self.live = handle.getValueState("live", "seq long, thread long, size long, start long")
+
+    def take(self, rows: list[tuple]) -> list[tuple]:
+        live = self.live.get() if self.live.exists() else None
+        out = []
+        for seq, date, kind, thread, size in rows:
+            if kind == "alloc":
+                live = (int(seq), int(thread), int(size), int(date))
+            elif live is not None:
+                out.append((*live, int(seq), int(thread), int(date)))
+                live = None
+        self.live.update(live) if live is not None else self.live.clear()
+        return out
+
+
+def allocations_stream(sdf: DataFrame, watermark: tuple[str, str] | None = None) -> DataFrame:
     """Matched allocations of a live trace; the state of a pointer is its live allocation, and none once it is freed."""
-    on_workers(sdf.sparkSession)
-    return sdf.groupBy("stream_id", "ptr").applyInPandasWithState(
-        _alloc, "stream_id long, ptr long, alloc_seq long, thread_id long, size long, start_ns long, free_seq long, free_thread long, end_ns long",
-        "seq long, thread long, size long, start long", "append", GroupStateTimeout.NoTimeout,
-    )
-
-
-def _with_path(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    stack = [tuple(x) for x in zip(*state.get, strict=True)] if state.exists else []
-    out = []
-    for r in pd.concat(list(batches)).sort_values("seq").itertuples():
-        if r.kind == "scope_begin":
-            stack.append((r.seq, r.name))
-        elif r.kind == "scope_end" and stack:
-            stack.pop()
-        if r.kind in ("scope_begin", "data"):
-            path = [x[1] for x in stack] + ([r.name] if r.kind == "data" else [])
-            out.append((*key, r.seq, r.date_ns, r.kind, r.name, path, [x[0] for x in stack]))
-    _keep(state, tuple(list(x) for x in zip(*stack, strict=True)) if stack else None)
-    yield pd.DataFrame(out, columns=[*KEYS, "seq", "date_ns", "kind", "name", "path", "scope_path"])
-
-
-def with_paths_stream(sdf: DataFrame) -> DataFrame:
+    schema = "stream_id long, ptr long, alloc_seq long, thread_id long, size long, start_ns long, free_seq long, free_thread long, end_ns long"
+    return _stateful(sdf.withColumn("ptr", F.col("ptr").cast("long")), ["stream_id", "ptr"], _Alloc(watermark is not None), schema, watermark)
+
+
+class _Path(_Stack):
+    def take(self, rows: list[tuple]) -> list[tuple]:
+        self.begin()
+        out = []
+        for seq, date, kind, name in rows:
+            if kind == "scope_begin":
+                self.push((int(seq), int(date), name))
+            elif kind == "scope_end" and self.depth:
+                self.pop()
+            if kind in ("scope_begin", "data"):
+                st = self.whole()
+                out.append((int(seq), int(date), kind, name, [x[2] for x in st] + [name] * (kind == "data"), [x[0] for x in st]))
+        self.end()
+        return out
+
+
+def with_paths_stream(sdf: DataFrame, watermark: tuple[str, str] | None = None) -> DataFrame:
     """Live begin and data events with ``path`` and ``scope_path``; the state of a thread is its stack of open scopes."""
-    on_workers(sdf.sparkSession)
-    d = sdf.select(*KEYS, "seq", "date_ns", "kind", "name")
-    return d.groupBy(*KEYS).applyInPandasWithState(
-        _with_path, "stream_id long, thread_id long, seq long, date_ns long, kind string, name string, path array<string>, scope_path array<long>",
-        "seq array<long>, name array<string>", "append", GroupStateTimeout.NoTimeout,
-    )
+    schema = "stream_id long, thread_id long, seq long, date_ns long, kind string, name string, path array<string>, scope_path array<long>"
+    return _stateful(sdf, KEYS, _Path(watermark is not None), schema, watermark)
 
 
-def select_events_stream(sdf: DataFrame, specs: list[EventSpec] | DataFrame, threads: DataFrame | None = None) -> DataFrame:
+def select_events_stream(sdf: DataFrame, specs: list[EventSpec] | DataFrame, threads: DataFrame | None = None, watermark: tuple[str, str] | None = None) -> DataFrame:
     """``select.select_events`` on a live trace, with ``spec_id`` and ``parent_match``; ``threads`` is a static table.
 
     Instead of specs, a static table of names ``(spec_id, name)`` selects events by their bare name.
     """
     if isinstance(specs, DataFrame):
         return sdf.join(specs, "name")
-    return keep_matches(with_paths_stream(sdf).withColumn("spec_id", F.explode(spec_ids(specs))), specs, threads)
+    return keep_matches(with_paths_stream(sdf, watermark).withColumn("spec_id", F.explode(spec_ids(specs))), specs, threads)
 
 
 def live_counts(sdf: DataFrame, window: str = "1 hour", watermark: str = "10 minutes", time: str = "ts") -> DataFrame:
@@ -145,3 +288,48 @@ def follow(batch: DataFrame, range_ns: int) -> DataFrame:
     """The last ``range_ns`` of a batch, for ``foreachBatch``."""
     last = batch.agg(F.max("date_ns").alias("_last"))  # one row
     return batch.join(F.broadcast(last)).where(F.col("date_ns") >= F.col("_last") - range_ns).drop("_last")
+
+
+def collect_stream(
+    events: DataFrame, path: str, wanted: list[int] | None = None, unwanted: list[int] | None = None, max_events: int | None = None, timeout_s: float = 60.0, poll_s: float = 0.2
+) -> tuple[DataFrame, str]:
+    """Runs a query over selected events (``select_events_stream``) until its own output ends it: all ``wanted`` specs were seen, an
+    ``unwanted`` one was, ``max_events`` came, or ``timeout_s`` passed. The events and the rule that ended it: ``wanted``,
+    ``unwanted``, ``count``, ``timeout``, or ``end`` where the query stopped by itself.
+
+    Each batch is one folder under ``path``, written anew if it is run again, so that a lost driver may go on from the
+    checkpoint beside them. What the driver keeps is the first ``seq`` of each spec that a rule names, and a count. The events
+    are cut as ``collect_until`` cuts a table: at the first row that meets a rule, in the order of ``seq``.
+    """
+    spark = events.sparkSession
+    rules = sorted({*(wanted or []), *(unwanted or [])})
+    ended = threading.Event()
+    why: list[str] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/events/batch={number}")
+        so_far = spark.read.schema(batch.schema).parquet(f"{path}/events")
+        said = so_far.agg(F.count("*").alias("n"), *[F.max((F.col("spec_id") == r).cast("int")).alias(f"s{r}") for r in rules]).first()  # one row
+        if unwanted and any(said[f"s{r}"] for r in unwanted):
+            why.append("unwanted")
+        elif wanted and all(said[f"s{r}"] for r in wanted):
+            why.append("wanted")
+        elif max_events is not None and said.n >= max_events:
+            why.append("count")
+        if why:
+            ended.set()
+
+    q = events.writeStream.foreachBatch(keep).outputMode("append").option("checkpointLocation", f"{path}/checkpoint").start()
+    end = time.monotonic() + timeout_s
+    try:
+        while q.isActive and not ended.is_set():
+            if time.monotonic() >= end:
+                why.append("timeout")
+                break
+            ended.wait(poll_s)
+    finally:
+        q.stop()
+    if not why and q.exception() is not None:
+        raise q.exception()
+    got = spark.read.schema(events.schema).parquet(f"{path}/events")
+    return collect_until(got, wanted, unwanted, max_events), why[0] if why else "end"
