@@ -231,17 +231,17 @@ def _classes(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFr
     # full sets of the texts in candidate groups, one document for each text
     counts = groups.groupBy("component").agg(F.count("*").alias("m"))
     picked = groups.withColumnRenamed("node", "sid").join(counts, "component").join(nodes, "sid")
-    picked = picked.select("component", "m", "sid", "copies", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th"))
+    key = lambda c: [c.isNotNull().alias("known"), F.coalesce(c.cast("string"), F.lit("")).alias("key")]
+    picked = picked.select("component", "m", "sid", "copies", *key(F.col("rep.doc_id")), F.col("rep.th").alias("th"))
 
     def sets(b: pa.RecordBatch) -> pa.RecordBatch:
         g = [ngram_set(t.as_py(), n).tobytes() for t in b.column(4)]
         return pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(g, pa.binary())], ["component", "m", "sid", "copies", "grams"])
 
-    d = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    found = d.join(picked, d["doc_id"].eqNullSafe(picked["rep_id"]) & (d["th"] == picked["rep_th"]))
+    d = docs.select(*key(F.col("doc_id")), F.xxhash64("text").alias("th"), "text")
+    found = d.join(picked, ["known", "key", "th"]).dropDuplicates(["known", "key", "th"])  # rows that stand there twice, dealt as the join dealt them
     found = found.select("component", "m", "sid", "copies", text_or_empty().alias("text"))
-    full = map_arrow(found, sets, "component long, m long, sid long, copies long, grams binary")
-    full = materialize(full.dropDuplicates(["sid"]), "sets")
+    full = materialize(map_arrow(found, sets, "component long, m long, sid long, copies long, grams binary"), "sets")
     dealt = _blocks(full.select("component", "m", "sid", "copies", "grams"), "component", "m", SET_BLOCK)
     checked = dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(lambda it: _verified(it, threshold), "a long, b long, links long")
     checked = materialize(checked, "verified")
