@@ -43,12 +43,20 @@ def wait_ends(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return d.select("*", F.col("_p.date_ns").alias("_since"), F.col("_p.name").alias("_lock"), F.col("_p.seq").alias("_seq")).drop("_p")
 
 
-def lock_waits(df: DataFrame) -> DataFrame:
-    """``(stream_id, name, thread_id, seq, start_ns, end_ns, wait_ns)``; the lock is the one waited for."""
-    d = wait_ends(df)
-    return d.select(
+def lock_waits(df: DataFrame, with_open: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """``(stream_id, name, thread_id, seq, start_ns, end_ns, wait_ns)``; the lock is the one waited for.
+
+    ``with_open`` adds the waits that never end, with a null end: a wait begun on which no row of its thread follows.
+    """
+    d = wait_ends(df, chunk).select(
         "stream_id", F.col("_lock").alias("name"), "thread_id", F.col("_seq").alias("seq"), F.col("_since").alias("start_ns"), F.col("date_ns").alias("end_ns"), (F.col("date_ns") - F.col("_since")).alias("wait_ns")
     )
+    if not with_open:
+        return d
+    states = df.where(F.col("kind").isin("lock_wait_begin", "lock_wait_end", "lock_acquired", "lock_released"))
+    last = states.groupBy(*KEYS).agg(F.max_by(F.struct("kind", "name", "seq", "date_ns"), "seq").alias("r")).where("r.kind = 'lock_wait_begin'")
+    none = F.lit(None).cast("long")
+    return d.unionByName(last.select("stream_id", "r.name", "thread_id", "r.seq", F.col("r.date_ns").alias("start_ns"), none.alias("end_ns"), none.alias("wait_ns")))
 
 
 def lock_notifications(df: DataFrame) -> DataFrame:

@@ -148,19 +148,45 @@ def overlapping(scopes: DataFrame, rng: tuple[int, int], level: int | None = Non
 
 
 def summarize_scopes(scopes: DataFrame, data: DataFrame, mem: DataFrame | None = None) -> DataFrame:
-    """Child count, time in children (share of the duration), the child name with most time, and data count by scope."""
-    by_name = scopes.where("parent_id is not null").groupBy(*KEYS, F.col("parent_id").alias("scope_id"), "name").agg(F.count("*").alias("n"), F.sum("duration_ns").alias("t"))
-    kids = by_name.groupBy(*KEYS, "scope_id").agg(
-        F.sum("n").alias("n_children"), F.sum("t").alias("children_ns"), F.min_by("name", F.struct(-F.col("t"), "name")).alias("top_child")
-    )
-    attrs = data.where("parent_id is not null").groupBy(*KEYS, F.col("parent_id").alias("scope_id")).agg(F.count("*").alias("n_data"))
-    out = scopes.select(*KEYS, "scope_id", "name", "duration_ns").join(kids, [*KEYS, "scope_id"], "left").join(attrs, [*KEYS, "scope_id"], "left")
+    """Child count, time in children (share of the duration), the child name with most time, and data count by scope; with
+    ``mem`` (``memory.scope_memory``) also its allocations, frees and bytes.
+
+    Scopes, children and data go through one aggregate by scope and name and one by scope.
+    """
+    none, extra = F.lit(None).cast("long"), ("allocs", "bytes", "frees", "freed_bytes") if mem is not None else ()
+    row = lambda df, scope, what, name, t, *more: df.select(*KEYS, F.col(scope).alias("scope_id"), F.lit(what).alias("what"), name, t.alias("t"), *(more or [none.alias(c) for c in extra]))
+    parts = [
+        row(scopes, "scope_id", "self", F.col("name"), F.col("duration_ns")),
+        row(scopes.where("parent_id is not null"), "parent_id", "kid", F.col("name"), F.col("duration_ns")),
+        row(data.where("parent_id is not null"), "parent_id", "data", F.lit(None).cast("string").alias("name"), none),
+    ]
     if mem is not None:
-        out = out.join(mem, [*KEYS, "scope_id"], "left")
-    out = out.fillna(0, ["n_children", "children_ns", "n_data"])
+        parts.append(row(mem, "scope_id", "mem", F.lit(None).cast("string").alias("name"), none, *[F.col(c).cast("long").alias(c) for c in extra]))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    by_name = rows.groupBy(*KEYS, "scope_id", "what", "name").agg(F.count("*").alias("n"), F.sum("t").alias("t"), *[F.sum(c).alias(c) for c in extra])
+    of = lambda what, c: F.when(F.col("what") == what, F.col(c))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))
+    out = by_name.groupBy(*KEYS, "scope_id").agg(
+        F.max(of("self", "name")).alias("name"), F.max(of("self", "t")).alias("duration_ns"), zero(of("kid", "n")).alias("n_children"), zero(of("kid", "t")).alias("children_ns"),
+        F.min_by("name", F.when(F.col("what") == "kid", F.struct(-F.col("t"), "name"))).alias("top_child"), zero(of("data", "n")).alias("n_data"),
+        F.max(F.col("what") == "self").alias("_known"), *[zero(c).alias(c) for c in extra],
+    ).where("_known").drop("_known")
     return out.withColumn("children_pct", F.when(F.col("duration_ns") > 0, F.round(100.0 * F.col("children_ns") / F.col("duration_ns"), 6)))
 
 
+def children_by_name(scopes: DataFrame) -> DataFrame:
+    """``(stream_id, thread_id, scope_id, name, n, children_ns, children_pct, place)``: the children of each scope by name, and
+    the name's place among them, most time first."""
+    kids = scopes.where("parent_id is not null").groupBy(*KEYS, F.col("parent_id").alias("scope_id"), "name").agg(F.count("*").alias("n"), F.sum("duration_ns").alias("children_ns"))
+    of = scopes.select(*KEYS, "scope_id", "duration_ns")
+    w = Window.partitionBy(*KEYS, "scope_id").orderBy(F.desc("children_ns"), "name")  # a row a name
+    out = kids.join(of, [*KEYS, "scope_id"])
+    pct = F.when(F.col("duration_ns") > 0, F.round(100.0 * F.col("children_ns") / F.col("duration_ns"), 6))
+    return out.select(*KEYS, "scope_id", "name", "n", "children_ns", pct.alias("children_pct"), F.row_number().over(w).alias("place"))
+
+
 def instrumentation_errors(df: DataFrame, max_level: int | None = None, max_threads: int | None = None) -> DataFrame:
     """``(type, stream_id, thread_id, name[, file, line], n)`` of orphan ends, name mismatches, events outside scopes, and
     depths and threads over a limit; file and line where ``df`` has them."""

@@ -279,15 +279,31 @@ def _(s, d):
     return scopes.overlapping(scopes.pair_scopes(fx.trace(s, d)), (T0, T1), 1).select("stream_id", "thread_id", "scope_id", "level")
 
 
-@_query("h16_scope_summary", sql("attached", """, bn as (select stream_id, thread_id, parent_id, name, count(*) n, sum(duration_ns) t from par where parent_id is not null group by all),
+_ALLOC = """al as (select *, lead(kind) over w as nk, lead(seq) over w as nseq, lead(thread_id) over w as nthread, lead(date_ns) over w as ndate from memory window w as (partition by stream_id, ptr order by seq)),
+allocs as (select stream_id, ptr, seq as alloc_seq, thread_id, size, date_ns as start_ns, case when nk = 'dealloc' then nseq end free_seq, case when nk = 'dealloc' then nthread end free_thread,
+case when nk = 'dealloc' then ndate end end_ns from al where kind = 'alloc'),
+step as (select stream_id, thread_id, alloc_seq as seq, start_ns as date_ns, size as step, 1 as is_alloc from allocs union all select stream_id, thread_id, free_seq, end_ns, -size, 0 from allocs where free_seq is not null)"""
+_SMEM = """smem as (select sc.stream_id, sc.thread_id, scope_id, coalesce(sum(is_alloc), 0)::bigint allocs, coalesce(sum(case when is_alloc = 1 then step end), 0)::bigint bytes, coalesce(sum(1 - is_alloc), 0)::bigint frees,
+coalesce(sum(case when is_alloc = 0 then -step end), 0)::bigint freed_bytes from sc left join step on step.stream_id = sc.stream_id and step.thread_id = sc.thread_id and step.seq >= scope_id and step.seq < end_seq group by all)"""
+_CHILD_TIMES = "bn as (select stream_id, thread_id, parent_id, name, count(*) n, sum(duration_ns)::bigint t from par where parent_id is not null group by all)"
+
+
+@_query("h16_scope_summary", sql("attached memory", f""", {_ALLOC}, {_SMEM}, {_CHILD_TIMES},
 k as (select stream_id, thread_id, parent_id, sum(n) n, sum(t) t, first(name order by t desc, name) top_child from bn group by all),
 a as (select stream_id, thread_id, parent_id, count(*) n from att where parent_id is not null group by all)
-select sc.stream_id, sc.thread_id, scope_id, sc.name, duration_ns, coalesce(k.n, 0)::bigint n_children, coalesce(k.t, 0)::bigint children_ns, top_child, coalesce(a.n, 0)::bigint n_data,
+select sc.stream_id, sc.thread_id, sc.scope_id, sc.name, duration_ns, coalesce(k.n, 0)::bigint n_children, coalesce(k.t, 0)::bigint children_ns, top_child, coalesce(a.n, 0)::bigint n_data, allocs, bytes, frees, freed_bytes,
 case when duration_ns > 0 then round(100.0::double * coalesce(k.t, 0)::double / duration_ns, 6) end children_pct
-from sc left join k on k.stream_id = sc.stream_id and k.thread_id = sc.thread_id and k.parent_id = scope_id left join a on a.stream_id = sc.stream_id and a.thread_id = sc.thread_id and a.parent_id = scope_id"""))
+from sc left join k on k.stream_id = sc.stream_id and k.thread_id = sc.thread_id and k.parent_id = sc.scope_id left join a on a.stream_id = sc.stream_id and a.thread_id = sc.thread_id and a.parent_id = sc.scope_id
+join smem on smem.stream_id = sc.stream_id and smem.thread_id = sc.thread_id and smem.scope_id = sc.scope_id"""))
 def _(s, d):
-    t = fx.trace(s, d)
-    return scopes.summarize_scopes(*scopes.scopes_and_data(t))
+    sc, data = scopes.scopes_and_data(fx.trace(s, d))
+    return scopes.summarize_scopes(sc, data, memory.scope_memory(sc, memory.allocations(fx.memory(s, d))))
+
+
+@_query("h16_children_by_name", sql("scopes", f""", {_CHILD_TIMES} select bn.stream_id, bn.thread_id, bn.parent_id as scope_id, bn.name, n, t as children_ns, case when duration_ns > 0 then round(100.0::double * t::double / duration_ns, 6) end children_pct,
+row_number() over (partition by bn.stream_id, bn.thread_id, bn.parent_id order by t desc, bn.name) as place from bn join sc on sc.stream_id = bn.stream_id and sc.thread_id = bn.thread_id and sc.scope_id = bn.parent_id"""))
+def _(s, d):
+    return scopes.children_by_name(_scopes(s, d))
 
 
 @_query("h17_instrumentation_errors", sql("scopes", """, e as (select 'orphan_end' as type, stream_id, thread_id, name, name as nm, seq from s3 where orphan union all select 'flat_event', stream_id, thread_id, name, name, seq from s3 where kind = 'data' and depth = 0
@@ -336,14 +352,6 @@ def _(s, d):
     return profile.profile(sc, scope_id=root[0]).select(F.array_join("path", "/").alias("path"), "calls", "value")
 
 
-_ALLOC = """al as (select *, lead(kind) over w as nk, lead(seq) over w as nseq, lead(thread_id) over w as nthread, lead(date_ns) over w as ndate from memory window w as (partition by stream_id, ptr order by seq)),
-allocs as (select stream_id, ptr, seq as alloc_seq, thread_id, size, date_ns as start_ns, case when nk = 'dealloc' then nseq end free_seq, case when nk = 'dealloc' then nthread end free_thread,
-case when nk = 'dealloc' then ndate end end_ns from al where kind = 'alloc'),
-step as (select stream_id, thread_id, alloc_seq as seq, start_ns as date_ns, size as step, 1 as is_alloc from allocs union all select stream_id, thread_id, free_seq, end_ns, -size, 0 from allocs where free_seq is not null)"""
-_SMEM = """smem as (select sc.stream_id, sc.thread_id, scope_id, coalesce(sum(is_alloc), 0)::bigint allocs, coalesce(sum(case when is_alloc = 1 then step end), 0)::bigint bytes, coalesce(sum(1 - is_alloc), 0)::bigint frees,
-coalesce(sum(case when is_alloc = 0 then -step end), 0)::bigint freed_bytes from sc left join step on step.stream_id = sc.stream_id and step.thread_id = sc.thread_id and step.seq >= scope_id and step.seq < end_seq group by all)"""
-
-
 def _memory_scopes(s, d):
     sc = _scopes(s, d)
     return sc.join(memory.scope_memory(sc, memory.allocations(fx.memory(s, d))), ["stream_id", "thread_id", "scope_id"])
@@ -916,12 +924,16 @@ def _(s, d):
 select seq, case kind when 'scope_begin' then 'B' else 'E' end ph, 'Scope' cat, name, date_ns / 1000 as ts, stream_id pid, thread_id tid, null thread from s3 where kind <> 'data' and not orphan
 union all select seq, 'B', 'Lock wait', name, start_ns / 1000, stream_id, thread_id, null from waits
 union all select seq, 'E', 'Lock wait', name, end_ns / 1000, stream_id, thread_id, null from waits
+union all select max(seq), 'B', 'Lock wait', arg_max(name, seq), arg_max(date_ns, seq) / 1000, stream_id, thread_id, null from locks
+  where kind in ('lock_wait_begin', 'lock_wait_end', 'lock_acquired', 'lock_released') group by stream_id, thread_id having arg_max(kind, seq) = 'lock_wait_begin'
+union all select distinct 0, 'M', null, 'process_name', null, stream_id, null, 'stream ' || stream_id from trace
 union all select seq, 'i', category, message, date_ns / 1000, stream_id, thread_id, null from msg
 union all select 0, 'M', null, 'thread_name', null, stream_id, thread_id, 'thread ' || thread_id from (select distinct stream_id, thread_id from trace)"""))
 def _(s, d):
     t = fx.trace(s, d)
     named = t.select("stream_id", "thread_id").distinct().withColumn("name", F.concat(F.lit("thread "), F.col("thread_id").cast("string")))
-    out = sinks.ctf_lines(t, _formatted(s, d), named, locks.lock_waits(fx.locks(s, d)))
+    streams = t.select("stream_id").distinct().withColumn("name", F.concat(F.lit("stream "), F.col("stream_id").cast("string")))
+    out = sinks.ctf_lines(t, _formatted(s, d), named, locks.lock_waits(fx.locks(s, d), with_open=True), streams)
     j = F.from_json("line", "name string, cat string, ph string, ts double, pid long, tid long, args struct<name: string>")
     return out.select("seq", j.alias("j")).select("seq", "j.ph", "j.cat", "j.name", "j.ts", "j.pid", "j.tid", F.col("j.args.name").alias("thread"))
 

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.formats import fmt_time
 from ..operators.scopes import KEYS, depths
 
 
-def ctf_lines(df: DataFrame, logs: DataFrame | None = None, threads: DataFrame | None = None, waits: DataFrame | None = None) -> DataFrame:
+def ctf_lines(df: DataFrame, logs: DataFrame | None = None, threads: DataFrame | None = None, waits: DataFrame | None = None, streams: DataFrame | None = None) -> DataFrame:
     """Chrome trace events as JSON lines ``(part, date_ns, seq, line)``: B and E of scopes and of lock waits (as
-    ``locks.lock_waits`` gives them), instants of logs, names of threads."""
+    ``locks.lock_waits`` gives them; B alone where they never end), instants of logs, names of threads, and of processes from ``streams(stream_id, name)``."""
     d = depths(df).where("kind in ('scope_begin', 'scope_end') and not orphan")
     js = lambda *c: F.to_json(F.struct(*c))
     common = [F.col("stream_id").alias("pid"), F.col("thread_id").alias("tid")]
@@ -22,11 +22,14 @@ def ctf_lines(df: DataFrame, logs: DataFrame | None = None, threads: DataFrame |
         out = out.unionByName(logs.select(F.lit(1).alias("part"), "date_ns", "seq", js(F.col("message").alias("name"), F.col("category").alias("cat"), F.lit("i").alias("ph"), ts, *common).alias("line")))
     if waits is not None:
         ends = F.explode(F.array(*[F.struct(F.lit(x).alias("ph"), F.col(c).alias("date_ns")) for x, c in (("B", "start_ns"), ("E", "end_ns"))]))
-        w = waits.select(*KEYS, "name", "seq", ends.alias("_at")).select("*", "_at.ph", "_at.date_ns")
+        w = waits.select(*KEYS, "name", "seq", ends.alias("_at")).select("*", "_at.ph", "_at.date_ns").where("date_ns is not null")
         out = out.unionByName(w.select(F.lit(1).alias("part"), "date_ns", "seq", js(F.col("name"), F.lit("Lock wait").alias("cat"), F.col("ph"), ts, *common).alias("line")))
     if threads is not None:
         meta = js(F.lit("thread_name").alias("name"), F.lit("M").alias("ph"), *common, F.struct("name").alias("args"))
         out = out.unionByName(threads.select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("date_ns"), F.lit(0).cast("long").alias("seq"), meta.alias("line")))
+    if streams is not None:
+        meta = js(F.lit("process_name").alias("name"), F.lit("M").alias("ph"), F.col("stream_id").alias("pid"), F.struct("name").alias("args"))
+        out = out.unionByName(streams.select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("date_ns"), F.lit(0).cast("long").alias("seq"), meta.alias("line")))
     return out
 
 
@@ -76,14 +79,25 @@ def export_series(s: DataFrame, path: str, rng: tuple[int, int] | None = None) -
     d.orderBy("kind", "path", "time_ns", "seq").write.option("header", True).csv(path)
 
 
-def trace_summary(df: DataFrame) -> DataFrame:
-    """Event counts by family and thread with subtotals, and the share of all events."""
+def trace_summary(df: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Event counts by family and thread with subtotals, and the share of all events; with ``stored_size`` of the trace its
+    ``bytes``, and ``share_bytes`` by that share."""
     family = F.when(F.col("kind").startswith("scope"), "scope").when(F.col("kind").startswith("lock"), "lock").otherwise(F.col("kind"))
     d = df.select(family.alias("family"), "thread_id", "date_ns")
     g = d.rollup("family", "thread_id").agg(F.count("*").alias("n"), F.min("date_ns").alias("first_ns"), F.max("date_ns").alias("last_ns"), F.grouping_id().alias("level"))
     total = df.agg(F.count("*").alias("_all"))  # one row
     g = g.join(F.broadcast(total))
-    return g.select("family", "thread_id", "level", "n", F.round(100.0 * F.col("n") / F.col("_all"), 6).alias("pct"), (F.col("last_ns") - F.col("first_ns")).alias("span_ns"))
+    size = []
+    if stored is not None:
+        g = g.join(F.broadcast(stored.select("bytes")))  # one row
+        size = ["bytes", F.floor(F.col("bytes") * F.col("n") / F.col("_all")).cast("long").alias("share_bytes")]
+    return g.select("family", "thread_id", "level", "n", *size, F.round(100.0 * F.col("n") / F.col("_all"), 6).alias("pct"), (F.col("last_ns") - F.col("first_ns")).alias("span_ns"))
+
+
+def stored_size(spark: SparkSession, path: str) -> DataFrame:
+    """``(files, bytes)`` of a stored trace, as its scan knows them."""
+    files = spark.read.parquet(f"{path}/events").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).distinct()
+    return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
 
 
 def run_catalog(runs: DataFrame) -> DataFrame:

@@ -238,6 +238,11 @@ def test_exports(spark, tmp_path):
     trace_io.write_trace(df, str(tmp_path / "trace"))
     back = trace_io.read_trace(spark, str(tmp_path / "trace"), streams=[1])
     assert back.count() == df.where("stream_id = 1").count()
+    files = list((tmp_path / "trace" / "events").rglob("*.parquet"))
+    size = sinks.stored_size(spark, str(tmp_path / "trace"))
+    assert tuple(size.first()) == (len(files), sum(f.stat().st_size for f in files))
+    told = sinks.trace_summary(df, size).collect()
+    assert {r.bytes for r in told} == {size.first().bytes} and max(r.share_bytes for r in told) == size.first().bytes
     spark.range(1).selectExpr("99 as version").write.mode("overwrite").parquet(str(tmp_path / "trace" / "meta"))
     with pytest.raises(ValueError):
         trace_io.read_trace(spark, str(tmp_path / "trace"))
