@@ -331,5 +331,5 @@ def collect_stream(
         q.stop()
     if not why and q.exception() is not None:
         raise q.exception()
-    got = spark.read.schema(events.schema).parquet(f"{path}/events")
+    got = spark.read.schema(events.schema).parquet(f"{path}/events").select(*events.columns)
     return collect_until(got, wanted, unwanted, max_events), why[0] if why else "end"
