@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, new_path, text_or_empty
+from .common import hold, map_arrow, materialize, new_path, release_memory, text_or_empty
 from .wordbpe import WordEncoder, id_type, vocabulary
 
 END_ID = 1
@@ -32,7 +32,7 @@ LANES = 1024
 BLOCK_IDS = 1 << 18
 CHECKPOINT = 128
 LOW = 1 << 31
-ENCODE_ROWS, ENCODE_BYTES = 4000, 8 << 20
+ENCODE_ROWS, ENCODE_BYTES = 4000, 6 << 20
 _HEAD = struct.Struct("<4sIIIQQIII")
 
 
@@ -177,6 +177,8 @@ def _token_counts(coded: DataFrame, dtype: str, vocab: int) -> np.ndarray:
     """Counts of all ids, summed by Spark; at most one row for each id of the vocabulary comes back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("token-counts", lambda: None)  # the texts are encoded: this worker's words and encoder may go
+        release_memory()
         c = np.zeros(vocab, dtype=np.int64)
         for b in batches:
             x = b.column(0)
