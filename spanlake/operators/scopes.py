@@ -117,6 +117,11 @@ def text_order(df: DataFrame, start: int | None = None, n: int | None = None) ->
     return out if n is None else out.limit(n)
 
 
+def text_positions(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``df`` with ``position``: the place of each event in the text order of its thread, from 1."""
+    return running(df, KEYS, {"position": ("sum", F.lit(1).cast("long"))}, chunk, tuple(ORDER))
+
+
 def previous(df: DataFrame, seq: int, n: int) -> DataFrame:
     """The last n events before ``seq``, latest first."""
     return df.where(F.col("seq") < seq).orderBy(F.desc("date_ns"), F.desc("seq")).limit(n)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats
@@ -178,9 +178,10 @@ def _(s, d):
     return trace_io.catalog_threads(fx.trace(s, d))
 
 
-@_query("s15_catalog_series", sql("scopes", " select distinct stream_id, thread_id, 'scope_begin' as kind, path from paths"))
+@_query("s15_catalog_series", sql("attached", """ select distinct stream_id, thread_id, 'scope_begin' as kind, path from paths union all select distinct a.stream_id, a.thread_id, 'data', coalesce(p.path || '/', '') || a.name
+from att a left join paths p on p.stream_id = a.stream_id and p.thread_id = a.thread_id and p.scope_id = a.parent_id"""))
 def _(s, d):
-    return trace_io.catalog_series(scopes.with_paths(fx.trace(s, d)).where("kind = 'scope_begin'"))
+    return trace_io.catalog_series(scopes.with_paths(fx.trace(s, d)))
 
 
 # ---------------------------------------------------------------- scope tree
@@ -250,8 +251,7 @@ def _(s, d):
 
 @_query("h12_text_order_all", sql("trace", " select stream_id, thread_id, row_number() over (partition by stream_id, thread_id order by date_ns, seq) as position, seq, kind, name from trace"))
 def _(s, d):
-    w = Window.partitionBy("stream_id", "thread_id").orderBy("date_ns", "seq")
-    return scopes.text_order(fx.trace(s, d)).select("stream_id", "thread_id", F.row_number().over(w).alias("position"), "seq", "kind", "name")
+    return scopes.text_order(scopes.text_positions(fx.trace(s, d))).select("stream_id", "thread_id", "position", "seq", "kind", "name")
 
 
 @_query("h13_previous", sql("trace", " select seq, kind, name from trace where seq < 700 order by date_ns desc, seq desc limit 50"))
@@ -841,12 +841,12 @@ union all select 2, * from paths where regexp_matches(path, '(^|/)op1/[^/]*/op0$
 
 @_query("e1_select_events", sql("scopes", " select stream_id, thread_id, scope_id as seq, path from paths where regexp_matches(path, '(^|/)op0/op1$')"))
 def _(s, d):
-    return select.select_events(_paths(s, d).where("kind = 'scope_begin'"), _SPECS[:1]).select("stream_id", "thread_id", "seq", F.array_join("path", "/").alias("path"))
+    return select.select_events(_paths(s, d), _SPECS[:1]).select("stream_id", "thread_id", "seq", F.array_join("path", "/").alias("path"))
 
 
 @_query("e2_several_specs", sql("scopes", f", {_MATCH} select spec_id, stream_id, thread_id, scope_id as seq from m"))
 def _(s, d):
-    return select.select_events(_paths(s, d).where("kind = 'scope_begin'"), _SPECS).select("spec_id", "stream_id", "thread_id", "seq")
+    return select.select_events(_paths(s, d), _SPECS).select("spec_id", "stream_id", "thread_id", "seq")
 
 
 _PARENT = select.EventSpec(("m0", "m1"), parent="op1")
@@ -896,7 +896,7 @@ def _(s, d):
 
 @_query("e7_collect_until", sql("scopes", f", {_MATCH}, z as (select max(f) at_seq from (select spec_id, min(scope_id) f from m where spec_id in (0, 1, 2) group by 1)) select spec_id, scope_id as seq from m, z where scope_id <= at_seq order by seq, spec_id limit 1000"))
 def _(s, d):
-    sel = select.select_events(_paths(s, d).where("kind = 'scope_begin'"), _SPECS)
+    sel = select.select_events(_paths(s, d), _SPECS)
     return select.collect_until(sel, wanted=[0, 1, 2], max_events=1000).select("spec_id", "seq")
 
 
