@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import exact_longs
 from .intervals import contained
 from .scan import CHUNK, running
 
@@ -97,6 +98,6 @@ def median_latency(latencies: DataFrame) -> DataFrame:
 
 
 def lock_stats(uses: DataFrame, waits: DataFrame) -> DataFrame:
-    u = uses.groupBy(*LOCK).agg(F.count("*").alias("uses"), F.min("held_ns").alias("min_held"), F.max("held_ns").alias("max_held"), F.sum("held_ns").alias("total_held"))
-    w = waits.groupBy(*LOCK).agg(F.count("*").alias("waits"), F.min("wait_ns").alias("min_wait"), F.max("wait_ns").alias("max_wait"), F.sum("wait_ns").alias("total_wait"))
-    return u.join(w, LOCK, "full").fillna(0, ["uses", "waits"])
+    u = uses.groupBy(*LOCK).agg(F.count("*").alias("uses"), F.min("held_ns").alias("min_held"), F.max("held_ns").alias("max_held"), F.sum(F.col("held_ns").cast("decimal(20,0)")).alias("total_held"))
+    w = waits.groupBy(*LOCK).agg(F.count("*").alias("waits"), F.min("wait_ns").alias("min_wait"), F.max("wait_ns").alias("max_wait"), F.sum(F.col("wait_ns").cast("decimal(20,0)")).alias("total_wait"))
+    return exact_longs(u.join(w, LOCK, "full").fillna(0, ["uses", "waits"]), ["total_held", "total_wait"], "lock-stats")

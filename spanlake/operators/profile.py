@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import exact_longs
 from .scopes import KEYS
 
 
@@ -50,16 +51,18 @@ def profile(scopes: DataFrame, kind: str = "time", rng: tuple[int, int] | None =
 def flat_profile(prof: DataFrame, order_by: str | None = None, keys: list[str] | None = None) -> DataFrame:
     """One row a name: self and inclusive values with their shares of the total self value.
 
-    Inclusive values count a name once where it calls itself (outermost occurrences only).
+    Inclusive values count a name once where it calls itself (outermost occurrences only). Values of many threads may add up
+    to more than a long holds; sums are exact, and a column of such sums is decimal(38,0).
     """
     keys = keys or []
     name = F.element_at("path", -1)
     outer = ~F.array_contains(F.slice("path", F.lit(1), F.size("path") - 1), name)
     p = prof.withColumn("name", name).withColumn("_outer", F.when(outer, F.col("value")).otherwise(0))
-    t = p.groupBy(*keys, "name").agg(F.sum("calls").alias("calls"), F.sum("self").alias("self"), F.sum("_outer").alias("incl"))
+    t = p.groupBy(*keys, "name").agg(F.sum("calls").alias("calls"), F.sum(F.col("self").cast("decimal(20,0)")).alias("self"), F.sum(F.col("_outer").cast("decimal(20,0)")).alias("incl"))
     t = t.withColumn("_total", F.sum("self").over(Window.partitionBy(*keys)))  # a row a name
-    share = lambda c: F.when(F.col("_total") > 0, F.round(100.0 * F.col(c) / F.col("_total"), 6))
+    share = lambda c: F.when(F.col("_total") > 0, F.round(100.0 * F.col(c).cast("double") / F.col("_total").cast("double"), 6))
     t = t.withColumn("self_pct", share("self")).withColumn("incl_pct", share("incl")).drop("_total")
+    t = exact_longs(t, ["self", "incl"], "flat")
     return t.orderBy(F.desc(order_by), "name") if order_by else t
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import on_workers
 
@@ -42,3 +43,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     finally:
         spark.conf.unset(_CLEANUP) if was is None else spark.conf.set(_CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def exact_longs(df: DataFrame, columns: list[str], label: str) -> DataFrame:
+    """``df``, a few rows of totals in decimals, with ``columns`` as longs where all their values fit, else as decimal(38,0)."""
+    d = materialize(df, label)
+    fit = [F.bool_and(F.col(c).isNull() | F.col(c).try_cast("long").isNotNull()).alias(c) for c in columns]
+    fits = d.agg(*fit).first()  # one row
+    return d.withColumns({c: F.col(c).cast("decimal(38,0)" if fits[c] is False else "long") for c in columns})
