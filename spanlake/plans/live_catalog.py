@@ -10,6 +10,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators import select
 from ..streaming import live
@@ -17,14 +18,16 @@ from ..tables import new_path
 from . import fixtures as fx
 
 PARTS = 4
-STATE_PARTITIONS = 4  # a state store is opened for each
+BINS = 1000
+FILE_ROWS = 1 << 18
+STATE_PARTITIONS = 4  # at least; a state store is opened for each, and a core for each pays
 
 
 @contextmanager
 def _few_stores(spark: SparkSession) -> Iterator[None]:
     name = "spark.sql.shuffle.partitions"
     was = spark.conf.get(name)
-    spark.conf.set(name, str(min(int(was), STATE_PARTITIONS)))
+    spark.conf.set(name, str(min(int(was), max(STATE_PARTITIONS, spark.sparkContext.defaultParallelism))))
     try:
         yield
     finally:
@@ -32,13 +35,18 @@ def _few_stores(spark: SparkSession) -> Iterator[None]:
 
 
 def arrive(df: DataFrame, label: str, part: str = "seq", parts: int = PARTS) -> tuple[str, DataFrame]:
-    """``df`` written as files in the order of ``part``, and the stream that reads them one at a time."""
-    path = new_path(df.sparkSession, label)
-    lo, hi = df.agg(F.min(part), F.max(part)).first()
+    """``df`` written part by part in the order of ``part``, a file for each ``FILE_ROWS`` rows, and the stream that reads as many
+    files at a time as a part has."""
+    spark = df.sparkSession
+    path, cut = new_path(spark, label), new_path(spark, f"{label}-cut")
+    lo, hi, n = df.agg(F.min(part), F.max(part), F.count("*")).first()
+    df.withColumn("_at", F.floor((F.col(part) - lo) * parts / (hi - lo + 1)).cast("int")).write.partitionBy("_at").parquet(cut)
+    files = -(-n // (parts * FILE_ROWS))
+    schema = df.drop("_part").schema
     for i in range(parts):
-        at = F.floor((F.col(part) - lo) * parts / (hi - lo + 1))
-        df.where(at == i).drop("_part").coalesce(1).write.mode("append").parquet(path)
-    return path, live.read_live(df.sparkSession, path, df.drop("_part").schema, 1)
+        rows = spark.read.schema(StructType([*df.schema.fields, StructField("_at", IntegerType())])).parquet(cut).where(F.col("_at") == i).select(*schema.names)
+        (rows.repartition(files) if files > 1 else rows.coalesce(1)).write.mode("append").parquet(path)
+    return path, live.read_live(spark, path, schema, files)
 
 
 def finished(sdf: DataFrame, label: str) -> DataFrame:
@@ -52,14 +60,21 @@ def finished(sdf: DataFrame, label: str) -> DataFrame:
 
 def disordered(df: DataFrame, parts: int = 6, span: int = 400) -> tuple[DataFrame, str]:
     """``df`` out of order: rows come up to ``span`` rows late, some twice, the second time a file later; with the delay of a
-    watermark that covers it. A row of no thread follows far in the future, so that the watermark passes all others."""
+    watermark that covers it, also where dates go back along ``seq``. A row of no thread follows far in the future, so that the watermark passes all others."""
     d = df.withColumn("ts", F.timestamp_micros(F.expr("date_ns div 1000"))).withColumn("_part", F.col("seq") + F.pmod(F.col("seq") * 7919, F.lit(span)))
     lo, hi, t0, t1 = d.agg(F.min("_part"), F.max("_part"), F.min("date_ns"), F.max("date_ns")).first()
     step = (hi - lo) // parts + 1
     again = d.where("seq % 17 = 0").withColumn("_part", F.col("_part") + step)
     last = d.orderBy(F.desc("seq")).limit(1)
     far = {"stream_id": F.lit(-1).cast("long"), "thread_id": F.lit(-1).cast("long"), "ts": F.timestamp_seconds(F.lit((t1 - t0) * 10 // 10**9 + 10**6)), "_part": F.lit(hi + 2 * step)}
-    delay = 3 * (t1 - t0) // parts // 10**9 + 60
+    # what a row is behind the latest one before it, bounded by bins, wherever files are cut
+    bins = d.groupBy(F.expr(f"(_part - {lo}) div {(hi - lo) // BINS + 1}").alias("b")).agg(F.min("date_ns").alias("first"), F.max("date_ns").alias("last"))
+    again_at = bins.select((F.col("b") + step // ((hi - lo) // BINS + 1) + 1).alias("b"), "first", F.lit(t0).alias("last"))
+    late, top = 0, t0
+    for b in bins.unionByName(again_at).orderBy("b").collect():  # two rows a bin
+        top = max(top, b["last"])
+        late = max(late, top - b["first"])
+    delay = max(3 * (t1 - t0) // parts, late) // 10**9 + 60
     return d.unionByName(again).unionByName(last.withColumns(far)), f"{delay} seconds"
 
 

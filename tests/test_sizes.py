@@ -21,3 +21,22 @@ def test_lock_stats_of_sums_beyond_a_long(spark):
     waits = spark.createDataFrame([(0, "l", 1 << 62)] * 3, "stream_id long, name string, wait_ns long")
     r = locks.lock_stats(uses, waits).first()
     assert (r.total_held, r.total_wait, r.waits) == (1, 3 << 62, 3)
+
+
+def test_dates_that_go_back_and_many_keys_a_slot(spark, tmp_path, monkeypatch):
+    """Two copies of a trace one after another: the second begins at the first date again; all threads share two slots."""
+    from pyspark.sql import functions as F
+
+    from spanlake.operators import scopes
+    from spanlake.plans import fixtures as fx
+    from spanlake.plans import live_catalog as lc
+    from spanlake.streaming import live
+
+    t = fx.trace(spark, "/root/testdata/sf0.001")
+    t = t.unionByName(t.withColumns({"seq": F.col("seq") + 1000, "thread_id": F.col("thread_id") + 1000}))
+    monkeypatch.setattr(lc, "FILE_ROWS", 100)  # several files a part
+    monkeypatch.setattr(live._stateful, "__defaults__", (2,))
+    rows, delay = lc.disordered(t)
+    got = lc.finished(live.pair_scopes_stream(lc.arrive(rows, "late", "_part", 8)[1], watermark=("ts", delay)), "pairs")
+    want = scopes.pair_scopes(t).where("not is_open").select(*got.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
