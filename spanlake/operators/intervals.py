@@ -24,11 +24,12 @@ def _blocks(lo: str, hi: str) -> str:
     return f"flatten(transform(transform(sequence(0, _top), k -> {level}), x -> transform({found}, b -> struct(x.k as k, b as b))))"
 
 
-def contained(intervals: DataFrame, points: DataFrame, keys: list[str], start: str, end: str, at: str, bucket_ns: int) -> DataFrame:
+def contained(intervals: DataFrame, points: DataFrame, keys: list[str], start: str, end: str, at: str, bucket_ns: int, tasks: int | None = None) -> DataFrame:
     """``points`` with the intervals of equal ``keys`` that hold them, both ends included.
 
     The sides share no column but the keys; an interval with a null end, or one that ends before it starts, holds nothing.
     ``bucket_ns`` sets the finest block, the greatest power of two that is not above it, and changes no result.
+    ``tasks`` deals the pairs to so many, where more come out than go in.
     """
     bits = max(0, int(bucket_ns).bit_length() - 1)
     span = intervals.agg(F.shiftright(F.min(start), bits).alias("lo"), F.shiftright(F.max(end), bits).alias("hi"))
@@ -37,4 +38,6 @@ def contained(intervals: DataFrame, points: DataFrame, keys: list[str], start: s
     dealt = intervals.where(F.col(end).isNotNull()).join(span)
     dealt = dealt.withColumns({"_lo": F.shiftright(start, bits), "_hi": F.shiftright(end, bits) + 1}).withColumn("_b", F.explode(F.expr(_blocks("_lo", "_hi")))).drop("_lo", "_hi", "_top")
     asks = points.join(span).withColumn("_p", F.shiftright(at, bits)).withColumn("_b", F.explode(F.expr("transform(sequence(0, _top), k -> struct(k as k, shiftright(_p, k) as b))"))).drop("_p", "_top")
+    if tasks:
+        asks, dealt = (x.repartition(tasks, *keys, "_b") for x in (asks, dealt))
     return asks.join(dealt, [*keys, "_b"]).where((F.col(start) <= F.col(at)) & (F.col(at) <= F.col(end))).drop("_b")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import exact_longs
+from ..tables import exact_longs, materialize
 from .intervals import contained
 from .scan import CHUNK, running
 
@@ -17,6 +17,7 @@ LOCK = ["stream_id", "name"]
 KEYS = ["stream_id", "thread_id"]
 ORDER = ["date_ns", "seq"]
 MIN_WAIT_NS = 5_000
+TASK_ROWS, MOST_TASKS = 1 << 13, 1 << 12
 
 
 def dedupe_lock_state(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -78,8 +79,11 @@ def contention(waits: DataFrame, uses: DataFrame, min_wait_ns: int = MIN_WAIT_NS
     """
     w = waits.where(F.col("wait_ns") >= min_wait_ns).select(*LOCK, F.col("thread_id").alias("waiter"), F.col("seq").alias("wait_seq"), F.col("start_ns").alias("w0"), F.col("end_ns").alias("w1"))
     u = uses.where("end_ns is not null").select(*LOCK, F.col("thread_id").alias("owner"), F.col("seq").alias("use_seq"), F.col("start_ns").alias("u0"), F.col("end_ns").alias("u1"))
-    begun = contained(w, u, LOCK, "w0", "w1", "u0", bucket_ns)
-    held = contained(u, w, LOCK, "u0", "u1", "w0", bucket_ns).where("u0 < w0")
+    w, u = materialize(w, "waits"), materialize(u, "uses")
+    # a few rows in can be very many out: tasks by rows, which are not merged again for small input
+    tasks = max(int(waits.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, (w.count() + u.count()) // TASK_ROWS))
+    begun = contained(w, u, LOCK, "w0", "w1", "u0", bucket_ns, tasks)
+    held = contained(u, w, LOCK, "u0", "u1", "w0", bucket_ns, tasks).where("u0 < w0")
     j = begun.unionByName(held).where("u0 < w1 and u1 > w0 and owner <> waiter")
     return j.select(*LOCK, "waiter", "wait_seq", "owner", "use_seq", (F.least("w1", "u1") - F.greatest("w0", "u0")).alias("overlap_ns"))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,21 +15,23 @@ TOKEN = "@@([0-9A-F]{16})@@"
 FNV = {64: (14695981039346656037, 1099511628211), 32: (2166136261, 16777619)}
 
 
-def fnv1a(texts: list[str], bits: int = 64, salt: int = 0) -> np.ndarray:
+def fnv1a(texts: list[str] | pa.Array, bits: int = 64, salt: int = 0) -> np.ndarray:
     """FNV-1a of many strings at once, byte position by byte position from the longest string on; the salt is mixed into
-    the basis. Memory is that of the texts, whatever their lengths."""
+    the basis. Memory is that of the texts, whatever their lengths. A null is hashed as the empty string."""
     basis, prime = FNV[bits]
     kind = np.uint64 if bits == 64 else np.uint32
-    raw = [t.encode("utf-8") for t in texts]
-    n = np.array([len(r) for r in raw], dtype=np.int64)
+    raw = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_binary())
+    ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64)
+    flat = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
+    n = np.diff(ends)
+    if raw.null_count:
+        n = np.where(raw.is_null().to_numpy(zero_copy_only=False), 0, n)
     longest = np.argsort(-n, kind="stable")
-    ends = np.cumsum(n[longest])
-    starts = ends - n[longest]
-    flat = np.frombuffer(b"".join(raw[i] for i in longest), np.uint8)
+    starts, sizes = ends[:-1][longest], n[longest]
     h = np.full(len(raw), (basis + salt) % (1 << bits), dtype=kind)
     live = len(raw)
     for k in range(int(n.max(initial=0))):
-        while n[longest[live - 1]] <= k:
+        while sizes[live - 1] <= k:
             live -= 1
         h[:live] = (h[:live] ^ flat[starts[:live] + k].astype(kind)) * kind(prime)
     out = np.empty_like(h)
@@ -37,22 +39,43 @@ def fnv1a(texts: list[str], bits: int = 64, salt: int = 0) -> np.ndarray:
     return out
 
 
-def hash_column(df: DataFrame, column: str, bits: int = 64, salt: int = 0):
-    """FNV-1a of a text column as upper-case hex of 16 digits."""
+def _fnv(df: DataFrame, column: str, bits: int, salt: int):
+    """FNV-1a of a text column as the bits of a long."""
     on_workers(df.sparkSession)
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else h for x, h in zip(s, (f"{int(v):016X}" for v in fnv1a(["" if x is None else x for x in s], bits, salt)), strict=True)])
+    @F.arrow_udf("long")
+    def run(s: pa.Array) -> pa.Array:
+        h = fnv1a(s, bits, salt)
+        return pa.array(h.view(np.int64) if bits == 64 else h.astype(np.int64), mask=s.is_null().to_numpy(zero_copy_only=False))
 
     return run(F.col(column))
 
 
+def _hex(h: str):
+    return F.lpad(F.hex(h), 16, "0")
+
+
+def hash_column(df: DataFrame, column: str, bits: int = 64, salt: int = 0):
+    """FNV-1a of a text column as upper-case hex of 16 digits."""
+    return _hex(_fnv(df, column, bits, salt))
+
+
+def _hashed(df: DataFrame, column: str, bits: int, salt: int) -> DataFrame:
+    d = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
+    return d.withColumn("h", _fnv(d, "value", bits, salt))
+
+
 def build_dictionary(df: DataFrame, column: str, bits: int = 64, salt: int = 0) -> tuple[DataFrame, DataFrame]:
     """``(hash, value)`` of the distinct strings, and ``(hash, values)`` of hashes that several strings share."""
-    d = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
-    d = d.withColumn("hash", hash_column(d, "value", bits, salt)).select("hash", "value")
-    return d, d.groupBy("hash").agg(F.collect_set("value").alias("values")).where(F.size("values") > 1)
+    d = _hashed(df, column, bits, salt)
+    shared = d.groupBy("h").agg(F.collect_list("value").alias("values")).where(F.size("values") > 1)
+    return d.select(_hex("h").alias("hash"), "value"), shared.select(_hex("h").alias("hash"), "values")
+
+
+def count_collisions(df: DataFrame, column: str, bits: int = 64, salt: int = 0) -> DataFrame:
+    """``(hash, n)`` of hashes that ``n`` strings share, more than one; the strings of no hash are gathered."""
+    n = _hashed(df, column, bits, salt).groupBy("h").agg(F.count("*").cast("int").alias("n"))
+    return n.where("n > 1").select(_hex("h").alias("hash"), "n")
 
 
 def read_dictionary(spark: SparkSession, path: str, salt: int = 0) -> DataFrame:

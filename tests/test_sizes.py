@@ -40,3 +40,25 @@ def test_dates_that_go_back_and_many_keys_a_slot(spark, tmp_path, monkeypatch):
     got = lc.finished(live.pair_scopes_stream(lc.arrive(rows, "late", "_part", 8)[1], watermark=("ts", delay)), "pairs")
     want = scopes.pair_scopes(t).where("not is_open").select(*got.columns)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_collisions_are_counted_without_their_strings(spark):
+    from spanlake.sources import strings
+
+    names = ["costarring", "liquid", "declinate", "macallums", "alone", "liquid", "é", ""]  # known pairs of 32 bits
+    d = spark.createDataFrame([(x,) for x in [*names, None]], "x string")
+    words, shared = strings.build_dictionary(d, "x", bits=32)
+    got = {(r.hash, r.n) for r in strings.count_collisions(d, "x", bits=32).collect()}
+    assert len(got) == 2 and got == {(r.hash, len(r["values"])) for r in shared.collect()}
+    assert {r.value: r.hash for r in words.where("value in ('', 'é')").collect()} == {"": "00000000811C9DC5", "é": f"{int(strings.fnv1a(['é'], 32)[0]):016X}"}
+
+
+def test_contention_is_dealt_to_tasks_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(locks, "TASK_ROWS", 4)
+    waits = spark.createDataFrame([(0, "l", i, i, i, i + 50, 50) for i in range(60)], "stream_id long, name string, thread_id long, seq long, start_ns long, end_ns long, wait_ns long")
+    uses = spark.createDataFrame([(0, "l", 1000 + i, i, 2 * i, 2 * i + 2) for i in range(60)], "stream_id long, name string, thread_id long, seq long, start_ns long, end_ns long")
+    got = locks.contention(waits, uses, bucket_ns=16, min_wait_ns=0)
+    want = {(w, u) for w in range(60) for u in range(60) if 2 * u < w + 50 and 2 * u + 2 > w}
+    rows = got.collect()
+    assert {(r.wait_seq, r.use_seq) for r in rows} == want and len(rows) == len(want)
+    assert got.rdd.getNumPartitions() == 60  # two joins of 120 rows, four rows a task
