@@ -7,8 +7,8 @@ the word's own count among the training words that begin so, discounted as in Kn
 interpolated with the network's probability of its other ids. Together this is one normalised model of word sequences
 with an end, and a text's score is the log10 of its probability.
 
-Counts cover all training documents. The network's weights are fitted on a fixed share of them, one in ``SHARE`` by a
-hash, at every size; a hash deals these to ``ROUNDS`` rounds and to a shard for every ``SHARD_IDS`` ids, so that a shard
+Counts cover all training documents, and the network's weights are fitted on all of them (``SHARE`` 1: one in ``SHARE`` by a
+hash); a hash deals these to ``ROUNDS`` rounds and to a shard for every ``SHARD_IDS`` ids, so that a shard
 has about ``SHARD_IDS / ROUNDS`` ids in a round, and more text makes more shards but no longer ones. In a round,
 Spark tasks take the common weights once through every shard of the round, and the changes, averaged row by row over
 the shards that touched a row, make the next common weights; the driver holds weights only. Scoring cuts a text into
@@ -45,7 +45,7 @@ from .wordbpe import IdTable, WordEncoder, gather, split_words, vocabulary
 
 FOLDS, HELD_OUT = 7, 2
 HOT_WORDS = 200_000
-SHARE = 16
+SHARE = 1
 ROUNDS = 4
 SHARD_IDS = 500_000
 BATCH, RATE = 256, 0.05  # blocks a step, and AdaGrad's rate
