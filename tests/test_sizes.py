@@ -62,3 +62,14 @@ def test_contention_is_dealt_to_tasks_by_rows(spark, monkeypatch):
     rows = got.collect()
     assert {(r.wait_seq, r.use_seq) for r in rows} == want and len(rows) == len(want)
     assert got.rdd.getNumPartitions() == 60  # two joins of 120 rows, four rows a task
+
+
+def test_the_network_is_fitted_on_all_training_documents(spark):
+    from pyspark.sql import functions as F
+
+    from spanlake.llm import lm
+    from spanlake.llm.tokens import word_bpe_path
+
+    docs = spark.createDataFrame([(i, f"word number {i}") for i in range(40)], "doc_id long, text string")
+    shards = lm.shard_texts(docs, word_bpe_path(), 1000.0, lm.SHARE, 2, 500)
+    assert shards.agg(F.sum(F.octet_length("lens") / 4)).first()[0] == 40
