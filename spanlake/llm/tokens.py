@@ -21,10 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hold, map_arrow, materialize, new_path, release_memory, text_or_empty
+from .common import arrow_rows, hold, map_arrow, materialize, new_path, release_memory, text_or_empty
 from .wordbpe import WordEncoder, id_type, vocabulary
 
 END_ID = 1
@@ -32,7 +33,7 @@ LANES = 1024
 BLOCK_IDS = 1 << 18
 CHECKPOINT = 128
 LOW = 1 << 31
-ENCODE_ROWS, ENCODE_BYTES = 4000, 6 << 20
+ENCODE_ROWS, ENCODE_BYTES = 2000, 3 << 20
 _HEAD = struct.Struct("<4sIIIQQIII")
 
 
@@ -157,6 +158,15 @@ def n_parts(block: bytes) -> int:
 # ---------------------------------------------------------------- tables
 
 
+def _in_files(docs: DataFrame) -> bool:
+    """Whether Spark can tell where the rows of ``docs`` stand in files."""
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
+
+
 def encode_texts(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID, file_order: bool = False) -> DataFrame:
     """``(doc_id, ids)`` of every whole text; ids are little-endian, 16 bits where the vocabulary allows.
 
@@ -230,12 +240,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     """Encode all texts of ``docs(doc_id, text)`` and write the file set to ``path``, in ascending doc_id order.
 
     With ``file_order`` texts come in the order in which the files of ``docs`` hold them, so that a mix stays mixed; ``docs``
-    are then one table as Spark wrote it, which numbers its files.
+    are then one table as Spark wrote it, which numbers its files. Where they are in no files they are written first, in the
+    order of their partitions and rows.
     """
     spark = docs.sparkSession
+    if file_order and not _in_files(docs):
+        docs = materialize(docs.select("doc_id", "text"), "token-texts")
     vocab = vocabulary(tokenizer)
     dtype = id_type(vocab).str
-    coded = materialize(encode_texts(docs, tokenizer, end_id, file_order), "token-ids")
+    with arrow_rows(spark, ENCODE_ROWS):
+        coded = materialize(encode_texts(docs, tokenizer, end_id, file_order), "token-ids")
     order = ["part", "row"] if file_order else ["doc_id", "h", "ids"]
     counts = _token_counts(coded, dtype, vocab)
     freq, bits = shared_frequencies(counts)
@@ -254,7 +268,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
             f"shard int, start long, n_ids long, doc_ids array<{kind}>, lengths array<int>, block binary",
         )
     )
-    blocks.write.parquet(f"{path}/blocks")
+    with arrow_rows(spark, ENCODE_ROWS):
+        blocks.write.parquet(f"{path}/blocks")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
     shards = spark.read.parquet(f"{path}/blocks").groupBy("shard").agg(F.sum("n_ids").alias("n_ids"))
     shards.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).write.parquet(f"{path}/manifest")

@@ -10,6 +10,7 @@ as it stands.
 from __future__ import annotations
 
 import json
+import os
 import unicodedata
 from itertools import repeat
 from pathlib import Path
@@ -20,6 +21,8 @@ import pyarrow.compute as pc
 
 from .common import hold
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core, and each thread would keep memory of its own
+
 KEEP_WORDS = 300_000
 KEEP_BYTES = 1 << 24  # of their letters
 GATHER_WORDS = 1 << 17

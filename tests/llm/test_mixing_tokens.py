@@ -1,9 +1,11 @@
 """Source mixing and token files."""
 
+import os
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +159,17 @@ def test_token_file_equals_the_library(spark, tmp_path):
         at += r.n_tokens
         seen.append(-1 if r.doc_id is None else r.doc_id)
     assert len(got) == len(rows) and seen == sorted(seen)
+
+
+def test_file_order_of_rows_in_no_files(spark):
+    rows = [(i * 7 % 23, f"words of text {i}") for i in range(23)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = tokens.token_file(docs, file_order=True).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [d for d, _ in rows]
+
+
+def test_encoder_starts_no_threads():
+    enc = WordEncoder(tokens.word_bpe_path())
+    before = len(os.listdir("/proc/self/task"))
+    enc.encode(pa.array([f"some words{i} Über{i} #{i}" for i in range(3000)]), 1)
+    assert len(os.listdir("/proc/self/task")) <= before
