@@ -15,7 +15,9 @@ that its bytes alone decide, and equal strings are cut alike wherever they stand
 The bytes around a gram are compared. The gram itself is known by a 64-bit hash of its bytes under a key that is drawn
 anew for each run, so that no text can be made to meet another one; so are whole texts.
 
-Grams of more than ``GROUP_ROWS`` triggers are never gathered: their strings of ``min_len`` bytes are written out,
+Triggers of a gram that has more than ``GROUP_ROWS`` are dealt by the gram and the half of what lies around it that a
+string has whole: by what lies right before for strings that begin far before it, by what follows for the others. Where a task
+still meets more than ``GROUP_ROWS`` different surroundings of one group, it gives off their strings of ``min_len`` bytes,
 and the least doc_id of each is found by an aggregate over the strings and joined back.
 
 Strings that repeat inside one batch are settled before the shuffle, so a passage of a third of all documents
@@ -47,6 +49,7 @@ MIN_LEN = 50
 GRAM = 24
 CHUNK_ROWS = 100_000
 GROUP_ROWS = CHUNK_ROWS  # what a task holds before it settles
+STRING_ROWS = 4096
 SALTS = 16
 CONTEXT_ROWS, CONTEXT_BYTES = 10_000, 32 << 20
 _LEAST = -(1 << 63)
@@ -104,9 +107,14 @@ def _raw(text: pa.StringScalar) -> np.ndarray:
 
 def gram_hash(raw: np.ndarray, pos: np.ndarray, gram: int, key: int) -> np.ndarray:
     """A hash of the ``gram`` bytes from each position, which nobody can foresee who does not know the key."""
-    body = np.zeros((len(pos), -(-gram // 8) * 8), np.uint8)
-    body[:, :gram] = raw[pos[:, None] + np.arange(gram)]
-    h = np.full(len(pos), key, dtype=np.uint64)
+    return _keyed(raw[pos[:, None] + np.arange(gram)], key)
+
+
+def _keyed(rows: np.ndarray, key: int) -> np.ndarray:
+    """A hash under the key of each row of bytes."""
+    body = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    body[:, : rows.shape[1]] = rows
+    h = np.full(len(rows), key, dtype=np.uint64)
     for word in body.view("<u8").T:
         h ^= word
         for by, m in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
@@ -134,21 +142,45 @@ def _grams(min_len: int, gram: int, key: int):
 _CONTEXT = "g long, before binary, after binary, la int, ra int, k long, th long, pos int, dmin int, dmax int, settled boolean"
 
 
+def _halves(g: np.ndarray, before: np.ndarray, after: np.ndarray, dmin: np.ndarray, dmax: np.ndarray, secret: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Triggers dealt by halves of their surroundings: ``(row, group, dmin, dmax)``, for each row that of the strings that
+    hold half of the bytes before it and that of the rest, which hold half of those after it, where there are any."""
+    reach = before.shape[1]
+    half = reach // 2
+    of = g.view(np.uint8).reshape(-1, 8)
+    tag = lambda x: np.full((len(g), 1), x, np.uint8)
+    far = _keyed(np.concatenate((of, tag(1), before[:, :half]), axis=1), secret)
+    near = _keyed(np.concatenate((of, tag(2), after[:, : reach - half + 1]), axis=1), secret)
+    row = np.arange(len(g))
+    parts = [(row, far, np.maximum(dmin, half), dmax), (row, near, dmin, np.minimum(dmax, half - 1))]
+    row, group, dmin, dmax = (np.concatenate(x) for x in zip(*parts, strict=True))
+    some = dmin <= dmax
+    return row[some], group[some], dmin[some], dmax[some]
+
+
 def _contexts(min_len: int, gram: int, secret: int):
     reach = min_len - gram
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
         cols: list[list[np.ndarray]] = [[] for _ in range(10)]
-        for k, th, text, gs in zip(b.column(0), b.column(1), b.column(2), b.column(3), strict=True):
+        for k, th, text, gs, many in zip(*b.columns, strict=True):
             raw = _raw(text)
             pos, h, dmin, dmax = keyed_triggers(raw, min_len, gram, secret)
-            keep = np.isin(h, gs.values.to_numpy(zero_copy_only=False))
+            gs, many = (x.values.to_numpy(zero_copy_only=False) for x in (gs, many))
+            keep = np.isin(h, np.concatenate((gs, many)) if len(many) else gs)
             pos, h, dmin, dmax = pos[keep], h[keep], dmin[keep], dmax[keep]
             if not len(pos):
                 continue
             wide = np.concatenate((np.zeros(reach, np.uint8), raw, np.zeros(reach, np.uint8)))
             before = wide[pos[:, None] + np.arange(reach - 1, -1, -1)]
             after = wide[pos[:, None] + np.arange(reach + gram, 2 * reach + gram)]
+            if len(many):
+                heavy = np.isin(h, many)
+                at, light = np.flatnonzero(heavy), np.flatnonzero(~heavy)
+                row, group, lo, hi = _halves(h[at], before[at], after[at], dmin[at], dmax[at], secret)
+                rows = np.concatenate((light, at[row]))
+                h, dmin, dmax = (np.concatenate((x[light], y)) for x, y in ((h, group), (dmin, lo), (dmax, hi)))
+                pos, before, after = pos[rows], before[rows], after[rows]
             n = len(pos)
             la, ra = np.minimum(reach, pos), np.minimum(reach, len(raw) - gram - pos)
             for c, v in zip(cols, (h, before, after, la, ra, np.full(n, k.as_py()), np.full(n, th.as_py()), pos, dmin, dmax), strict=True):
@@ -174,44 +206,31 @@ def _contexts(min_len: int, gram: int, secret: int):
     return run
 
 
-def _strings(min_len: int, gram: int, secret: int):
-    """The strings of heavy grams: once a slice with the places of its least k; and, with no string, hits of larger k."""
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        parts = []
-        for k, th, text, gs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-            raw = _raw(text)
-            pos, h, dmin, dmax = keyed_triggers(raw, min_len, gram, secret)
-            keep = np.isin(h, gs.values.to_numpy(zero_copy_only=False))
-            pos, dmin, dmax = pos[keep], dmin[keep], dmax[keep]
-            sizes = dmax - dmin + 1
-            at = np.repeat(pos, sizes)
-            d = np.repeat(dmin, sizes) + np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            body = raw[(at - d)[:, None] + np.arange(min_len)] if len(at) else np.empty((0, min_len), np.uint8)
-            parts.append((body, np.full(len(at), k), np.full(len(at), th), at, d))
-        body, k, th, at, d = (np.concatenate(x) for x in zip(*parts, strict=True))
-        if not len(k):
-            return None
-        key = np.ascontiguousarray(body).view(f"V{min_len}").ravel()
-        of = np.unique(key, return_inverse=True)[1].ravel()
-        least = np.full(of.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, of, k)
-        settled = k > least[of]
-        s = pa.array([None if x else y.tobytes() for x, y in zip(settled.tolist(), body, strict=True)], pa.binary())
-        mask = np.int64(1) << d.astype(np.int64)
-        return pa.RecordBatch.from_arrays([s, pa.array(k), pa.array(th), pa.array(at.astype(np.int32)), pa.array(mask)], ["s", "k", "th", "pos", "mask"])
-
-    return run
-
-
-def heavy_hits(full: DataFrame, min_len: int, gram: int, secret: int) -> DataFrame:
-    """``(k, th, pos, mask)`` of all strings of heavy grams that repeat; no task holds a gram or a string's rows."""
-    rows = materialize(map_arrow(full, _strings(min_len, gram, secret), "s binary, k long, th long, pos int, mask long"), "heavy-strings")
-    live = rows.where("s is not null")
+def _strings(g: np.ndarray, before: np.ndarray, after: np.ndarray, k: np.ndarray, dmin: np.ndarray, dmax: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, d, string, settled)`` of every string of these triggers: its bytes around the group's gram, after the group
+    and d. One of a smaller k here settles it."""
+    sizes = dmax.astype(np.int64) - dmin + 1
+    row = np.repeat(np.arange(len(g)), sizes)
+    d = np.repeat(dmin.astype(np.int64), sizes) + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    width = before.shape[1]
+    at = np.arange(width)[None, :]
+    ring = np.concatenate((before[:, ::-1], after), axis=1)  # in the order of the text, without the gram
+    body = ring[row[:, None], width - d[:, None] + at]
+    key = np.concatenate((g[row].view(np.uint8).reshape(-1, 8), d.astype(np.uint8)[:, None], body), axis=1)
+    of = np.unique(np.ascontiguousarray(key).view(f"V{key.shape[1]}").ravel(), return_inverse=True)[1].ravel()
+    least = np.full(of.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, of, k[row])
+    return row, d, key, k[row] > least[of]
+
+
+def heavy_hits(rows: DataFrame) -> DataFrame:
+    """``(k, th, pos, mask)`` of the strings ``(s, k, th, pos, mask)`` that one of a smaller k equals, and of those that are settled,
+    whose s is empty; no task holds a string's rows."""
+    live = rows.where("octet_length(s) > 0")
     least = live.groupBy("s").agg(F.min("k").alias("least"), F.max("k").alias("most")).where("least < most").drop("most")
     salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     found = live.withColumn("salt", F.pmod(F.xxhash64("k", "pos"), F.lit(SALTS)).cast("int")).join(salted, ["s", "salt"]).where("k > least")
-    hits = found.select("k", "th", "pos", "mask").unionByName(rows.where("s is null").drop("s"))
+    hits = found.select("k", "th", "pos", "mask").unionByName(rows.where("octet_length(s) = 0").drop("s"))
     return hits.groupBy("k", "th", "pos").agg(F.bit_or("mask").alias("mask"))
 
 
@@ -252,19 +271,36 @@ def _solve(rows: list[tuple[np.ndarray, ...]]) -> np.ndarray:
     return mask
 
 
-def _repeated(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _repeated(batches: Iterator[pa.RecordBatch], width: int, most: int = GROUP_ROWS) -> Iterator[pa.RecordBatch]:
     """``(k, th, pos, mask)`` of all strings that repeat, from context rows sorted by g, before, after and k.
 
     A row with the context of the row before it is settled at once; only distinct contexts are held, up to the
-    end of a gram.
+    end of a gram. Of a gram with more than ``most`` of them (and some of a batch) the strings themselves go out as ``s``.
     """
     held: list[tuple[np.ndarray, ...]] = []
     names: list[tuple[np.ndarray, ...]] = []
     size = 0
     prev = None
+    split_g = None  # the gram whose strings go out
+    opened, open_rows = 0, 0  # where the last gram begins in what is held, and its rows
+
+    def give_off() -> Iterator[pa.RecordBatch]:
+        """The strings of the rows held, all of one gram."""
+        nonlocal held, names, size, opened, open_rows
+        g, before, after, k, dmin, dmax = (np.concatenate(x) for x in zip(*held, strict=True))
+        th, pos = (np.concatenate([x[i] for x in names]) for i in range(2))
+        for i in range(0, len(g), STRING_ROWS):
+            of = slice(i, i + STRING_ROWS)
+            row, d, s, settled = _strings(g[of], before[of], after[of], k[of], dmin[of], dmax[of])
+            row, bit = row + i, np.int64(1) << d
+            told = pa.array([b"" if x else y.tobytes() for x, y in zip(settled.tolist(), s, strict=True)], pa.binary())
+            yield _hits(k[row], th[row], pos[row], bit, told)
+        held, names, size, opened, open_rows = [], [], 0, 0, 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal held, names, size
+        if held and held[0][0][0] == split_g:
+            yield from give_off()
         if held:
             mask = _solve(held)
             th, pos = (np.concatenate([x[i] for x in names]) for i in range(2))
@@ -298,22 +334,35 @@ def _repeated(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
             yield _hits(k[copy], th[copy], pos[copy], _all_from(dmin[copy], dmax[copy]))
         prev = (key[-1].copy(), int(least[-1]))
         keep = np.flatnonzero(~copy)
-        cuts = np.flatnonzero(np.diff(g[keep])) + 1
-        split = cuts[-1] if len(cuts) else 0
-        if size and len(keep) and held and g[keep[0]] != held[-1][0][-1] and size >= CHUNK_ROWS:
-            yield from flush()
-        for part in (keep[:split], keep[split:]):
-            if len(part):
-                held.append((g[part], body[0][part], body[1][part], k[part], dmin[part], dmax[part]))
-                names.append((th[part], pos[part]))
-                size += len(part)
-            if part is not keep and len(part) and split and part[-1] == keep[split - 1] and size >= CHUNK_ROWS:
+        if not len(keep):
+            continue
+        # the first and the last gram and large ones by themselves, the others as runs
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(g[keep])) + 1, [len(keep)]))
+        large = np.flatnonzero(np.diff(cuts) > most)
+        for part in np.split(keep, np.unique(np.concatenate((cuts[[1, -2]], cuts[large], cuts[large + 1])))):
+            if not len(part):
+                continue
+            if not held or g[part[0]] != held[-1][0][-1]:
+                if size >= CHUNK_ROWS or (held and held[-1][0][-1] == split_g):
+                    yield from flush()
+                opened, open_rows = len(held), 0
+            held.append((g[part], body[0][part], body[1][part], k[part], dmin[part], dmax[part]))
+            names.append((th[part], pos[part]))
+            size += len(part)
+            open_rows += len(part)
+            if g[part[0]] == g[part[-1]] and open_rows > most:
+                own = held[opened:], names[opened:]
+                held, names = held[:opened], names[:opened]
                 yield from flush()
+                held, names = own
+                split_g = g[part[0]]
+                yield from give_off()
     yield from flush()
 
 
-def _hits(k: np.ndarray, th: np.ndarray, pos: np.ndarray, mask: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(k), pa.array(th), pa.array(pos.astype(np.int32)), pa.array(mask)], ["k", "th", "pos", "mask"])
+def _hits(k: np.ndarray, th: np.ndarray, pos: np.ndarray, mask: np.ndarray, s: pa.Array | None = None) -> pa.RecordBatch:
+    s = pa.nulls(len(k), pa.binary()) if s is None else s
+    return pa.RecordBatch.from_arrays([pa.array(k), pa.array(th), pa.array(pos.astype(np.int32)), pa.array(mask), s], ["k", "th", "pos", "mask", "s"])
 
 
 def _covered(size: int, pos: np.ndarray, mask: np.ndarray, min_len: int) -> np.ndarray:
@@ -343,19 +392,22 @@ def repeated_strings(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     wanted = grams.where("shared").groupBy("th").agg(F.collect_set(F.when(~F.col("heavy"), F.col("g"))).alias("gs"), F.collect_set(F.when(F.col("heavy"), F.col("g"))).alias("many"))
     wanted = wanted.join(first.groupBy("th").agg(F.min("first").alias("k")), "th").select("k", "th", "gs", "many")
     wanted = materialize(wanted, "shared-grams")
-    light, heavy = (wanted.where(F.size(c) > 0).select("k", "th", F.col(c).alias("gs")) for c in ("gs", "many"))
-    full = base.join(light, ["k", "th"]).select("k", "th", "text", "gs")
+    full = base.join(wanted, ["k", "th"]).select("k", "th", "text", "gs", "many")
     ctx = map_arrow(full, _contexts(min_len, gram, secret), _CONTEXT, CONTEXT_ROWS, CONTEXT_BYTES)
     home = F.when(F.col("settled"), F.xxhash64("k", "pos")).otherwise(F.col("g"))
-    hits = (
+    width, most = min_len - gram, GROUP_ROWS
+    found = materialize(
         ctx.withColumn("home", home)
         .repartition("home")
         .sortWithinPartitions("g", "before", "after", "la", "ra", "k")
         .drop("home")
-        .mapInArrow(lambda it: _repeated(it, min_len - gram), "k long, th long, pos int, mask long")
+        .mapInArrow(lambda it: _repeated(it, width, most), "k long, th long, pos int, mask long, s binary"),
+        "repeats",
     )
+    heavy = found.where("s is not null")
+    hits = found.where("s is null").drop("s")
     if heavy.limit(1).count():
-        hits = hits.unionByName(heavy_hits(base.join(heavy, ["k", "th"]).select("k", "th", "text", "gs"), min_len, gram, secret))
+        hits = hits.unionByName(heavy_hits(heavy))
     hits = hits.groupBy("k", "th").agg(F.collect_list(F.struct("pos", "mask")).alias("hits"))
     copies = sizes.join(first, ["th", "th2"]).where("k > first").select("k", "th").distinct().withColumn("copy", F.lit(True))
     told = copies.join(hits, ["k", "th"], "full")

@@ -6,6 +6,7 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -242,3 +243,39 @@ def test_repeats_of_grams_that_share_a_rolling_hash(spark):
     raw = np.frombuffer((a + b).encode(), np.uint8)
     one, other = repeats.gram_hash(raw, np.array([26]), 24, 5), repeats.gram_hash(raw, np.array([len(a) + 26]), 24, 5)
     assert one != other and one == repeats.gram_hash(raw, np.array([26]), 24, 5) and one != repeats.gram_hash(raw, np.array([26]), 24, 6)
+
+
+def test_frequent_grams_go_by_half_of_what_surrounds_them(spark, monkeypatch):
+    """Triggers of a frequent gram in the many texts that share it alone are in no common group; texts are read once for all grams."""
+    phrase = "one phrase of forty bytes that all texts hold"
+    rows = [(i, f"{i * 7919 % 1000:03d}{phrase}{i * 104729 % 1000:03d}") for i in range(100)]
+    rows += [(200, "the beginning of it all, " + phrase + "000"), (201, "the beginning of it all, " + phrase + "111")]
+    monkeypatch.setattr(repeats, "GROUP_ROWS", 4)
+    got = repeats.remove_repeats(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in got) == sorted(removed(rows, 50))
+    raw = np.frombuffer("".join(t for _, t in rows[:2]).encode(), np.uint8)
+    before, after = (np.stack([raw[s : s + 26] for s in x]) for x in ([0, 51], [25, 76]))
+    row, group, lo, hi = repeats._halves(np.array([5, 5]), before, after, np.array([0, 14]), np.array([26, 20]), 9)
+    assert list(zip(row, lo, hi, strict=True)) == [(0, 13, 26), (1, 14, 20), (0, 0, 12)]
+    assert len(set(group)) == 3
+    g, k = np.zeros(300, np.int64), np.arange(300)
+    b = np.zeros((300, 26), np.uint8)
+    b[:, 25] = k % 128  # 128 contexts that differ in the farthest byte before
+    b = b[np.argsort(k % 128, kind="stable")]
+    k = k[np.argsort(k % 128, kind="stable")]
+    flat = lambda x: pa.array([y.tobytes() for y in x], pa.binary())
+    num = lambda x: pa.array(np.full(300, x).astype(np.int32))
+    cols = [pa.array(g), flat(b), flat(np.zeros((300, 26), np.uint8)), num(26), num(26), pa.array(k), pa.array(k), num(7), num(0), num(26), pa.array(np.zeros(300, bool))]
+    batch = pa.RecordBatch.from_arrays(cols, ["g", "before", "after", "la", "ra", "k", "th", "pos", "dmin", "dmax", "settled"])
+    for step in (300, 7):
+        for most in (1000, 20):
+            out = pa.Table.from_batches(list(repeats._repeated((batch.slice(i, step) for i in range(0, 300, step)), 26, most))).to_pylist()
+            assert any(r["s"] is not None for r in out) == (most == 20)
+            least, bits = {}, {}
+            for r in out:
+                if r["s"]:
+                    least[r["s"]] = min(least.get(r["s"], 999), r["k"])
+            for r in out:
+                if not r["s"] or r["k"] > least[r["s"]]:
+                    bits[r["k"]] = bits.get(r["k"], 0) | r["mask"]
+            assert bits == {i: (1 << 26) - 1 if i < 128 else (1 << 27) - 1 for i in range(1, 300)}
