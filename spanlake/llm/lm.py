@@ -239,8 +239,9 @@ def _by_row(touched: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def train_shards(net: Network, taught: DataFrame, rounds: int = ROUNDS, batch: int = BATCH, rate: float = RATE) -> list[float]:
     """Fit ``net`` in rounds; the mean loss an id of each round that has shards. Changes are summed by Spark, and a
-    row of the size of the weights comes to the driver."""
-    sc = taught.sparkSession.sparkContext
+    row of the size of the weights comes to the driver. Such rows go to and from Python one by one."""
+    spark = taught.sparkSession
+    sc = spark.sparkContext
     scales, losses = net.scales(), []
     schema = "loss double, n double, sums binary"
 
@@ -248,12 +249,13 @@ def train_shards(net: Network, taught: DataFrame, rounds: int = ROUNDS, batch: i
         return pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([n]), pa.array([sums.tobytes()])], ["loss", "n", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         loss, n, sums = 0.0, 0.0, None
         for b in batches:
             for i in range(b.num_rows):
                 loss, n = loss + b.column(0)[i].as_py(), n + b.column(1)[i].as_py()
                 one = np.frombuffer(b.column(2)[i].as_buffer(), np.float32)
-                sums = one.copy() if sums is None else sums + one
+                sums = one.copy() if sums is None else np.add(sums, one, out=sums)
         if sums is not None:
             yield row(loss, n, sums)
 
@@ -261,6 +263,8 @@ def train_shards(net: Network, taught: DataFrame, rounds: int = ROUNDS, batch: i
         shared = sc.broadcast((net, scales))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, r=r) -> Iterator[pa.RecordBatch]:
+            hold("lm-train", lambda: None)  # the texts are encoded: this worker's words and encoder may go
+            release_memory()
             net, scales = shared.value
             loss, n, sums = 0.0, 0.0, None
             for b in batches:
@@ -272,7 +276,7 @@ def train_shards(net: Network, taught: DataFrame, rounds: int = ROUNDS, batch: i
                     was, seen, touched = own.descend(blocks, mine, rate, batch, np.random.default_rng([11, r, shard.as_py()]))
                     change = {k: (w - net.p[k]) * _by_row(touched[k], w) for k, w in own.p.items()}
                     one = _flat([change, {k: (s - scales[k]) * touched[k] for k, s in mine.items()}, touched])
-                    loss, n, sums = loss + was, n + seen, one if sums is None else sums + one
+                    loss, n, sums = loss + was, n + seen, one if sums is None else np.add(sums, one, out=sums)
             if sums is not None:
                 yield row(loss, n, sums)
 
@@ -281,7 +285,8 @@ def train_shards(net: Network, taught: DataFrame, rounds: int = ROUNDS, batch: i
         while tasks > 1:
             tasks = math.isqrt(tasks)
             parts = parts.repartition(tasks).mapInArrow(add, schema)
-        few = parts.collect()
+        with arrow_rows(spark, 1):
+            few = parts.collect()
         shared.destroy()
         if not few:
             continue

@@ -187,3 +187,27 @@ def test_one_shard_is_plain_descent(spark):
         want.append(loss / n)
     assert np.allclose(losses, want, rtol=1e-3) and losses[1] < losses[0]
     assert all(np.allclose(net.p[k], alone.p[k], atol=1e-4) for k in net.p)
+
+
+def test_rows_of_weights_come_to_a_worker_one_by_one(spark, monkeypatch):
+    sizes = []
+
+    def rows(s, n):
+        sizes.append(n)
+        return arrow_rows(s, n)
+
+    arrow_rows = lm.arrow_rows
+    monkeypatch.setattr(lm, "arrow_rows", rows)
+    body, lens = np.tile([1, 2, 3, 4, 0], 40).astype(np.int32), np.full(10, 20, np.int32)
+    taught = spark.createDataFrame([(i, 0, 200, body.tobytes(), lens.tobytes()) for i in range(9)], "shard long, round long, n long, body binary, lens binary")
+    net, alone = (attention.Network(attention.Tree(np.full(5, 2.0))) for _ in range(2))
+    lm.train_shards(net, taught, 1, batch=8)
+    assert sizes == [1]
+    blocks = attention.Blocks(body, lens.astype(np.int64), 4)
+    changes = []
+    for i in range(9):
+        own = attention.Network.__new__(attention.Network)
+        own.tree, own.p = alone.tree, {k: w.copy() for k, w in alone.p.items()}
+        own.descend(blocks, alone.scales(), lm.RATE, 8, np.random.default_rng([11, 0, i]))
+        changes.append(own.p["far"] - alone.p["far"])
+    assert np.allclose(net.p["far"], alone.p["far"] + np.mean(changes, axis=0), atol=1e-5)
