@@ -23,6 +23,9 @@ _ROWS = 4096
 _Q, _K, _V, _R = (slice(i * DIM, (i + 1) * DIM) for i in range(4))
 _DISTANCE = np.clip(np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :], 0, 2 * BLOCK - 1)
 _ONES = np.ones(RADIX, np.float32)
+_PLACES = np.ones(2 * BLOCK, np.float32)
+_ROW = np.ones((1, _ROWS), np.float32)
+_DIGITS = np.arange(RADIX)
 _FIRST = np.arange(_ROWS) * RADIX
 _PAST = np.arange(2 * BLOCK)[None, :] <= np.arange(BLOCK)[:, None] + BLOCK
 
@@ -56,6 +59,7 @@ class Tree:
             take = RADIX
         self.n_ids, self.root = n, len(rows) - 1
         self.child = np.array(rows)
+        self.inner = [[(c, kid - n) for c, kid in enumerate(kids) if kid >= n] for kids in rows]  # by node: place and node of its inner children
         share = np.array(shares)
         with np.errstate(divide="ignore"):
             self.bias = np.maximum(np.log(share / share.sum(axis=1, keepdims=True)), -1e9).astype(np.float32)
@@ -91,7 +95,7 @@ class Tree:
                 few.append((k, lo, hi))
                 continue
             at = lo + np.searchsorted(rank[lo:hi], self.edge[k])
-            digits = np.repeat(np.arange(RADIX), np.diff(at))
+            digits = np.repeat(_DIGITS, at[1:] - at[:-1])
             for s in range(lo, hi, _ROWS):  # rows that stay in a core's cache
                 e = min(hi, s + _ROWS)
                 z = hs[s:e] @ u[k]
@@ -105,11 +109,11 @@ class Tree:
                     z *= ws[s:e, None]
                     nodes.append(np.array([k]))
                     du.append((hs[s:e].T @ z)[None])
-                    db.append(z.sum(axis=0)[None])
+                    db.append(_ROW[:, : e - s] @ z)
                     dh[s:e] += z @ u[k].T
-            for c in np.flatnonzero(np.diff(at)).tolist():
-                if self.child[k, c] >= self.n_ids:
-                    stack.append((int(self.child[k, c]) - self.n_ids, int(at[c]), int(at[c + 1])))
+            if inner := self.inner[k]:
+                at = at.tolist()
+                stack += [(node, at[c], at[c + 1]) for c, node in inner if at[c + 1] > at[c]]
         if few:
             where = np.concatenate([np.arange(lo, hi) for _, lo, hi in few])
             at_node = np.repeat([k for k, _, _ in few], [hi - lo for _, lo, hi in few])
@@ -146,6 +150,13 @@ class Tree:
         return out, by_h, (k[by][starts], np.add.reduceat(np.concatenate(du)[by], starts, axis=0), np.add.reduceat(np.concatenate(db)[by], starts, axis=0))
 
 
+def _greatest(a: np.ndarray) -> np.ndarray:
+    """The maxima of the last axis, whose size is a power of two, by halves: numpy is slow on short rows."""
+    while (half := a.shape[-1] // 2) > 0:
+        a = np.maximum(a[..., :half], a[..., half:])
+    return a
+
+
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order that sorts the keys, and where each key begins in it."""
     order = np.argsort(keys, kind="stable")
@@ -242,39 +253,48 @@ class Network:
         x, goal, live, first = blocks.at(lo - back, hi)
         live[:back] = False
         flat = x.ravel()
-        e = p["e"][flat]
+        e = p["e"].take(flat, axis=0)
         t = (e @ p["w"]).reshape(len(x), BLOCK, 4 * DIM)
         q, k, v = t[:, :, _Q], t[:, :, _K], t[:, :, _V]
         past = np.empty((2, len(x), 2 * BLOCK, DIM), np.float32)
         for c, own in zip(past, (k, v), strict=True):
             c[1:, :BLOCK], c[:1, :BLOCK], c[:, BLOCK:] = own[:-1], own[:1], own
-        z = np.matmul(q, past[0].transpose(0, 2, 1)) * scale + p["far"][_DISTANCE]
-        z[:, ~_PAST] = -1e9
-        z[first, :, :BLOCK] = -1e9
-        z -= z.max(axis=2, keepdims=True)
-        a = np.exp(z)
-        a /= a.sum(axis=2, keepdims=True)
-        h = np.tanh(np.matmul(a, past[1]) + t[:, :, _R])
+        q = q * scale
+        a = np.matmul(q, past[0].transpose(0, 2, 1))
+        a += np.where(_PAST, p["far"][_DISTANCE], np.float32(-1e9))
+        a[first, :, :BLOCK] = -1e9
+        a -= _greatest(a)
+        np.exp(a, out=a)
+        a /= (a.reshape(-1, 2 * BLOCK) @ _PLACES).reshape(len(x), BLOCK, 1)
+        o = np.matmul(a, past[1])
+        h = o + t[:, :, _R]
+        np.tanh(h, out=h)
         some = live.ravel()
         n = int(some.sum())
         weight = np.full(n, 1 / max(1, n), np.float32)
         logs, by_h, (nodes, by_u, by_b) = self.tree.walk(p["u"], p["b"], h.reshape(-1, DIM)[some], goal.ravel()[some], weight)
+        dt = np.empty_like(t)
         dh = np.zeros((len(flat), DIM), np.float32)
         dh[some] = by_h
-        dh = dh.reshape(h.shape) * (1 - h * h)
-        da = np.matmul(dh, past[1].transpose(0, 2, 1))
+        dh = dh.reshape(h.shape)
+        h *= h
+        dh *= np.subtract(1, h, out=h)
         dv = np.matmul(a.transpose(0, 2, 1), dh)
-        dz = a * (da - (da * a).sum(axis=2, keepdims=True))
-        far = np.bincount(_DISTANCE.ravel(), weights=dz.sum(axis=0).ravel(), minlength=2 * BLOCK).astype(np.float32)
-        dk = np.matmul(dz.transpose(0, 2, 1), q) * scale
-        dt = np.empty_like(t)
-        dt[:, :, _Q], dt[:, :, _R] = np.matmul(dz, past[0]) * scale, dh
+        # a softmax's gradient: the sum of da * a is that of dh * o, over half as many numbers
+        dz = np.matmul(dh, past[1].transpose(0, 2, 1))
+        o *= dh
+        dz -= (o.reshape(-1, DIM) @ _PLACES[:DIM]).reshape(len(x), BLOCK, 1)
+        dz *= a
+        far = np.bincount(_DISTANCE.ravel(), weights=np.ones(len(x), np.float32) @ dz.reshape(len(x), -1), minlength=2 * BLOCK).astype(np.float32)
+        dk = np.matmul(dz.transpose(0, 2, 1), q)
+        np.multiply(np.matmul(dz, past[0]), scale, out=dt[:, :, _Q])
+        dt[:, :, _R] = dh
         for s, d in ((_K, dk), (_V, dv)):
             dt[:, :, s] = d[:, BLOCK:]
             dt[:-1, :, s] += d[1:, :BLOCK]
         dt = dt.reshape(-1, 4 * DIM)
         by, starts = _runs(flat)
-        de = np.add.reduceat((dt @ p["w"].T)[by], starts, axis=0)
+        de = np.add.reduceat((dt @ p["w"].T).take(by, axis=0), starts, axis=0)
         grads = {"e": (flat[by][starts], de), "w": (None, e.T @ dt), "far": (None, far), "u": (nodes, by_u), "b": (nodes, by_b)}
         return -float(logs.sum()), n, grads
 

@@ -274,8 +274,11 @@ def train_shards(net: Network, taught: DataFrame, rounds: int = ROUNDS, batch: i
                     mine = {k: s.copy() for k, s in scales.items()}
                     blocks = Blocks(np.frombuffer(body.as_buffer(), np.int32), np.frombuffer(lens.as_buffer(), np.int32).astype(np.int64), net.tree.n_ids - 1)
                     was, seen, touched = own.descend(blocks, mine, rate, batch, np.random.default_rng([11, r, shard.as_py()]))
-                    change = {k: (w - net.p[k]) * _by_row(touched[k], w) for k, w in own.p.items()}
-                    one = _flat([change, {k: (s - scales[k]) * touched[k] for k, s in mine.items()}, touched])
+                    for theirs, now in ((net.p, own.p), (scales, mine)):
+                        for k, w in now.items():
+                            w -= theirs[k]
+                            w *= _by_row(touched[k], w)
+                    one = _flat([own.p, mine, touched])
                     loss, n, sums = loss + was, n + seen, one if sums is None else np.add(sums, one, out=sums)
             if sums is not None:
                 yield row(loss, n, sums)

@@ -124,6 +124,14 @@ def test_tree_is_a_distribution(n):
     assert np.allclose(p[:5], [np.exp(tree.walk(u, b, h, order[i : i + 1]))[0] for i in range(min(5, n))], rtol=1e-3)
 
 
+def test_inner_children_of_the_tree():
+    tree = attention.Tree(np.arange(1, 5001.0) ** 2)
+    want = [[(c, k - tree.n_ids) for c, k in enumerate(row) if k >= tree.n_ids] for row in tree.child.tolist()]
+    assert tree.inner == want and sum(map(len, tree.inner)) == len(tree.child) - 1  # every node but the root is a child once
+    a = np.random.default_rng(3).standard_normal((5, 4, 32)).astype(np.float32)
+    assert np.array_equal(attention._greatest(a), a.max(axis=2, keepdims=True))
+
+
 def test_gradients_equal_differences():
     rng = np.random.default_rng(5)
     net = net_of(rng, 60)
