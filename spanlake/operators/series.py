@@ -5,13 +5,19 @@ Series are long: ``(stream_id, thread_id, kind, path, time_ns, seq, value)``, th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from .. import on_workers
 from ..tables import materialize
-from .scan import CHUNK, Scan, running
+from .scan import CHUNK, MOST_RANGES, Scan, running
 
 SERIES = ["stream_id", "thread_id", "kind", "path"]
 BINS = 20_000
@@ -61,42 +67,157 @@ def downsample(s: DataFrame, ns_per_point: int, mode: str = "m4", block: int = 1
         )
         return b.select(*SERIES, F.explode("ps").alias("p")).select(*SERIES, "p.time_ns", "p.seq", "p.value")
     keep = ["time_ns", "seq", "value"]
-    numbered = running(s.select(*SERIES, *keep), SERIES, {"i": ("sum", F.lit(1).cast("long"))}, chunk, ("time_ns", "seq", "value"))
-    d = materialize(numbered.withColumn("i", F.col("i") - 1), "points")
-    levels, ends = [], []
-    while True:
+    s = s.select(*SERIES, *keep).where(reduce(Column.__and__, [F.col(c).isNotNull() for c in SERIES]))
+
+    def ends(d: DataFrame) -> tuple[DataFrame, Row]:
         spacing = (F.max("time_ns") - F.min("time_ns")) / F.greatest(F.lit(1), F.count("*") - 1)
-        at = d.groupBy(*SERIES).agg(((F.count("*") <= block) | (spacing >= ns_per_point)).alias("enough")).withColumn("res", F.lit(len(levels)))
-        levels.append(d.withColumn("res", F.lit(len(levels))))
-        ends.append(at.where("enough"))
-        if not at.where("not enough").limit(1).count():
-            break
+        enough = F.coalesce((F.count("*") <= block) | (spacing >= ns_per_point), F.lit(False))
+        at = materialize(d.groupBy(*SERIES).agg(F.count("*").alias("n"), enough.alias("enough")), "series")
+        return at, at.agg(F.max("n").alias("most"), F.sum("n").alias("rows"), F.bool_or("enough").alias("some"), F.bool_and("enough").alias("every")).first()
+
+    at, all_ = ends(s)
+    if all_.every is not False:
+        return s
+    out = []
+    d = _numbered(s, all_.most, all_.rows, chunk)
+    while all_.every is False:
+        if all_.some:
+            # a series of most of the points is met in as many tasks as there are salts
+            salted = at.select(*SERIES, "enough", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+            points = d.withColumn("salt", F.pmod("i", F.lit(SALTS)).cast("int"))
+            done, d = (points.join(salted.where(F.col("enough") == end), [*SERIES, "salt"], "left_semi").drop("salt") for end in (True, False))
+            out.append(done)
         d = materialize(_farthest(d, block, fold), "points")
-    chosen = reduce(DataFrame.unionByName, ends).groupBy(*SERIES).agg(F.min("res").alias("res"))
-    # a series of most of the points is met in as many tasks as there are salts
-    chosen = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    points = reduce(DataFrame.unionByName, levels).withColumn("salt", F.pmod("i", F.lit(SALTS)).cast("int"))
-    return points.join(chosen, [*SERIES, "res", "salt"]).select(*SERIES, *keep)
+        at, all_ = ends(d)
+    return reduce(DataFrame.unionByName, [*out, d]).select(*SERIES, *keep)
+
+
+def _numbered(s: DataFrame, most: int, rows: int, chunk: int) -> DataFrame:
+    """``s`` with ``i``: 0, 1, ... in each series by time, ``seq`` and value. ``most`` is the largest series' number of rows.
+
+    If that is over ``chunk``, rows are dealt to sorted ranges, in which a row's place is known as it is written; what a series
+    has before a range comes from a table of a row a series and range.
+    """
+    order = ["time_ns", "seq", "value"]
+    if most <= chunk:
+        i = F.row_number().over(Window.partitionBy(*SERIES).orderBy(*order)) - 1
+        return materialize(s.withColumn("i", i.cast("long")), "points")
+    ranges = s.repartitionByRange(min(MOST_RANGES, -(-rows // chunk)), *SERIES, *order).sortWithinPartitions(*SERIES, *order)
+    d = materialize(ranges.withColumn("_place", F.monotonically_increasing_id()), "ranges").withColumn("_range", F.shiftright("_place", 33))
+    totals = d.groupBy(*SERIES, "_range").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    earlier = Window.partitionBy(*SERIES).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")
+    bases = materialize(totals.select(*SERIES, "_range", base.alias("_base")), "bases")
+    return d.join(bases, [*SERIES, "_range"]).select(*SERIES, *order, (F.col("_place") + F.col("_base")).alias("i"))
 
 
 def _farthest(d: DataFrame, block: int, fold: int) -> DataFrame:
     """One level of the exact downsample over points numbered by ``i``: a point for each block, numbered by its block.
 
     Which point a block keeps depends on the block before it only through the point kept there, so a block is a map from
-    the few places before it to its own; maps are composed, not followed one after another.
+    the few places before it to its own; maps are composed, not followed one after another. ``fold`` blocks and the one before
+    them go through one Arrow slice, which gives each block's points with the places before the group from which they are kept
+    (mostly all), and the group's map; the maps of groups tell which of these places it is.
+    """
+    on_workers(d.sparkSession)
+    group, last = F.expr(f"i div {block * fold}"), F.expr(f"i div {block} % {fold} = {fold - 1}")
+    groups = F.explode(F.when(last, F.array(group, group + 1)).otherwise(F.array(group)))
+    by = ["g", *SERIES]
+    rows = d.select(groups.alias("g"), *SERIES, "i", "time_ns", "seq", "value")
+    own = {f.name: f for f in rows.schema}
+    schema = StructType([*[own[c] for c in by], StructField("b", LongType()), *[own[c] for c in ("time_ns", "seq", "value")], *StructType.fromDDL("starts array<int>, f array<int>").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_groups(batches, len(by)):
+            yield from _kept(t, len(by), block, fold).to_batches()
+
+    found = materialize(rows.repartition(*by).sortWithinPartitions(*by, "i").mapInArrow(run, schema), "farthest")
+    maps = found.where(F.size("f") > 0).select(*SERIES, F.col("g").alias("b"), "f")
+    first = F.lit(0)
+    if maps.limit(1).count():
+        places = _followed(maps, fold).select(*SERIES, (F.col("b") + 1).alias("g"), F.col("at").alias("first"))
+        found = found.join(places, by, "left")
+        first = F.coalesce("first", F.lit(0))
+    kept = found.where((F.size("starts") == 0) | F.array_contains("starts", first))
+    return kept.select(*SERIES, "time_ns", "seq", "value", F.col("b").alias("i"))
+
+
+def _changes(t: pa.Table, keys: int) -> np.ndarray:
+    """Where the first ``keys`` columns differ from the row before; the first row does."""
+    out = np.zeros(t.num_rows, dtype=bool)
+    out[:1] = True
+    for c in t.columns[:keys]:
+        out[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy()
+    return out
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 1 << 16) -> Iterator[pa.Table]:
+    """Tables of at least so many rows, but the last, which cut no group of a stream that is sorted by its first ``keys`` columns."""
+    held, n = [], 0
+    for b in batches:
+        held, n = [*held, b], n + b.num_rows
+        if n >= rows:
+            t = pa.Table.from_batches(held).combine_chunks()
+            cut = int(np.flatnonzero(_changes(t, keys))[-1])
+            if cut:
+                yield t.slice(0, cut)
+            held, n = t.slice(cut).to_batches(), n - cut
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _kept(t: pa.Table, keys: int, block: int, fold: int) -> pa.Table:
+    """The points that blocks of whole groups may keep. Columns: the group's number and its other keys, ``i``, time, ``seq``, value.
+
+    ``starts`` are the places before the group from which a point is kept; none stands for all. ``f`` is the group's map, beside
+    the point that its last block keeps from place 0. Nulls are passed over; where there is nothing else, or the point before is
+    one, a block keeps its first point.
     """
-    blocks = d.groupBy(*SERIES, F.expr(f"i div {block}").alias("b")).agg(F.array_sort(F.collect_list(F.struct("i", "time_ns", "seq", "value"))).alias("ps"))
-    blocks = materialize(blocks, "blocks")
-    before = blocks.select(*SERIES, (F.col("b") + 1).alias("b"), F.col("ps.value").alias("was"))
-    j = blocks.join(before, [*SERIES, "b"], "left").withColumn("was", F.coalesce("was", F.array(F.get("ps", 0)["value"])))
-
-    def farthest_from(v: Column) -> Column:
-        far = F.transform("ps", lambda p: F.abs(p["value"] - v))
-        return (F.array_position(far, F.array_max(far)) - 1).cast("int")
-
-    at = _followed(j.select(*SERIES, "b", F.transform("was", farthest_from).alias("f")), fold)
-    kept = blocks.join(at, [*SERIES, "b"]).withColumn("p", F.get("ps", F.col("at")))
-    return kept.select(*SERIES, "p.time_ns", "p.seq", "p.value", F.col("b").alias("i"))
+    g, i, value = t.column(0).to_numpy(), t.column("i").to_numpy(), t.column("value")
+    new, b = _changes(t, keys), i // block
+    cut = new.copy()
+    cut[1:] |= b[1:] != b[:-1]
+    at = np.flatnonzero(cut)
+    b, own = b[at], b[at] >= g[at] * fold  # others are blocks before a group
+    inside = np.arange(block) < np.diff(at, append=len(i))[:, None]
+    place = np.minimum(at[:, None] + np.arange(block), len(i) - 1)
+    live = inside & value.is_valid().to_numpy()[place]
+    p = (pc.fill_null(value, pa.scalar(0).cast(value.type)) if value.null_count else value).to_numpy()[place]
+    was, knew, begin = np.roll(p, 1, axis=0), np.roll(live, 1, axis=0), b == 0
+    was[begin], knew[begin] = p[begin, :1], live[begin, :1]
+    f = np.empty((len(at), block), dtype=np.int64)
+    step = max(1, (1 << 17) // block**2)
+    with np.errstate(invalid="ignore", over="ignore"):
+        for s in range(0, len(at), step):
+            e = slice(s, s + step)
+            far = np.abs(p[e, None, :] - was[e, :, None])
+            far[np.broadcast_to(~live[e, None, :], far.shape)] = -1
+            f[e] = np.where(knew[e], far.argmax(axis=2), 0)
+    start = own.copy()
+    start[1:] &= new[at][1:] | ~own[:-1]
+    k = np.arange(len(at))
+    since = np.where(own, k - np.maximum.accumulate(np.where(start, k, 0)), -1)
+    step = 1
+    while (later := np.flatnonzero(since >= step)).size:  # f[k] becomes the map of the last 2, 4, 8, ... blocks of a group
+        f[later] = np.take_along_axis(f[later], f[later - step], axis=1)
+        step *= 2
+    same = (f == f[:, :1]).all(axis=1)
+    one, many = np.flatnonzero(own & same), np.flatnonzero(own & ~same)
+    code = (many[:, None] * block + f[many]).ravel()
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    run = np.flatnonzero(np.diff(code, prepend=-1))
+    k = np.concatenate((one, code[run] // block))
+    to = np.concatenate((f[one, 0], code[run] % block))
+    offsets = np.concatenate((np.zeros(len(one), np.int64), run, [len(code)]))
+    ends = (b[k] % fold == fold - 1) & (to == f[k, 0])
+    lists = [
+        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array((order % block).astype(np.int32))),
+        pa.ListArray.from_arrays(pa.array((np.concatenate(([0], np.cumsum(ends))) * block).astype(np.int32)), pa.array(f[k[ends]].ravel().astype(np.int32))),
+    ]
+    points = t.select(["time_ns", "seq", "value"]).take(pa.array(at[k] + to))
+    names = t.column_names[:keys]
+    return pa.table([*t.select(names).take(pa.array(at[k])).columns, pa.array(b[k]), *points.columns, *lists], [*names, "b", *points.column_names, "starts", "f"])
 
 
 def _followed(maps: DataFrame, fold: int) -> DataFrame:

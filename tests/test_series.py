@@ -47,6 +47,34 @@ def test_exact_downsample_equals_a_plain_program(spark, ns, block, chunk, fold):
     assert series.downsample(spark.createDataFrame([], S), ns, "exact").count() == 0
 
 
+def test_exact_downsample_drops_series_that_have_ended_and_passes_over_nulls(spark):
+    rnd = random.Random(9)
+    rows, want = [], set()
+    for path, n, ns in (("dense", 900, 1), ("sparse", 700, 40), ("wide", 60, 10**6), (None, 50, 1)):
+        t = np.cumsum([rnd.randrange(ns, 2 * ns + 1) for _ in range(n)])
+        v = np.array([float(rnd.randrange(-50, 50)) for _ in range(n)])
+        null = set(rnd.sample([i for i in range(n) if i % 4], n // 3))  # no block of nulls only
+        rows += [(0, 1, "data", path, int(a), i, None if i in null else float(b)) for i, (a, b) in enumerate(zip(t, v, strict=True))]
+        if path:
+            v[list(null)] = np.nan
+            keep = np.arange(n)
+            while len(keep) > 4 and (t[keep[-1]] - t[keep[0]]) / (len(keep) - 1) < 200:
+                out, last = [], v[keep[0]]
+                for s in range(0, len(keep), 4):
+                    out.append(keep[s + int(np.nanargmax(np.abs(v[keep[s : s + 4]] - last)))])
+                    last = v[out[-1]]
+                keep = np.array(out)
+            want |= {(path, int(i)) for i in keep}
+    got = series.downsample(spark.createDataFrame(rows, S), 200, "exact", 4, 200, 3).collect()
+    assert len(got) == len(want) and {(r.path, r.seq) for r in got} == want
+
+
+def test_blocks_of_nulls_and_after_them_keep_their_first_point(spark):
+    rows = [(0, 1, "data", "p", i, i, None if 8 <= i < 12 else float(i % 5)) for i in range(64)]
+    got = series.downsample(spark.createDataFrame(rows, S), 3, "exact", 4, 1 << 20, 2).collect()
+    assert sorted(r.seq for r in got) == [3, 5, 8, 12, 19, 20, 24, 30, 34, 36, 43, 45, 49, 55, 59, 60]  # as the SQL has it
+
+
 @pytest.mark.parametrize("chunk", [1 << 20, 40])
 def test_pyramid_shows_every_scope_once(spark, chunk):
     rnd = random.Random(4)
