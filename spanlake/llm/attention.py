@@ -18,15 +18,15 @@ BLOCK = 16
 RADIX = 16
 SLAB = 8192  # blocks
 STEP = 256  # blocks
-_GROUP = 24  # fewer rows of a node go through gathered weights
+_GROUP = 24  # fewer rows of a node go in small pieces
 _ROWS = 4096
+_PIECES = ((8, 1, _GROUP), (_ROWS, _GROUP, 1 << 62))  # rows a piece, for nodes of so many rows
 _Q, _K, _V, _R = (slice(i * DIM, (i + 1) * DIM) for i in range(4))
 _DISTANCE = np.clip(np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :], 0, 2 * BLOCK - 1)
 _ONES = np.ones(RADIX, np.float32)
 _PLACES = np.ones(2 * BLOCK, np.float32)
 _ROW = np.ones((1, _ROWS), np.float32)
-_DIGITS = np.arange(RADIX)
-_FIRST = np.arange(_ROWS) * RADIX
+_FIRST = np.arange(2 * _ROWS) * RADIX
 _PAST = np.arange(2 * BLOCK)[None, :] <= np.arange(BLOCK)[:, None] + BLOCK
 
 
@@ -76,78 +76,118 @@ class Tree:
             real = self.child[k] >= 0
             begin[self.child[k][real]] = self.edge[k, :-1][real]
         self.rank = begin[:n].astype(np.uint16 if n <= 1 << 16 else np.uint32)
+        self.paths()
+
+    def paths(self) -> None:
+        """``path`` and ``digit``: by depth and leaf in depth-first order, the node on the way to it (-1 below the leaf) and
+        its child there."""
+        rank, at = np.arange(self.n_ids), np.full(self.n_ids, self.root)
+        self.path, self.digit = [], []
+        while len(rank):
+            digit = (self.edge[at, 1:] <= rank[:, None]).sum(axis=1)
+            path, digits = np.full(self.n_ids, -1, np.int32), np.zeros(self.n_ids, np.int8)
+            path[rank], digits[rank] = at, digit
+            self.path.append(path)
+            self.digit.append(digits)
+            at = self.child[at, digit] - self.n_ids
+            rank, at = rank[at >= 0], at[at >= 0]
 
     def walk(self, u: np.ndarray, b: np.ndarray, h: np.ndarray, goal: np.ndarray, weight: np.ndarray | None = None, safe: bool = False):
         """Natural log probabilities of the ids ``goal`` at states ``h``; with ``weight``, the gradients of their
-        weighted negative sum too: by ``h``, and ``(nodes, by u, by b)``. ``safe`` says that no exponent overflows."""
-        rank = self.rank[goal].astype(np.int64)
-        order = np.argsort(rank.astype(np.uint16), kind="stable")  # two passes of 16 bits, which numpy sorts by digits
-        order = order[np.argsort((rank >> 16).astype(np.uint16)[order], kind="stable")]
-        rank, hs = rank[order], h[order]
-        prob = np.ones(len(goal))
-        dh = np.zeros_like(hs) if weight is not None else None
-        ws = weight[order] if weight is not None else None
-        nodes, du, db = [], [], []
-        stack, few = [(self.root, 0, len(goal))] if len(goal) else [], []
-        while stack:
-            k, lo, hi = stack.pop()
-            if hi - lo < _GROUP:
-                few.append((k, lo, hi))
-                continue
-            at = lo + np.searchsorted(rank[lo:hi], self.edge[k])
-            digits = np.repeat(_DIGITS, at[1:] - at[:-1])
-            for s in range(lo, hi, _ROWS):  # rows that stay in a core's cache
-                e = min(hi, s + _ROWS)
-                z = hs[s:e] @ u[k]
-                z += b[k]
-                np.exp(z if safe else np.minimum(z, 80, out=z), out=z)
-                total, own = z @ _ONES, _FIRST[: e - s] + digits[s - lo : e - lo]
-                prob[s:e] *= z.reshape(-1).take(own) / total
+        weighted negative sum too: by ``h``, and ``(nodes, by u, by b)``. ``safe`` says that no exponent overflows.
+
+        Each depth is one pass. A node of many rows has a product of its own; the rows of the others are cut into pieces of
+        one length, filled up with row n, which weighs nothing, for one product of many small matrices.
+        """
+        n = len(goal)
+        rank = self.rank[goal]
+        order = _order(rank)
+        rank = rank[order]
+        hs = np.zeros((n + 1, h.shape[1]), np.float32)
+        h.take(order, axis=0, out=hs[:n], mode="clip")
+        prob = np.ones(n + 1)
+        ws = dh = None
+        if weight is not None:
+            ws, dh = np.zeros(n + 1, np.float32), np.zeros_like(hs)
+            ws[:n] = weight[order]
+        nodes, du, db = [np.empty(0, np.int64)], [np.empty((0, *u.shape[1:]), np.float32)], [np.empty((0, b.shape[1]), np.float32)]
+
+        def softmax(z: np.ndarray, rows: np.ndarray, own: np.ndarray) -> None:
+            """Of logits z at ``rows``, whose child is ``own``: multiplies ``prob``, and turns z into its gradient."""
+            np.exp(z if safe else np.minimum(z, 80, out=z), out=z)
+            total, own = z @ _ONES, _FIRST[: len(rows)] + own
+            prob[rows] *= z.reshape(-1).take(own) / total
+            if ws is not None:
+                share = ws.take(rows)
+                z *= (share / total)[:, None]
+                z.reshape(-1)[own] -= share
+
+        live = np.arange(n)
+        for path, digits in zip(self.path, self.digit, strict=True):
+            node = path.take(rank)
+            if len(below := np.flatnonzero(node >= 0)) < len(node):
+                live, node, rank = live[below], node[below], rank[below]
+            if not len(live):
+                break
+            digit = np.append(digits.take(rank), 0)
+            begin = np.concatenate(([0], np.flatnonzero(node[1:] != node[:-1]) + 1))
+            count = np.diff(np.append(begin, len(node)))
+            rows_of = np.append(live, n)
+            for size, least, most in _PIECES:
+                runs = np.flatnonzero((count >= least) & (count < most))
+                if not len(runs):
+                    continue
+                pieces = -(-count[runs] // size)
+                first = np.cumsum(pieces) - pieces
+                lo = np.repeat(begin[runs] - first * size, pieces) + np.arange(int(pieces.sum())) * size
+                hi = np.minimum(lo + size, np.repeat(begin[runs] + count[runs], pieces))
+                of = node[begin[runs]]
+                k = np.repeat(of, pieces)
                 if ws is not None:
-                    z /= total[:, None]
-                    z.reshape(-1)[own] -= 1
-                    z *= ws[s:e, None]
-                    nodes.append(np.array([k]))
-                    du.append((hs[s:e].T @ z)[None])
-                    db.append(_ROW[:, : e - s] @ z)
-                    dh[s:e] += z @ u[k].T
-            if inner := self.inner[k]:
-                at = at.tolist()
-                stack += [(node, at[c], at[c + 1]) for c, node in inner if at[c + 1] > at[c]]
-        if few:
-            where = np.concatenate([np.arange(lo, hi) for _, lo, hi in few])
-            at_node = np.repeat([k for k, _, _ in few], [hi - lo for _, lo, hi in few])
-            while len(where):
-                deeper, below = [], []
-                for s in range(0, len(where), 2048):
-                    rows, k = where[s : s + 2048], at_node[s : s + 2048]
-                    z = np.matmul(hs[rows][:, None, :], u[k])[:, 0] + b[k]
-                    np.exp(np.minimum(z, 80, out=z), out=z)
-                    total = z.sum(axis=1)
-                    digit = (self.edge[k, 1:] <= rank[rows][:, None]).sum(axis=1)
-                    prob[rows] *= z[np.arange(len(rows)), digit] / total
+                    su, sb = np.empty((len(k), *u.shape[1:]), np.float32), np.empty((len(k), b.shape[1]), np.float32)
+                few = size < _ROWS
+                # about so many rows at a time as stay in a core's cache
+                cuts = np.flatnonzero(np.diff((np.cumsum(hi - lo) - 1) // _ROWS)) + 1 if not few else np.arange(_ROWS // size, len(k), _ROWS // size)
+                for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(k)], strict=True):
+                    if few:
+                        at = lo[s:e, None] + np.arange(size)
+                        at = np.where(at < hi[s:e, None], at, len(live)).ravel()
+                        rows = rows_of.take(at)
+                        x, w = hs.take(rows, axis=0).reshape(e - s, size, -1), u.take(k[s:e], axis=0)
+                        z = np.matmul(x, w)
+                        z += b.take(k[s:e], axis=0)[:, None]
+                        softmax(z.reshape(-1, RADIX), rows, digit.take(at))
+                        if ws is not None:
+                            np.matmul(x.transpose(0, 2, 1), z, out=su[s:e])
+                            np.matmul(_ROW[:, :size], z, out=sb[s:e, None])
+                            dh[rows] += np.matmul(z, w.transpose(0, 2, 1)).reshape(len(rows), -1)
+                        continue
+                    n_rows = hi[s:e] - lo[s:e]
+                    to = np.cumsum(n_rows)
+                    at = np.arange(int(to[-1])) + np.repeat(lo[s:e] - to + n_rows, n_rows)
+                    rows = rows_of.take(at)
+                    z = b.take(np.repeat(k[s:e], n_rows), axis=0)
+                    # a node's rows lie together
+                    each = list(zip(range(s, e), k[s:e].tolist(), live[lo[s:e]].tolist(), (live[lo[s:e]] + n_rows).tolist(), (to - n_rows).tolist(), to.tolist(), strict=True))
+                    for _, j, p, q, y, t in each:
+                        z[y:t] += hs[p:q] @ u[j]
+                    softmax(z, rows, digit.take(at))
                     if ws is not None:
-                        z /= total[:, None]
-                        z[np.arange(len(rows)), digit] -= 1
-                        z *= ws[rows, None]
-                        by, starts = _runs(k)
-                        nodes.append(k[by][starts])
-                        du.append(np.add.reduceat(hs[rows][by][:, :, None] * z[by][:, None, :], starts, axis=0))
-                        db.append(np.add.reduceat(z[by], starts, axis=0))
-                        dh[rows] += np.matmul(u[k], z[:, :, None])[:, :, 0]
-                    nxt = self.child[k, digit]
-                    deeper.append(rows[nxt >= self.n_ids])
-                    below.append(nxt[nxt >= self.n_ids] - self.n_ids)
-                where, at_node = np.concatenate(deeper), np.concatenate(below)
-        out = np.empty(len(goal))
-        out[order] = np.log(np.maximum(prob, 1e-300))
+                        for i, j, p, q, y, t in each:
+                            np.dot(hs[p:q].T, z[y:t], out=su[i])
+                            np.dot(_ROW[0, : t - y], z[y:t], out=sb[i])
+                            dh[p:q] += z[y:t] @ u[j].T
+                if ws is not None:
+                    nodes.append(of)
+                    for sums, x in ((du, su), (db, sb)):
+                        sums.append(x if len(x) == len(of) else np.add.reduceat(x, first, axis=0))
+        out = np.empty(n)
+        out[order] = np.log(np.maximum(prob[:n], 1e-300))
         if ws is None:
             return out
-        by_h = np.empty_like(dh)
-        by_h[order] = dh
-        k = np.concatenate(nodes)
-        by, starts = _runs(k)
-        return out, by_h, (k[by][starts], np.add.reduceat(np.concatenate(du)[by], starts, axis=0), np.add.reduceat(np.concatenate(db)[by], starts, axis=0))
+        by_h = np.empty_like(dh[:n])
+        by_h[order] = dh[:n]
+        return out, by_h, tuple(np.concatenate(x) for x in (nodes, du, db))
 
 
 def _greatest(a: np.ndarray) -> np.ndarray:
@@ -157,9 +197,16 @@ def _greatest(a: np.ndarray) -> np.ndarray:
     return a
 
 
+def _order(keys: np.ndarray) -> np.ndarray:
+    """A stable order of keys of at most 32 bits, by their halves: numpy sorts 16 bits by digits."""
+    order = np.argsort(keys.astype(np.uint16), kind="stable")
+    high = (keys >> 16).astype(np.uint16)
+    return order[np.argsort(high[order], kind="stable")] if high.any() else order
+
+
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order that sorts the keys, and where each key begins in it."""
-    order = np.argsort(keys, kind="stable")
+    order = _order(keys)
     s = keys[order]
     return order, np.concatenate(([0], np.flatnonzero(s[1:] != s[:-1]) + 1))
 
@@ -261,9 +308,12 @@ class Network:
             c[1:, :BLOCK], c[:1, :BLOCK], c[:, BLOCK:] = own[:-1], own[:1], own
         q = q * scale
         a = np.matmul(q, past[0].transpose(0, 2, 1))
+        # where no exponent can overflow or all of a row vanish, the maxima need not be taken off
+        bounded = max(a.max(), -a.min()) + np.abs(p["far"]).max() < 60
         a += np.where(_PAST, p["far"][_DISTANCE], np.float32(-1e9))
         a[first, :, :BLOCK] = -1e9
-        a -= _greatest(a)
+        if not bounded:
+            a -= _greatest(a)
         np.exp(a, out=a)
         a /= (a.reshape(-1, 2 * BLOCK) @ _PLACES).reshape(len(x), BLOCK, 1)
         o = np.matmul(a, past[1])
@@ -290,8 +340,8 @@ class Network:
         np.multiply(np.matmul(dz, past[0]), scale, out=dt[:, :, _Q])
         dt[:, :, _R] = dh
         for s, d in ((_K, dk), (_V, dv)):
-            dt[:, :, s] = d[:, BLOCK:]
-            dt[:-1, :, s] += d[1:, :BLOCK]
+            np.add(d[:-1, BLOCK:], d[1:, :BLOCK], out=dt[:-1, :, s])
+            dt[-1:, :, s] = d[-1:, BLOCK:]
         dt = dt.reshape(-1, 4 * DIM)
         by, starts = _runs(flat)
         de = np.add.reduceat((dt @ p["w"].T).take(by, axis=0), starts, axis=0)
@@ -313,9 +363,11 @@ class Network:
             seen += n
             for k, (rows, g) in grads.items():
                 at = slice(None) if rows is None else rows
-                square = (g.reshape(len(g), -1) ** 2).mean(axis=1) if rows is not None else (g * g).mean()
+                flat = g.reshape(len(g) if rows is not None else 1, -1)
+                square = np.einsum("ij,ij->i", flat, flat) / np.float32(flat.shape[1])
                 scales[k][at] += square
                 touched[k][at] += 1
-                size = np.sqrt(scales[k][at]) + 1e-10
-                self.p[k][at] -= rate * g / (size.reshape(-1, *[1] * (g.ndim - 1)) if rows is not None else size)
+                size = np.float32(rate) / (np.sqrt(scales[k][at]) + np.float32(1e-10))
+                flat *= size[:, None]
+                self.p[k][at] -= g
         return total, seen, touched

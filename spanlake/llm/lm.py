@@ -27,13 +27,13 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
-from itertools import islice, repeat
+from collections.abc import Iterable, Iterator
+from itertools import batched, islice, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +49,8 @@ SHARE = 1
 ROUNDS = 4
 SHARD_IDS = 500_000
 BATCH, RATE = 256, 0.05  # blocks a step, and AdaGrad's rate
-KEEP_WORDS, KEEP_LETTERS = 200_000, 1 << 23
+KEEP_WORDS, KEEP_LETTERS = 300_000, 1 << 23
+FIRST_LETTERS = 64  # longer words are not encoded before they come
 SCORE_BYTES = 2 << 20  # of text at a time
 END = "\n"  # no word holds white space, so this key of the end token is free
 
@@ -154,9 +155,9 @@ _texts: dict[str, TextIds] = {}
 
 
 class TextIds:
-    """The ids of texts: their words by number, ids of the most frequent kept between slices; number 0 is the end."""
+    """The ids of texts: their words by number, those of ``first`` and of what comes next kept between slices; number 0 is the end."""
 
-    def __init__(self, tokenizer: str):
+    def __init__(self, tokenizer: str, first: Iterable[str] = ()):
         encoder = WordEncoder.of(tokenizer, "lm")
         self.end = 2 * encoder.vocab_size
 
@@ -168,19 +169,21 @@ class TextIds:
 
         self.table = IdTable(ids)
         self.table.numbers([END])
+        for words in batched((w for w in first if len(w) <= FIRST_LETTERS), 20_000):
+            self.table.numbers(list(words))
+        self.table.trim(KEEP_WORDS, KEEP_LETTERS)
 
     @staticmethod
-    def of(tokenizer: str) -> TextIds:
+    def of(tokenizer: str, first: Iterable[str] = ()) -> TextIds:
         """One a process and tokenizer."""
         hold("lm", _texts.clear)
         if tokenizer not in _texts:
-            _texts[tokenizer] = TextIds(tokenizer)
+            _texts[tokenizer] = TextIds(tokenizer, first)
         return _texts[tokenizer]
 
-    def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of all words and ends, and how many each text has."""
-        codes, words, sizes = text_words(texts)
-        return np.append(self.table.numbers(words.to_numpy(zero_copy_only=False).tolist()), 0)[codes], sizes
+    def numbers(self, codes: np.ndarray, words: pa.Array) -> np.ndarray:
+        """Numbers of all words and ends of ``text_words``."""
+        return np.append(self.table.numbers(words.to_numpy(zero_copy_only=False).tolist()), 0)[codes]
 
     def body(self, numbers: np.ndarray) -> np.ndarray:
         step = 1 << 17
@@ -191,14 +194,16 @@ def _hash(label: str) -> Column:
     return F.xxhash64(F.lit(label), F.col("doc_id").cast("string"), F.octet_length(text_or_empty()))
 
 
-def shard_texts(train: DataFrame, tokenizer: str, ids: float, share: int, rounds: int, shard_ids: int) -> DataFrame:
-    """``(shard, round, n, body binary, lens binary)``: the ids of the texts of a shard one after another, a row a shard."""
+def shard_texts(train: DataFrame, tokenizer: str, ids: float, share: int, rounds: int, shard_ids: int, known: Broadcast | None = None) -> DataFrame:
+    """``(shard, round, n, body binary, lens binary)``: the ids of the texts of a shard one after another, a row a shard.
+    The words ``known`` are encoded first and kept."""
     shards = max(1, -(-int(ids / share) // shard_ids))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = TextIds.of(tokenizer)
+        texts = TextIds.of(tokenizer, known.value if known else ())
         for b in slices(batches):
-            numbers, sizes = texts.numbers(b.column(2))
+            codes, words, sizes = text_words(b.column(2))
+            numbers = texts.numbers(codes, words)
             body, n = texts.body(numbers), np.concatenate(([0], np.cumsum(texts.table.size[numbers])))
             ends = np.concatenate(([0], n[np.cumsum(sizes)])).astype(np.int32) * 4
             texts.table.trim(KEEP_WORDS, KEEP_LETTERS)
@@ -220,7 +225,7 @@ def shard_texts(train: DataFrame, tokenizer: str, ids: float, share: int, rounds
 
 
 def _flat(parts: list[dict[str, np.ndarray]]) -> np.ndarray:
-    return np.concatenate([d[k].ravel() for d in parts for k in sorted(d)]).astype(np.float32)
+    return np.concatenate([d[k].ravel() for d in parts for k in sorted(d)]).astype(np.float32, copy=False)
 
 
 def _unflat(flat: np.ndarray, like: list[dict[str, np.ndarray]]) -> list[dict[str, np.ndarray]]:
@@ -269,19 +274,24 @@ def train_shards(net: Network, taught: DataFrame, rounds: int = ROUNDS, batch: i
             loss, n, sums = 0.0, 0.0, None
             for b in batches:
                 for shard, body, lens in zip(*(b.column(i) for i in range(3)), strict=True):
-                    own = Network.__new__(Network)
-                    own.tree, own.p = net.tree, {k: w.copy() for k, w in net.p.items()}
-                    mine = {k: s.copy() for k, s in scales.items()}
+                    if sums is None:
+                        own = Network.__new__(Network)
+                        own.tree, own.p = net.tree, {k: w.copy() for k, w in net.p.items()}
+                        mine = {k: s.copy() for k, s in scales.items()}
+                        sums = [{k: np.zeros_like(w) for k, w in d.items()} for d in (net.p, scales, scales)]
                     blocks = Blocks(np.frombuffer(body.as_buffer(), np.int32), np.frombuffer(lens.as_buffer(), np.int32).astype(np.int64), net.tree.n_ids - 1)
                     was, seen, touched = own.descend(blocks, mine, rate, batch, np.random.default_rng([11, r, shard.as_py()]))
-                    for theirs, now in ((net.p, own.p), (scales, mine)):
-                        for k, w in now.items():
-                            w -= theirs[k]
-                            w *= _by_row(touched[k], w)
-                    one = _flat([own.p, mine, touched])
-                    loss, n, sums = loss + was, n + seen, one if sums is None else np.add(sums, one, out=sums)
+                    loss, n = loss + was, n + seen
+                    for k, t in touched.items():
+                        # what the shard touched is summed and set back for the next shard
+                        at = np.flatnonzero(t) if len(t) == len(own.p[k]) else slice(None)
+                        sums[2][k][at] += t[at]
+                        for whole, theirs, now in ((sums[0], net.p, own.p), (sums[1], scales, mine)):
+                            whole[k][at] += (now[k][at] - theirs[k][at]) * _by_row(t[at], now[k][at])
+                            now[k][at] = theirs[k][at]
             if sums is not None:
-                yield row(loss, n, sums)
+                del own, mine
+                yield row(loss, n, _flat(sums))
 
         parts = taught.where(F.col("round") == r).select("shard", "body", "lens").repartition("shard").mapInArrow(run, schema)
         tasks = int(taught.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -333,14 +343,14 @@ class Model:
         return np.where(some, body[at], self.end), np.where(some, lp[at], 0.0), done[ends] - done[ends - n]
 
 
-def train_model(train: DataFrame, words: DataFrame, n_words: int, tokenizer: str, share: int = SHARE, rounds: int = ROUNDS) -> tuple[Model, list[float]]:
+def train_model(train: DataFrame, words: DataFrame, n_words: int, tokenizer: str, share: int = SHARE, rounds: int = ROUNDS, known: Broadcast | None = None) -> tuple[Model, list[float]]:
     """The model, and the mean loss of each round. A row for each id and the weights come to the driver."""
     counts, begin, kinds = id_counts(words, tokenizer)
     net = Network(Tree(counts + 1))
     once, twice = words.agg(F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
     losses: list[float] = []
     if n_words and rounds:
-        taught = shard_texts(train, tokenizer, float(counts.sum()), share, rounds, SHARD_IDS)
+        taught = shard_texts(train, tokenizer, float(counts.sum()), share, rounds, SHARD_IDS, known)
         losses = train_shards(net, taught, rounds)
     return Model(net, begin, kinds, once / (once + 2 * twice) if twice else 0.5), losses
 
@@ -378,24 +388,25 @@ def score_texts(docs: DataFrame, tokenizer: str | None = None, share: int = SHAR
     words = materialize(word_counts(train), "words")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     hot = hot_words(words, HOT_WORDS).toPandas()
-    model, _ = train_model(train, words, n, tokenizer, share, rounds)
-    known = dict(zip(hot["word"].tolist(), hot["c"].tolist(), strict=True))
+    counted = spark.sparkContext.broadcast(dict(zip(hot["word"].tolist(), hot["c"].tolist(), strict=True)))
     del hot
+    model, _ = train_model(train, words, n, tokenizer, share, rounds, counted)
     release_memory()
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, known, model))
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, model))
     discount = float(model.discount)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("lm", _kept.clear)
-        name, known, model = shared.value
+        name, model = shared.value
         if name not in _kept:
             _kept.clear()
-            _kept[name] = KnownCounts(known, TextIds.of(tokenizer).table)
+            _kept[name] = KnownCounts(counted.value, TextIds.of(tokenizer, counted.value).table)
             if not hasattr(model.net, "q"):
                 model.net.freeze(final=True)
         texts, counts, rid = TextIds.of(tokenizer), _kept[name], TaskContext.get().partitionId() << 36
         for b in slices(batches, size=SCORE_BYTES):
-            numbers, sizes = texts.numbers(b.column(1))
+            codes, names, sizes = text_words(b.column(1))
+            numbers = texts.numbers(codes, names)
             k, head, whole = model.word_logs(texts, numbers, sizes)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             c = counts.all()[numbers]
@@ -404,7 +415,7 @@ def score_texts(docs: DataFrame, tokenizer: str | None = None, share: int = SHAR
             logs, x = model.log10(c, k, head, whole)
             rare = np.flatnonzero(~seen)
             offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(owner[rare], minlength=len(sizes))))).astype(np.int32))
-            names = pa.array(texts.table.index, pa.string()).take(pa.array(numbers[rare]))
+            names = pa.concat_arrays([names, pa.array([END], names.type)]).take(pa.array(np.where(codes[rare] < 0, len(names), codes[rare])))
             each = pa.StructArray.from_arrays([names, pa.array(x[rare])], ["word", "x"])
             cols = [pa.array(np.arange(rid, rid + b.num_rows)), b.column(0), pa.array(sizes), pa.array(np.bincount(owner[seen], minlength=len(sizes))), pa.array(total(np.log10(c[seen] + 1), seen)), pa.array(total(logs, slice(None))), pa.ListArray.from_arrays(offsets, each)]
             rid += b.num_rows

@@ -219,3 +219,66 @@ def test_rows_of_weights_come_to_a_worker_one_by_one(spark, monkeypatch):
         own.descend(blocks, alone.scales(), lm.RATE, 8, np.random.default_rng([11, 0, i]))
         changes.append(own.p["far"] - alone.p["far"])
     assert np.allclose(net.p["far"], alone.p["far"] + np.mean(changes, axis=0), atol=1e-5)
+
+
+def test_paths_and_gradients_of_the_tree_equal_plain_softmaxes():
+    """Nodes of one row, of few and of more than go at a time, each against its own softmax."""
+    rng = np.random.default_rng(8)
+    n, rows = 3000, 9000
+    tree = attention.Tree(rng.zipf(1.3, n).astype(float))
+    goal = np.concatenate((rng.integers(0, n, 1000), np.minimum(rng.zipf(1.4, rows - 1000) - 1, n - 1)))
+    u = rng.standard_normal((len(tree.child), DIM, attention.RADIX)).astype(np.float32) / 4
+    h, weight = np.tanh(rng.standard_normal((rows, DIM))).astype(np.float32), rng.random(rows).astype(np.float32)
+    logs, by_h, (nodes, by_u, by_b) = tree.walk(u, tree.bias, h, goal, weight)
+    assert len(set(nodes.tolist())) == len(nodes) and np.allclose(logs, tree.walk(u, tree.bias, h, goal), atol=1e-5)
+    want, dh, du, db = np.zeros(rows), np.zeros(h.shape), np.zeros(u.shape), np.zeros(tree.bias.shape)
+    leaf = tree.rank.astype(int)
+    for i in range(rows):
+        k, steps = tree.root, []
+        while k >= 0:
+            c = next(c for c in range(attention.RADIX) if tree.edge[k, c + 1] > leaf[goal[i]])
+            steps.append((k, c))
+            z = (h[i] @ u[k] + tree.bias[k]).astype(np.float64)
+            p = np.exp(z - z.max())
+            p /= p.sum()
+            want[i] += np.log(p[c])
+            p[c] -= 1
+            p *= weight[i]
+            dh[i] += u[k] @ p
+            du[k] += np.outer(h[i], p)
+            db[k] += p
+            k = tree.child[k, c] - tree.n_ids
+        told = [(path[leaf[goal[i]]], digit[leaf[goal[i]]]) for path, digit in zip(tree.path, tree.digit, strict=True) if path[leaf[goal[i]]] >= 0]
+        assert told == steps
+    assert np.allclose(logs, want, atol=1e-3) and np.allclose(by_h, dh, atol=1e-3)
+    assert np.allclose(by_u, du[nodes], atol=1e-2) and np.allclose(by_b, db[nodes], atol=1e-2)
+    assert not np.delete(du, nodes, axis=0).any()
+
+
+def test_shards_of_one_task_start_from_the_common_weights(spark):
+    """Two shards that touch other ids, through one task, against each alone."""
+    lens = np.full(10, 20, np.int32)
+    bodies = [np.tile([*ids, 39], 40).astype(np.int32) for ids in ((1, 2, 3, 4), (20, 21, 22, 3))]
+    rows = [(i, 0, 200, b.tobytes(), lens.tobytes()) for i, b in enumerate(bodies)]
+    taught = spark.createDataFrame(rows, "shard long, round long, n long, body binary, lens binary").coalesce(1)
+    tree = attention.Tree(np.full(40, 2.0))
+    net, start = attention.Network(tree), attention.Network(tree)
+    lm.train_shards(net, taught, 1, batch=8)
+    change, times = np.zeros_like(start.p["e"]), np.zeros(40)
+    for i, b in enumerate(bodies):
+        own = attention.Network(tree)
+        touched = own.descend(attention.Blocks(b, lens.astype(np.int64), 39), own.scales(), lm.RATE, 8, np.random.default_rng([11, 0, i]))[2]["e"]
+        change += (own.p["e"] - start.p["e"]) * touched[:, None]
+        times += touched
+    assert (times == 0).any() and np.allclose(net.p["e"], start.p["e"] + change / np.maximum(times, 1)[:, None], atol=1e-5)
+
+
+def test_frequent_words_are_encoded_first_and_kept(monkeypatch):
+    monkeypatch.setattr(lm, "KEEP_WORDS", 5)
+    first = ["the", "and", "x" * (lm.FIRST_LETTERS + 1), "of"]
+    texts, plain = lm.TextIds(lm.word_bpe_path(), first), lm.TextIds(lm.word_bpe_path())
+    assert list(texts.table.index) == [lm.END, "the", "and", "of"]
+    codes, words, _ = lm.text_words(lm.pa.array(["Seldom of the others and rarely", ""]))
+    assert np.array_equal(texts.body(texts.numbers(codes, words)), plain.body(plain.numbers(codes, words)))
+    texts.table.trim(lm.KEEP_WORDS, lm.KEEP_LETTERS)
+    assert list(texts.table.index)[:4] == [lm.END, "the", "and", "of"] and len(texts.table.index) == 5
