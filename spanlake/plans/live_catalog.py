@@ -67,11 +67,11 @@ def disordered(df: DataFrame, parts: int = 6, span: int = 400) -> tuple[DataFram
     again = d.where("seq % 17 = 0").withColumn("_part", F.col("_part") + step)
     last = d.orderBy(F.desc("seq")).limit(1)
     far = {"stream_id": F.lit(-1).cast("long"), "thread_id": F.lit(-1).cast("long"), "ts": F.timestamp_seconds(F.lit((t1 - t0) * 10 // 10**9 + 10**6)), "_part": F.lit(hi + 2 * step)}
-    # what a row is behind the latest one before it, bounded by bins, wherever files are cut
+    # what a row, or one of a lower seq that comes after it, is behind the latest one before it, bounded by bins, wherever files are cut
     bins = d.groupBy(F.expr(f"(_part - {lo}) div {(hi - lo) // BINS + 1}").alias("b")).agg(F.min("date_ns").alias("first"), F.max("date_ns").alias("last"))
-    again_at = bins.select((F.col("b") + step // ((hi - lo) // BINS + 1) + 1).alias("b"), "first", F.lit(t0).alias("last"))
+    again_at = bins.select((F.col("b") + max(step, span) // ((hi - lo) // BINS + 1) + 1).alias("b"), "first", F.lit(t0).alias("last"))
     late, top = 0, t0
-    for b in bins.unionByName(again_at).orderBy("b").collect():  # two rows a bin
+    for b in bins.unionByName(again_at).orderBy("b", F.desc("last")).collect():  # two rows a bin
         top = max(top, b["last"])
         late = max(late, top - b["first"])
     delay = max(3 * (t1 - t0) // parts, late) // 10**9 + 60
@@ -87,7 +87,7 @@ def _r1(s: SparkSession, d: str) -> DataFrame:
 
 
 def _r2(s: SparkSession, d: str) -> DataFrame:
-    return finished(live.pair_scopes_stream(arrive(fx.trace(s, d), "live")[1]), "pairs")
+    return finished(live.pair_scopes_stream(arrive(fx.trace(s, d), "live")[1], forward=False), "pairs")
 
 
 def _r3_uses(s: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from decimal import Decimal
 
+import duckdb
+import pytest
+
 from spanlake.operators import locks, profile
 
 
@@ -42,6 +45,47 @@ def test_dates_that_go_back_and_many_keys_a_slot(spark, tmp_path, monkeypatch):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
+FIRST = "case when ts = (select min(ts) from '/root/testdata/sf0.001/events.parquet') then 'view' else event_type end as event_type"
+DEALT = "timestamp '2024-01-01' + cast(hash(event_id, c) % 10000 as int) * interval 1 minute as ts"
+
+
+@pytest.mark.parametrize(
+    ("name", "change"),
+    [("r5_late_rows", FIRST), ("r5_late_rows", ""), ("r5_late_rows", DEALT), ("r2_pair_stream", "")],
+    ids=["first row begins a scope", "dates begin again", "dates in no order", "dates begin again, no watermark"],
+)
+def test_live_pairs_of_odd_dates_equal_sql(spark, tmp_path, name, change):
+    """Three copies of the events one after another, of the same users and dates: every thread goes back to its first date."""
+    from spanlake.plans.live_catalog import LIVE
+
+    path = str(tmp_path / "events.parquet")
+    db = duckdb.connect()
+    db.execute("set timezone='UTC'")
+    changes = ", ".join(filter(None, ["event_id + 1000 * c as event_id", "user_id + 1000 * c as user_id" * (change == FIRST), change]))
+    db.execute(f"copy (select e.* replace ({changes}) from '/root/testdata/sf0.001/events.parquet' e, range(3) r(c)) to '{path}'")
+    db.execute(f"create view events as select * from '{path}'")
+    query, sql = LIVE[name]
+    got = query(spark, str(tmp_path))
+    want = db.execute(f"select {', '.join(got.columns)} from ({sql})").fetchall()
+    assert any(r[5] == 0 for r in want) if change == FIRST else any(r[7] < 0 for r in want)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_rows_wait_until_the_watermark_has_passed_their_microseconds(spark, tmp_path, monkeypatch):
+    from spanlake.streaming import live
+
+    monkeypatch.setattr(live._stateful, "__defaults__", (1,))  # a row of another thread wakes the slot
+    cols = "stream_id long, thread_id long, seq long, date_ns long, kind string, name string, us long"
+    s = 10**9
+    for rows in ([(0, 1, 2, 2, "scope_end", "a", s + 5900), (0, 2, 0, 0, "data", "d", s + 1000)], [(0, 2, 1, 1, "data", "d", s + 5200)], [(0, 1, 1, 1, "scope_begin", "a", s + 5500)], [(-1, -1, 9, 9, "data", "t", 9 * s)]):
+        d = spark.createDataFrame(rows, cols).selectExpr("*", "timestamp_micros(us) as ts")
+        d.coalesce(1).write.mode("append").parquet(str(tmp_path / "i"))
+    sdf = live.pair_scopes_stream(live.read_live(spark, str(tmp_path / "i"), d.schema, 1), watermark=("ts", "0 seconds"))
+    q = sdf.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [(r.scope_id, r.end_ns) for r in spark.read.schema(sdf.schema).parquet(str(tmp_path / "o")).collect()] == [(1, 2)]
+
+
 def test_collisions_are_counted_without_their_strings(spark):
     from spanlake.sources import strings
 
