@@ -51,7 +51,7 @@ SHARD_IDS = 500_000
 BATCH, RATE = 256, 0.05  # blocks a step, and AdaGrad's rate
 KEEP_WORDS, KEEP_LETTERS = 300_000, 1 << 23
 FIRST_LETTERS = 64  # longer words are not encoded before they come
-SCORE_BYTES = 2 << 20  # of text at a time
+SCORE_BYTES = 1 << 20  # of text at a time
 END = "\n"  # no word holds white space, so this key of the end token is free
 
 
@@ -397,6 +397,7 @@ def score_texts(docs: DataFrame, tokenizer: str | None = None, share: int = SHAR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("lm", _kept.clear)
+        release_memory()  # what training left
         name, model = shared.value
         if name not in _kept:
             _kept.clear()
